@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, quality
+from tessera.llm import exact_dedup, minhash, mixing, packing, quality
 from tessera.llm.common import documents, written
 
 
@@ -18,6 +18,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.near_dedup(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed_documents(docs)
@@ -28,7 +33,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_ids(docs)
 
 
-STAGES = [("quality", good), ("exact_dedup", distinct), ("mixing", mixed), ("packing", packed)]
+STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", dissimilar), ("mixing", mixed), ("packing", packed)]
 #: The stages fit models, sketch and schedule: SQL can't express them; tests hold each against brute force.
 ORACLE_SQL = None
 
