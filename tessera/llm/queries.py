@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, quality, substring
+import public_tokenizers
+
+from . import exact_dedup, minhash, mixing, packing, quality, substring, tokenfiles
 from .common import documents
 
 QUERIES = {
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_groups(documents(spark, d)),
     "op4_substring": lambda spark, d: substring.repeat_report(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d)),
+    "op7_token_files": lambda spark, d: tokenfiles.token_report(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
     "op8_near_dedup": lambda spark, d: minhash.near_groups(documents(spark, d), minhash.THRESHOLD),
     "op9_mixing": lambda spark, d: mixing.mix_report(documents(spark, d)),
     "op10_quality": lambda spark, d: quality.quality_report(documents(spark, d)),
