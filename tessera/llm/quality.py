@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, words, written
+from .weak import expectation_maximisation, log_ratios
 
 #: The commonest function words of four languages.
 COMMON = (
@@ -34,7 +35,6 @@ RULES = {
     "common": ("common_words", "common_words >= 2", "common_words = 0"),
     "sentences": ("end_ratio", "end_ratio >= 0.6", "n_lines >= 2 and end_ratio < 0.2"),
 }
-ACCURACY, WEIGHT, ROUNDS = 0.85, 20.0, 50
 _LOW = 0xFFFFFF  # a word's place in the low bits: texts up to 2**24 words; the rest of the long is hash
 
 
@@ -78,25 +78,9 @@ def votes(scored: DataFrame) -> DataFrame:
 def fit(voted: DataFrame) -> tuple[float, dict[str, dict[int, float]]]:
     """Expectation-maximisation over the vote patterns: the log odds of good, and for each rule and vote its log likelihood ratio."""
     names = list(RULES)
-    patterns = [([r[f"vote_{k}"] for k in names], r["n"]) for r in voted.groupBy(*(f"vote_{k}" for k in names)).agg(F.count(F.lit(1)).alias("n")).collect()]
-    prior = 0.8
-    rate = {(k, y, v): {0: 0.2}.get(v, 0.8 * (ACCURACY if (v > 0) == y else 1 - ACCURACY)) for k in range(len(names)) for y in (True, False) for v in (-1, 0, 1)}
-    first = dict(rate)
-    for _ in range(ROUNDS):
-        seen = {key: WEIGHT * p for key, p in first.items()}
-        good = total = 0.0
-        for vote, n in patterns:
-            p, q = (math.log(x) + sum(math.log(rate[k, y, v]) for k, v in enumerate(vote)) for x, y in ((prior, True), (1 - prior, False)))
-            post = 1 / (1 + math.exp(min(700, max(-700, q - p))))
-            good, total = good + n * post, total + n
-            for k, v in enumerate(vote):
-                seen[k, True, v] += n * post
-                seen[k, False, v] += n * (1 - post)
-        prior = min(0.99, max(0.5, (good + WEIGHT) / (total + 1.25 * WEIGHT)))
-        rate = {(k, y, v): x / sum(seen[k, y, u] for u in (-1, 0, 1)) for (k, y, v), x in seen.items()}
-    # a rule's vote never counts against its own sense
-    ratio = {k: {v: math.log(rate[i, True, v] / rate[i, False, v]) for v in (-1, 0, 1)} for i, k in enumerate(names)}
-    return math.log(prior / (1 - prior)), {k: {-1: min(0.0, r[-1]), 0: 0.0, 1: max(0.0, r[1])} for k, r in ratio.items()}
+    patterns = [(tuple(r[f"vote_{k}"] for k in names), r["n"]) for r in voted.groupBy(*(f"vote_{k}" for k in names)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    prior, rate = expectation_maximisation(patterns, len(names), prior=0.8, bounds=(0.5, 0.99))
+    return math.log(prior / (1 - prior)), dict(zip(names, log_ratios(rate, len(names)), strict=True))
 
 
 def _verdict(voted: DataFrame, model: tuple[float, dict[str, dict[int, float]]]) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, minhash, mixing, packing, quality, substring, tokenfiles
+from . import exact_dedup, minhash, mixing, packing, pii, quality, substring, tokenfiles
 from .common import documents
 
 QUERIES = {
+    "op2_pii": lambda spark, d: pii.span_report(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_groups(documents(spark, d)),
     "op4_substring": lambda spark, d: substring.repeat_report(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d)),
