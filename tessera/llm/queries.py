@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality, substring, tokenfiles
+from . import exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, substring, tokenfiles
 from .common import documents
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, d: linededup.line_report(documents(spark, d)),
     "op2_pii": lambda spark, d: pii.span_report(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_groups(documents(spark, d)),
     "op4_substring": lambda spark, d: substring.repeat_report(documents(spark, d)),
+    "op5_language": lambda spark, d: language.language_report(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d)),
     "op7_token_files": lambda spark, d: tokenfiles.token_report(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
     "op8_near_dedup": lambda spark, d: minhash.near_groups(documents(spark, d), minhash.THRESHOLD),
@@ -19,6 +21,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": r"""
+        with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) x from documents),
+        l as (select doc_id, unnest(x) x, generate_subscripts(x, 1) - 1 i from t),
+        s as (select doc_id, i, regexp_replace(x, '^[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]+$', '', 'g') x from l where regexp_matches(x, '[^\x20\x09\x0B-\x0D]')),
+        w as (select doc_id, i a, lead(i, 2) over p b, x || chr(10) || lead(x) over p || chr(10) || lead(x, 2) over p k from s window p as (partition by doc_id order by i)),
+        v as (select doc_id, a, b, row_number() over (partition by k order by doc_id, a) r from w where b is not null),
+        gone as (select distinct l.doc_id, l.i from l join v on l.doc_id = v.doc_id and l.i between v.a and v.b where r > 1)
+        select l.doc_id, count(*) n_lines, count(gone.i) n_removed,
+            sha256(coalesce(string_agg(case when gone.i is null then x end, chr(10) order by l.i), '')) kept_sha256
+        from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id
+    """,
     "op3_exact_dedup": r"""
         with n as (select doc_id, length(coalesce(text, '')) c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) h from documents),
         g as (select h, first(doc_id order by c desc, doc_id) keep_id, count(*) group_size from n group by h)
