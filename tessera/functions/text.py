@@ -32,8 +32,8 @@ def occurrences(c: Column | str, phrase: str) -> Column:
 
 
 def any_of(words_: list[str]) -> str:
-    """A pattern of whole words for lower-cased ASCII text (no look-around, so that engines agree)."""
-    return r"\b(" + "|".join(words_) + r")\b"
+    """A pattern of whole words of lower-cased text: explicit letter classes, for \\b means different things to different engines."""
+    return r"(^|[^\p{L}])(" + "|".join(words_) + r")($|[^\p{L}])"
 
 
 def ratio(n: Column | str, d: Column | str) -> Column:
@@ -54,13 +54,13 @@ def r6(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Sentences: cut after . ! ? before white space, and at line feeds; blanks dropped, ends trimmed."""
     cut = F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"([.!?])\s+", "$1\n"), "\n")
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clauses(c: Column | str) -> Column:
     """Clauses of lower-cased text, cut at punctuation and at joining words."""
     cut = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"[.,;:!?\n]+|\s(?:and|but|so|because|although|though)\s")
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def word_slice(c: Column | str, start: Column | int, n: Column | int) -> Column:
