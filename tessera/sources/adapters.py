@@ -71,7 +71,7 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     """The call log: model = event type, session = user, tokens from props and value."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, d, "events").select(
-        "event_id", "ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("model"), (F.col("user_id") % 3).alias("role"), k.alias("input_tokens"), F.floor("value").cast("int").alias("output_tokens"), (F.col("event_type") == "error").alias("failed")
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), F.col("event_type").alias("model"), (F.col("user_id") % 3).alias("role"), k.alias("input_tokens"), F.floor("value").cast("int").alias("output_tokens"), (F.col("event_type") == "error").alias("failed")
     )
 
 
