@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import n_words, r6, ratio, tokens
 
-BY = W.partitionBy("session_id").orderBy("turn_index")
+
+def by_turn():
+    return W.partitionBy("session_id").orderBy("turn_index")
 
 
 def response_acts(turns: DataFrame) -> DataFrame:
@@ -21,8 +23,8 @@ def response_acts(turns: DataFrame) -> DataFrame:
 
 def bridge_rate(turns: DataFrame) -> DataFrame:
     """Pairs of consecutive participant turns with moderator turns left out, and the share of these that bridge one."""
-    seq = F.row_number().over(BY)
-    p = turns.where("role is not null").withColumn("_i", seq).where("role = 'participant'").withColumn("_gap", F.col("_i") - F.lag("_i").over(BY))
+    seq = F.row_number().over(by_turn())
+    p = turns.where("role is not null").withColumn("_i", seq).where("role = 'participant'").withColumn("_gap", F.col("_i") - F.lag("_i").over(by_turn()))
     return p.where("_gap is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_gap") > 1).alias("bridged"), r6(F.avg((F.col("_gap") > 1).cast("double"))).alias("rate"))
 
 
@@ -30,7 +32,7 @@ def relevance_pairs(turns: DataFrame) -> DataFrame:
     """As-of: each participant turn with the latest moderator turn before it and its section's opener; a window, no join."""
     mod = F.when(F.col("role") == "moderator", F.col("turn_index"))
     w = W.partitionBy("session_id", "section")
-    df = turns.withColumns({"moderator_turn": F.last(mod, ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, -1)), "opener": F.min(mod).over(w)})
+    df = turns.withColumns({"moderator_turn": F.last(mod, ignorenulls=True).over(by_turn().rowsBetween(W.unboundedPreceding, -1)), "opener": F.min(mod).over(w)})
     return df.where("role = 'participant'").select("session_id", "turn_index", "moderator_turn", "opener")
 
 
@@ -49,8 +51,8 @@ def paired_reference(sessions: DataFrame, reference: str) -> DataFrame:
 
 def interaction_edges(turns: DataFrame, roster: DataFrame) -> DataFrame:
     """Directed edges: uptake (a participant after another) and reference (a turn names another), with the density of each kind."""
-    prev = F.lag("speaker_id").over(BY)
-    up = turns.where("role is not null").withColumns({"target": prev, "_r": F.lag("role").over(BY)}).where("role = 'participant' and _r = 'participant' and target != speaker_id").select("session_id", F.col("speaker_id").alias("source"), "target", F.lit("uptake").alias("type"))
+    prev = F.lag("speaker_id").over(by_turn())
+    up = turns.where("role is not null").withColumns({"target": prev, "_r": F.lag("role").over(by_turn())}).where("role = 'participant' and _r = 'participant' and target != speaker_id").select("session_id", F.col("speaker_id").alias("source"), "target", F.lit("uptake").alias("type"))
     named = turns.where("role = 'participant'").select("session_id", F.col("speaker_id").alias("source"), F.explode(F.array_distinct(tokens("text", "[a-z]+"))).alias("name"))
     ref = named.join(roster.select("session_id", "name", F.col("speaker_id").alias("target")), ["session_id", "name"]).where("source != target").select("session_id", "source", "target", F.lit("referenced").alias("type"))
     people = turns.where("role = 'participant'").groupBy("session_id").agg(F.count_distinct("speaker_id").alias("k"))
@@ -60,7 +62,7 @@ def interaction_edges(turns: DataFrame, roster: DataFrame) -> DataFrame:
 
 def targeting(turns: DataFrame, roster: DataFrame) -> DataFrame:
     """Moderator turns that name a member, and whether the next participant is the one named."""
-    after = F.first(F.when(F.col("role") == "participant", F.col("speaker_id")), ignorenulls=True).over(BY.rowsBetween(1, W.unboundedFollowing))
+    after = F.first(F.when(F.col("role") == "participant", F.col("speaker_id")), ignorenulls=True).over(by_turn().rowsBetween(1, W.unboundedFollowing))
     m = turns.withColumn("next_speaker", after).where("role = 'moderator'").select("session_id", "turn_index", "next_speaker", F.explode_outer(F.array_distinct(tokens("text", "[a-z]+"))).alias("name"))
     hit = m.join(roster.select("session_id", "name", F.col("speaker_id").alias("target")), ["session_id", "name"], "left")
     g = hit.groupBy("session_id", "turn_index", "next_speaker").agg(F.array_sort(F.collect_set("target")).alias("targets"))

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import n_words, r6, ratio
 
-BY = W.partitionBy("session_id").orderBy("turn_index")
-SO_FAR = BY.rowsBetween(W.unboundedPreceding, 0)
+
+def by_turn():
+    return W.partitionBy("session_id").orderBy("turn_index")
+
+
+def so_far():
+    return by_turn().rowsBetween(W.unboundedPreceding, 0)
 
 
 def by_headers(turns: DataFrame, number: Column) -> DataFrame:
     """Section of each turn by the last header number so far (NULL before the first), with a warning on headers that repeat, go back or
     leave a gap."""
     df = turns.withColumn("header", number)
-    df = df.withColumn("section_no", F.last("header", ignorenulls=True).over(SO_FAR))
-    before = F.last("header", ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("section_no", F.last("header", ignorenulls=True).over(so_far()))
+    before = F.last("header", ignorenulls=True).over(by_turn().rowsBetween(W.unboundedPreceding, -1))
     warn = F.when(F.col("header").isNotNull(), F.when(before.isNull(), F.lit(None).cast("string")).when(F.col("header") == before, "duplicate").when(F.col("header") < before, "out_of_order").when(F.col("header") > before + 1, "gap"))
     return df.withColumn("warning", warn).select("session_id", "turn_index", "header", "section_no", "warning")
 
@@ -26,7 +31,7 @@ def by_log(turns: DataFrame, log: DataFrame) -> DataFrame:
     """Sections opened by transition rows of a log: each opens at the first moderator turn with its turn number; unmatched ones are counted."""
     hit = log.join(turns.where("role = 'moderator'").select("session_id", "turn_index"), ["session_id", "turn_index"], "left_semi").distinct().withColumn("_b", F.lit(1))
     missing = log.join(turns.where("role = 'moderator'").select("session_id", "turn_index"), ["session_id", "turn_index"], "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("missing"))
-    df = turns.join(hit, ["session_id", "turn_index"], "left").withColumn("section_no", F.sum(F.coalesce("_b", F.lit(0))).over(SO_FAR))
+    df = turns.join(hit, ["session_id", "turn_index"], "left").withColumn("section_no", F.sum(F.coalesce("_b", F.lit(0))).over(so_far()))
     return df.join(missing, "session_id", "left").select("session_id", "turn_index", "section_no", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
@@ -66,7 +71,7 @@ def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
     far; later asks are reformulations. questions: question, term."""
     asks = turns.where("role = 'moderator'").join(questions.hint("broadcast"), F.expr("instr(lower(text), term) > 0"))
     q = asks.groupBy("session_id", "turn_index").agg(F.max_by("question", F.struct(F.expr("instr(lower(text), term)"), "question")).alias("question"))
-    before = BY.rowsBetween(W.unboundedPreceding, -1)
+    before = by_turn().rowsBetween(W.unboundedPreceding, -1)
     first = F.row_number().over(W.partitionBy("session_id", "question").orderBy("turn_index")) == 1
     q = q.withColumn("_first", first).withColumn("_top", F.coalesce(F.max("question").over(before), F.lit(0)))
     return q.select("session_id", "turn_index", "question", F.when(F.col("_first") & (F.col("question") == F.col("_top") + 1), "opens").when(F.col("_first"), "out_of_turn").otherwise("reformulates").alias("kind"))
@@ -75,7 +80,7 @@ def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
 def word_budget(turns: DataFrame, target: int, starts: int = 10, least: float = 0.9) -> DataFrame:
     """From every start the longest run of turns within `target` words; runs of at least 90 % are eligible, and up to `starts` evenly
     spaced ones are selected."""
-    c = turns.withColumn("cum", F.sum("n_words").over(SO_FAR)).select("session_id", "turn_index", "n_words", "cum")
+    c = turns.withColumn("cum", F.sum("n_words").over(so_far())).select("session_id", "turn_index", "n_words", "cum")
     e = c.select(F.col("session_id").alias("_s"), F.col("turn_index").alias("stop"), F.col("cum").alias("_c"))
     run = c.join(e, (F.col("session_id") == F.col("_s")) & (F.col("stop") >= F.col("turn_index")) & (F.col("_c") - F.col("cum") + F.col("n_words") <= target))
     run = run.groupBy("session_id", F.col("turn_index").alias("start")).agg(F.max("stop").alias("stop"), F.max(F.col("_c") - F.col("cum") + F.col("n_words")).alias("words")).where(F.col("words") >= least * target)
@@ -95,7 +100,7 @@ def completeness(turns: DataFrame, required: int) -> DataFrame:
 
 def guide_coverage(turns: DataFrame, total: int) -> DataFrame:
     """Sections completed and skipped, moves between sections, and questions asked in the first and second half."""
-    df = turns.withColumns({"_move": F.coalesce(F.col("section") != F.lag("section").over(BY), F.lit(False)), "_ask": (F.col("role") == "moderator") & F.contains("text", F.lit("?"))})
+    df = turns.withColumns({"_move": F.coalesce(F.col("section") != F.lag("section").over(by_turn()), F.lit(False)), "_ask": (F.col("role") == "moderator") & F.contains("text", F.lit("?"))})
     ask = lambda t: F.count_if(F.coalesce(F.col("_ask") & t, F.lit(False)))
     return df.groupBy("session_id").agg(
         F.count_distinct("section").alias("completed"), (total - F.count_distinct("section")).alias("skipped"), F.count_if("_move").alias("moves"), ask(F.col("section") < total / 2).alias("early_asks"), ask(F.col("section") >= total / 2).alias("late_asks")

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio
 
-IS_MOD, IS_PART = F.col("role") == "moderator", F.col("role") == "participant"
 BINS = (0, 10, 25, 50, 100, 200, 250, 300)
 
 
+def is_mod() -> Column:
+    return F.col("role") == "moderator"
+
+
+def is_part() -> Column:
+    return F.col("role") == "participant"
+
+
 def _count(test: Column) -> Column:
     return F.count_if(F.coalesce(test, F.lit(False)))
 
@@ -20,7 +27,7 @@ def window_counts(turns: DataFrame) -> DataFrame:
     """Per session: words, participant and moderator turns, included and skipped (blank) turns."""
     full = F.col("n_words") > 0
     return turns.groupBy("session_id").agg(
-        F.sum("n_words").alias("words"), _count(IS_PART & full).alias("participant_turns"), _count(IS_MOD & full).alias("moderator_turns"), _count(full).alias("included"), _count(~full).alias("skipped")
+        F.sum("n_words").alias("words"), _count(is_part() & full).alias("participant_turns"), _count(is_mod() & full).alias("moderator_turns"), _count(full).alias("included"), _count(~full).alias("skipped")
     )
 
 
@@ -35,7 +42,7 @@ def exclusive_quartile(sorted_: Column, q: float) -> Column:
 
 def turn_lengths(turns: DataFrame) -> DataFrame:
     """Per session: median and exclusive IQR of participant words a turn, shares of turns under 10, 25 and 50 words."""
-    own = turns.where(IS_PART & (F.col("n_words") > 0))
+    own = turns.where(is_part() & (F.col("n_words") > 0))
     w = F.sort_array(F.collect_list("n_words"))
     share = lambda k: r6(F.avg((F.col("n_words") < k).cast("double"))).alias(f"under_{k}")
     got = own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), w.alias("_w"), share(10), share(25), share(50))
@@ -51,12 +58,12 @@ def gini(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def speaker_totals(turns: DataFrame) -> DataFrame:
-    return turns.where(IS_PART).groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("n_words").alias("words"))
+    return turns.where(is_part()).groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("n_words").alias("words"))
 
 
 def moderator_shares(turns: DataFrame) -> DataFrame:
-    words = F.sum(F.when(IS_MOD, F.col("n_words")).otherwise(0))
-    return turns.where("role is not null").groupBy("session_id").agg(r6(ratio(_count(IS_MOD), F.count(F.lit(1)))).alias("turn_share"), r6(ratio(words, F.sum("n_words"))).alias("word_share"))
+    words = F.sum(F.when(is_mod(), F.col("n_words")).otherwise(0))
+    return turns.where("role is not null").groupBy("session_id").agg(r6(ratio(_count(is_mod()), F.count(F.lit(1)))).alias("turn_share"), r6(ratio(words, F.sum("n_words"))).alias("word_share"))
 
 
 def _ordered(turns: DataFrame) -> tuple[DataFrame, W]:
@@ -67,17 +74,17 @@ def adjacency(turns: DataFrame) -> DataFrame:
     """Participant-to-participant moves as a share of all moves, and moves between different participants as a share of their turns."""
     df, w = _ordered(turns)
     df = df.withColumns({"_r": F.lag("role").over(w), "_s": F.lag("speaker_id").over(w)})
-    both = IS_PART & (F.col("_r") == "participant")
+    both = is_part() & (F.col("_r") == "participant")
     return df.groupBy("session_id").agg(
-        r6(ratio(_count(both), F.count(F.lit(1)) - 1)).alias("adjacency"), r6(ratio(_count(both & (F.col("_s") != F.col("speaker_id"))), _count(IS_PART))).alias("cross_speaker")
+        r6(ratio(_count(both), F.count(F.lit(1)) - 1)).alias("adjacency"), r6(ratio(_count(both & (F.col("_s") != F.col("speaker_id"))), _count(is_part()))).alias("cross_speaker")
     )
 
 
 def chains(turns: DataFrame) -> DataFrame:
     """Runs of participant turns that no moderator turn interrupts: session_id, island, depth."""
     df, w = _ordered(turns)
-    island = F.sum(F.when(IS_MOD, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("island", island).where(IS_PART).groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("depth"))
+    island = F.sum(F.when(is_mod(), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn("island", island).where(is_part()).groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("depth"))
 
 
 def chain_depth(turns: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def distributions(turns: DataFrame) -> DataFrame:
     totals = speaker_totals(turns)
     row = lambda df, name, label, value: df.select("session_id", F.lit(name).alias("distribution_id"), F.col(label).cast("string").alias("element_label"), F.col(value).cast("double").alias("value"))
     return (
-        row(turns.where(IS_PART), "words_per_turn", "turn_index", "n_words").unionByName(row(totals, "speaker_turns", "speaker_id", "turns"))
+        row(turns.where(is_part()), "words_per_turn", "turn_index", "n_words").unionByName(row(totals, "speaker_turns", "speaker_id", "turns"))
         .unionByName(row(totals, "speaker_words", "speaker_id", "words")).unionByName(row(chains(turns), "chain_depth", "island", "depth"))
     )
 
@@ -112,7 +119,7 @@ def process(turns: DataFrame) -> DataFrame:
     df = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     runs = df.groupBy("session_id", "_run", "speaker_id").agg(F.count(F.lit(1)).alias("n")).groupBy("session_id").agg(F.max("n").alias("longest_run"))
     most = speaker_totals(turns).groupBy("session_id").agg(F.max("turns").alias("_most"), F.sum("turns").alias("participant_turns"), F.count(F.lit(1)).alias("participants"))
-    own = df.where(IS_PART).groupBy("session_id").agg(r6(F.avg("n_words")).alias("avg_words"), F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
+    own = df.where(is_part()).groupBy("session_id").agg(r6(F.avg("n_words")).alias("avg_words"), F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
     status = F.when(F.col("participant_turns") < 3, "insufficient_sample").otherwise("ok")
     return (
         runs.join(most, "session_id").join(own, "session_id")
@@ -123,17 +130,17 @@ def process(turns: DataFrame) -> DataFrame:
 def actions(turns: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Moderator turns by the first kind whose pattern they match (or other), with each kind's share of the session's."""
     kind = F.coalesce(*(F.when(F.lower("text").rlike(p), k) for k, p in kinds.items()), F.lit("other"))
-    n = turns.where(IS_MOD).withColumn("action", kind).groupBy("session_id", "action").agg(F.count(F.lit(1)).alias("n"))
+    n = turns.where(is_mod()).withColumn("action", kind).groupBy("session_id", "action").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rate", r6(ratio("n", F.sum("n").over(W.partitionBy("session_id")))))
 
 
 def drift_episodes(turns: DataFrame, off_topic: Column, least: int = 3, within: int = 2) -> DataFrame:
     """Runs of at least `least` off-topic participant turns, and whether one of the next moderator turns redirects (asks)."""
     df, w = _ordered(turns)
-    part = df.withColumn("off", off_topic).withColumn("mod_seq", F.sum(F.when(IS_MOD, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    own = part.where(IS_PART).withColumn("_brk", F.sum(F.when(F.col("off"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = df.withColumn("off", off_topic).withColumn("mod_seq", F.sum(F.when(is_mod(), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    own = part.where(is_part()).withColumn("_brk", F.sum(F.when(F.col("off"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     runs = own.where("off").groupBy("session_id", "_brk").agg(F.count(F.lit(1)).alias("length"), F.min("turn_index").alias("start"), F.max("turn_index").alias("stop"), F.max("mod_seq").alias("seq")).where(F.col("length") >= least)
-    mods = part.where(IS_MOD).select(F.col("session_id").alias("_s"), F.col("mod_seq").alias("_m"), F.contains("text", F.lit("?")).alias("asks"))
+    mods = part.where(is_mod()).select(F.col("session_id").alias("_s"), F.col("mod_seq").alias("_m"), F.contains("text", F.lit("?")).alias("asks"))
     return (
         runs.join(mods, (F.col("session_id") == F.col("_s")) & F.col("_m").between(F.col("seq") + 1, F.col("seq") + within), "left")
         .groupBy("session_id", "start", "stop", "length").agg(F.coalesce(F.bool_or("asks"), F.lit(False)).alias("redirected"))
@@ -148,7 +155,7 @@ def bin_label(n: Column) -> Column:
 def binned_shares(turns: DataFrame) -> DataFrame:
     """Share of participant turns in each length bin: within the session, then averaged over a group's sessions, then over groups. Bins
     that a session doesn't use count as 0."""
-    own = turns.where(IS_PART)
+    own = turns.where(is_part())
     n = own.groupBy("condition", "group_id", "session_id", bin_label(F.col("n_words")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     size = n.groupBy("condition", "group_id", "session_id").agg(F.sum("n").alias("total"))
     labels = turns.sparkSession.createDataFrame([(f"{a}-{b - 1}",) for a, b in zip(BINS, BINS[1:], strict=False)] + [(f"{BINS[-1]}+",)], "bin string")
@@ -186,6 +193,6 @@ def envelope(metric: DataFrame, reference: str = "human") -> DataFrame:
 def length_ratio(turns: DataFrame, reference: str = "human") -> DataFrame:
     """A session's words over the mean words of its group's reference sessions, and the group's reference width (median words a turn)."""
     words = turns.groupBy("condition", "group_id", "session_id").agg(F.sum("n_words").alias("words"))
-    width = turns.where((F.col("condition") == reference) & IS_PART).groupBy("group_id").agg(F.floor(F.percentile("n_words", F.lit(0.5))).cast("long").alias("width"))
+    width = turns.where((F.col("condition") == reference) & is_part()).groupBy("group_id").agg(F.floor(F.percentile("n_words", F.lit(0.5))).cast("long").alias("width"))
     ref = words.where(F.col("condition") == reference).groupBy("group_id").agg(F.avg("words").alias("_ref"))
     return words.where(F.col("condition") != reference).join(ref, "group_id", "left").join(width, "group_id", "left").select("session_id", "group_id", "condition", r6(ratio("words", "_ref")).alias("ratio"), "width")

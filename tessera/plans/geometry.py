@@ -93,9 +93,9 @@ register("qa03_readiness", lambda s, d: qa.readiness(panel(s, d), 3), "panel", "
 
 
 def positions(df):
-    from ..operators.pairs import BY
+    from ..operators.pairs import by_turn
 
-    return df.select("session_id", F.row_number().over(BY).alias("pos"), "speaker_id", "text")
+    return df.select("session_id", F.row_number().over(by_turn()).alias("pos"), "speaker_id", "text")
 
 
 register("qa04_transcript_compare", lambda s, d: qa.transcript_compare(positions(turns(s, d)), positions(turns(s, d).where("not (session_id % 7 = 0 and turn_index = 2)").withColumn("text", F.when(F.col("n_words") % 11 == 0, F.upper(F.lit("x"))).otherwise(F.col("text"))))), "turns", """

@@ -11,18 +11,23 @@ from ..sources.adapters import panel, presence, table, turns
 from .registry import register
 from .textual import ROSTER, roster
 
-HEAD = F.when((F.col("role") == "moderator") & (F.col("turn_index") % 3 == 0), (F.col("turn_index") / 40).cast("int"))
+
+
+def head():
+    return F.when((F.col("role") == "moderator") & (F.col("turn_index") % 3 == 0), (F.col("turn_index") / 40).cast("int"))
+
+
 HEAD_SQL = """h as (select *, case when "role" = 'moderator' and turn_index % 3 = 0 then turn_index // 40 end header from panel),
     e as (select *, last_value(header ignore nulls) over (partition by session_id order by turn_index rows unbounded preceding) section_no, last_value(header ignore nulls) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding) b from h)"""
 LOG_SQL = """lg as (select session_id, turn_index, "role" from panel where turn_index % 7 = 0), hit as (select * from lg where "role" = 'moderator'),
     mi as (select session_id, count(*) missing from lg where coalesce("role", '') <> 'moderator' group by 1),
     bl as (select p.session_id, p.turn_index, sum(case when hit.turn_index is null then 0 else 1 end) over (partition by p.session_id order by p.turn_index rows unbounded preceding) section_no from panel p left join hit using (session_id, turn_index))"""
 
-register("seg01_by_headers", lambda s, d: sg.by_headers(panel(s, d), HEAD), "panel", HEAD_SQL + """
+register("seg01_by_headers", lambda s, d: sg.by_headers(panel(s, d), head()), "panel", HEAD_SQL + """
     select session_id, turn_index, header, section_no, case when header is null or b is null then null when header = b then 'duplicate' when header < b then 'out_of_order' when header > b + 1 then 'gap' end warning from e""")
 register("seg02_by_log", lambda s, d: sg.by_log(panel(s, d), panel(s, d).where("turn_index % 7 = 0").select("session_id", "turn_index")), "panel", LOG_SQL + """
     select session_id, turn_index, section_no, coalesce(missing, 0) missing from bl left join mi using (session_id)""")
-register("seg03_crosscheck", lambda s, d: sg.crosscheck(sg.by_headers(panel(s, d), HEAD), sg.by_log(panel(s, d), panel(s, d).where("turn_index % 7 = 0").select("session_id", "turn_index"))), "panel", HEAD_SQL + ", " + LOG_SQL + """,
+register("seg03_crosscheck", lambda s, d: sg.crosscheck(sg.by_headers(panel(s, d), head()), sg.by_log(panel(s, d), panel(s, d).where("turn_index % 7 = 0").select("session_id", "turn_index"))), "panel", HEAD_SQL + ", " + LOG_SQL + """,
     j as (select session_id, case when e.section_no is null or bl.section_no is null then 'o' when e.section_no = bl.section_no then 'a' when abs(e.section_no - bl.section_no) = 1 then 'b' else 'c' end k from e full join bl using (session_id, turn_index))
     select session_id, count(*) filter (k = 'a') agree, count(*) filter (k = 'b') boundary, count(*) filter (k = 'c') conflict, count(*) filter (k = 'o') one_sided from j group by 1""")
 SEC = """sec as (select session_id, section, count(*) turns, count(*) filter ("role" = 'participant') participant_turns, sum(case when "role" = 'participant' then n_words else 0 end)::bigint words, count(distinct case when "role" = 'participant' then speaker_id end) participants,
@@ -100,7 +105,7 @@ register("jn08_side_by_side", lambda s, d: pr.side_by_side(mean_words(s, d, "a")
 register("jn09_grid_integrity", lambda s, d: pr.grid_integrity(panel(s, d).select("condition", "group_id", F.col("session_id").alias("run")).distinct(), {"condition": s.createDataFrame([("human",), ("a",), ("c",)], "condition string"), "group_id": table(s, d, "documents").select(F.col("source").alias("group_id")).distinct()}), "panel", """
     n as (select "condition", group_id, count(distinct session_id) r from panel group by 1, 2), e as (select * from (select unnest(['human', 'a', 'c']) "condition") cross join (select distinct group_id from panel))
     select "condition", group_id, coalesce(r, 0) "rows", case when r is null then 'missing' when e.group_id is null then 'unexpected' when r > 1 then 'collision' else 'ok' end state from e full join n using ("condition", group_id)""".replace("when e.group_id is null", "when \"condition\" not in ('human', 'a', 'c')"))
-seq = lambda df, label: df.select("session_id", F.row_number().over(pr.BY).alias("pos"), F.col(label).alias("label"))
+seq = lambda df, label: df.select("session_id", F.row_number().over(pr.by_turn()).alias("pos"), F.col(label).alias("label"))
 register("jn10_sequence_diff", lambda s, d: pr.sequence_diff(seq(turns(s, d), "speaker_id"), seq(turns(s, d).where("speaker_id != 'system'"), "speaker_id")), "turns", """
     a as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id x from turns), b as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id y from turns where speaker_id <> 'system')
     select session_id, count(x) n_a, count(y) n_b, count(*) filter (x is distinct from y) mismatches, min(case when x is distinct from y then pos end) "first" from a full join b using (session_id, pos) group by 1""")
