@@ -91,7 +91,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
 def spearman(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, x, y): rank correlation; NULL with a reason for under two pairs or a constant side."""
     r = average_ranks(average_ranks(df.where("x is not null and y is not null"), by, "x", "_rx"), by, "y", "_ry")
-    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_c"), (F.min("x") == F.max("x")).alias("_kx"), (F.min("y") == F.max("y")).alias("_ky"))
+    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_c"), (F.min("x") == F.max("x")).alias("_kx"), (F.min("y") == F.max("y")).alias("_ky"))
     reason = F.when(F.col("n") < 2, "too_few").when(F.col("_kx") | F.col("_ky"), "no_variance")
     return g.select(*by, "n", F.when(reason.isNull(), r6("_c")).alias("rho"), reason.alias("undefined_reason"))
 
