@@ -7,9 +7,11 @@ Rounds stop when all bins are full, which takes about T log T / n rounds for n s
 
 Equal shingle sets first become one class (its least doc_id stands for it). BANDS bands of ROWS coordinates find candidates: a
 pair at the threshold is missed by all bands with a probability of about 3e-7. In a band's bucket each member is compared with
-one hub, which links large groups of near copies without their pairs; buckets that still hold more than one component
-then have all pairs between components compared. Pairs whose sketches agree far too little for the threshold (more than six
-standard deviations below it) are left out; the rest are verified on the full shingle sets. Components: alternating stars.
+one hub, which links large groups of near copies without their pairs. Where buckets still hold more than one component, the
+representatives that share such buckets, directly or in chains, form a cluster. A cluster is cut into tiles of about TILE members by hash,
+and a task compares two tiles at a time in memory: no pair becomes a row, a task holds at most two tiles, and a cluster of any size is
+spread over its pairs of tiles. Pairs already in one component, or whose sketches agree far too little for the threshold (more than six
+standard deviations below it), are passed over; the rest are verified on the full shingle sets. Components: alternating stars.
 
 Defined results: a document without words has an empty set and is linked with nothing; fewer than SHINGLE words make one
 shingle; a null doc_id stands alone; rows that repeat a doc_id share its component; extra columns pass through `near_dedup`; an
@@ -34,6 +36,7 @@ T = BANDS * ROWS
 #: Percent; pairs are linked from here on.
 THRESHOLD = 85
 CONTRACT_THRESHOLD = 80
+TILE = 512
 _seeds = mixed(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(2**64 - 1)
 
@@ -90,10 +93,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(sig1), as_long(sig2), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "bands", "low"])
 
 
+def _least(threshold: int) -> float:
+    """Agreeing coordinates under which the threshold is ruled out."""
+    j = threshold / 100
+    return T * (j - 6 * (j * (1 - j) / T) ** 0.5)
+
+
 def _close(threshold: int):
     """Pairs (low_a, low_b) whose sketches don't rule the threshold out."""
-    j = threshold / 100
-    least = T * (j - 6 * (j * (1 - j) / T) ** 0.5)
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +124,85 @@ def _verified(threshold: int):
             for i, y in enumerate(shingle_sets(batch.column("text_b"))):
                 if of is None or ids[i] != hub:  # pairs come sorted by a
                     hub, of = ids[i], next(shingle_sets(hubs.slice(i, 1)))
-                both = len(np.intersect1d(of, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(of) + len(y) - both))
+                keep.append(_linked(of, y, threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _tile_links(threshold: int):
+    """Rows of a pair of tiles follow each other: (cluster, i, j, tile, rep, c, low, text). Gives links (a, b) between components, as
+    few as connect what the two tiles connect."""
+    least = _least(threshold)
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        tile, rep, c, low, text = zip(*rows, strict=True)
+        low = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, T)
+        sets: dict[int, np.ndarray] = {}
+        root = {x: x for x in c}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(shingle_sets(pa.array([text[k]], pa.string())))
+            return sets[k]
+
+        found, across = [], len(set(tile)) > 1
+        tiles = np.array(tile)
+        for k in range(len(rep)):
+            near = np.flatnonzero((low[k + 1 :] == low[k]).sum(axis=1) >= least) + k + 1
+            for m in near[tiles[near] != tile[k]] if across else near:
+                a, b = find(c[k]), find(c[m])
+                if a != b and _linked(of(k), of(int(m)), threshold):
+                    root[a] = b
+                    found.append((rep[k], rep[m]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        names = ("tile", "rep", "c", "low", "text")
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (got := compare(held)):
+                a, b = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in ("cluster", "i", "j")), strict=True)
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
+                if k != key:
+                    yield from done()
+                    key = k
+                held.append(row)
+        yield from done()
+
+    return run
+
+
+def cluster_links(split: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links between components inside the clusters of `split` (hub, rep); labels: id, component."""
+    clusters = written(components(split.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("component", "cluster"), "clusters")
+    tiles = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
+    named = clusters.join(labels.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("c"))
+    member = named.join(tiles.hint("merge"), "cluster").join(reps.select("rep", "low").hint("merge"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
+    member = written(member.withColumn("tile", F.pmod(F.xxhash64("rep"), "k").cast("int")), "members")
+    pairs = member.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # inside one tile once, and each two tiles once
+    pairs = pairs.select("cluster", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"), "tile", "rep", "c", "low", "text")
+    return written(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(_tile_links(threshold), "a long, b long"), "tile-links")
+
+
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, name: str) -> DataFrame:
     """The pairs (a, b) of class representatives that are links, verified on the texts."""
     low = reps.select("rep", "low")
@@ -148,14 +228,12 @@ def near_groups(docs: DataFrame, threshold: int = CONTRACT_THRESHOLD) -> DataFra
     shared = written(rows.join(hubs.hint("merge"), "key"), "buckets")
     first = links(shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), reps, docs, threshold, "star")
     found = written(components(first), "stars")
-    # buckets in which the hub didn't join everything: pairs between their components that were not compared yet
+    # buckets in which the hub didn't join everything
     named = shared.join(found.hint("merge"), shared["rep"] == found["id"], "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
     named = written(named, "named")
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    rest = named.where("rep != hub").join(split.hint("merge"), "key", "left_semi")
-    other = rest.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("c").alias("cb"))
-    more = rest.join(other.hint("merge"), (rest["key"] == other["_key"]) & (rest["rep"] < other["b"]) & (rest["c"] != other["cb"])).select(F.col("rep").alias("a"), "b")
-    second = links(more, reps, docs, threshold, "rest")
+    rest = written(named.join(split.hint("merge"), "key", "left_semi").select("hub", "rep").distinct(), "split")
+    second = cluster_links(rest, reps, found, docs, threshold)
     whole = written(components(first.union(second)), "components")
     by_class = reps.select(*sig, "rep").join(whole.hint("merge"), F.col("rep") == F.col("id"), "left").select(*sig, F.coalesce("component", "rep").alias("component"))
     return (
