@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import f1, r6, ratio
 from ..operators import structure as st
 from ..sources.adapters import panel, turns
 from .registry import register
 
 KINDS = {"ask": r"\?", "thank": "merci|danke|gracias|thank", "probe": "the |die |la "}
 
-register("agg00_window_counts", lambda s, d: st.window_counts(turns(s, d)), "turns", """
+register("prj02_window_counts", lambda s, d: st.window_counts(turns(s, d)), "turns", """
     select session_id, sum(n_words) words, count(*) filter ("role" = 'participant' and n_words > 0) participant_turns,
     count(*) filter ("role" = 'moderator' and n_words > 0) moderator_turns, count(*) filter (n_words > 0) included, count(*) filter (n_words = 0) skipped from turns group by 1""")
 
@@ -107,3 +108,14 @@ register("agg20_length_ratio", lambda s, d: st.length_ratio(panel(s, d)), "panel
     w as (select "condition", group_id, session_id, sum(n_words) words from panel group by 1, 2, 3),
     r as (select group_id, avg(words) ref from w where "condition" = 'human' group by 1), q as (select group_id, floor(quantile_cont(n_words, 0.5))::bigint width from panel where "condition" = 'human' and "role" = 'participant' group by 1)
     select session_id, w.group_id, "condition", round(words / ref, 6) ratio, width from w left join r using (group_id) left join q using (group_id) where "condition" <> 'human'""")
+
+
+def _rates(s, d):
+    part = F.count_if(F.coalesce(st.is_part(), F.lit(False)))
+    df = turns(s, d).groupBy("session_id").agg(ratio(part, F.count(F.lit(1))).alias("p"), ratio(F.count_if(F.coalesce(st.is_part() & (F.col("n_words") > 40), F.lit(False))), F.count_if(F.coalesce(st.is_mod(), F.lit(False)))).alias("r"))
+    return df.select("session_id", r6("p").alias("precision"), r6("r").alias("recall"), r6(f1("r", "p")).alias("f1"))
+
+
+register("agg14_undefined_safe_ratios", _rates, "turns", """
+    c as (select session_id, count(*) filter ("role" = 'participant') / count(*)::double p, count(*) filter ("role" = 'participant' and n_words > 40) / nullif(count(*) filter ("role" = 'moderator'), 0)::double r from turns group by 1)
+    select session_id, round(p, 6) "precision", round(r, 6) recall, round(case when r + p = 0 then 0 else 2 * r * p / (r + p) end, 6) f1 from c""")
