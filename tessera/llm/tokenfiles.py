@@ -35,12 +35,30 @@ FRAME, LEVEL = 65_536, 3
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 2
-_PIECES, _BATCH = 400_000, 500
+_PIECES, _BATCH = 500_000, 500
+
+
+class Parts:
+    """Ids of parts in two generations of _PIECES: what is used again moves to the new one, the rest is forgotten with the old one."""
+
+    def __init__(self):
+        self.now: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        if len(self.now) > _PIECES:
+            self.old, self.now = self.now, {}
+
+    def missing(self, parts: set[str]) -> set[str]:
+        new = parts.difference(self.now)
+        again = new.intersection(self.old)
+        self.now.update((p, self.old[p]) for p in again)
+        return new.difference(again)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, for byte-level BPE whose pre-tokenizer never joins what a single space or
-    line feed between two other characters parts. The parts are encoded once and kept (at most _PIECES of them); a text
+    line feed between two other characters parts. The parts are encoded once and kept (some _PIECES of them); a text
     with any other white space at a part's edge is encoded whole."""
 
     _known: dict[str, Encoder] = {}
@@ -52,8 +70,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.line = self._ids("\n")
-        self.heads: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes | None] = {}
+        self.heads, self.tails = Parts(), Parts()
+        self.marks = {m: self._bytes(self._ids(m)) for m in ".,"}
         self.apart = len(self.line) == 1 and self._ids("a\n b") == [*self._ids("a"), *self.line, *self._ids(" b")]
 
     @classmethod
@@ -68,22 +86,24 @@ class Encoder:
     def _bytes(self, ids: Iterable[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, known: dict[str, bytes | None], parts: set[str], lead: str) -> None:
-        new = parts - known.keys()
-        if len(known) + len(new) > _PIECES:
-            known.clear()
-            new = parts
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(new - set(plain)))
+    def _learn(self, known: Parts, parts: set[str], lead: str) -> None:
+        known.turn()
+        new = known.missing(parts)
+        # letters before a full stop or comma are a piece of their own, so such a part is its stem's ids and the mark's
+        stems = {p: p[:-1] for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()}
+        todo = new.difference(stems) | known.missing(set(stems.values()))
+        plain = [p for p in todo if p and not p[0].isspace() and not p[-1].isspace()]
+        known.now.update(dict.fromkeys(todo.difference(plain)))
         groups = [plain[i : i + _BATCH] for i in range(0, len(plain), _BATCH)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([lead + f"\n{lead}".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype=self.dtype)
             cut = np.flatnonzero(ids == self.line[0])
             if len(cut) == len(group) - 1:
                 raw, width = ids.tobytes(), ids.itemsize
-                known.update(zip(group, (raw[a * width : b * width] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)), strict=True))
+                known.now.update(zip(group, (raw[a * width : b * width] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)), strict=True))
             else:
-                known.update((p, self._bytes(self._ids(lead + p))) for p in group)
+                known.now.update((p, self._bytes(self._ids(lead + p))) for p in group)
+        known.now.update((p, known.now[stem] + self.marks[p[-1]]) for p, stem in stems.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
@@ -96,10 +116,10 @@ class Encoder:
                 tails.update(line[1:])
         self._learn(self.heads, heads, "")
         self._learn(self.tails, tails, " ")
-        feed, out = self._bytes(self.line), []
+        feed, out, head, tail = self._bytes(self.line), [], self.heads.now, self.tails.now.__getitem__
         for text, lines in zip(texts, split, strict=True):
             try:
-                out.append(feed.join(self.heads[line[0]] + b"".join(map(self.tails.__getitem__, line[1:])) for line in lines))
+                out.append(feed.join([head[line[0]] + b"".join(map(tail, line[1:])) for line in lines]))
             except TypeError:  # a part without known ids: unusual white space
                 out.append(self._bytes(self._ids(text)))
         return out
@@ -198,8 +218,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
         name = f"{root}/shard-{task.partitionId():06d}.zst"
         part = f"{name}.{task.taskAttemptId()}"
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
                 if shard is None:
                     out = fs.open_output_stream(part)
                     shard = Shard(out, encoder.dtype)
