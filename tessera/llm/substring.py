@@ -181,7 +181,8 @@ def _suffixes(window: int):
 def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(doc_id, rid, s, n): the n windows from word s on are repeats. `keyed` has doc_id, rid, text."""
     runs = written(keyed.mapInArrow(_runs(window), "doc_id long, rid long, anchor long, run long, s int, n int"), "runs")
-    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    # counts are written before they are joined: both sides then shuffle for the join alone, and Spark can split a hot anchor
+    counts = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "anchors")
     alive = written(runs.join(counts.hint("merge"), "anchor", "left_semi"), "alive")
     # equal runs: settled; the first of them goes on with those that occur once
     place = F.struct("doc_id", "rid", "s")
@@ -189,7 +190,7 @@ def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataF
     whole = written(whole, "distinct-runs")
     again = whole.where("k > 1").select(F.col("run").alias("_run"), F.col("anchor").alias("_anchor"))
     settled = alive.join(again.hint("merge"), (F.col("run") == F.col("_run")) & (F.col("anchor") == F.col("_anchor")), "left_semi").select("doc_id", "rid", "s", "n")
-    sizes = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", (F.col("m") > group).alias("big"))
+    sizes = written(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", (F.col("m") > group).alias("big")), "sizes")
     todo = whole.join(sizes.hint("merge"), "anchor").select("one.*", "anchor", "big", "n")
     by_doc = todo.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "big", "s", "n", F.lit(window).alias("w"))).alias("runs"))
     by_doc = by_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("rid", "_rid").hint("merge")
