@@ -79,7 +79,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     out = lambda keep, size: ("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     alone = rows.where("not maybe").select(*out(F.col("doc_id"), F.lit(1).cast("long")))
     maybe = rows.where("maybe")
-    groups = maybe.groupBy("sha").agg(F.max_by("doc_id", _best()).alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    # written before it is joined: both sides then shuffle for the join alone, and Spark can split a hot group
+    groups = written(maybe.groupBy("sha").agg(F.max_by("doc_id", _best()).alias("_keep"), F.count(F.lit(1)).alias("_size")), "groups")
     return alone.unionByName(maybe.join(groups.hint("merge"), "sha").select(*out(F.col("_keep"), F.col("_size"))))
 
 
