@@ -37,4 +37,27 @@ ORACLE_SQL = {
         g as (select h, first(doc_id order by c desc, doc_id) keep_id, count(*) group_size from n group by h)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from n join g using (h)
     """,
+    "op4_substring": r"""
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        l as (select doc_id, unnest(w) x, generate_subscripts(w, 1) i from d),
+        k as (select doc_id, i, x, string_agg(x, ' ') over p t, count(*) over p n from l window p as (partition by doc_id order by i rows between current row and 34 following)),
+        r as (select doc_id, i, x, n = 35 and count(*) over (partition by t) > 1 again from k),
+        c as (select doc_id, i, x, bool_or(again) over (partition by doc_id order by i rows between 34 preceding and current row) cut from r)
+        select d.doc_id, count(x) n_words, count(*) filter (where cut) n_removed, sha256(coalesce(string_agg(x, ' ' order by i) filter (where not cut), '')) kept_sha256
+        from d left join c on d.doc_id = c.doc_id group by d.doc_id
+    """,
+    "op8_near_dedup": r"""
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+            from documents),
+        l as (select doc_id, unnest(w) x, generate_subscripts(w, 1) i from d where len(w) >= 5),
+        k as (select doc_id, x || ' ' || lead(x) over p || ' ' || lead(x, 2) over p || ' ' || lead(x, 3) over p || ' ' || lead(x, 4) over p g from l window p as (partition by doc_id order by i)),
+        s as (select distinct doc_id, g from k where g is not null union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+        m as (select d.doc_id, least(d.doc_id, min(b)) component_id from d left join r on d.doc_id = a group by d.doc_id)
+        select m.doc_id, coalesce(n, 0) n_shingles, component_id, m.doc_id = component_id as kept from m left join n on m.doc_id = n.doc_id
+    """,
 }

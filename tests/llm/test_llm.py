@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, substring, tokenfiles
+from tessera.llm import components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, queries, substring, tokenfiles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, key string, size string, bucket0 string"
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -270,6 +271,16 @@ def test_held_out_accuracy(spark):
     assert p.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle(spark, name):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, d).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
