@@ -27,6 +27,16 @@ REPEATS = 3
 LEAST_SLOTS, BLOCK = 2**17, 4096
 #: The fraction of the golden ratio times 2**32, less 2**32 so that its product with a slot's low 32 bits fits a long.
 PHI = 2654435769 - 2**32
+#: The unit interval is cut into cells, by which slots find their source.
+CELLS = 4096
+#: Rows of sources are broadcast up to this measured size; beyond it they are joined by merging.
+BROADCAST_BYTES = 2**23
+
+
+def beside(sources: DataFrame) -> DataFrame:
+    """Rows of sources (a written table with `_src`), hinted for a join: broadcast if they are measured to be small, else merged."""
+    size = sources.agg(F.sum(F.octet_length("_src") + 64)).first()[0] or 0
+    return F.broadcast(sources) if size <= BROADCAST_BYTES else sources.hint("merge")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
@@ -64,12 +74,14 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def schedule(spark, targets: DataFrame, block: int, slots: int) -> DataFrame:
-    """The slots of the mix in order: slot, _none, _src, rank (among the source's slots). Slots are cut into 256 chunks, ranked
-    inside a chunk, and raised by the counts of the chunks before it."""
-    edges = F.broadcast(targets.select("_none", "_src", "lo", "hi"))
+    """The slots of the mix in order: slot, _none, _src, rank (among the source's slots). A slot's point is held against the sources
+    of its cell; points fall evenly, so no cell is hot. Slots are cut into 256 chunks, ranked inside a chunk, and raised by the
+    counts of the chunks before it."""
+    cells = F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))
+    edges = written(targets.where("lo < hi").select("_none", "_src", "lo", "hi", F.explode(cells).alias("_cell")), "edges")
     point = F.pmod(F.pmod(F.col("slot") + 1, F.lit(2**32)) * F.lit(PHI), F.lit(2**32)) / F.lit(float(2**32))
-    got = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_p", point)
-    got = got.join(edges, (F.col("_p") >= F.col("lo")) & (F.col("_p") < F.col("hi"))).drop("lo", "hi", "_p")
+    got = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_p", point).withColumn("_cell", F.floor(F.col("_p") * CELLS))
+    got = got.join(beside(edges), "_cell").where("_p >= lo and _p < hi").drop("lo", "hi", "_p", "_cell")
     chunk = (F.col("slot") * 256 / F.lit(max(slots, 1))).cast("long")
     got = got.withColumn("_h", F.shiftleft(chunk, 56).bitwiseOR(F.col("slot")))
     return running_sum(got, ["_none", "_src"], "_h", [], F.lit(1), "rank").drop("_h")
@@ -89,7 +101,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPE
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     taken = (
         schedule(spark, targets, block, total // block)
-        .join(F.broadcast(targets.select("_none", "_src", "source_size")), ["_none", "_src"])
+        .join(beside(targets.select("_none", "_src", "source_size")), ["_none", "_src"])
         .where(F.col("rank") < blocks * repeats)
         .select("slot", "_none", "_src", (F.col("rank") / blocks).cast("long").alias("epoch"), (F.col("rank") % blocks).alias("block"))
     )
@@ -112,17 +124,16 @@ def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int
     return (
         placed.join(got, (placed["_none"] == got["_n"]) & (placed["_src"] == got["_s"]) & (placed["start"] == got["_at"]) & (placed["size"] > 0), "left")
         .select(placed["doc_id"], placed["size"], placed["_none"], placed["_src"], F.coalesce("_got", F.lit(0)).cast("long").alias("taken"))
-        .join(F.broadcast(targets), ["_none", "_src"])
+        .join(beside(targets), ["_none", "_src"])
         .select("doc_id", "size", "source_size", "target", "taken")
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
     """The mix in whole documents: each document appears once for each time that the block with its first word is taken."""
-    placed, _, taken = mix(docs, weights, repeats, seed)
+    placed, targets, taken = mix(docs, weights, repeats, seed)
     last = F.ceil(F.col("source_size") / F.col("block_words")).cast("long") - 1
-    sizes = placed.groupBy("_none", "_src").agg(F.sum("size").alias("source_size"))
-    at = placed.join(F.broadcast(sizes), ["_none", "_src"]).withColumn("block", F.least(_first("start"), last))
+    at = placed.join(beside(targets.select("_none", "_src", "source_size")), ["_none", "_src"]).withColumn("block", F.least(_first("start"), last))
     times = taken.groupBy("_none", "_src", "block").agg(F.count(F.lit(1)).cast("int").alias("_times"))
     times = at.join(times.hint("merge"), ["_none", "_src", "block"]).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_times").groupBy("_id", "_k").agg(F.max("_times").alias("_times"))
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(seed), "doc_id", F.char_length(F.coalesce("text", F.lit("")))).alias("_k"))

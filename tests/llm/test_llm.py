@@ -237,7 +237,7 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.token_report(none, TOKENIZER).count() == 0
 
 
-def test_mixing(docs, none):
+def test_mixing(docs, none, monkeypatch):
     got = mixing.mix_report(docs).collect()
     assert len(got) == len(ROWS) and all(r.taken <= 3 * r["size"] for r in got)
     sums = collections.defaultdict(int)
@@ -247,6 +247,8 @@ def test_mixing(docs, none):
     assert sum(t for _, t in sums) == pytest.approx(total) and all(t <= 3 * s + 1e-6 for s, t in sums)
     assert all(abs(n - t) <= 0.02 * total for (_, t), n in sums.items())
     assert rows_of(mixing.mix_report(docs), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)  # too many sources to broadcast
+    assert rows_of(mixing.mix_report(docs), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
