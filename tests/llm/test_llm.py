@@ -252,6 +252,24 @@ def test_mixing(docs, none, monkeypatch):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("send", [2**23, -1])
+def test_mixing_small_sources(spark, monkeypatch, send):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 64)  # blocks as long as those of a large corpus
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", send)
+    sizes = {"a": [1500] * 200, "b": [50] * 6, "c": [100] * 50, "d": [400], "e": [3], "f": [0]}
+    rows = [(n, " ".join(["w"] * x), s) for n, (s, x) in enumerate((s, x) for s, xs in sizes.items() for x in xs)]
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source = {r[0]: r[2] for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix_report(small).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert target["b"] == 900 and target["c"] == 15_000 and target["a"] < 300_000
+    assert all(abs(taken[s] - t) <= 0.02 * t + 3 for s, t in target.items())
+    times = collections.Counter(r.source for r in mixing.mixed_documents(small).collect())
+    assert all(abs(times[s] - t / (sum(sizes[s]) / len(sizes[s]))) <= 0.02 * t / (sum(sizes[s]) / len(sizes[s])) + 1 for s, t in target.items() if t)
+
+
 def test_quality(docs, none):
     want = []
     for r in ROWS:
