@@ -162,15 +162,49 @@ def calibrate(values: DataFrame, reference: str, near: float = 0.15, floor: floa
     return values.where(F.col("condition") != reference).join(r, "metric", "left").groupBy("metric", "condition", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Shuffles that one row of a task draws.
+CHUNK = 1000
+
+
+def _matches(frames):
+    """A fold's margins and a chunk of its shuffles, to matches by shuffle: the shuffled table of counts is drawn guess by guess, each
+    a multivariate hypergeometric draw from the truths still left."""
+    import numpy as np
+    import pandas as pd
+
+    for frame in frames:
+        for r in frame.itertuples():
+            rng, n = np.random.default_rng(r.seed % 2**64), int(r.n)
+            both = [(int(m["t"]), int(m["g"])) for m in r.margins if m["t"] and m["g"]]
+            total, hits = np.full(n, int(r.size), dtype=np.int64), np.zeros(n, dtype=np.int64)
+            left = [np.full(n, t, dtype=np.int64) for t, _ in both]
+            for i, (_, g) in enumerate(both):
+                rest, take = total.copy(), np.full(n, g, dtype=np.int64)
+                for j in range(i, len(both)):
+                    got = rng.hypergeometric(left[j], rest - left[j], take)
+                    hits += got if j == i else 0
+                    rest, take = rest - left[j], take - got
+                    left[j] = left[j] - got
+                total = total - g
+            yield pd.DataFrame({"perm": np.arange(n, dtype=np.int64) + int(r.first), "hits": hits})
+
+
 def permutation_test(trials: DataFrame, draws: int, seed: int = 20260808) -> DataFrame:
-    """(fold, trial, truth, guess): guesses are shuffled inside folds by hash, `draws` times; one-sided p and the null mean."""
-    perm = trials.crossJoin(trials.sparkSession.range(draws).withColumnRenamed("id", "perm"))
-    w = W.partitionBy("perm", "fold")
-    a = perm.select("perm", "fold", "truth", F.row_number().over(w.orderBy("trial")).alias("_k"))
-    b = perm.select("perm", "fold", "guess", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "perm", "trial"), "trial")).alias("_k"))
-    null = a.join(b, ["perm", "fold", "_k"]).groupBy("perm").agg(F.avg((F.col("truth") == F.col("guess")).cast("double")).alias("acc"))
-    seen = trials.agg(F.avg((F.col("truth") == F.col("guess")).cast("double")).alias("accuracy"))
-    return null.crossJoin(seen).groupBy("accuracy").agg(F.avg("acc").alias("null_mean"), ((F.count_if(F.col("acc") >= F.col("accuracy")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """(fold, trial, truth, guess): guesses are shuffled inside folds, `draws` times; one-sided p and the null mean.
+
+    A shuffle matters only by its counts of (truth, guess), so trials are reduced to the counts of each label by fold, and tables with
+    these margins are drawn (below 10**9 trials a fold). Trials without a truth or a guess are left out.
+    """
+    known = trials.where("truth is not null and guess is not null")
+    sides = known.select("fold", F.inline(F.array(*(F.struct(F.col(c).alias("label"), F.lit(int(c == "truth")).alias("t"), F.lit(int(c == "guess")).alias("g")) for c in ("truth", "guess")))))
+    sides = sides.groupBy("fold", "label").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    folds = sides.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("label", "t", "g"))).alias("_m"), F.sum("t").alias("size"))
+    chunks = folds.select("fold", "size", F.transform("_m", lambda m: F.struct(m["t"].alias("t"), m["g"].alias("g"))).alias("margins"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(0, draws, CHUNK)))).alias("first"))
+    chunks = chunks.repartition("fold", "first").select("margins", "size", "first", F.least(F.lit(CHUNK), F.lit(draws) - F.col("first")).alias("n"), F.xxhash64(F.lit(seed), "fold", "first").alias("seed"))
+    null = chunks.mapInPandas(_matches, "perm long, hits long").groupBy("perm").agg(F.sum("hits").alias("hits"))
+    seen = known.agg(F.count_if(F.col("truth") == F.col("guess")).alias("_hits"), F.count(F.lit(1)).alias("_n"))
+    got = null.crossJoin(seen).groupBy("_hits", "_n").agg(F.avg("hits").alias("_mean"), ((F.count_if(F.col("hits") >= F.col("_hits")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return got.select((F.col("_hits") / F.col("_n")).alias("accuracy"), (F.col("_mean") / F.col("_n")).alias("null_mean"), "p")
 
 
 def rank_effects(df: DataFrame, by: list[str]) -> DataFrame:

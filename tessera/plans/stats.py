@@ -107,7 +107,7 @@ register("sta13_leik", lambda s, d: st.leik(table(s, d, "lineitem").select((F.co
     round(greatest(k0, k1, k2) / n::double, 6) in_mode, round(n / 2000.0::double, 6) coverage, mean from g""")
 register("sta14_calibrate", lambda s, d: st.calibrate(metrics(s, d), "BUILDING"), "", f"""with {MET}, r as (select metric, min("value") lo, max("value") hi from met where "condition" = 'BUILDING' group by 1), m as (select met.*, lo, hi, greatest(0.15 * (hi - lo), 0.01) mg from met left join r using (metric) where "condition" <> 'BUILDING')
     select metric, "condition", case when "value" is null or lo is null then 'undefined' when "value" between lo and hi then 'inside' when "value" between lo - mg and hi + mg then 'near' else 'outside' end status, count(*) n from m group by 1, 2, 3""")
-register("sta15_permutation_test", lambda s, d: st.permutation_test(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("fold"), F.col("c_custkey").alias("trial"), F.col("c_mktsegment").alias("truth"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("BUILDING").alias("guess")), 200))
+register("sta15_permutation_test", lambda s, d: st.permutation_test(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("fold"), F.col("c_custkey").alias("trial"), F.col("c_mktsegment").alias("truth"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("BUILDING").alias("guess")), 20_000))
 register("sta16_rank_effects", lambda s, d: st.rank_effects(table(s, d, "customer").select("c_nationkey", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "a").otherwise("b").alias("side"), F.round("c_acctbal", -2).alias("value")), ["c_nationkey"]), "", """
     with c as (select c_nationkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'a' else 'b' end side, round(c_acctbal, -2) v from customer), k as (select *, rank() over (partition by c_nationkey order by v) + (count(*) over (partition by c_nationkey, v) - 1) / 2.0::double r from c),
     g as (select c_nationkey, sum(case when side = 'a' then r end) ra, count(*) filter (side = 'a') na, count(*) filter (side = 'b') nb from k group by 1), u as (select *, ra - na * (na + 1) / 2.0::double u from g),

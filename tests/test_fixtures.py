@@ -1,10 +1,14 @@
 """Hand-computed values, undefined cases and invariants."""
 
+import collections
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import f1, ratio
 from tessera.operators import lexical, sampling, stats, structure, thematic
+from tessera.plans import registry
 from tessera.sources import transcripts
 
 TURNS = "session_id string, turn_index int, speaker_id string, role string, text string, n_words int"
@@ -48,6 +52,29 @@ def test_sign_test_drops_ties(spark):
     assert got == {1: (5, 0.375), 2: (0, None)}
 
 
+def test_permutation_test_against_all_shuffles(spark):
+    folds = {"f": ("aabbc", "abbda"), "g": ("aabc", "acba"), "h": ("ab", "cc")}
+    null = collections.Counter({0: 1})
+    for truth, guess in folds.values():
+        one = collections.Counter(sum(map(str.__eq__, truth, g)) for g in itertools.permutations(guess))
+        null = sum((collections.Counter({a + b: m * n}) for a, m in null.items() for b, n in one.items()), collections.Counter())
+    rows = [(f, i, t, g) for f, (truth, guess) in folds.items() for i, (t, g) in enumerate(zip(truth, guess, strict=True))]
+    hits, total, n = sum(t == g for _, _, t, g in rows), null.total(), len(rows)
+    d = spark.createDataFrame([*rows, ("h", 9, None, "a")], "fold string, trial int, truth string, guess string")
+    r = stats.permutation_test(d, 20_000)
+    assert r.columns == ["accuracy", "null_mean", "p"] and r.collect() == stats.permutation_test(d.repartition(3), 20_000).collect()
+    r = r.first()
+    assert r.accuracy == hits / n
+    assert r.null_mean == pytest.approx(sum(k * m for k, m in null.items()) / total / n, abs=0.005)
+    assert r.p == pytest.approx(sum(m for k, m in null.items() if k >= hits) / total, abs=0.015)
+    assert stats.permutation_test(d.where("false"), 20).count() == 0
+
+
+def test_registered_permutation_test_has_20000_draws(spark):
+    r = registry.QUERIES["sta15_permutation_test"](spark, "/root/testdata/sf0.001").first()
+    assert r.p < 1 / 201 and r.p * 20_001 == pytest.approx(round(r.p * 20_001))
+
+
 def test_constant_side_has_no_correlation(spark):
     d = spark.createDataFrame([("a", 1, 1.0, 5.0), ("a", 2, 2.0, 5.0), ("a", 3, 3.0, 5.0), ("b", 1, 1.0, 1.0)], "k string, item int, x double, y double")
     s = {r.k: (r.rho, r.undefined_reason) for r in stats.spearman(d, ["k"]).collect()}
