@@ -67,7 +67,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.line = self._ids("\n")
         self.heads, self.tails = Parts(), Parts()

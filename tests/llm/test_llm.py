@@ -252,6 +252,20 @@ def test_mixing(docs, none, monkeypatch):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_token_files_with_a_special_token_in_the_text(spark):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(TOKENIZER), "<|endoftext|>"
+    texts = [f"hi {e} there", f"{e} at both ends {e}", f"a\n{e}\nb", f"{e} {e}\n{e}", f"x\n {e}. y", f"in{e}side {e}, {e}{e}", f"a  {e} \n", "plain words. here"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [5303, 220, 50256, 612]
+    encoder = tokenfiles.Encoder(TOKENIZER)
+    assert [np.frombuffer(x, dtype=encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = lambda ids: zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
+    assert rows_of(tokenfiles.token_report(docs, TOKENIZER), "doc_id", "n_tokens", "ids_crc32") == [(n, len(x) + 1, crc(x)) for n, x in enumerate(want)]
+
+
 @pytest.mark.parametrize("send", [2**23, -1])
 def test_mixing_small_sources(spark, monkeypatch, send):
     monkeypatch.setattr(mixing, "LEAST_SLOTS", 64)  # blocks as long as those of a large corpus
