@@ -69,7 +69,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             if b - a >= SHINGLE:
                 yield np.unique(g[a : b - SHINGLE + 1])
             elif b > a:
-                yield mixed(np.array([(h[a:b] * STEP[: b - a]).sum() + np.uint64(b - a) * LENGTH], dtype=np.uint64))
+                yield mixed((h[a:b] * STEP[: b - a]).sum(keepdims=True) + np.full(1, b - a, dtype=np.uint64) * LENGTH)
             else:
                 yield g[:0]
 

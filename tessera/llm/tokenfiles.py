@@ -16,12 +16,14 @@ written one after the other, by the hash of their text; an empty table makes no
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -30,36 +32,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, written
+from .wordhash import IS_SPACE, slices
 
 FRAME, LEVEL = 65_536, 3
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 2
-_PIECES, _BATCH = 500_000, 500
-
-
-class Parts:
-    """Ids of parts in two generations of _PIECES: what is used again moves to the new one, the rest is forgotten with the old one."""
-
-    def __init__(self):
-        self.now: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def turn(self) -> None:
-        if len(self.now) > _PIECES:
-            self.old, self.now = self.now, {}
-
-    def missing(self, parts: set[str]) -> set[str]:
-        new = parts.difference(self.now)
-        again = new.intersection(self.old)
-        self.now.update((p, self.old[p]) for p in again)
-        return new.difference(again)
+#: Parts whose ids a worker keeps, parts encoded at a time, and about how many bytes of text are worked at a time.
+_PIECES, _BATCH, _BYTES = 1_000_000, 1_000, 12_000_000
+
+
+#: White space outside ASCII (the Unicode property White_Space).
+_WIDE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: Classes of bytes: 0 other, 1 letters, 2 digits, 3 marks (not the apostrophe, which may open a contraction).
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[x for x in range(33, 127) if not _CLASS[x] and x != 39]] = 3
+
+
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at, at + 1, .. at + size - 1 for each size, one after the other."""
+    end = np.cumsum(size, dtype=np.int64)
+    out = np.ones(end[-1] if len(end) else 0, dtype=np.int32)
+    some = size > 0
+    at, size, end = at[some], size[some], end[some]
+    out[end - size] = at - np.append(1, at[:-1] + size[:-1]) + 1
+    if len(out):
+        out[0] = at[0]
+    return np.cumsum(out, dtype=np.int32)
+
+
+def part_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Byte starts of the parts of texts: places at which the byte-level pre-tokenizer always ends a piece, so that parts can be encoded
+    one by one. They are the starts of texts; the first and, before other text, the last character of each run of white space; what
+    follows a run that doesn't end in a space; and changes of class between ASCII letters, digits and marks."""
+    n, kind, space = len(raw), _CLASS[raw], IS_SPACE[raw]
+    cut, edge = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    edge[off] = True
+    before, after = space[:-1] & ~edge[1:n], space[1:] & ~edge[1:n]  # the neighbour is white space of the same text
+    first, last = space.copy(), space & ~edge[1:]
+    first[1:] &= ~before
+    last[:-1] &= ~after
+    cut[:n] = edge[:n] | first | last
+    cut[1:] |= last & (raw != 32)
+    cut[1:n] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, for byte-level BPE whose pre-tokenizer never joins what a single space or
-    line feed between two other characters parts. The parts are encoded once and kept (some _PIECES of them); a text
-    with any other white space at a part's edge is encoded whole."""
+    """Ids of whole texts by the tokenizers library.
+
+    A byte-level BPE with its own regular expression, without a normalizer, is worked by parts: Arrow finds the distinct parts of a batch, the
+    library encodes those that aren't known yet (up to _PIECES are kept, then it starts anew), and numpy gathers the ids. Whether a tokenizer is of
+    that kind is read from its own configuration; others, and texts with an added token or white space outside ASCII, are encoded whole.
+    """
 
     _known: dict[str, Encoder] = {}
 
@@ -67,11 +94,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
-        self.line = self._ids("\n")
-        self.heads, self.tails = Parts(), Parts()
-        self.marks = {m: self._bytes(self._ids(m)) for m in ".,"}
-        self.apart = len(self.line) == 1 and self._ids("a\n b") == [*self._ids("a"), *self.line, *self._ids(" b")]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        conf = json.loads(self.tokenizer.to_str())
+        split, model = conf["pre_tokenizer"] or {}, conf["model"]
+        self.by_parts = (
+            split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+            and model.get("type") == "BPE" and not model.get("dropout") and not any(conf.get(k) for k in ("normalizer", "truncation", "padding"))
+        )
+        self.whole = "|".join([_WIDE, *(re.sub(r"([^\w])", r"\\\1", x["content"]) for x in conf["added_tokens"])])
+        line = self._ids("\n")
+        self.line, self.by_parts = int(line[0]), self.by_parts and len(line) == 1
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,51 +112,108 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _bytes(self, ids: Iterable[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, known: Parts, parts: set[str], lead: str) -> None:
-        known.turn()
-        new = known.missing(parts)
-        # letters before a full stop or comma are a piece of their own, so such a part is its stem's ids and the mark's
-        stems = {p: p[:-1] for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()}
-        todo = new.difference(stems) | known.missing(set(stems.values()))
-        plain = [p for p in todo if p and not p[0].isspace() and not p[-1].isspace()]
-        known.now.update(dict.fromkeys(todo.difference(plain)))
-        groups = [plain[i : i + _BATCH] for i in range(0, len(plain), _BATCH)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([lead + f"\n{lead}".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, dtype=self.dtype)
-            cut = np.flatnonzero(ids == self.line[0])
+    def _forget(self) -> None:
+        """Keeps the parts that more batches held than the median part, at most half of them."""
+        if not hasattr(self, "known"):
+            self.known, self.flat = pa.array([], pa.large_string()), np.empty(1 << 16, dtype=self.dtype)
+            self.at, self.size, self.hits, self.used = *(np.empty(0, dtype=np.int32) for _ in range(3)), 0
+            return
+        keep = np.flatnonzero(self.hits > (np.median(self.hits) if len(self.hits) else 0))
+        ids = self.flat[_spread(self.at[keep], self.size[keep])]
+        self.known, self.size, self.hits = self.known.take(pa.array(keep)), self.size[keep], self.hits[keep]
+        self.at, self.used, self.flat = np.cumsum(self.size, dtype=np.int32) - self.size, len(ids), ids
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has. The parts (without white space after the first character) are strung together by line
+        feeds, which are pieces of their own, so that the library is called for many at a time."""
+        ids, size = [], []
+        for lo in range(0, len(parts), _BATCH):
+            group = parts[lo : lo + _BATCH]
+            got = self._ids("\n".join(group))
+            cut = np.flatnonzero(got == self.line)
             if len(cut) == len(group) - 1:
-                raw, width = ids.tobytes(), ids.itemsize
-                known.now.update(zip(group, (raw[a * width : b * width] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)), strict=True))
+                ids.append(np.delete(got, cut))
+                size.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+            else:
+                each = [self._ids(p) for p in group]
+                ids.extend(each)
+                size.append(np.array(list(map(len, each))))
+        return np.concatenate([np.empty(0, dtype=self.dtype), *ids]), np.concatenate([np.empty(0, dtype=np.int64), *size])
+
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Adds the parts to those known and returns their places."""
+        blank = pc.match_substring_regex(parts, r"\n|\s$|\s\s").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~blank), np.flatnonzero(blank)])
+        parts, plain = parts.take(pa.array(order)), len(parts) - int(blank.sum())
+        ids, size = self._encode_parts(parts.slice(0, plain).to_pylist())
+        rest = [self._ids(p) for p in parts.slice(plain).to_pylist()]
+        ids, size = np.concatenate([ids, *rest]), np.concatenate([size, np.array(list(map(len, rest)), dtype=np.int64)])
+        at = self.used + np.cumsum(size) - size
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + 2 * len(ids), dtype=self.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(self.known), len(self.known) + len(order), dtype=np.int32)
+        self.known = pa.concat_arrays([self.known, parts])
+        self.at, self.size, self.hits = (np.concatenate([x, y.astype(np.int32)]) for x, y in ((self.at, at), (self.size, size), (self.hits, np.zeros_like(at))))
+        return place
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        at = pc.index_in(parts, value_set=self.known)
+        if len(self.known) + at.null_count > _PIECES:
+            self._forget()
+            at = pc.index_in(parts, value_set=self.known)
+        new = at.is_null()
+        place = at.fill_null(0).to_numpy().copy()
+        if at.null_count:
+            place[new.to_numpy(zero_copy_only=False)] = self._learn(parts.filter(new))
+        self.hits[place] += 1
+        return place
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of some rows one after the other, where each row's ids start and the last one's end)."""
+        for lo, hi, raw, off in slices(texts, _BYTES):
+            odd = pc.match_substring_regex(texts.slice(lo, hi - lo), self.whole).fill_null(False).to_numpy(zero_copy_only=False) if self.by_parts else np.ones(hi - lo, dtype=bool)
+            starts = part_starts(raw, off)
+            if self.by_parts and len(starts):
+                bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+                parts = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(raw)).dictionary_encode()
+                place = self._places(parts.dictionary)[parts.indices.to_numpy()]
+                size = self.size[place]
+                ids = self.flat[_spread(self.at[place], size)]
+                row = np.append(0, np.cumsum(size, dtype=np.int64))[np.searchsorted(starts, off)]
             else:
-                known.now.update((p, self._bytes(self._ids(lead + p))) for p in group)
-        known.now.update((p, known.now[stem] + self.marks[p[-1]]) for p, stem in stems.items())
+                ids, row = np.empty(0, dtype=self.dtype), np.zeros(hi - lo + 1, dtype=np.int64)
+            if odd.any():
+                each = [self._ids(texts[lo + i].as_py() or "") if odd[i] else ids[row[i] : row[i + 1]] for i in range(hi - lo)]
+                ids, row = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            yield lo, ids, row
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed."""
-        if not self.apart:
-            return [self._bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads, tails = {line[0] for lines in split for line in lines}, set()
-        for lines in split:
-            for line in lines:
-                tails.update(line[1:])
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
-        feed, out, head, tail = self._bytes(self.line), [], self.heads.now, self.tails.now.__getitem__
-        for text, lines in zip(texts, split, strict=True):
-            try:
-                out.append(feed.join([head[line[0]] + b"".join(map(tail, line[1:])) for line in lines]))
-            except TypeError:  # a part without known ids: unusual white space
-                out.append(self._bytes(self._ids(text)))
+        out = []
+        for _, ids, row in self.batches(pa.array(texts, pa.large_string())):
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            out.extend(raw[a * width : b * width] for a, b in zip(row[:-1].tolist(), row[1:].tolist(), strict=True))
         return out
 
 
+def token_counts(tokenizer: str):
+    """From rows (key, text) to rows (key, n): how many ids each text has."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
+        for batch in batches:
+            n = [np.diff(row) for _, _, row in encoder.batches(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.empty(0, dtype=np.int64))], [batch.schema.names[0], "n"])
+
+    return of
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
@@ -212,19 +302,19 @@ class ShardReader:
 def _write(folder: str, tokenizer: str, end_id: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, shard, encoder = TaskContext.get(), None, Encoder.of(tokenizer)
-        end = encoder._bytes([end_id])
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
         fs, root = _open(folder)
         name = f"{root}/shard-{task.partitionId():06d}.zst"
         part = f"{name}.{task.taskAttemptId()}"
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
-                if shard is None:
-                    out = fs.open_output_stream(part)
-                    shard = Shard(out, encoder.dtype)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    shard.add(doc_id, ids + end)
+            if shard is None and batch.num_rows:
+                out = fs.open_output_stream(part)
+                shard = Shard(out, encoder.dtype.str)
+            docs = batch.column(0).to_pylist()
+            for first, ids, row in encoder.batches(batch.column(1)):
+                raw, at = ids.tobytes(), (row * encoder.dtype.itemsize).tolist()
+                for k in range(len(at) - 1):
+                    shard.add(docs[first + k], raw[at[k] : at[k + 1]] + end)
         if shard is not None:
             shard.close()
             out.close()

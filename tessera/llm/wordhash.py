@@ -28,8 +28,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets into the bytes) of runs of rows of about SLICE_BYTES; null is empty."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets into the bytes) of runs of rows of about `size` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -38,7 +38,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
@@ -76,4 +76,4 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         out += h[j : j + n] * STEP[j]
-    return mixed(out + np.uint64(k) * LENGTH)
+    return mixed(out + np.full(1, k, dtype=np.uint64) * LENGTH)

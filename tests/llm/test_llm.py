@@ -266,6 +266,33 @@ def test_token_files_with_a_special_token_in_the_text(spark):
     assert rows_of(tokenfiles.token_report(docs, TOKENIZER), "doc_id", "n_tokens", "ids_crc32") == [(n, len(x) + 1, crc(x)) for n, x in enumerate(want)]
 
 
+def test_parts_of_odd_texts_have_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(TOKENIZER), random.Random(1)
+    bits = ["a", "b", "Wort", "é", "漢", "12", "7", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "'ll", ".", ",", "!?", "(", "_", "$", "\xa0", "\u2003", "\x85", "\x1c", "<|endoftext|>", "\xad", "🙂", "٣", " '", "|"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, ""]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for pieces in (1_000_000, 50):  # the second forgets all the time
+        monkeypatch.setattr(tokenfiles, "_PIECES", pieces)
+        monkeypatch.setattr(tokenfiles, "_BYTES", 5000)
+        encoder = tokenfiles.Encoder(TOKENIZER)
+        assert encoder.by_parts and [np.frombuffer(x, dtype=encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+
+
+def test_a_document_of_several_frames(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma,", "delta\n"]) for _ in range(150_000))
+    docs = spark.createDataFrame([(1, "before"), (2, long), (3, "after")], "doc_id long, text string").coalesce(1)
+    path = tokenfiles.write_token_files(docs, f"file://{tmp_path}/f", TOKENIZER).where("docs = 3 or docs = 1").orderBy("shard").collect()
+    encoder = tokenfiles.Encoder(TOKENIZER)
+    want = {k: [*np.frombuffer(x, dtype=encoder.dtype).tolist(), 2] for k, x in zip((1, 2, 3), encoder.encode(["before", long, "after"]), strict=True)}
+    assert len(want[2]) > 2 * tokenfiles.FRAME
+    for r in path:
+        reader = tokenfiles.ShardReader(r["path"])
+        assert all(reader.document(i).tolist() == want[d] for i, d in enumerate(reader.doc_ids))
+
+
 @pytest.mark.parametrize("send", [2**23, -1])
 def test_mixing_small_sources(spark, monkeypatch, send):
     monkeypatch.setattr(mixing, "LEAST_SLOTS", 64)  # blocks as long as those of a large corpus
