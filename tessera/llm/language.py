@@ -4,7 +4,7 @@ Every word is scored for every language by its affixes (one to three bytes at ei
 lexicon (log odds of words known from the sample); learned transitions join neighbouring words, and forward-backward gives each word's probability of each language in its context. The
 document's language is the one with the greatest mean probability, so code-switched texts are judged word by word.
 
-The field is fitted on a bounded sample: about PER_LANGUAGE documents of each language, chosen by hash, with SAMPLE_WORDS
+The field is fitted on a bounded sample: at most PER_LANGUAGE documents of each language, chosen by hash, with SAMPLE_WORDS
 consecutive words of each from a hashed place. Pieces of different languages are strung together, so that transitions are learned
 from true switches. Prediction covers whole texts, in numpy over the Arrow batch's bytes: chains of a batch run side by side.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import words
@@ -88,9 +89,9 @@ def emissions(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return out + model.odds[_lexicon_rows(word_hashes(low, starts, ends), model.known)] * model.scale
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Forward-backward of all chains side by side. Chain i has the words first[i] .. first[i + 1]; longest chains come first in each
-    step, so chains that have ended drop off the end."""
+def _passes(scores: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(potentials, forward, backward) of all chains side by side. Chain i has the words first[i] .. first[i + 1]; longest chains come first in
+    each step, so chains that have ended drop off the end. Both passes are scaled to sum to 1 at each word."""
     potential = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
@@ -113,8 +114,30 @@ def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.nda
         back[at] = b
         b = (b * potential[at]) @ move.T
         b /= b.sum(axis=1, keepdims=True)
-    out = ahead * back
-    return out / out.sum(axis=1, keepdims=True)
+    return potential, ahead, back
+
+
+def _shares(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """P(language) of each word in its chain, by forward-backward."""
+    _, ahead, back = _passes(scores, first, step)
+    return _shares(ahead * back)
+
+
+def pair_marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals, words with a successor in their chain, P(languages) of each such word and its successor)."""
+    potential, ahead, back = _passes(scores, first, step)
+    inner = np.setdiff1d(np.arange(len(scores) - 1), first[1:-1] - 1)
+    pair = ahead[inner, :, None] * np.exp(step)[None] * (potential * back)[inner + 1, None, :]
+    return _shares(ahead * back), inner, _shares(pair)
+
+
+def _slopes(p: np.ndarray, inner: np.ndarray, pair: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the negative log likelihood by the scores of words and by the transition scores."""
+    return p - y, pair.sum(axis=0) - y[inner].T @ y[inner + 1]
 
 
 def fit(sample: list[tuple[str, list[str]]], seed: int = 7) -> Model | None:
@@ -166,16 +189,11 @@ def fit(sample: list[tuple[str, list[str]]], seed: int = 7) -> Model | None:
                 score[:, k] += np.bincount(o, weights=model.weights[f, k], minlength=hi - lo)
             first = np.append(np.arange(0, hi - lo, size), hi - lo)
             y = np.eye(n)[label[lo:hi]]
-            p = marginals(score, first, model.step)
+            by_word, moves = _slopes(*pair_marginals(score, first, model.step), y)
             slope = np.zeros(model.weights.shape)
             for k in range(n):
-                slope[:, k] = np.bincount(f, weights=(p - y)[o, k], minlength=ROWS)
-            # expected transitions from the marginals of neighbours given the move between them
-            inner = np.setdiff1d(np.arange(hi - lo - 1), first[1:-1] - 1)
-            pair = p[inner, :, None] * p[inner + 1, None, :] * np.exp(model.step)[None]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            moves = (pair - y[inner, :, None] * y[inner + 1, None, :]).sum(axis=0)
-            for x, g, s in zip((model.weights, model.scale, model.step), (slope + DECAY * model.weights, ((p - y) * model.odds[row[lo:hi]]).sum(axis=0), moves), squares, strict=True):
+                slope[:, k] = np.bincount(f, weights=by_word[o, k], minlength=ROWS)
+            for x, g, s in zip((model.weights, model.scale, model.step), (slope + DECAY * model.weights, (by_word * model.odds[row[lo:hi]]).sum(axis=0), moves), squares, strict=True):
                 s += g * g
                 x -= (RATE * g / np.sqrt(s)).astype(x.dtype)
             model.weights[-1] = 0
@@ -187,18 +205,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, n: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
-    """About `per_language` pieces of each language, chosen by hash at a rate from the language's count; never more than twice as many."""
+    """At most `per_language` pieces of each language: rows whose hash falls under a rate that makes twice as many likely, and of those the
+    ones with the least hashes, taken before anything reaches the driver."""
     train = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = sorted((r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
         return []
-    rate = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(per_language / c)) for lang, c in counts))
-    h = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = train.where(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20)).withColumn("_w", words(F.col("text")))
-    start = F.pmod(F.shiftright(h, 20), F.greatest(F.size("_w") - n + 1, F.lit(1))).cast("int") + 1
-    rows = sorted((r["lang"], r["h"], r["w"]) for r in chosen.select("lang", h.alias("h"), F.slice("_w", start, n).alias("w")).collect())
-    kept = Counter()
-    return [(lang, w) for lang, _, w in rows if (kept.update([lang]) or kept[lang] <= 2 * per_language)]
+    most = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(2 * per_language / c * 2**63)))) for lang, c in counts))
+    h = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND(F.lit(2**63 - 1))
+    least = W.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
+    chosen = train.withColumn("_h", h).where(F.col("_h") <= most).withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= per_language)
+    chosen = chosen.withColumn("_w", words(F.col("text")))
+    start = F.pmod(F.xxhash64("_h"), F.greatest(F.size("_w") - n + 1, F.lit(1))).cast("int") + 1
+    rows = sorted((r["lang"], r["_n"], r["w"]) for r in chosen.select("lang", "_n", F.slice("_w", start, n).alias("w")).collect())
+    return [(lang, w) for lang, _, w in rows]
 
 
 def _predict(model: Model | None):

@@ -2,7 +2,8 @@
 
 Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation on the table of vote patterns (at most 3**rules rows at
 any corpus size, so that is all the driver sees) estimates each rule's rate of each vote on good and on bad documents. A document
-stays if it passes the two base rules and its posterior probability of being good is at least 0.5.
+stays if it passes the two base rules and its posterior probability of being good, under the fitted rates of votes and abstentions, is
+at least 0.5.
 
 Defined results: null and empty texts have no words and fail the base rule; extra columns pass through `quality_filter`; repeated
 rows are scored alike; an empty table gives no rows.
@@ -35,21 +36,26 @@ RULES = {
     "common": ("common_words", "common_words >= 2", "common_words = 0"),
     "sentences": ("end_ratio", "end_ratio >= 0.6", "n_lines >= 2 and end_ratio < 0.2"),
 }
-_LOW = 0xFFFFFF  # a word's place in the low bits: texts up to 2**24 words; the rest of the long is hash
+_LOW = 0xFFFFFF  # a word's place in the low bits of a long whose other bits are hash; longer texts take structs of both
 
 
 def _flat_repeats(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words from `_w`: places of 3-word windows are sorted by hash inside the row; neighbours that share it are
     compared as strings, so the hash only decides what is compared."""
     near = lambda f: f"{f('i-1')} or {f('i+1')}"
+    window = "xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))"
+    packed = f"sort_array(transform(sequence(0, size(_w) - 3), i -> ({window} & ~{_LOW}L) | i))"
+    pairs = f"array_sort(transform(sequence(0, size(_w) - 3), i -> struct({window} as h, i as p)))"
     return (
-        df.withColumn("_k", F.expr(f"if(n_words >= 3, sort_array(transform(sequence(0, size(_w) - 3), i -> (xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) & ~{_LOW}L) | i)), array())"))
+        df.withColumn("_k", F.expr(f"if(n_words >= 3 and n_words <= {_LOW}, {packed}, array())"))
         .withColumn("_k", F.expr(f"filter(_k, (x, i) -> {near(lambda j: f'((x ^ get(_k, {j})) & ~{_LOW}L) = 0L')})"))
         .withColumn("_k", F.expr(f"transform(_k, x -> cast(x & {_LOW}L as int))"))
+        .withColumn("_s", F.expr(f"if(n_words > {_LOW}, {pairs}, array())"))
+        .withColumn("_k", F.expr(f"if(n_words > {_LOW}, transform(filter(_s, (x, i) -> {near(lambda j: f'x.h = get(_s, {j}).h')}), x -> x.p), _k)"))
         .withColumn("_k", F.expr("array_sort(transform(_k, p -> struct(concat_ws(' ', slice(_w, p + 1, 3)) as t, p as p)))"))
         .withColumn("_k", F.expr(f"sort_array(transform(filter(_k, (x, i) -> {near(lambda j: f'x.t = get(_k, {j}).t')}), x -> x.p))"))
         .withColumn("n_repeat_words", F.expr("aggregate(zip_with(_k, slice(_k, 2, size(_k)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)"))
-        .drop("_k")
+        .drop("_k", "_s")
     )
 
 
@@ -86,7 +92,7 @@ def fit(voted: DataFrame) -> tuple[float, dict[str, dict[int, float]]]:
 def _verdict(voted: DataFrame, model: tuple[float, dict[str, dict[int, float]]]) -> DataFrame:
     odds = F.lit(model[0])
     for k, r in model[1].items():
-        odds = odds + F.when(F.col(f"vote_{k}") == 1, r[1]).when(F.col(f"vote_{k}") == -1, r[-1]).otherwise(0.0)
+        odds = odds + F.when(F.col(f"vote_{k}") == 1, r[1]).when(F.col(f"vote_{k}") == -1, r[-1]).otherwise(r[0])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= 0.5))
 

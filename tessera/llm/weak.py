@@ -17,7 +17,9 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], labele
     """(prior, rates): P(true), and P(vote of labeler k | true or not), from (votes, count) rows.
 
     Rates start at the given accuracy, which also counts as `weight` rows, so a labeler that hardly votes keeps it and the two classes
-    can't change places. The table has at most 3**labelers rows whatever the corpus holds.
+    can't change places. A vote is at least as likely in the class that it names as in the other: where the counts say otherwise, both
+    classes get their pooled rate of that vote, which is the most likely one under this order. The table has at most 3**labelers rows
+    whatever the corpus holds.
     """
     rate = {(k, y, v): abstain if v == 0 else (1 - abstain) * (accuracy if (v > 0) == y else 1 - accuracy) for k in range(labelers) for y in (True, False) for v in VOTES}
     first, start = dict(rate), prior
@@ -31,11 +33,26 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], labele
                 seen[k, True, v] += n * p
                 seen[k, False, v] += n * (1 - p)
         prior = min(bounds[1], max(bounds[0], (true + weight * start) / (total + weight)))
-        rate = {(k, y, v): x / sum(seen[k, y, u] for u in VOTES) for (k, y, v), x in seen.items()}
+        rate = _ordered(seen, labelers)
     return prior, rate
 
 
+def _ordered(seen: Rates, labelers: int) -> Rates:
+    """Rates of each vote from its weighted counts, under the order above; what is left over is the rate of abstaining."""
+    rate: Rates = {}
+    for k in range(labelers):
+        size = {y: sum(seen[k, y, v] for v in VOTES) for y in (True, False)}
+        for v in (-1, 1):
+            names, other = v > 0, v < 0
+            a, b = seen[k, names, v] / size[names], seen[k, other, v] / size[other]
+            if a < b:
+                a = b = (seen[k, names, v] + seen[k, other, v]) / (size[True] + size[False])
+            rate[k, names, v], rate[k, other, v] = a, b
+        for y in (True, False):
+            rate[k, y, 0] = max(1e-9, 1 - rate[k, y, 1] - rate[k, y, -1])
+    return rate
+
+
 def log_ratios(rate: Rates, labelers: int) -> list[dict[int, float]]:
-    """For each labeler and vote the log likelihood ratio; a vote never counts against its own sense."""
-    r = [{v: math.log(rate[k, True, v] / rate[k, False, v]) for v in VOTES} for k in range(labelers)]
-    return [{-1: min(0.0, x[-1]), 0: 0.0, 1: max(0.0, x[1])} for x in r]
+    """For each labeler and vote, abstentions too, the log likelihood ratio: with the prior's log odds they add up to the posterior's."""
+    return [{v: math.log(rate[k, True, v] / rate[k, False, v]) for v in VOTES} for k in range(labelers)]

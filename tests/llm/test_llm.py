@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, queries, substring, tokenfiles
+from tessera.llm import components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, queries, substring, tokenfiles, weak
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, key string, size string, bucket0 string"
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -193,6 +193,50 @@ def test_marginals_match_enumeration():
         assert np.allclose(got[a:b], want / want.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_gradient_matches_enumeration_and_differences():
+    rng = np.random.default_rng(1)
+    score, step, first = rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 6])
+    y = np.eye(3)[rng.integers(0, 3, 6)]
+
+    def loss(score, step):
+        total = 0.0
+        for a, b in ((0, 4), (4, 6)):
+            of = lambda path: sum(score[a + t, k] for t, k in enumerate(path)) + sum(step[path[t], path[t + 1]] for t in range(len(path) - 1))  # noqa: B023, E731
+            total += np.log(sum(np.exp(of(path)) for path in np.ndindex(*[3] * (b - a)))) - of(y[a:b].argmax(axis=1))
+        return total
+
+    by_word, moves = language._slopes(*language.pair_marginals(score, first, step), y)
+    for x, slope in ((score, by_word), (step, moves)):
+        for at in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            want = (loss(up, step) - loss(down, step) if x is score else loss(score, up) - loss(score, down)) / 2e-5
+            assert slope[at] == pytest.approx(want, abs=1e-6)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(3000).selectExpr("id doc_id", "'some words here' text", "if(id % 3 = 0, 'a', 'b') lang")
+    got = collections.Counter(lang for lang, _ in language.sample(rows, per_language=40))
+    assert got == {"a": 40, "b": 40}
+
+
+def test_posterior_is_that_of_the_fitted_rates():
+    rng, patterns = random.Random(2), collections.Counter()
+    for _ in range(4000):
+        good = rng.random() < 0.7
+        patterns[tuple((0 if rng.random() < q else (1 if (rng.random() < a) == good else -1)) for a, q in ((0.9, 0.3), (0.8, 0.1), (0.7, 0.6), (0.5, 0.2)))] += 1
+    prior, rate = weak.expectation_maximisation(sorted(patterns.items()), 4, prior=0.8)
+    assert abs(prior - 0.7) < 0.06 and rate[0, True, 1] / rate[0, False, 1] > 4 > 2 > rate[3, True, 1] / rate[3, False, 1]
+    ratios = weak.log_ratios(rate, 4)
+    for vote in patterns:
+        odds = np.log(prior / (1 - prior)) + sum(r[v] for r, v in zip(ratios, vote, strict=True))
+        joint = [p * np.prod([rate[k, y, v] for k, v in enumerate(vote)]) for p, y in ((prior, True), (1 - prior, False))]
+        assert 1 / (1 + np.exp(-odds)) == pytest.approx(joint[0] / sum(joint))
+    for k in range(4):
+        assert all(abs(sum(rate[k, y, v] for v in (-1, 0, 1)) - 1) < 1e-6 for y in (True, False)) and rate[k, True, 1] >= rate[k, False, 1] and rate[k, True, -1] <= rate[k, False, -1]
+
+
 def test_packing(docs, none):
     rng = random.Random(5)
     for _ in range(5):
@@ -323,6 +367,14 @@ def test_quality(docs, none):
     got = quality.quality_report(docs)
     assert rows_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
     assert got.where("base_failed and kept").count() == 0
+    patterns = collections.Counter(tuple(r[f"vote_{k}"] for k in quality.RULES) for r in got.collect())
+    prior, rate = weak.expectation_maximisation(sorted(patterns.items()), len(quality.RULES), prior=0.8, bounds=(0.5, 0.99))
+    for r in got.collect():
+        p = weak.posterior(tuple(r[f"vote_{k}"] for k in quality.RULES), prior, rate)
+        assert r.quality == pytest.approx(p) and r.kept == (not r.base_failed and p >= 0.5)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "_LOW", 63)  # texts whose places don't fit the low bits
+        assert rows_of(quality.quality_report(docs), "doc_id", "n_repeat_words") == sorted(((r[0], r[5]) for r in want), key=repr)
     assert quality.quality_filter(docs).columns == docs.columns and quality.quality_report(none).count() == 0
 
 
