@@ -7,11 +7,11 @@ Rounds stop when all bins are full, which takes about T log T / n rounds for n s
 
 Equal shingle sets first become one class (its least doc_id stands for it). BANDS bands of ROWS coordinates find candidates: a
 pair at the threshold is missed by all bands with a probability of about 3e-7. In a band's bucket each member is compared with
-one hub, which links large groups of near copies without their pairs. Where buckets still hold more than one component, the
-representatives that share such buckets, directly or in chains, form a cluster. A cluster is cut into tiles of about TILE members by hash,
-and a task compares two tiles at a time in memory: no pair becomes a row, a task holds at most two tiles, and a cluster of any size is
-spread over its pairs of tiles. Pairs already in one component, or whose sketches agree far too little for the threshold (more than six
-standard deviations below it), are passed over; the rest are verified on the full shingle sets. Components: alternating stars.
+one hub, which links large groups of near copies without their pairs. Where a bucket still holds more than one component, its
+members are compared in memory: the bucket is cut into tiles of about TILE members by hash, tiles of its largest component meet only those of the
+other components, and a task compares two tiles at a time, by sketches alone and only in the first band that a pair shares. So no pair
+becomes a row, and a task holds at most two tiles. Only members with a partner in another component whose sketch doesn't rule the threshold out (more than six
+standard deviations below it) are joined to their texts, and their pairs are verified on the full shingle sets. Components: alternating stars.
 
 Defined results: a document without words has an empty set and is linked with nothing; fewer than SHINGLE words make one
 shingle; a null doc_id stands alone; rows that repeat a doc_id share its component; extra columns pass through `near_dedup`; an
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -33,9 +33,8 @@ from .wordhash import LENGTH, LOWER, STEP, grams, mixed, slices, spans, word_has
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
 T = BANDS * ROWS
-#: Percent; pairs are linked from here on.
-THRESHOLD = 85
-CONTRACT_THRESHOLD = 80
+#: Percent; pairs are linked from here on: by the registered query, and by stages and callers that ask for nothing else.
+QUERY_THRESHOLD, STAGE_THRESHOLD = 85, 80
 TILE = 512
 _seeds = mixed(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(2**64 - 1)
@@ -87,10 +86,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             s = sketch(x)
             key = mixed((s.reshape(BANDS, ROWS) * STEP[:ROWS]).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * LENGTH)
-            bands.append(key.view(np.int64))
+            bands.append(key.tobytes())
             low.append(s.astype(np.uint8).tobytes())
         as_long = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(sig1), as_long(sig2), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "bands", "low"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(sig1), as_long(sig2), pa.array(bands, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "bands", "low"])
 
 
 def _least(threshold: int) -> float:
@@ -135,14 +134,64 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, which may span batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(k[:, lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(k[:, lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
+
+
+def _partners(rows: pa.Table, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of two tiles the later rows that it has to be verified with."""
+    least, low, bands = _least(threshold), _matrix(rows["low"], "u1", T), _matrix(rows["bands"], "<i8", BANDS)
+    c, tile, band = rows["c"].to_numpy(), rows["tile"].to_numpy(), rows["band"][0].as_py()
+    across = len(set(tile.tolist())) > 1
+    for k in range(len(c) - 1):
+        near = np.flatnonzero(c[k + 1 :] != c[k]) + k + 1
+        if across:
+            near = near[tile[near] != tile[k]]
+        near = near[(low[near] == low[k]).sum(axis=1) >= least]
+        if len(near):
+            near = near[(bands[near] == bands[k]).argmax(axis=1) == band]
+        if len(near):
+            yield k, near
+
+
+def _close_members(threshold: int):
+    """Of the rows of two tiles those with a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("key", "i", "j")):
+            keep = np.zeros(rows.num_rows, dtype=bool)
+            for k, near in _partners(rows, threshold):
+                keep[k] = True
+                keep[near] = True
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
 def _tile_links(threshold: int):
-    """Rows of a pair of tiles follow each other: (cluster, i, j, tile, rep, c, low, text). Gives links (a, b) between components, as
-    few as connect what the two tiles connect."""
-    least = _least(threshold)
+    """Links (a, b) between components, as few as connect what two tiles connect."""
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        tile, rep, c, low, text = zip(*rows, strict=True)
-        low = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, T)
+    def compare(rows: pa.Table) -> list[tuple[int, int]]:
+        rep, c, text = rows["rep"].to_pylist(), rows["c"].to_pylist(), rows["text"]
         sets: dict[int, np.ndarray] = {}
         root = {x: x for x in c}
 
@@ -154,53 +203,43 @@ def _tile_links(threshold: int):
 
         def of(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = next(shingle_sets(pa.array([text[k]], pa.string())))
+                sets[k] = next(shingle_sets(pa.array([text[k].as_py()], pa.string())))
             return sets[k]
 
-        found, across = [], len(set(tile)) > 1
-        tiles = np.array(tile)
-        for k in range(len(rep)):
-            near = np.flatnonzero((low[k + 1 :] == low[k]).sum(axis=1) >= least) + k + 1
-            for m in near[tiles[near] != tile[k]] if across else near:
+        found = []
+        for k, near in _partners(rows, threshold):
+            for m in near.tolist():
                 a, b = find(c[k]), find(c[m])
-                if a != b and _linked(of(k), of(int(m)), threshold):
+                if a != b and _linked(of(k), of(m), threshold):
                     root[a] = b
                     found.append((rep[k], rep[m]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        names = ("tile", "rep", "c", "low", "text")
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (got := compare(held)):
+        for rows in _groups(batches, ("key", "i", "j")):
+            if rows.num_rows > 1 and (got := compare(rows)):
                 a, b = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            held.clear()
-
-        for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in ("cluster", "i", "j")), strict=True)
-            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
-                if k != key:
-                    yield from done()
-                    key = k
-                held.append(row)
-        yield from done()
 
     return run
 
 
-def cluster_links(split: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Links between components inside the clusters of `split` (hub, rep); labels: id, component."""
-    clusters = written(components(split.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("component", "cluster"), "clusters")
-    tiles = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    named = clusters.join(labels.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("c"))
-    member = named.join(tiles.hint("merge"), "cluster").join(reps.select("rep", "low").hint("merge"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
-    member = written(member.withColumn("tile", F.pmod(F.xxhash64("rep"), "k").cast("int")), "members")
-    pairs = member.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # inside one tile once, and each two tiles once
-    pairs = pairs.select("cluster", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"), "tile", "rep", "c", "low", "text")
-    return written(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(_tile_links(threshold), "a long, b long"), "tile-links")
+def bucket_links(named: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links between components that share buckets. `named`: key, band, rep, c (its component)."""
+    sizes = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    split = written(sizes.where("parts > 1").select("key", F.col("top.c").alias("main"), tiles(F.col("top.n")).alias("k_main"), tiles(F.col("n") - F.col("top.n")).alias("k_rest")), "split")
+    member = named.join(split.hint("merge"), "key").withColumn("in_main", F.col("c") == F.col("main"))
+    member = member.withColumn("tile", F.when(F.col("in_main"), F.col("k_rest") + F.pmod(F.xxhash64("rep"), "k_main")).otherwise(F.pmod(F.xxhash64("rep"), "k_rest")).cast("int"))
+    member = written(member.select("key", "band", "rep", "c", "tile", "in_main", "k_main", "k_rest"), "members")
+    # tiles of the largest component meet those of the rest; the rest's meet each other, and themselves
+    pairs = member.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k_rest") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("k_main")))))
+    pairs = pairs.select("key", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"), "tile", "band", "rep", "c")
+    pairs = pairs.join(reps.select("rep", "low", "bands").hint("merge"), "rep").select("key", "i", "j", "tile", "band", "rep", "c", "low", "bands")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    close = written(dealt(pairs).mapInArrow(_close_members(threshold), pairs.schema), "close-members")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(close.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    return written(dealt(close.join(texts.hint("merge"), "rep")).mapInArrow(_tile_links(threshold), "a long, b long"), "tile-links")
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, name: str) -> DataFrame:
@@ -217,24 +256,25 @@ def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, na
     return written(pairs.select("a", "text_a", "b", "text_b").mapInArrow(_verified(threshold), "a long, b long").distinct(), f"{name}-links")
 
 
-def near_groups(docs: DataFrame, threshold: int = CONTRACT_THRESHOLD) -> DataFrame:
+def _keys(bands: str) -> Column:
+    """The keys of the bands as longs, from their packed form."""
+    return F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring({bands}, 8 * i + 1, 8)))")
+
+
+def near_groups(docs: DataFrame, threshold: int = STAGE_THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    marked = written(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, sig1 long, sig2 long, bands array<long>, low binary"), "sketches")
+    marked = written(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, sig1 long, sig2 long, bands binary, low binary"), "sketches")
     sig = ["n_shingles", "sig1", "sig2"]
     reps = written(marked.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
-    rows = reps.select(F.explode("bands").alias("key"), "rep")
+    rows = reps.select(F.posexplode(_keys("bands")).alias("band", "key"), "rep")
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     shared = written(rows.join(hubs.hint("merge"), "key"), "buckets")
     first = links(shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), reps, docs, threshold, "star")
     found = written(components(first), "stars")
-    # buckets in which the hub didn't join everything
-    named = shared.join(found.hint("merge"), shared["rep"] == found["id"], "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
-    named = written(named, "named")
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    rest = written(named.join(split.hint("merge"), "key", "left_semi").select("hub", "rep").distinct(), "split")
-    second = cluster_links(rest, reps, found, docs, threshold)
-    whole = written(components(first.union(second)), "components")
+    named = shared.join(found.hint("merge"), shared["rep"] == found["id"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
+    second = bucket_links(written(named, "named"), reps, docs, threshold)
+    whole = written(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(second)), "components")
     by_class = reps.select(*sig, "rep").join(whole.hint("merge"), F.col("rep") == F.col("id"), "left").select(*sig, F.coalesce("component", "rep").alias("component"))
     return (
         marked.join(by_class.hint("merge"), sig, "left")
@@ -243,7 +283,7 @@ def near_groups(docs: DataFrame, threshold: int = CONTRACT_THRESHOLD) -> DataFra
     )
 
 
-def near_dedup(docs: DataFrame, threshold: int = CONTRACT_THRESHOLD) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: int = STAGE_THRESHOLD) -> DataFrame:
     """One document of each component, all columns unchanged; of rows that repeat a doc_id all stay or go."""
     gone = written(near_groups(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     rows = docs.select(F.struct("*").alias("_row"))

@@ -15,7 +15,7 @@ QUERIES = {
     "op5_language": lambda spark, d: language.language_report(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d)),
     "op7_token_files": lambda spark, d: tokenfiles.token_report(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
-    "op8_near_dedup": lambda spark, d: minhash.near_groups(documents(spark, d), minhash.THRESHOLD),
+    "op8_near_dedup": lambda spark, d: minhash.near_groups(documents(spark, d), minhash.QUERY_THRESHOLD),
     "op9_mixing": lambda spark, d: mixing.mix_report(documents(spark, d)),
     "op10_quality": lambda spark, d: quality.quality_report(documents(spark, d)),
 }

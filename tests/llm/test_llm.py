@@ -154,6 +154,24 @@ def test_near_groups(docs, none, monkeypatch):
     assert minhash.near_dedup(docs).columns == docs.columns and minhash.near_groups(none).count() == 0
 
 
+def test_one_bucket_of_look_alikes_below_the_threshold(spark, monkeypatch):
+    """Texts of one long passage and an own tail, alike by 0.6, and among them pairs above 0.8 that no hub links."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(304)], []
+    for n in range(900):
+        tail = [word() for _ in range(100)]
+        texts.append(" ".join(passage + tail))
+        if n % 90 == 0:
+            texts.append(" ".join(passage + tail[:60] + [word() for _ in range(20)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "TILE", 64)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]  # noqa: B905
+    want = {j: i for i in range(len(texts)) for j in range(i + 1, min(i + 2, len(texts))) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(docs).where("not kept").collect()}
+    assert len(want) == 10 and got == want
+
+
 def test_sketch_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((1, 1.0), (3, 1 / 3), (900, 0.5)):
@@ -165,6 +183,11 @@ def test_sketch_agreement_estimates_similarity():
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (10, 11), (12, 11), (7, 7)], "a long, b long")
+    chain = spark.range(199).selectExpr("id * 37 % 200 a", "(id + 1) * 37 % 200 b").union(spark.createDataFrame([(7, None)], "a long, b long"))
+    assert {r.component for r in components.components(chain).collect()} == {0} and components.components(chain).count() == 200
+    star = spark.range(1, 5000).selectExpr("if(id % 2 = 0, 0, 9999) a", "id b").union(spark.createDataFrame([(9999, 2)], "a long, b long"))
+    assert components.components(star).agg(F.max("component"), F.count("*")).first() == (0, 5001)
+    assert components.components(star.where("false")).count() == 0
     assert rows_of(components.components(edges), "id", "component") == sorted([(k, 1) for k in (1, 2, 3, 4)] + [(k, 10) for k in (10, 11, 12)], key=repr)
 
 
