@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -16,8 +17,10 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where it is unset and Spark runs on this machine alone (local tests)."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -70,13 +73,18 @@ def top_bits(h: Column, bits: int = 8) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
-def running_sum(df: DataFrame, keys: list[str], h: str, order: list[str], amount: Column, out: str) -> DataFrame:
+#: About how many rows a slice of a running sum holds, where hashes allow.
+SLICE_ROWS = 2**18
+
+
+def running_sum(df: DataFrame, keys: list[str], h: str, order: list[str], amount: Column, out: str, rows: int) -> DataFrame:
     """Adds the sum of `amount` over the earlier rows of the same keys, in the order (top bits of h, h, order).
 
-    A key may hold any share of the rows: it's cut into 256 slices by hash; the slices' sums are added up per key
-    (256 rows each), and a window runs only inside a slice.
+    A key may hold any share of the rows, of which there are about `rows`: it's cut by hash into slices of about SLICE_ROWS rows or less (256 at least);
+    the slices' sums are added up per key (a row a slice), and a window runs only inside a slice.
     """
-    part = df.withColumns({"_slice": top_bits(F.col(h)), "_amount": amount.cast("long")})
+    bits = max(8, math.ceil(math.log2(max(rows, 1) / SLICE_ROWS)))
+    part = df.withColumns({"_slice": top_bits(F.col(h), bits), "_amount": amount.cast("long")})
     sums = part.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

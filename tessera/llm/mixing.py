@@ -83,16 +83,16 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 def schedule(spark, targets: DataFrame, n_cells: int, slots: int) -> DataFrame:
     """The slots of the mix in order: slot, _none, _src, rank (among the source's slots). A slot's point is held against the sources
-    of its cell; points fall evenly, so no cell is hot. Slots are cut into 256 chunks, ranked inside a chunk, and raised by the
+    of its cell; points fall evenly, so no cell is hot. Slots are cut into chunks, ranked inside a chunk, and raised by the
     counts of the chunks before it."""
     cells = F.sequence(F.floor(F.col("lo") * n_cells), F.floor(F.col("hi") * n_cells))
     edges = written(targets.where("lo < hi").select("_none", "_src", "lo", "hi", F.explode(cells).alias("_cell")), "edges")
     point = F.pmod(F.pmod(F.col("slot") + 1, F.lit(2**32)) * F.lit(PHI), F.lit(2**32)) / F.lit(float(2**32))
     got = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_p", point).withColumn("_cell", F.floor(F.col("_p") * n_cells))
     got = got.join(beside(edges), "_cell").where("_p >= lo and _p < hi").drop("lo", "hi", "_p", "_cell")
-    chunk = (F.col("slot") * 256 / F.lit(max(slots, 1))).cast("long")
-    got = got.withColumn("_h", F.shiftleft(chunk, 56).bitwiseOR(F.col("slot")))
-    return running_sum(got, ["_none", "_src"], "_h", [], F.lit(1), "rank").drop("_h")
+    chunk = (F.col("slot") * 65536 / F.lit(max(slots, 1))).cast("long")
+    got = got.withColumn("_h", F.shiftleft(chunk, 48).bitwiseOR(F.col("slot")))
+    return running_sum(got, ["_none", "_src"], "_h", [], F.lit(1), "rank", slots).drop("_h")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPE
     sized = written(_sized(docs, seed), "sized")
     targets = written(source_targets(sized, weights, repeats), "targets")
     n_sources, slots = targets.agg(F.count(F.lit(1)), F.sum("slots")).first()
-    placed = written(running_sum(sized, ["_none", "_src"], "_h", ["doc_id", "size"], F.col("size"), "start"), "placed")
+    placed = written(running_sum(sized, ["_none", "_src"], "_h", ["doc_id", "size"], F.col("size"), "start", sized.count()), "placed")
     placed = placed.join(beside(targets.select("_none", "_src", "source_size", "target", "block_words", "blocks")), ["_none", "_src"])
     taken = (
         schedule(spark, targets, max(CELLS, 4 * n_sources), round(slots or 0))

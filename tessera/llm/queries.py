@@ -7,14 +7,16 @@ import public_tokenizers
 from . import exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, substring, tokenfiles
 from .common import documents
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {
     "op1_line_dedup": lambda spark, d: linededup.line_report(documents(spark, d)),
     "op2_pii": lambda spark, d: pii.span_report(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_groups(documents(spark, d)),
     "op4_substring": lambda spark, d: substring.repeat_report(documents(spark, d)),
     "op5_language": lambda spark, d: language.language_report(documents(spark, d)),
-    "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d)),
-    "op7_token_files": lambda spark, d: tokenfiles.token_report(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
+    "op6_packing": lambda spark, d: packing.pack_ids(documents(spark, d), TOKENIZER),
+    "op7_token_files": lambda spark, d: tokenfiles.token_report(documents(spark, d), TOKENIZER),
     "op8_near_dedup": lambda spark, d: minhash.near_groups(documents(spark, d), minhash.QUERY_THRESHOLD),
     "op9_mixing": lambda spark, d: mixing.mix_report(documents(spark, d)),
     "op10_quality": lambda spark, d: quality.quality_report(documents(spark, d)),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, queries, substring, tokenfiles, weak
+from tessera.llm import common, components, exact_dedup, language, linededup, minhash, mixing, packing, pii, quality, queries, substring, tokenfiles, weak
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, maybe string, key string, size string, bucket0 string"
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -61,6 +62,12 @@ def test_exact_groups(docs, none):
     assert rows_of(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(exact_dedup, "BROADCAST_BYTES", -1)  # too large a filter to broadcast
+        assert rows_of(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+        assert rows_of(exact_dedup.exact_dedup(docs), *docs.columns) == rows_of(kept, *docs.columns)
+    edge = docs.sparkSession.createDataFrame([(-(2**63), "a b", 1), (2**63 - 1, "ab", 2), (5, "c", 3), (5, "c", 4), (None, "c", 5)], "doc_id long, text string, x int")
+    assert rows_of(exact_dedup.exact_dedup(edge.union(edge)), "doc_id", "text")[0] == (-(2**63), "a b") and exact_dedup.exact_dedup(edge).where("doc_id = 5").count() == 1
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.exact_dedup(none).count() == 0
 
 
@@ -261,6 +268,8 @@ def test_posterior_is_that_of_the_fitted_rates():
 
 
 def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
     rng = random.Random(5)
     for _ in range(5):
         hist = [(rng.randint(1, 60), rng.randint(1, 9)) for _ in range(7)]
@@ -269,12 +278,32 @@ def test_packing(docs, none):
         top = max(s for s, _ in hist)
         best = min(cost([top, x, y]) for x, _ in hist for y, _ in hist)
         assert cost(packing.optimal_bounds(hist, 3)) == best
-    out = packing.pack(docs, buckets=4, budget=500)
-    rows = out.collect()
-    assert len(rows) == len(ROWS) and out.columns[: len(docs.columns)] == docs.columns
-    batches = collections.Counter((r.bucket, r.batch) for r in rows)
-    assert all(n * max(b, 1) <= 500 or n == 1 for (b, _), n in batches.items() if b) and all(r.padding >= 0 for r in rows)
-    assert packing.pack_ids(none).count() == 0
+    assert packing.optimal_bounds([(7, 3)], 5) == [7] and packing.optimal_bounds([(0, 2), (9, 1)], 2) == [0, 9]
+    t, rows = Tokenizer.from_file(TOKENIZER), packing.pack(docs, TOKENIZER, buckets=4, budget=500).collect()
+    texts = collections.defaultdict(list)
+    for r in ROWS:
+        texts[r[0]].append(len(t.encode(r[1] or "", add_special_tokens=False).ids))
+    assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == sorted(((k, n) for k, x in texts.items() for n in x), key=repr)
+    sizes = collections.Counter(r.n_tokens for r in rows)
+    cost = lambda bounds: sum(n * (min(b for b in bounds if b >= s) - s) for s, n in sizes.items())
+    best = min(cost([max(sizes), *x]) for x in itertools.combinations(sorted(sizes), 3))
+    bounds = {r.bucket for r in rows}
+    assert len(bounds) <= 4 and bounds <= set(sizes) and sum(r.padding for r in rows) == cost(bounds) == best
+    for b in bounds:
+        inside, fit = [r for r in rows if r.bucket == b], max(1, 500 // max(b, 1))
+        assert all(r.n_tokens + r.padding == b and r.n_tokens <= b for r in inside) and all(r.n_tokens > max([x for x in bounds if x < b], default=-1) for r in inside)
+        assert sorted(r.batch * fit + r.place for r in inside) == list(range(len(inside))) and all(r.place < fit for r in inside)
+    assert packing.pack_ids(none, TOKENIZER).count() == 0
+    clash = docs.selectExpr("*", "1 bucket", "2 batch", "3 _n", "4 place", "5 Padding", "6 n_tokens", "7 _h", "8 _id", "9 `k.x`")
+    out = packing.pack(clash, length=F.char_length("text"))
+    assert out.columns == [*docs.columns, "_n", "_h", "_id", "k.x", *packing.RESULT] and out.count() == len(ROWS)
+
+
+def test_running_sums_of_many_slices(docs, monkeypatch):
+    want = rows_of(packing.pack_ids(docs, TOKENIZER), "doc_id", "bucket", "batch", "place")
+    mixed = rows_of(mixing.mix_report(docs), "doc_id", "taken")
+    monkeypatch.setattr(common, "SLICE_ROWS", 1 / 64)
+    assert rows_of(packing.pack_ids(docs, TOKENIZER), "doc_id", "bucket", "batch", "place") == want and rows_of(mixing.mix_report(docs), "doc_id", "taken") == mixed
 
 
 def test_token_files(spark, docs, none, tmp_path):
