@@ -39,6 +39,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """A point in the list of scratch tables, for `release`."""
+    return len(_made)
+
+
+def release(since: int) -> None:
+    """Removes the scratch tables made since then, but the last: what they were for has been written to it."""
+    for spark, path in _made[since:-1]:
+        remove(spark, path)
+    del _made[since:-1]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
