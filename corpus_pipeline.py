@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, minhash, mixing, packing, quality
-from tessera.llm.common import documents, written
+from tessera.llm.common import documents, mark, release, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its length bucket, batch and place; copies that the mix repeats are packed as rows."""
-    return packing.pack_ids(docs)
+    """Each document with its length in token ids, bucket, batch and place; copies that the mix repeats are packed as rows."""
+    return packing.pack_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", dissimilar), ("mixing", mixed), ("packing", packed)]
@@ -39,7 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(before)  # the stage's own tables and its predecessor's output
     return STAGES[-1][1](spark, docs, sf_dir)
