@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,8 +34,29 @@ def occurrences(c: Column | str, phrase: str) -> Column:
 
 
 def any_of(words_: list[str]) -> str:
-    """A pattern of whole words of lower-cased text: explicit letter classes, for \\b means different things to different engines."""
-    return r"(^|[^\p{L}])(" + "|".join(words_) + r")($|[^\p{L}])"
+    """A pattern of whole words of lower-cased text. What stands around a word is looked at, not consumed, so neighbours count each."""
+    return r"(?<!\p{L})(?:" + "|".join(words_) + r")(?!\p{L})"
+
+
+def _accents() -> tuple[str, str]:
+    """Precomposed Latin letters and their base letters, from the Unicode decompositions."""
+    plain = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+    return "".join(plain), "".join(plain.values())
+
+
+ACCENTS = _accents()
+
+
+def folded(c: Column | str) -> Column:
+    """Lower case, accents off, white space as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(_col(c), *ACCENTS)), r"\s+", " "))
+
+
+def listed(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A caller's list (lexicon, terms, rates) hinted for broadcast after its rows have been counted; a longer one is refused."""
+    if (n := df.limit(most + 1).count()) > most:
+        raise ValueError(f"a list of more than {most} rows ({n})")
+    return df.hint("broadcast")
 
 
 def ratio(n: Column | str, d: Column | str) -> Column:

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio, tokens
 
 
+#: Terms above a COMMON-th of all (document, term) rows are hot.
+COMMON = 1000
+
+
 def token_rows(turns: DataFrame, by: list[str], min_len: int = 1) -> DataFrame:
     """(by, pos, term): the tokens of a unit in the order of its turns."""
     t = turns.select(*by, "turn_index", F.posexplode(tokens("text", "[a-z]+", min_len)).alias("_p", "term"))
     return t.select(*by, "term", F.row_number().over(W.partitionBy(*by).orderBy("turn_index", "_p")).alias("pos"))
 
 
-def diversity(rows: DataFrame, by: list[str], window: int = 50) -> DataFrame:
-    """TTR and MATTR: a token is new in the windows that start after its last occurrence, so the distinct counts of all windows add up in
-    one pass; NULL for units shorter than the window."""
+def diversity(rows: DataFrame, by: list[str], *windows: int) -> DataFrame:
+    """TTR and, for each window, MATTR: a token is new in the windows that start after its last occurrence, so the distinct counts of all windows add
+    up in one pass; NULL for units shorter than the window."""
     n = F.count(F.lit(1)).over(W.partitionBy(*by))
     prev = F.coalesce(F.lag("pos").over(W.partitionBy(*by, "term").orderBy("pos")), F.lit(0))
     d = rows.withColumns({"_n": n, "_prev": prev})
-    lo, hi = F.greatest(F.col("_prev") + 1, F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.col("_n") - window + 1)
-    d = d.withColumn("_new", F.greatest(hi - lo + 1, F.lit(0)))
-    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("_prev") == 0).alias("types"), F.sum("_new").alias("_s"))
-    mattr = F.when(F.col("tokens") >= window, ratio("_s", F.lit(window) * (F.col("tokens") - window + 1)))
-    return g.select(*by, "tokens", "types", r6(ratio("types", "tokens")).alias("ttr"), r6(mattr).alias("mattr"))
+
+    def new(window: int) -> Column:
+        lo, hi = F.greatest(F.col("_prev") + 1, F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.col("_n") - window + 1)
+        return F.sum(F.greatest(hi - lo + 1, F.lit(0)))
+
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("_prev") == 0).alias("types"), *(new(w).alias(f"_s{w}") for w in windows))
+    mattr = lambda w: F.when(F.col("tokens") >= w, ratio(f"_s{w}", F.lit(w) * (F.col("tokens") - w + 1)))
+    return g.select(*by, "tokens", "types", r6(ratio("types", "tokens")).alias("ttr"), *(r6(mattr(w)).alias(f"mattr_{w}") for w in windows))
 
 
 def vocabulary_overlap(rows: DataFrame) -> DataFrame:
@@ -33,28 +40,37 @@ def vocabulary_overlap(rows: DataFrame) -> DataFrame:
     v = rows.select("session_id", "speaker_id", "term").distinct()
     n = v.groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("n"))
     b = v.withColumnRenamed("speaker_id", "sb")
-    shared = v.join(b, ["session_id", "term"]).where("speaker_id < sb").groupBy("session_id", "speaker_id", "sb").agg(F.count(F.lit(1)).alias("k"))
-    pairs = n.join(n.withColumnsRenamed({"speaker_id": "sb", "n": "nb"}), "session_id").where("speaker_id < sb").join(shared, ["session_id", "speaker_id", "sb"], "left")
+    shared = v.join(b.hint("merge"), ["session_id", "term"]).where("speaker_id < sb").groupBy("session_id", "speaker_id", "sb").agg(F.count(F.lit(1)).alias("k"))
+    pairs = n.join(n.withColumnsRenamed({"speaker_id": "sb", "n": "nb"}).hint("merge"), "session_id").where("speaker_id < sb").join(shared.hint("merge"), ["session_id", "speaker_id", "sb"], "left")
     k = F.coalesce("k", F.lit(0))
     return pairs.withColumn("j", k / (F.col("n") + F.col("nb") - k)).groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("j")).alias("jaccard"))
 
 
-def budgeted_overlap(rows: DataFrame, budget: int) -> DataFrame:
-    """Speakers' middle windows of `budget` tokens: pairwise Jaccard, Jensen-Shannon distance (base 2) and cosine of term counts, averaged over
-    pairs; speakers with fewer tokens are left out."""
-    n = F.count(F.lit(1)).over(W.partitionBy("session_id", "speaker_id"))
-    w = rows.withColumn("_n", n).where(F.col("_n") >= budget).withColumn("_o", F.floor((F.col("_n") - budget) / 2)).where((F.col("pos") > F.col("_o")) & (F.col("pos") <= F.col("_o") + budget))
-    c = w.groupBy("session_id", "speaker_id", "term").agg((F.count(F.lit(1)) / budget).alias("p"))
-    who = c.select("session_id", "speaker_id").distinct()
-    pairs = who.join(who.withColumnRenamed("speaker_id", "sb"), "session_id").where("speaker_id < sb")
-    a = pairs.join(c, ["session_id", "speaker_id"]).select("session_id", "speaker_id", "sb", "term", F.col("p").alias("x"))
-    b = pairs.join(c.withColumnsRenamed({"speaker_id": "sb", "p": "y"}), ["session_id", "sb"]).select("session_id", "speaker_id", "sb", "term", "y")
-    j = a.join(b, ["session_id", "speaker_id", "sb", "term"], "full").na.fill(0.0, ["x", "y"])
+def budgeted_overlap(rows: DataFrame, budget: int, windows: int = 10) -> DataFrame:
+    """Speakers' windows of `budget` tokens, evenly spread and all different: pairwise Jaccard, Jensen-Shannon distance (base 2) and cosine of term
+    counts, averaged over the pairs of each window and over windows. The speaker with the fewest places for a window sets their number. A session in
+    which a speaker has fewer than `budget` tokens, or with one speaker only, stays undefined."""
+    size = rows.groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("_n"))
+    least = size.groupBy("session_id").agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("speakers"))
+    k = F.least(F.lit(windows), F.col("_least") - budget + 1).cast("int")
+    least = least.withColumn("windows", F.when((F.col("_least") >= budget) & (F.col("speakers") > 1), k))
+    at = F.when(F.col("windows") == 1, F.array(F.floor((F.col("_n") - budget) / 2))).otherwise(F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.bround(i * (F.col("_n") - budget) / (F.col("windows") - 1)).cast("long")))
+    place = size.join(least.where("windows is not null").hint("merge"), "session_id").select("session_id", "speaker_id", at.alias("_at"))
+    w = rows.join(place.hint("merge"), ["session_id", "speaker_id"])
+    w = w.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: (F.col("pos") > F.get("_at", i)) & (F.col("pos") <= F.get("_at", i) + budget))))
+    c = w.groupBy("session_id", "i", "speaker_id", "term").agg((F.count(F.lit(1)) / budget).alias("p"))
+    who = place.select("session_id", "speaker_id")
+    pairs = who.join(who.withColumnRenamed("speaker_id", "sb").hint("merge"), "session_id").where("speaker_id < sb")
+    key = ["session_id", "i", "speaker_id", "sb", "term"]
+    a = pairs.join(c.hint("merge"), ["session_id", "speaker_id"]).select(*key, F.col("p").alias("x"))
+    b = pairs.join(c.withColumnsRenamed({"speaker_id": "sb", "p": "y"}).hint("merge"), ["session_id", "sb"]).select(*key, "y")
+    j = a.join(b.hint("merge"), key, "full").na.fill(0.0, ["x", "y"])
     m = (F.col("x") + F.col("y")) / 2
     kl = lambda v: F.when(F.col(v) > 0, F.col(v) * F.log2(F.col(v) / m)).otherwise(0.0)
     both, any_ = F.count_if((F.col("x") > 0) & (F.col("y") > 0)), F.count(F.lit(1))
-    g = j.groupBy("session_id", "speaker_id", "sb").agg((both / any_).alias("jac"), F.sqrt(F.greatest(F.sum(kl("x") + kl("y")) / 2, F.lit(0.0))).alias("js"), (F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("cos"))
-    return g.groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("jac")).alias("jaccard"), r6(F.avg("js")).alias("js"), r6(F.avg("cos")).alias("cosine"))
+    g = j.groupBy(*key[:-1]).agg((both / any_).alias("jac"), F.sqrt(F.greatest(F.sum(kl("x") + kl("y")) / 2, F.lit(0.0))).alias("js"), (F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("cos"))
+    g = g.groupBy("session_id").agg(r6(F.avg("jac")).alias("jaccard"), r6(F.avg("js")).alias("js"), r6(F.avg("cos")).alias("cosine"))
+    return least.join(g.hint("merge"), "session_id", "left").select("session_id", "speakers", "windows", "jaccard", "js", "cosine")
 
 
 def direction_verdict(values: DataFrame, a: str, b: str) -> DataFrame:
@@ -69,14 +85,18 @@ def tfidf(rows: DataFrame, doc: str) -> DataFrame:
     tf = rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = rows.select(doc).distinct().agg(F.count(F.lit(1)).alias("_n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
+    # a term with more than a COMMON-th of all rows goes to every row by broadcast, and there are fewer than COMMON of these; the rest are joined by merging
+    total = tf.agg(F.count(F.lit(1)).alias("_rows"))
+    often = F.broadcast(df.crossJoin(F.broadcast(total)).where(F.col("_df") * COMMON > F.col("_rows")).drop("_rows"))
+    rare = tf.join(often.select("term"), "term", "left_anti").join(df.hint("merge"), "term")
+    w = tf.join(often, "term").unionByName(rare).crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
     return w.select(doc, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc)))).alias("weight"))
 
 
 def cosine_pairs(vectors: DataFrame, block: str, doc: str) -> DataFrame:
     """Cosine of pairs of documents inside a block, as a join on terms."""
     b = vectors.select(block, F.col(doc).alias("other"), "term", F.col("weight").alias("_w"))
-    return vectors.join(b, [block, "term"]).where(F.col(doc) < F.col("other")).groupBy(block, doc, "other").agg(r6(F.sum(F.col("weight") * F.col("_w"))).alias("cosine"))
+    return vectors.join(b.hint("merge"), [block, "term"]).where(F.col(doc) < F.col("other")).groupBy(block, doc, "other").agg(r6(F.sum(F.col("weight") * F.col("_w"))).alias("cosine"))
 
 
 def length_bands(turns: DataFrame, edges: list[int]) -> DataFrame:
@@ -99,20 +119,20 @@ def mean_pairwise(vectors: DataFrame, group: str, doc: str) -> DataFrame:
     """Mean pairwise cosine distance inside a group of unit vectors, in closed form from the squared norm of their sum: linear in the texts."""
     n = vectors.select(group, doc).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     s = vectors.groupBy(group, "term").agg(F.sum("weight").alias("s")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("_q"))
-    return n.join(s, group).select(group, "n", r6(1 - ratio(F.col("_q") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("distance"))
+    return n.join(s.hint("merge"), group).select(group, "n", r6(1 - ratio(F.col("_q") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("distance"))
 
 
 def speaker_collapse(vectors: DataFrame, session: str, speaker: str, doc: str) -> DataFrame:
     """Mean cosine distance between speakers' centroids, and the mean distance of texts to their own centroid."""
     n = vectors.select(session, speaker, doc).distinct().groupBy(session, speaker).agg(F.count(F.lit(1)).alias("_n"))
-    c = vectors.groupBy(session, speaker, "term").agg(F.sum("weight").alias("_s")).join(n, [session, speaker]).select(session, speaker, "term", (F.col("_s") / F.col("_n")).alias("c"))
+    c = vectors.groupBy(session, speaker, "term").agg(F.sum("weight").alias("_s")).join(n.hint("merge"), [session, speaker]).select(session, speaker, "term", (F.col("_s") / F.col("_n")).alias("c"))
     norm = c.groupBy(session, speaker).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     d = c.select(session, F.col(speaker).alias("_b"), "term", F.col("c").alias("_c"))
-    dot = c.join(d, [session, "term"]).where(F.col(speaker) < F.col("_b")).groupBy(session, speaker, "_b").agg(F.sum(F.col("c") * F.col("_c")).alias("dot"))
-    pairs = norm.join(norm.withColumnsRenamed({speaker: "_b", "norm": "_nb"}), session).where(F.col(speaker) < F.col("_b")).join(dot, [session, speaker, "_b"], "left")
+    dot = c.join(d.hint("merge"), [session, "term"]).where(F.col(speaker) < F.col("_b")).groupBy(session, speaker, "_b").agg(F.sum(F.col("c") * F.col("_c")).alias("dot"))
+    pairs = norm.join(norm.withColumnsRenamed({speaker: "_b", "norm": "_nb"}).hint("merge"), session).where(F.col(speaker) < F.col("_b")).join(dot.hint("merge"), [session, speaker, "_b"], "left")
     between = pairs.groupBy(session).agg(r6(F.avg(1 - F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("_nb")))).alias("between"))
-    own = vectors.join(c, [session, speaker, "term"]).groupBy(session, speaker, doc).agg(F.sum(F.col("weight") * F.col("c")).alias("d")).join(norm, [session, speaker])
-    return own.groupBy(session).agg(r6(F.avg(1 - F.col("d") / F.col("norm"))).alias("within")).join(between, session)
+    own = vectors.join(c.hint("merge"), [session, speaker, "term"]).groupBy(session, speaker, doc).agg(F.sum(F.col("weight") * F.col("c")).alias("d")).join(norm.hint("merge"), [session, speaker])
+    return own.groupBy(session).agg(r6(F.avg(1 - F.col("d") / F.col("norm"))).alias("within")).join(between.hint("merge"), session)
 
 
 def recurring_ngrams(rows: DataFrame, n: int = 4, least: int = 4, top: int = 25) -> DataFrame:

@@ -14,7 +14,7 @@ def clause_markers(turns: DataFrame, lexicon: DataFrame, opening: int = 2) -> Da
     """At most one marker a clause (the first in lexicon order that starts it); divergence and alignment counts in the opening clauses
     and the whole turn, and the opening's label. lexicon: marker, kind, ord."""
     c = turns.select("session_id", "turn_index", F.posexplode(tx.clauses("text")).alias("k", "clause"))
-    found = c.join(lexicon.hint("broadcast"), F.expr("startswith(clause, marker)"), "left").groupBy("session_id", "turn_index", "k").agg(F.min_by("kind", "ord").alias("kind"))
+    found = c.join(tx.listed(lexicon), F.expr("startswith(clause, marker)"), "left").groupBy("session_id", "turn_index", "k").agg(F.min_by("kind", "ord").alias("kind"))
     n = lambda kind, test: F.count_if(F.coalesce((F.col("kind") == kind) & test, F.lit(False)))
     early, any_ = F.col("k") < opening, F.lit(True)
     got = found.groupBy("session_id", "turn_index").agg(
@@ -67,9 +67,9 @@ def anchors(turns: DataFrame, first_words: int = 40) -> DataFrame:
 
 def entity_density(entities: DataFrame, sizes: DataFrame, stop: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Entities without the stop list, classed by the gazetteer, per 100 words of the unit."""
-    kept = entities.join(stop, "entity", "left_anti").join(gazetteer, "entity", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
+    kept = entities.join(tx.listed(stop), "entity", "left_anti").join(tx.listed(gazetteer), "entity", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
     n = kept.groupBy("unit", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(sizes, "unit").select("unit", "kind", "n", r6(100 * ratio("n", "words")).alias("density"))
+    return n.join(sizes.hint("merge"), "unit").select("unit", "kind", "n", r6(100 * ratio("n", "words")).alias("density"))
 
 
 EXACT = {
@@ -95,14 +95,14 @@ def term_rates(turns: DataFrame, terms: DataFrame) -> DataFrame:
     """Whole-word hits of a term list per 100 words, by term."""
     t = turns.select("session_id", F.explode(tx.tokens("text", "[a-z]+")).alias("term")).groupBy("session_id", "term").agg(F.count(F.lit(1)).alias("n"))
     words = turns.groupBy("session_id").agg(F.sum("n_words").alias("words"))
-    return t.join(terms, "term").join(words, "session_id").select("session_id", "term", "n", r6(100 * ratio("n", "words")).alias("rate"))
+    return t.join(tx.listed(terms), "term").join(words.hint("merge"), "session_id").select("session_id", "term", "n", r6(100 * ratio("n", "words")).alias("rate"))
 
 
 def reference_density(turns: DataFrame, roster: DataFrame) -> DataFrame:
     """Share of participant turns that name another member of the session's roster (by token); names of two members don't count."""
     clear = roster.groupBy("session_id", "name").agg(F.min("speaker_id").alias("_who"), F.countDistinct("speaker_id").alias("_n")).where("_n = 1")
     t = turns.where("role = 'participant'").select("session_id", "turn_index", "speaker_id", F.explode_outer(F.array_distinct(tx.tokens("text", "[a-z]+"))).alias("name"))
-    hit = t.join(clear, ["session_id", "name"], "left").withColumn("_h", F.coalesce(F.col("_who") != F.col("speaker_id"), F.lit(False)))
+    hit = t.join(clear.hint("merge"), ["session_id", "name"], "left").withColumn("_h", F.coalesce(F.col("_who") != F.col("speaker_id"), F.lit(False)))
     per = hit.groupBy("session_id", "turn_index").agg(F.bool_or("_h").alias("h"))
     return per.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), r6(F.avg(F.col("h").cast("double"))).alias("density"))
 
@@ -112,12 +112,12 @@ def keyword_rate(turns: DataFrame, keywords: list[str]) -> DataFrame:
     return turns.where("role = 'participant'").groupBy("session_id").agg(r6(F.avg(any_.cast("double"))).alias("rate"))
 
 
-POLARITY = {"negated": tx.any_of("not no never nicht kein pas sin".split()), "frequent": tx.any_of("always often immer oft toujours siempre".split()), "change": tx.any_of("now anymore then jetzt mais pero".split())}
+POLARITY = {"negated": "not no never nicht kein pas sin".split(), "frequent": "always often immer oft toujours siempre".split(), "change": "now anymore then jetzt mais pero".split()}
 
 
 def polarity_contrast(turns: DataFrame) -> DataFrame:
     """Flags of each turn and its predecessor by the same speaker; a contrast if negation or frequency differ."""
-    f = turns.select("session_id", "speaker_id", "turn_index", *(F.lower("text").rlike(p).alias(k) for k, p in POLARITY.items()))
+    f = turns.select("session_id", "speaker_id", "turn_index", *(F.lower("text").rlike(tx.any_of(p)).alias(k) for k, p in POLARITY.items()))
     w = W.partitionBy("session_id", "speaker_id").orderBy("turn_index")
     f = f.withColumns({f"prev_{k}": F.lag(k).over(w) for k in ("negated", "frequent")})
     return f.select("session_id", "turn_index", *POLARITY, ((F.col("negated") != F.col("prev_negated")) | (F.col("frequent") != F.col("prev_frequent"))).alias("contrast"))

@@ -95,18 +95,30 @@ def sequence_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("session_id").agg(F.count("x").alias("n_a"), F.count("y").alias("n_b"), F.count_if(off).alias("mismatches"), F.min(F.when(off, F.col("pos"))).alias("first"))
 
 
+#: Shingles of a protected set that is broadcast (some 60 bytes each).
+PROTECTED = 500_000
+
+
 def shingles(df: DataFrame, key: str, n: int = 8) -> DataFrame:
-    """(key, shingle): hashes of the n-word sequences of lower-cased alphanumeric words."""
+    """(key, shingle): the distinct n-word sequences of lower-cased alphanumeric words."""
     t = tokens("text", "[a-z0-9]+")
     df = df.select(key, t.alias("t")).where(F.size("t") >= n)
-    return df.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.md5(F.array_join(F.slice("t", i + 1, n), " "))))).alias("shingle"))
+    return df.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.array_join(F.slice("t", i + 1, n), " ")))).alias("shingle"))
 
 
 def contamination(scanned: DataFrame, protected: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Scanned texts that share protected shingles which the allowed corpus doesn't have: how many, and of how many items."""
-    risky = protected.join(allowed.select("shingle"), "shingle", "left_anti")
-    hits = scanned.join(risky, "shingle")
-    return hits.groupBy("doc_id").agg(F.count_distinct("shingle").alias("shared"), F.count_distinct("item_id").alias("items"))
+    """Scanned texts that share protected shingles which the allowed corpus doesn't have: how many, of how many items, and the first three of them.
+
+    A protected set of at most PROTECTED shingles is broadcast, so the scanned shingles are met where they are made and only hits move; a larger one is
+    joined by merging on a 64-bit hash and the shingle itself."""
+    risky = protected.join(allowed.select("shingle").distinct().hint("merge"), "shingle", "left_anti").distinct()
+    if risky.limit(PROTECTED + 1).count() <= PROTECTED:
+        hits = scanned.join(F.broadcast(risky), "shingle")
+    else:
+        keyed = lambda df: df.withColumn("_h", F.xxhash64("shingle"))
+        hits = keyed(scanned).join(keyed(risky).hint("merge"), ["_h", "shingle"])
+    found = F.collect_set("shingle")
+    return hits.groupBy("doc_id").agg(F.size(found).cast("long").alias("shared"), F.count_distinct("item_id").alias("items"), F.slice(F.array_sort(found), 1, 3).alias("first_hits"))
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, least: float = 0.18, top: int = 2) -> DataFrame:

@@ -15,15 +15,20 @@ def _h(key: str, seed: str) -> Column:
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: str = "s") -> DataFrame:
     """n of each stratum (all of smaller ones) in hash order, with inclusion probability and weight."""
-    w = W.partitionBy(*strata)
-    d = df.withColumns({"_r": F.row_number().over(w.orderBy(_h(key, seed), key)), "stratum_size": F.count(F.lit(1)).over(w)}).where(F.col("_r") <= n)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size")).withColumnsRenamed({c: f"_{c}" for c in strata})
+    # the rank alone: each task passes on its first n of a stratum, so no task sorts a whole one
+    d = df.withColumn("_r", F.row_number().over(W.partitionBy(*strata).orderBy(_h(key, seed), key))).where(F.col("_r") <= n)
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    d = d.join(sizes.hint("merge"), same)
     p = F.least(F.lit(1.0), ratio(F.lit(n), "stratum_size"))
     return d.select(*strata, key, "stratum_size", r6(p).alias("inclusion"), r6(1 / p).alias("weight"))
 
 
 def round_robin(df: DataFrame, by: str, cell: list[str], key: str, n: int, seed: str = "s") -> DataFrame:
     """n per `by`, the cells drawn in turn by hash order."""
-    d = df.withColumn("_r", F.row_number().over(W.partitionBy(by, *cell).orderBy(_h(key, seed), key)))
+    d = df.withColumn("_r", F.row_number().over(W.partitionBy(by, *cell).orderBy(_h(key, seed), key))).where(F.col("_r") <= n)
     return d.withColumn("draw", F.row_number().over(W.partitionBy(by).orderBy("_r", *cell))).where(F.col("draw") <= n).select(by, *cell, key, "draw")
 
 
@@ -37,7 +42,8 @@ def quota_panel(df: DataFrame, quotas: DataFrame, category: str, key: str, sprea
     """Exact quotas per category; with `spread` at most one record of each of its values per category."""
     if spread:
         df = df.withColumn("_s", F.row_number().over(W.partitionBy(category, spread).orderBy(_h(key, seed), key))).where("_s = 1").drop("_s")
-    d = df.join(quotas, category).withColumn("_r", F.row_number().over(W.partitionBy(category).orderBy(_h(key, seed), key)))
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    d = df.withColumn("_r", F.row_number().over(W.partitionBy(category).orderBy(_h(key, seed), key))).where(F.col("_r") <= most).join(quotas.hint("merge"), category)
     return d.where(F.col("_r") <= F.col("quota")).select(category, key)
 
 

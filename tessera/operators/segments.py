@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import n_words, r6, ratio
 
 
@@ -69,7 +70,7 @@ def window_cut(turns: DataFrame, anchor: Column, closing: Column) -> DataFrame:
 def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """The latest question (by terms) that a moderator turn asks decides; a question opens once, as the successor of the highest opened so
     far; later asks are reformulations. questions: question, term."""
-    asks = turns.where("role = 'moderator'").join(questions.hint("broadcast"), F.expr("instr(lower(text), term) > 0"))
+    asks = turns.where("role = 'moderator'").join(tx.listed(questions), F.expr("instr(lower(text), term) > 0"))
     q = asks.groupBy("session_id", "turn_index").agg(F.max_by("question", F.struct(F.expr("instr(lower(text), term)"), "question")).alias("question"))
     before = by_turn().rowsBetween(W.unboundedPreceding, -1)
     first = F.row_number().over(W.partitionBy("session_id", "question").orderBy("turn_index")) == 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import n_words, r6, ratio
+from ..functions.text import n_words, r6, ratio, word_slice
 
 CELL = ["doc", "question", "participant"]
 
@@ -19,12 +19,12 @@ def cells(turns: DataFrame) -> DataFrame:
     return df.select(*CELL, "label", "text", n_words("text").alias("words"))
 
 
-def eligibility(cell: DataFrame, budgets: list[int]) -> DataFrame:
-    """For each word budget: folds with at least two participants who meet it in the held-out question and in another one."""
+def eligibility(cell: DataFrame, budgets: list[int], others: int = 2) -> DataFrame:
+    """For each word budget: folds with at least two participants who meet it in the held-out question and in `others` more."""
     b = cell.sparkSession.createDataFrame([(x,) for x in budgets], "budget int")
     j = cell.crossJoin(F.broadcast(b)).withColumn("ok", F.col("words") >= F.col("budget"))
     j = j.withColumn("_o", F.sum(F.col("ok").cast("int")).over(W.partitionBy("budget", "doc", "participant")) - F.col("ok").cast("int"))
-    f = j.groupBy("budget", "doc", "question").agg(F.count_if(F.col("ok") & (F.col("_o") >= 1)).alias("participants"))
+    f = j.groupBy("budget", "doc", "question").agg(F.count_if(F.col("ok") & (F.col("_o") >= others)).alias("participants"))
     return f.groupBy("budget").agg(F.count_if(F.col("participants") >= 2).alias("folds"), F.count_distinct(F.when(F.col("participants") >= 2, F.col("doc"))).alias("docs"))
 
 
@@ -38,22 +38,22 @@ def char_ngrams(cell: DataFrame, lo: int, hi: int) -> DataFrame:
     return g.groupBy(*CELL, "gram").agg(F.sum("_c").alias("tf"))
 
 
-def attribute(cell: DataFrame, lo: int = 3, hi: int = 3) -> DataFrame:
+def attribute(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Leave one question out: idf and speaker centroids come from a document's other questions only; each held-out cell goes to the nearest
     centroid (ties to the least participant). Gives one trial a cell: truth, guess, margin."""
     g = char_ngrams(cell, lo, hi)
     folds = cell.select("doc", F.col("question").alias("fold")).distinct()
-    train = g.join(folds, "doc").where(F.col("question") != F.col("fold"))
+    train = g.join(folds.hint("merge"), "doc").where(F.col("question") != F.col("fold"))
     n = cell.join(folds, "doc").where(F.col("question") != F.col("fold")).groupBy("doc", "fold").agg(F.count(F.lit(1)).alias("_n"))
-    idf = train.groupBy("doc", "fold", "gram").agg(F.count(F.lit(1)).alias("_df")).join(n, ["doc", "fold"]).select("doc", "fold", "gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
-    w = train.join(idf, ["doc", "fold", "gram"]).withColumn("x", F.col("tf") * F.col("idf"))
+    idf = train.groupBy("doc", "fold", "gram").agg(F.count(F.lit(1)).alias("_df")).join(n.hint("merge"), ["doc", "fold"]).select("doc", "fold", "gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    w = train.join(idf.hint("merge"), ["doc", "fold", "gram"]).withColumn("x", F.col("tf") * F.col("idf"))
     w = w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc", "fold", "question", "participant"))))
     c = w.groupBy("doc", "fold", F.col("participant").alias("candidate"), "gram").agg(F.sum("x").alias("c"))
     norm = c.groupBy("doc", "fold", "candidate").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    test = g.withColumn("fold", F.col("question")).join(idf, ["doc", "fold", "gram"]).select("doc", "fold", "participant", "gram", (F.col("tf") * F.col("idf")).alias("x"))
+    test = g.withColumn("fold", F.col("question")).join(idf.hint("merge"), ["doc", "fold", "gram"]).select("doc", "fold", "participant", "gram", (F.col("tf") * F.col("idf")).alias("x"))
     size = test.groupBy("doc", "fold", "participant").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("tn"))
-    d = test.join(c, ["doc", "fold", "gram"]).groupBy("doc", "fold", "participant", "candidate").agg(F.sum(F.col("x") * F.col("c")).alias("d"))
-    s = d.join(norm, ["doc", "fold", "candidate"]).join(size, ["doc", "fold", "participant"]).withColumn("sim", F.round(F.col("d") / (F.col("norm") * F.col("tn")), 9))
+    d = test.join(c.hint("merge"), ["doc", "fold", "gram"]).groupBy("doc", "fold", "participant", "candidate").agg(F.sum(F.col("x") * F.col("c")).alias("d"))
+    s = d.join(norm.hint("merge"), ["doc", "fold", "candidate"]).join(size.hint("merge"), ["doc", "fold", "participant"]).withColumn("sim", F.round(F.col("d") / (F.col("norm") * F.col("tn")), 9))
     rank = F.row_number().over(W.partitionBy("doc", "fold", "participant").orderBy(F.desc("sim"), "candidate"))
     s = s.withColumns({"_r": rank, "_k": F.count(F.lit(1)).over(W.partitionBy("doc", "fold", "participant"))})
     t = s.groupBy("doc", "fold", F.col("participant").alias("truth")).agg(F.max(F.when(F.col("_r") == 1, F.col("candidate"))).alias("guess"), F.max("_k").alias("candidates"), r6(F.max(F.when(F.col("_r") == 1, F.col("sim"))) - F.max(F.when(F.col("_r") == 2, F.col("sim")))).alias("margin"))
@@ -61,10 +61,14 @@ def attribute(cell: DataFrame, lo: int = 3, hi: int = 3) -> DataFrame:
 
 
 def trial_summary(trials: DataFrame) -> DataFrame:
-    """Accuracy, mean chance of the folds, and accuracy corrected for chance, per document."""
+    """Accuracy, mean chance of the folds, accuracy corrected for chance, and over the true speakers mean F1 and mean recall, per document."""
     hit, chance = (F.col("truth") == F.col("guess")).cast("double"), 1.0 / F.col("candidates")
     g = trials.groupBy("doc").agg(F.count(F.lit(1)).alias("trials"), F.avg(hit).alias("_a"), F.avg(chance).alias("_c"))
-    return g.select("doc", "trials", r6("_a").alias("accuracy"), r6("_c").alias("chance"), r6(ratio(F.col("_a") - F.col("_c"), 1 - F.col("_c"))).alias("corrected"))
+    sides = trials.select("doc", F.inline(F.array(*(F.struct(F.col(c).alias("_l"), F.lit(int(c == "truth")).alias("_t"), F.lit(int(c == "guess")).alias("_p"), (F.col("truth") == F.col("guess")).cast("int").alias("_h")) for c in ("truth", "guess")))))
+    by = sides.groupBy("doc", "_l").agg(F.sum("_t").alias("_t"), F.sum("_p").alias("_p"), (F.sum("_h") / 2).alias("_h")).where("_t > 0")
+    by = by.groupBy("doc").agg(F.avg(2 * F.col("_h") / (F.col("_t") + F.col("_p"))).alias("_f"), F.avg(F.col("_h") / F.col("_t")).alias("_r"))
+    rates = (r6("_a").alias("accuracy"), r6("_c").alias("chance"), r6(ratio(F.col("_a") - F.col("_c"), 1 - F.col("_c"))).alias("corrected"), r6("_f").alias("macro_f1"), r6("_r").alias("balanced_accuracy"))
+    return g.join(by.hint("merge"), "doc").select("doc", "trials", *rates)
 
 
 def hierarchical(summary: DataFrame, group: str) -> DataFrame:
@@ -72,31 +76,36 @@ def hierarchical(summary: DataFrame, group: str) -> DataFrame:
     return summary.groupBy(group).agg(F.count("accuracy").alias("docs"), r6(F.avg("accuracy")).alias("accuracy"), r6(F.avg("corrected")).alias("corrected"))
 
 
-def identity_gap(cell: DataFrame, lo: int = 3, hi: int = 3) -> DataFrame:
+def identity_gap(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Cosine of n-gram counts between cells of different questions: same speaker against different speakers within each question pair."""
     g = char_ngrams(cell, lo, hi)
     g = g.withColumn("x", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(*CELL))))
     b = g.select("doc", F.col("question").alias("qb"), F.col("participant").alias("pb"), "gram", F.col("x").alias("y"))
-    p = g.join(b, ["doc", "gram"]).where(F.col("question") < F.col("qb")).groupBy("doc", "question", "qb", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    p = g.join(b.hint("merge"), ["doc", "gram"]).where(F.col("question") < F.col("qb")).groupBy("doc", "question", "qb", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     same = F.col("participant") == F.col("pb")
     q = p.groupBy("doc", "question", "qb").agg(F.percentile(F.when(same, F.col("s")), F.lit(0.5)).alias("own"), F.percentile(F.when(~same, F.col("s")), F.lit(0.5)).alias("other"))
     return q.groupBy("doc").agg(F.count(F.lit(1)).alias("pairs"), r6(F.percentile(F.col("own") - F.col("other"), F.lit(0.5))).alias("gap"))
 
 
-def within_question(cell: DataFrame, lo: int = 3, hi: int = 3) -> DataFrame:
+def within_question(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Median cosine of different speakers' cells of one question, then over a document's questions."""
     g = char_ngrams(cell, lo, hi)
     g = g.withColumn("x", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(*CELL))))
     b = g.select("doc", "question", F.col("participant").alias("pb"), "gram", F.col("x").alias("y"))
-    p = g.join(b, ["doc", "question", "gram"]).where(F.col("participant") < F.col("pb")).groupBy("doc", "question", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    p = g.join(b.hint("merge"), ["doc", "question", "gram"]).where(F.col("participant") < F.col("pb")).groupBy("doc", "question", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     return p.groupBy("doc", "question").agg(F.percentile("s", F.lit(0.5)).alias("m")).groupBy("doc").agg(F.count(F.lit(1)).alias("questions"), r6(F.percentile("m", F.lit(0.5))).alias("similarity"))
 
 
-def sweep(cell: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
-    """The attribution summary over n-gram ranges, one axis varied."""
+def budgeted(cell: DataFrame, budget: int) -> DataFrame:
+    """Cells of at least `budget` words, cut to their first `budget`."""
+    return cell.where(F.col("words") >= budget).withColumn("text", word_slice("text", 1, budget))
+
+
+def sweep(cell: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
+    """The attribution summary over n-gram ranges and word budgets (lo, hi, budget), each recomputed end to end."""
     out = None
-    for lo, hi in settings:
-        t = attribute(cell, lo, hi).agg(F.count(F.lit(1)).alias("trials"), r6(F.avg((F.col("truth") == F.col("guess")).cast("double"))).alias("accuracy")).select(F.lit(f"{lo}-{hi}").alias("setting"), "trials", "accuracy")
+    for lo, hi, budget in settings:
+        t = attribute(budgeted(cell, budget), lo, hi).agg(F.count(F.lit(1)).alias("trials"), r6(F.avg((F.col("truth") == F.col("guess")).cast("double"))).alias("accuracy")).select(F.lit(f"{lo}-{hi}@{budget}").alias("setting"), "trials", "accuracy")
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -40,17 +40,19 @@ def match_key(c: Column | str, compatibility: bool = True) -> Column:
 
 
 def roster_scrub(turns: DataFrame, roster: DataFrame, placeholder: str = "[NAME]") -> DataFrame:
-    """Names of the session's roster (three letters at least, whole words, any case) replaced, with the number of hits."""
-    names = roster.where(F.char_length("name") >= 3).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set(F.lower("name"))), "|").alias("_n"))
-    pattern = F.concat(F.lit(r"(?i)(^|[^\p{L}])("), F.col("_n"), F.lit(r")($|[^\p{L}])"))
-    df = turns.join(names, "session_id", "left").withColumn("_p", F.coalesce(pattern, F.lit("$^")))
-    return df.withColumns({"scrubbed": F.expr(f"regexp_replace(text, _p, '$1{placeholder}$3')"), "hits": F.expr("regexp_count(text, _p)")}).drop("_n", "_p")
+    """Folded text (lower case, no accents, single spaces) in which each word of the session's roster names, of three letters or more, is replaced, with
+    the number of hits. Only a letter or digit of the Latin alphabet next to a name keeps it, so `David,` and `David's` are found, and neighbours both."""
+    part = roster.select("session_id", F.explode(F.split(tx.folded("name"), " ")).alias("_n")).where(F.col("_n").rlike(r"^\p{L}{3,}$"))
+    names = part.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("_n")), "|").alias("_n"))
+    pattern = F.concat(F.lit("(?<![a-z0-9])(?:"), F.col("_n"), F.lit(")(?![a-z0-9])"))
+    df = turns.join(names.hint("merge"), "session_id", "left").withColumns({"_p": F.coalesce(pattern, F.lit("$^")), "_t": tx.folded("text")})
+    return df.withColumns({"scrubbed": F.expr(f"trim(regexp_replace(_t, _p, '{placeholder}'))"), "hits": F.expr("regexp_count(_t, _p)")}).drop("_n", "_p", "_t")
 
 
 def leakage(texts: DataFrame, forbidden: DataFrame) -> DataFrame:
     """(token, texts, hits): in how many texts each forbidden token still stands. The token list is joined as a small dimension."""
     n = (F.char_length("text") - F.char_length(F.replace("text", "token", F.lit("")))) / F.char_length("token")
-    return texts.crossJoin(forbidden.hint("broadcast")).withColumn("n", n.cast("long")).groupBy("token").agg(F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").alias("hits"))
+    return texts.crossJoin(tx.listed(forbidden)).withColumn("n", n.cast("long")).groupBy("token").agg(F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").alias("hits"))
 
 
 def sentence_rows(turns: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def excerpts(turns: DataFrame, budget: int) -> DataFrame:
 def payload_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Flat JSON payloads by key: paths only in a, only in b, or with other values."""
     flat = lambda df, v: df.select(key, F.explode(F.from_json("payload", "map<string,string>")).alias("path", v))
-    j = flat(a, "va").join(flat(b, "vb"), [key, "path"], "full")
+    j = flat(a, "va").join(flat(b, "vb").hint("merge"), [key, "path"], "full")
     state = F.when(F.col("vb").isNull(), "only_a").when(F.col("va").isNull(), "only_b").when(F.col("va") != F.col("vb"), "differs").otherwise("same")
     return j.withColumn("state", state)
 

@@ -128,7 +128,8 @@ def set_differences(presence: DataFrame, reference: str) -> DataFrame:
 
 
 def greedy_matching(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs by falling similarity inside each block: (block, a, b, sim). A block is one small grouped task."""
+    """One-to-one pairs by falling similarity inside each block: (block, a, b, sim). A block is one grouped task, so blocks
+    have to be of bounded size."""
     def match(pdf):
         taken_a, taken_b, keep = set(), set(), []
         for r in pdf.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples(index=False):

@@ -57,7 +57,7 @@ def displacement(df: DataFrame) -> DataFrame:
     """Per speaker: distance from the first to the last turn, and whether the last is nearer the others' centroid (sum of all less own)."""
     own = df.groupBy("unit", "speaker").agg(F.min_by("v", "turn_index").alias("a"), F.max_by("v", "turn_index").alias("b"))
     s, all_ = sum_vectors(df, ["unit", "speaker"]), sum_vectors(df, ["unit"]).withColumnsRenamed({"s": "sa", "n": "na"})
-    j = own.join(s, ["unit", "speaker"]).join(all_, "unit").where("na > n").withColumn("o", F.zip_with("sa", "s", lambda x, y: x - y))
+    j = own.join(s.hint("merge"), ["unit", "speaker"]).join(all_.hint("merge"), "unit").where("na > n").withColumn("o", F.zip_with("sa", "s", lambda x, y: x - y))
     cos = lambda x, y: dot(x, y) / (norm(x) * norm(y))
     return j.select("unit", "speaker", r6(1 - cos("a", "b")).alias("moved"), (cos("b", "o") > cos("a", "o")).alias("converges"))
 
@@ -72,8 +72,8 @@ def dispersion(df: DataFrame) -> DataFrame:
     u = df.withColumn("v", unit("v"))
     s = sum_vectors(u, ["unit"])
     g = s.select("unit", "n", r6(1 - ratio(dot("s", "s") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("pairwise"), "s")
-    c = u.join(g.select("unit", "s"), "unit").groupBy("unit").agg(r6(F.avg(1 - dot("v", "s") / norm("s"))).alias("to_centroid"))
-    return g.drop("s").join(c, "unit")
+    c = u.join(g.select("unit", "s").hint("merge"), "unit").groupBy("unit").agg(r6(F.avg(1 - dot("v", "s") / norm("s"))).alias("to_centroid"))
+    return g.drop("s").join(c.hint("merge"), "unit")
 
 
 def redundancy(df: DataFrame, least: float = 0.7) -> DataFrame:
@@ -90,7 +90,7 @@ def differentiation(df: DataFrame) -> DataFrame:
     s = sum_vectors(u, ["unit", "speaker"]).withColumn("q", dot("s", "s"))
     w = s.groupBy("unit").agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
     a = sum_vectors(u, ["unit"]).select("unit", dot("s", "s").alias("_all"))
-    return w.join(a, "unit").select("unit", r6(ratio(F.col("q") - F.col("n"), F.col("n2") - F.col("n"))).alias("within"), r6(1 - ratio(F.col("_all") - F.col("q"), F.col("n") * F.col("n") - F.col("n2"))).alias("between"))
+    return w.join(a.hint("merge"), "unit").select("unit", r6(ratio(F.col("q") - F.col("n"), F.col("n2") - F.col("n"))).alias("within"), r6(1 - ratio(F.col("_all") - F.col("q"), F.col("n") * F.col("n") - F.col("n2"))).alias("between"))
 
 
 def paired_table(scores: DataFrame, key: str, condition: str, reference: str, others: list[str], value: str) -> DataFrame:

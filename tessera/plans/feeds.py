@@ -60,7 +60,7 @@ register("src07_long_metrics", lambda s, d: frozen(s, d).groupBy("metric_id", "r
     select o_orderstatus metric_id, (o_orderkey % 3)::int replicate, count(*) "rows", count(case when o_orderkey % 7 > 2 then o_totalprice end) n, round(sum(case when o_orderkey % 7 > 2 then o_totalprice end), 2) total from orders group by 1, 2""")
 register("src08_fixed_schema", lambda s, d: tr.to_schema(table(s, d, "nation").withColumn("extra", F.lit(1)), "n_name string, n_nationkey bigint, note string"), "", "select n_name, n_nationkey, null note from nation")
 register("src09_content_hash", lambda s, d: tr.content_hash(table(s, d, "documents"), ["doc_id", "lang", "text"], ["source"]), "", """
-    select "source", count(*) "rows", sha256(string_agg(h, '' order by h)) digest from (select "source", sha256(doc_id || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) h from documents) group by 1""")
+    select "source", sum(k)::bigint "rows", sha256(string_agg(d, '' order by b)) digest from (select "source", h[1:4] b, count(*) k, sha256(string_agg(h, '' order by h)) d from (select "source", sha256(doc_id || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) h from documents) group by 1, 2) group by 1""")
 register("src10_log_summary", lambda s, d: tr.log_summary(table(s, d, "events").withColumn("props", F.when(F.col("event_id") % 17 == 0, "oops").otherwise(F.col("props")))), "", """
     select event_type, count(*) n, count(*) filter (event_id % 17 = 0) corrupt, count(distinct user_id) sessions from events group by 1""")
 
@@ -70,18 +70,31 @@ def styled(s, d):
 
 
 STC = """sc as (select conv_id // 20 doc, turn % 3 question, "role" participant, string_agg(text, ' ' order by conv_id * 100 + turn) text from conversations where "role" <> 'system' group by 1, 2, 3), sw as (select *, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') w from sc)"""
-GR = STC + """, gw as (select doc, question, participant, ' ' || unnest(w) || ' ' w from sw), gg as (select doc, question, participant, unnest(case when length(w) <= 3 then [w] else list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) end) gram from gw), g as (select doc, question, participant, gram, count(*) tf from gg group by 1, 2, 3, 4)"""
+
+
+def grams_sql(sizes, budget=None):
+    """Cells (of at least `budget` words, cut to them) and their n-grams of the given sizes."""
+    cells_ = STC if budget is None else STC.replace("sc as", "s0 as").replace("from sc)", f"from s0), sc as (select * from sw0 where len(w) >= {budget}), sw as (select * replace (w[1:{budget}] as w) from sc)").replace("sw as (select *, list", "sw0 as (select *, list")
+    return cells_ + f""", gw as (select doc, question, participant, ' ' || unnest(w) || ' ' w from sw),
+    gg as (select doc, question, participant, unnest(flatten(list_transform({list(sizes)}, lambda n: case when length(w) <= n then [w] else list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) end))) gram from gw), g as (select doc, question, participant, gram, count(*) tf from gg group by 1, 2, 3, 4)"""
+
+
+GR = grams_sql((3, 4, 5))
 register("sty01_cells", lambda s, d: sty.cells(styled(s, d)).select("doc", "question", "participant", "label", "words"), "", f"""with {STC}
     select doc, question, participant, 'S' || dense_rank() over (partition by doc order by participant) "label", len(w) words from sw""")
 register("sty02_eligibility", lambda s, d: sty.eligibility(sty.cells(styled(s, d)), [100, 500, 900, 1500]), "", f"""with {STC}, j as (select doc, question, participant, budget, len(w) >= budget ok from sw cross join (select unnest([100, 500, 900, 1500]) budget)),
-    o as (select *, sum(ok::int) over (partition by budget, doc, participant) - ok::int o from j), f as (select budget, doc, question, count(*) filter (ok and o >= 1) p from o group by 1, 2, 3) select budget, count(*) filter (p >= 2) folds, count(distinct case when p >= 2 then doc end) docs from f group by 1""")
-ATT = GR + """, fo as (select distinct doc, question fold from sc), tr as (select g.*, fold from g join fo on fo.doc = g.doc and g.question <> fold), nn as (select sc.doc, fold, count(*) n from sc join fo on fo.doc = sc.doc and sc.question <> fold group by 1, 2),
+    o as (select *, sum(ok::int) over (partition by budget, doc, participant) - ok::int o from j), f as (select budget, doc, question, count(*) filter (ok and o >= 2) p from o group by 1, 2, 3) select budget, count(*) filter (p >= 2) folds, count(distinct case when p >= 2 then doc end) docs from f group by 1""")
+ATT_TAIL = """, fo as (select distinct doc, question fold from sc), tr as (select g.*, fold from g join fo on fo.doc = g.doc and g.question <> fold), nn as (select sc.doc, fold, count(*) n from sc join fo on fo.doc = sc.doc and sc.question <> fold group by 1, 2),
     idf as (select tr.doc, tr.fold, gram, ln((1 + any_value(n)) / (1 + count(*))::double) + 1 idf from tr join nn on nn.doc = tr.doc and nn.fold = tr.fold group by 1, 2, 3),
     w0 as (select tr.*, tf * idf x from tr join idf using (doc, fold, gram)), w1 as (select *, x / sqrt(sum(x * x) over (partition by doc, fold, question, participant)) y from w0), cc as (select doc, fold, participant cand, gram, sum(y) c from w1 group by 1, 2, 3, 4), cn as (select doc, fold, cand, sqrt(sum(c * c)) norm from cc group by 1, 2, 3),
     te as (select g.doc, g.question fold, participant, g.gram, tf * idf x from g join idf on idf.doc = g.doc and idf.fold = g.question and idf.gram = g.gram), tn as (select doc, fold, participant, sqrt(sum(x * x)) tn from te group by 1, 2, 3), dd as (select te.doc, te.fold, te.participant, cand, sum(te.x * cc.c) d from te join cc on cc.doc = te.doc and cc.fold = te.fold and cc.gram = te.gram group by 1, 2, 3, 4),
     ss as (select dd.*, round(d / (norm * tn), 9) sim from dd join cn using (doc, fold, cand) join tn using (doc, fold, participant)), rk as (select *, row_number() over (partition by doc, fold, participant order by sim desc, cand) r, count(*) over (partition by doc, fold, participant) k from ss),
     att as (select doc, fold, participant truth, max(case when r = 1 then cand end) guess, max(k) candidates, round(max(case when r = 1 then sim end) - max(case when r = 2 then sim end), 6) margin from rk group by 1, 2, 3)"""
-SUMM = ATT + """, sm as (select doc, count(*) trials, avg((truth = guess)::int) a, avg(1.0::double / candidates) c from att group by 1), su as (select doc, trials, round(a, 6) accuracy, round(c, 6) chance, round((a - c) / nullif(1 - c, 0), 6) corrected from sm)"""
+ATT = GR + ATT_TAIL
+SUMM = ATT + """, sm as (select doc, count(*) trials, avg((truth = guess)::int) a, avg(1.0::double / candidates) c from att group by 1),
+    lb as (select doc, truth l, count(*) n, count(*) filter (truth = guess) tp, (select count(*) from att b where b.doc = att.doc and b.guess = att.truth) pn from att group by 1, 2),
+    mf as (select doc, avg(2 * tp / (n + pn)::double) f, avg(tp / n::double) r from lb group by 1),
+    su as (select doc, trials, round(a, 6) accuracy, round(c, 6) chance, round((a - c) / nullif(1 - c, 0), 6) corrected, round(f, 6) macro_f1, round(r, 6) balanced_accuracy from sm join mf using (doc))"""
 trials = lambda s, d: sty.attribute(sty.cells(styled(s, d)))
 register("sty03_attribution", trials, "", f"with {ATT} select * from att")
 register("sty04_trial_summary", lambda s, d: sty.trial_summary(trials(s, d)), "", f"with {SUMM} select * from su")
@@ -93,7 +106,8 @@ register("sty07_hierarchical", lambda s, d: sty.hierarchical(sty.trial_summary(t
 register("sty08_pair_screen", lambda s, d: sty.pair_screen(styled(s, d).withColumn("doc", F.floor(F.col("ord") / 100)), 25, 3), "", r"""
     with t as (select conv_id doc, "role" participant, turn % 3 question, conv_id * 100 + turn ord, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) t from conversations where "role" <> 'system' and len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) >= 25),
     j as (select a.doc, a.participant, a.ord, b.ord ob, len(list_intersect(a.t, b.t)) shared, len(list_distinct(list_concat(a.t, b.t))) u from t a join t b on a.doc = b.doc and a.participant = b.participant and a.question < b.question) select doc, participant, ord, ob, shared, round(shared / u::double, 6) jaccard, shared / u::double < 0.12 far from j where shared >= 3""")
-register("sty09_sweep", lambda s, d: sty.sweep(sty.cells(styled(s, d)), [(3, 3), (2, 3)]))
+SWEEP = [(3, 5, 100), (3, 5, 50), (3, 5, 150), (3, 3, 100), (2, 3, 100)]
+register("sty09_sweep", lambda s, d: sty.sweep(sty.cells(styled(s, d)), SWEEP), "", " union all ".join(f"select '{lo}-{hi}@{b}' setting, trials, accuracy from (with {grams_sql(range(lo, hi + 1), b)}{ATT_TAIL} select count(*) trials, round(avg((truth = guess)::int), 6) accuracy from att)" for lo, hi, b in SWEEP))
 
 log = lambda s, d: us.read_log(s, f"{d}/events.parquet")
 

@@ -12,19 +12,21 @@ from .registry import register
 
 TOK = """tok0 as (select {by}, turn_index, unnest(regexp_extract_all(lower(text), '[a-z]+')) term, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) p from {t}),
     tok as (select {by}, term, row_number() over (partition by {by} order by turn_index, p) pos from tok0)"""
-register("lex01_diversity", lambda s, d: lx.diversity(lx.token_rows(turns(s, d), ["session_id", "speaker_id"]), ["session_id", "speaker_id"], 50), "turns", TOK.format(by="session_id, speaker_id", t="turns") + """,
+register("lex01_diversity", lambda s, d: lx.diversity(lx.token_rows(turns(s, d), ["session_id", "speaker_id"]), ["session_id", "speaker_id"], 50, 100, 200), "turns", TOK.format(by="session_id, speaker_id", t="turns") + """,
     l as (select session_id, speaker_id, list(term order by pos) x from tok group by 1, 2)
-    select session_id, speaker_id, len(x) tokens, len(list_distinct(x)) types, round(len(list_distinct(x)) / len(x)::double, 6) ttr, case when len(x) >= 50 then round(list_avg(list_transform(range(1, len(x) - 48), lambda i: len(list_distinct(x[i:i + 49])))) / 50, 6) end mattr from l""")
+    select session_id, speaker_id, len(x) tokens, len(list_distinct(x)) types, round(len(list_distinct(x)) / len(x)::double, 6) ttr, """ + ", ".join(f"case when len(x) >= {w} then round(list_avg(list_transform(range(1, len(x) - {w - 2}), lambda i: len(list_distinct(x[i:i + {w - 1}])))) / {w}, 6) end mattr_{w}" for w in (50, 100, 200)) + " from l")
 register("lex02_vocabulary_overlap", lambda s, d: lx.vocabulary_overlap(lx.token_rows(panel(s, d), ["session_id", "speaker_id"])), "panel", """
     v as (select session_id, speaker_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')))) x from panel group by 1, 2)
     select a.session_id, count(*) pairs, round(avg(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::double), 6) jaccard from v a join v b on a.session_id = b.session_id and a.speaker_id < b.speaker_id where len(a.x) > 0 and len(b.x) > 0 group by 1""")
 register("lex03_budgeted_overlap", lambda s, d: lx.budgeted_overlap(lx.token_rows(turns(s, d).where("role is not null"), ["session_id", "speaker_id"]), 100), "turns", TOK.format(by="session_id, speaker_id", t="""(select * from turns where "role" is not null)""") + """,
-    n as (select *, count(*) over (partition by session_id, speaker_id) n from tok), w as (select * from n where n >= 100 and pos > (n - 100) // 2 and pos <= (n - 100) // 2 + 100), c as (select session_id, speaker_id, term, count(*) / 100.0::double p from w group by 1, 2, 3),
-    h as (select distinct session_id, speaker_id from c), q as (select a.session_id, a.speaker_id, b.speaker_id sb from h a join h b on a.session_id = b.session_id and a.speaker_id < b.speaker_id),
-    x as (select q.*, term, p from q join c on c.session_id = q.session_id and c.speaker_id = q.speaker_id), y as (select q.*, term, p from q join c on c.session_id = q.session_id and c.speaker_id = q.sb),
-    j as (select session_id, speaker_id, sb, coalesce(x.p, 0) x, coalesce(y.p, 0) y from x full join y using (session_id, speaker_id, sb, term)),
-    g as (select session_id, speaker_id, sb, count(*) filter (x > 0 and y > 0) / count(*)::double jac, sqrt(greatest(sum(case when x > 0 then x * log2(x / ((x + y) / 2)) else 0 end + case when y > 0 then y * log2(y / ((x + y) / 2)) else 0 end) / 2, 0)) js, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) cs from j group by 1, 2, 3)
-    select session_id, count(*) pairs, round(avg(jac), 6) jaccard, round(avg(js), 6) js, round(avg(cs), 6) cosine from g group by 1""")
+    n as (select session_id, speaker_id, count(*) n from tok group by 1, 2), l as (select session_id, count(*) speakers, case when min(n) >= 100 and count(*) > 1 then least(10, min(n) - 99) end windows from n group by 1),
+    o as (select n.session_id, speaker_id, i, case when windows = 1 then (n - 100) // 2 else round_even(i * (n - 100) / (windows - 1)::double, 0)::bigint end o from n join l using (session_id), unnest(range(windows)) t(i)),
+    c as (select o.session_id, o.i, o.speaker_id, term, count(*) / 100.0::double p from o join tok on tok.session_id = o.session_id and tok.speaker_id = o.speaker_id and pos > o and pos <= o + 100 group by 1, 2, 3, 4),
+    h as (select distinct session_id, i, speaker_id from c), q as (select a.session_id, a.i, a.speaker_id, b.speaker_id sb from h a join h b on a.session_id = b.session_id and a.i = b.i and a.speaker_id < b.speaker_id),
+    x as (select q.*, term, p from q join c on c.session_id = q.session_id and c.i = q.i and c.speaker_id = q.speaker_id), y as (select q.*, term, p from q join c on c.session_id = q.session_id and c.i = q.i and c.speaker_id = q.sb),
+    j as (select session_id, i, speaker_id, sb, coalesce(x.p, 0) x, coalesce(y.p, 0) y from x full join y using (session_id, i, speaker_id, sb, term)),
+    g as (select session_id, i, speaker_id, sb, count(*) filter (x > 0 and y > 0) / count(*)::double jac, sqrt(greatest(sum(case when x > 0 then x * log2(x / ((x + y) / 2)) else 0 end + case when y > 0 then y * log2(y / ((x + y) / 2)) else 0 end) / 2, 0)) js, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) cs from j group by 1, 2, 3, 4)
+    select l.session_id, any_value(speakers) speakers, any_value(windows) windows, round(avg(jac), 6) jaccard, round(avg(js), 6) js, round(avg(cs), 6) cosine from l left join g on g.session_id = l.session_id group by 1""")
 spec = lambda s, d: panel(s, d).withColumn("spec", F.col("section")).withColumn("value", F.col("n_words").cast("double"))
 register("lex04_direction", lambda s, d: lx.direction_verdict(spec(s, d), "a", "b"), "panel", """
     m as (select section spec, "condition", group_id, avg(n_words) v from panel group by 1, 2, 3), c as (select spec, "condition", avg(v) v, count(v) n from m group by 1, 2)

@@ -109,15 +109,15 @@ seq = lambda df, label: df.select("session_id", F.row_number().over(pr.by_turn()
 register("jn10_sequence_diff", lambda s, d: pr.sequence_diff(seq(turns(s, d), "speaker_id"), seq(turns(s, d).where("speaker_id != 'system'"), "speaker_id")), "turns", """
     a as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id x from turns), b as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id y from turns where speaker_id <> 'system')
     select session_id, count(x) n_a, count(y) n_b, count(*) filter (x is distinct from y) mismatches, min(case when x is distinct from y then pos end) "first" from a full join b using (session_id, pos) group by 1""")
-SH = "list_distinct(list_transform(range(len(t) - 7), lambda i: md5(array_to_string(t[i + 1:i + 8], ' '))))"
+SH = "list_distinct(list_transform(range(len(t) - 7), lambda i: array_to_string(t[i + 1:i + 8], ' ')))"
 register("jn11_contamination", lambda s, d: pr.contamination(pr.shingles(table(s, d, "documents"), "doc_id"), pr.shingles(table(s, d, "benchmark"), "item_id"), pr.shingles(table(s, d, "benchmark").where("item_id = 0"), "item_id")), "", f"""
     with b as (select item_id, unnest({SH}) h from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from benchmark) where len(t) >= 8), x as (select doc_id, unnest({SH}) h from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents) where len(t) >= 8),
-    r as (select * from b where h not in (select h from b where item_id = 0)) select doc_id, count(distinct h) shared, count(distinct item_id) items from x join r using (h) group by 1""")
+    r as (select * from b where h not in (select h from b where item_id = 0)) select doc_id, count(distinct h) shared, count(distinct item_id) items, list_sort(list_distinct(list(h)))[1:3] first_hits from x join r using (h) group by 1""")
 register("jn12_candidate_pairs", lambda s, d: pr.candidate_pairs(
-    table(s, d, "part").select((F.col("p_partkey") % 50).alias("block"), F.col("p_partkey").alias("ia"), F.col("p_name").alias("la"), F.split("p_name", " ").alias("ta")).where("ia % 2 = 0"),
-    table(s, d, "part").select((F.col("p_partkey") % 50).alias("block"), F.col("p_partkey").alias("ib"), F.col("p_name").alias("lb"), F.split("p_name", " ").alias("tb")).where("ib % 4 = 2")), "", """
-    with p as (select p_partkey % 50 block, p_partkey i, p_name l, list_distinct(string_split(p_name, ' ')) t from part),
-    j as (select a.block, a.i ia, b.i ib, round(0.75 * (len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double) + 0.25 * (1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l))::double), 6) sim from p a join p b using (block) where a.i % 2 = 0 and b.i % 4 = 2),
+    table(s, d, "part").select(F.floor(F.col("p_partkey") / 60).alias("block"), F.col("p_partkey").alias("ia"), F.col("p_name").alias("la"), F.split("p_name", " ").alias("ta")).where("ia % 2 = 0"),  # even keys meet odd ones
+    table(s, d, "part").select(F.floor(F.col("p_partkey") / 60).alias("block"), F.col("p_partkey").alias("ib"), F.col("p_name").alias("lb"), F.split("p_name", " ").alias("tb")).where("ib % 2 = 1")), "", """
+    with p as (select p_partkey // 60 block, p_partkey i, p_name l, list_distinct(string_split(p_name, ' ')) t from part),
+    j as (select a.block, a.i ia, b.i ib, round(0.75 * (len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double) + 0.25 * (1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l))::double), 6) sim from p a join p b using (block) where a.i % 2 = 0 and b.i % 2 = 1),
     r as (select *, row_number() over (partition by block, ia order by sim desc, ib) x, row_number() over (partition by block, ib order by sim desc, ia) y from j) select block, ia, ib, sim, x <= 2 or y <= 2 or sim >= 0.18 candidate from r""")
 register("jn13_reconcile", lambda s, d: pr.reconcile(table(s, d, "orders").select(F.col("o_custkey").alias("id")), table(s, d, "customer").select(F.col("c_custkey").alias("id")).where("id % 3 != 0"), "id"), "", """
     with a as (select o_custkey id, count(*) n_a from orders group by 1), b as (select c_custkey id, count(*) n_b from customer where c_custkey % 3 <> 0 group by 1)

@@ -54,11 +54,11 @@ register("sta07_sign_test", lambda s, d: st.sign_test(diffs(s, d).withColumn("ha
 register("sta08_wilson_gate", lambda s, d: st.wilson_gate(table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("unit")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count(F.lit(1)).alias("n")), 0.34, 0.32), "", """
     with c as (select o_custkey % 40 unit, count(*) filter (o_orderstatus = 'F') k, count(*) n from orders group by 1), w as (select *, 1.96::double z, k / n::double p from c), b as (select *, (p + z * z / (2 * n)) / (1 + z * z / n) m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) h from w)
     select unit, k, n, round(greatest(0, m - h), 6) "lower", round(least(1, m + h), 6) "upper", case when m - h >= 0.32 then 'pass' when m + h < 0.34 then 'fail' else 'open' end decision from b""")
-XY = """xy as (select p_size % 10 block, p_partkey item, p_size::double x, round(p_retailprice / 50)::double y from part where p_partkey % 5 = 0)"""
+XY = """xy as (select p_partkey // 200 block, p_partkey item, p_size::double x, round(p_retailprice / 50)::double y from part)"""
 
 
 def xy(s, d):
-    return table(s, d, "part").where("p_partkey % 5 = 0").select((F.col("p_size") % 10).alias("block"), F.col("p_partkey").alias("item"), F.col("p_size").cast("double").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))
+    return table(s, d, "part").select(F.floor(F.col("p_partkey") / 200).alias("block"), F.col("p_partkey").alias("item"), F.col("p_size").cast("double").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))
 
 
 RHO = """rk as (select *, rank() over (partition by block order by x) + (count(*) over (partition by block, x) - 1) / 2.0::double rx, rank() over (partition by block order by y) + (count(*) over (partition by block, y) - 1) / 2.0::double ry from xy),

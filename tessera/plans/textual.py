@@ -33,10 +33,13 @@ def roster(s, d):
 
 ROSTER = r"""roster as (select session_id, speaker_id, regexp_extract(lower(arg_min(text, turn_index)), '[a-z]{5,}') "name" from panel where "role" = 'participant' group by 1, 2)"""
 
+#: Words of the folded text and what lies between them, put together again with the names replaced.
 register("prj05_roster_scrub", lambda s, d: op.roster_scrub(panel(s, d), roster(s, d)).select("session_id", "turn_index", "hits", F.md5("scrubbed").alias("scrubbed_md5")), "panel", ROSTER + r""",
-    n as (select session_id, string_agg(distinct lower("name"), '|' order by lower("name")) p from roster where length("name") >= 3 group by 1),
-    j as (select panel.*, coalesce('(?i)(^|[^\p{L}])(' || p || ')($|[^\p{L}])', '$^') q from panel left join n using (session_id))
-    select session_id, turn_index, len(regexp_extract_all(text, q))::int hits, md5(regexp_replace(text, q, '\1[NAME]\3', 'g')) scrubbed_md5 from j""")
+    n as (select session_id, list(distinct "name") p from roster where length("name") >= 3 group by 1),
+    f as (select session_id, turn_index, coalesce(p, []) p, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) t from panel left join n using (session_id)),
+    k as (select *, regexp_extract_all(t, '[a-z0-9]+') w, string_split_regex(t, '[a-z0-9]+') g from f)
+    select session_id, turn_index, len(list_filter(w, lambda x: list_contains(p, x)))::int hits,
+    md5(trim(array_to_string(list_transform(list_zip(g, w), lambda z: z[1] || case when z[2] is null then '' when list_contains(p, z[2]) then '[NAME]' else z[2] end), ''))) scrubbed_md5 from k where t is not null""")
 register("prj06_leakage", lambda s, d: op.leakage(table(s, d, "documents").select("text"), s.createDataFrame([("token =",), ("@mail",), ("License",), ("the ",)], "token string")), "", """
     select token, count(*) filter (n > 0) texts, sum(n)::bigint hits from (select token, ((length(text) - length(replace(text, token, ''))) / length(token))::bigint n from documents cross join (select unnest(['token =', '@mail', 'License', 'the ']) token)) group by 1""")
 register("prj07_sentences", lambda s, d: op.sentence_rows(turns(s, d)), "turns", f"""select session_id, turn_index, unnest({SENT}) sentence, generate_subscripts({SENT}, 1) - 1 sentence_index from turns""")
@@ -64,8 +67,11 @@ register("mrk01_clause_markers", lambda s, d: mk.clause_markers(turns(s, d), s.c
     g as (select session_id, turn_index, count(*) clauses, count(*) filter (kind = 'divergence' and k < 2) d1_div, count(*) filter (kind = 'alignment' and k < 2) d1_align, count(*) filter (kind = 'divergence') div_full, count(*) filter (kind = 'alignment') align_full from f group by 1, 2)
     select *, case when d1_div > 0 and d1_align > 0 then 'mixed' when d1_div > 0 then 'divergence' when d1_align > 0 then 'alignment' else 'none' end "label" from g""")
 
-FAMILIES = {"first_person": tx.any_of("i ich je yo".split()), "hedge": tx.any_of("or oder ou o".split()), "function": tx.any_of("the of and der die und la le de el los".split())}
-FAM_SQL = ", ".join(f"sum(len(regexp_extract_all(lower(text), '{p}')))::bigint {k}_n" for k, p in FAMILIES.items())
+FAM_WORDS = {"first_person": "i ich je yo".split(), "hedge": "or oder ou o".split(), "function": "the of and der die und la le de el los".split()}
+FAMILIES = {k: tx.any_of(x) for k, x in FAM_WORDS.items()}
+#: The same hits, counted on the letter runs of a text.
+ON_WORDS = r"len(list_filter(string_split_regex(lower({0}), '[^\p{{L}}]+'), lambda x: x in {1}))"
+FAM_SQL = ", ".join(f"sum({ON_WORDS.format('text', tuple(x))})::bigint {k}_n" for k, x in FAM_WORDS.items())
 STYLE = f"""st as (select session_id, speaker_id, sum(n_words)::bigint words, len(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+'))))) ty, sum(len(regexp_extract_all(lower(text), '[a-z]+'))) tk, sum(len({SENT})) ns, {FAM_SQL} from turns group by 1, 2),
     rates as (select session_id, speaker_id, words, round(ty / nullif(tk, 0)::double, 6) ttr, round(words / nullif(ns, 0)::double, 6) sentence_words, {", ".join(f"round(100 * (({k}_n)::double / nullif(words, 0)), 6) {k}" for k in FAMILIES)} from st)"""
 register("mrk02_style_rates", lambda s, d: mk.style_rates(turns(s, d), FAMILIES), "turns", STYLE + " select * from rates")
@@ -78,9 +84,9 @@ register("mrk04_artefacts", lambda s, d: mk.pattern_counts(panel(s, d), ART), "p
 register("mrk05_phrase_hits", lambda s, d: mk.phrase_hits(turns(s, d), ["the ", "la ", "und "]), "turns", """
     h as (select session_id, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 + (length(lower(text)) - length(replace(lower(text), 'la ', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'und ', ''))) // 4 n from turns where "role" = 'moderator')
     select session_id, count(*) entries, count(*) filter (n > 0) with_hits, sum(n)::bigint hits, round(count(*) filter (n > 0) / count(*)::double, 6) rate, round(sum(n) / count(*)::double, 6) per_entry from h group by 1""")
-ANCH = {"numbers": ("text", "[0-9]+"), "times": ("lower(text)", tx.any_of("monday tuesday today yesterday january year week day".split())), "names": ("text", "[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)")}
+ANCH = {"numbers": "len(regexp_extract_all({0}, '[0-9]+'))", "times": ON_WORDS.replace("{1}", str(tuple("monday tuesday today yesterday january year week day".split()))), "names": "len(regexp_extract_all({0}, '[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)'))"}
 register("mrk06_anchors", lambda s, d: mk.anchors(panel(s, d)), "panel", f"""
-    p as (select *, array_to_string(({W_})[1:40], ' ') part from panel) select session_id, turn_index, """ + ", ".join(f"len(regexp_extract_all({e}, '{p}'))::int {k}, len(regexp_extract_all({e.replace('text', 'part')}, '{p}'))::int {k}_first" for k, (e, p) in ANCH.items()) + " from p")
+    p as (select *, array_to_string(({W_})[1:40], ' ') part from panel) select session_id, turn_index, """ + ", ".join(f"{e.format('text')}::int {k}, {e.format('part')}::int {k}_first" for k, e in ANCH.items()) + " from p")
 STOP, GAZ = ["the", "and", "der", "und", "la"], [("that", "place"), ("with", "place"), ("les", "thing"), ("ein", "thing")]
 register("mrk07_entity_density", lambda s, d: mk.entity_density(panel(s, d).select(F.col("session_id").alias("unit"), F.explode(tx.tokens("text", "[a-z]+", 3)).alias("entity")), panel(s, d).groupBy(F.col("session_id").alias("unit")).agg(F.sum("n_words").alias("words")), s.createDataFrame([(x,) for x in STOP], "entity string"), s.createDataFrame(GAZ, "entity string, kind string")), "panel", f"""
     e as (select session_id unit, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3)) entity from panel), w as (select session_id unit, sum(n_words) words from panel group by 1),
@@ -101,7 +107,7 @@ register("mrk11_reference_density", lambda s, d: mk.reference_density(panel(s, d
     select session_id, count(*) turns, round(avg(h::int), 6) density from h group by 1""")
 register("mrk12_keyword_rate", lambda s, d: mk.keyword_rate(turns(s, d), ["yes", "oui", "genau", "claro", "than"]), "turns", """
     select session_id, round(avg((contains(lower(text), 'yes') or contains(lower(text), 'oui') or contains(lower(text), 'genau') or contains(lower(text), 'claro') or contains(lower(text), 'than'))::int), 6) rate from turns where "role" = 'participant' group by 1""")
-register("mrk13_polarity_contrast", lambda s, d: mk.polarity_contrast(panel(s, d)), "panel", "f as (select session_id, speaker_id, turn_index, " + ", ".join(f"regexp_matches(lower(text), '{p}') {k}" for k, p in mk.POLARITY.items()) + """ from panel),
+register("mrk13_polarity_contrast", lambda s, d: mk.polarity_contrast(panel(s, d)), "panel", "f as (select session_id, speaker_id, turn_index, " + ", ".join(f"{ON_WORDS.format('text', tuple(x))} > 0 {k}" for k, x in mk.POLARITY.items()) + """ from panel),
     g as (select *, lag(negated) over w pn, lag(frequent) over w pf from f window w as (partition by session_id, speaker_id order by turn_index)) select session_id, turn_index, negated, frequent, change, (negated <> pn or frequent <> pf) contrast from g""")
 register("mrk14_residue", lambda s, d: mk.residue(panel(s, d), ["token", "mail", "license", "apache", "com"]), "panel", r"""
     c as (select session_id, turn_index, list_filter([case when regexp_matches(text, '[0-9]{4}') then 'digits' end, case when regexp_matches(text, 'https?://|www[.]') then 'url' end, case when regexp_matches(text, '[\[\]{}]') then 'bracket' end,

@@ -88,13 +88,14 @@ register("thm16_set_differences", lambda s, d: th.set_differences(presence(s, d)
 
 
 def part_pairs(s, d):
+    """Even part keys against odd ones, in blocks of 60 neighbouring keys: blocks don't grow with the table."""
     p = table(s, d, "part")
-    a = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 40).alias("block"), F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x"), F.col("p_size").alias("sa"))
-    b = p.where("p_partkey % 3 = 1").select((F.col("p_partkey") % 40).alias("block"), F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("y"), F.col("p_size").alias("sb"))
+    a = p.where("p_partkey % 2 = 0").select(F.floor(F.col("p_partkey") / 60).alias("block"), F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x"), F.col("p_size").alias("sa"))
+    b = p.where("p_partkey % 2 = 1").select(F.floor(F.col("p_partkey") / 60).alias("block"), F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("y"), F.col("p_size").alias("sb"))
     return a.join(b, "block").withColumns({"sim": F.round(1 / (1 + F.abs(F.col("x") - F.col("y"))), 6), "judged": F.abs(F.col("sa") - F.col("sb")) < 5})
 
 
-PP = """pp as (select a.p_partkey % 40 block, a.p_partkey a, b.p_partkey b, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 6) sim, abs(a.p_size - b.p_size) < 5 judged, abs(a.p_size - b.p_size) ds from part a join part b on a.p_partkey % 40 = b.p_partkey % 40 where a.p_partkey % 3 = 0 and b.p_partkey % 3 = 1)"""
+PP = """pp as (select a.p_partkey // 60 block, a.p_partkey a, b.p_partkey b, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 6) sim, abs(a.p_size - b.p_size) < 5 judged, abs(a.p_size - b.p_size) ds from part a join part b on a.p_partkey // 60 = b.p_partkey // 60 where a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1)"""
 register("thm17_greedy_matching", lambda s, d: th.greedy_matching(part_pairs(s, d).select("block", "a", "b", "sim")))
 register("thm18_judge_disagreement", lambda s, d: th.judge_disagreement(part_pairs(s, d).select("block", "a", "b", "sim", "judged"), 0.05, 0.3), "", f"with {PP} select block, a, b, sim, judged, case when judged then 'yes_but_dissimilar' else 'no_but_similar' end kind from pp where (judged and sim < 0.05) or (not judged and sim > 0.3)")
 register("thm19_pair_states", lambda s, d: th.pair_states(part_pairs(s, d).withColumn("decision", F.when(F.abs(F.col("sa") - F.col("sb")) < 1, "yes").when(F.col("judged") & (F.col("b") % 4 == 0), "unsure").otherwise("no"))), "", f"""with {PP},
@@ -128,7 +129,7 @@ register("thm26_cross_rater", lambda s, d: th.cross_rater(table(s, d, "documents
 register("thm27_extend_taxonomy", lambda s, d: th.extend_taxonomy(table(s, d, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 150).alias("cluster"), (F.col("o_custkey") % 150 > 98).alias("is_new"), (F.col("o_orderkey") % 17 == 0).alias("uncertain")), s.range(100).select(F.col("id").alias("cluster"))), "", """
     with a as (select o_custkey % 150 cluster, o_custkey % 150 > 98 nw, o_orderkey % 17 = 0 un from orders), j as (select cluster, case when un then 'uncertain' when nw and cluster < 100 then 'problem_not_new' when not nw and cluster >= 100 then 'problem_unknown' when nw then 'new' else 'known' end kind from a)
     select kind, count(*) items, count(distinct cluster) clusters from j group by 1""")
-register("thm28_completeness", lambda s, d: th.completeness(table(s, d, "events").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("int").alias("code")).where("session_id % 2 = 0"), s.range(60).select(F.col("id").cast("int").alias("code"))), "", """
-    with r as (select user_id session_id, (props->>'$.k')::int code from events where user_id % 2 = 0), n as (select session_id, code, count(*) n from r group by 1, 2), c as (select session_id, unnest(range(60))::int code, true e from (select distinct session_id from r)),
+register("thm28_completeness", lambda s, d: th.completeness(table(s, d, "events").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("int").alias("code")), s.range(60).select(F.col("id").cast("int").alias("code"))), "", """
+    with r as (select user_id session_id, (props->>'$.k')::int code from events), n as (select session_id, code, count(*) n from r group by 1, 2), c as (select session_id, unnest(range(60))::int code, true e from (select distinct session_id from r)),
     g as (select session_id, count(*) filter (n is null) missing, count(*) filter (n > 1) duplicate, count(*) filter (e is null) unexpected from c full join n using (session_id, code) group by 1) select *, case when missing + duplicate + unexpected = 0 then 'complete' else 'incomplete' end status from g""")
 register("thm29_absence_strata", lambda s, d: th.absence_strata(presence(s, d)), "presence", GRID + """ select "condition", count(*) filter (v is not null) present, count(*) filter (v is null) absent from g group by 1""")

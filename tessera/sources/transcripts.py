@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import r6
 
 
@@ -34,7 +35,7 @@ def turn_audit(entries: DataFrame) -> DataFrame:
 def artefact_status(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(session_id, artefact, content) rows against expected (artefact, required): loaded, malformed (not JSON), or missing."""
     ok = F.get_json_object("content", "$").isNotNull()
-    j = files.select("session_id").distinct().crossJoin(F.broadcast(expected)).join(files.withColumn("_ok", ok), ["session_id", "artefact"], "left")
+    j = files.select("session_id").distinct().crossJoin(tx.listed(expected)).join(files.withColumn("_ok", ok), ["session_id", "artefact"], "left")
     state = F.when(F.col("_ok").isNull(), F.when(F.col("required"), "missing_required").otherwise("missing_optional")).when(F.col("_ok"), "loaded").otherwise("malformed")
     return j.select("session_id", "artefact", state.alias("state"))
 
@@ -54,7 +55,7 @@ def lines_to_turns(texts: DataFrame) -> DataFrame:
 def survey_attributes(answers: DataFrame, items: DataFrame) -> DataFrame:
     """JSON answers by question id to scale means; reverse-scored items count max + 1 - x. items: question, scale, reverse, top."""
     a = answers.select("person", F.explode(F.from_json("payload", "map<string,string>")).alias("question", "v")).withColumn("x", F.expr("try_cast(v as double)"))
-    j = a.join(items, "question").withColumn("x", F.when(F.col("reverse"), F.col("top") + 1 - F.col("x")).otherwise(F.col("x")))
+    j = a.join(tx.listed(items), "question").withColumn("x", F.when(F.col("reverse"), F.col("top") + 1 - F.col("x")).otherwise(F.col("x")))
     return j.groupBy("person", "scale").agg(F.count("x").alias("items"), r6(F.avg("x")).alias("score"))
 
 
@@ -78,9 +79,12 @@ def to_schema(df: DataFrame, schema: str) -> DataFrame:
 
 
 def content_hash(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """SHA-256 of each row's content, and of each group's sorted row hashes."""
+    """SHA-256 of each group: of the digests of its buckets (row hashes by their first four digits, sorted), so a task holds a bucket's hashes or at most
+    65,536 digests."""
     h = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    return df.select(*by, h.alias("_h")).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("digest"))
+    part = df.select(*by, h.alias("_h")).groupBy(*by, F.substring("_h", 1, 4).alias("_b")).agg(F.count(F.lit(1)).alias("_k"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"])
+    return part.groupBy(*by).agg(F.sum("_k").alias("rows"), F.sha2(F.array_join(digests, ""), 256).alias("digest"))
 
 
 def log_summary(events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import r6
+from ..functions.text import listed, r6
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +59,7 @@ def deduplicated(log: DataFrame, keys: list[str], late: str = "40 days") -> Data
 
 def priced(log: DataFrame, rates: DataFrame) -> DataFrame:
     """Each call joined to a small static rate table; a model without a rate stays NULL."""
-    return log.join(F.broadcast(rates), log["event_type"] == rates["model"], "left").select("event_id", "event_type", r6(F.col("value") * F.col("rate")).alias("cost"))
+    return log.join(listed(rates), log["event_type"] == rates["model"], "left").select("event_id", "event_type", r6(F.col("value") * F.col("rate")).alias("cost"))
 
 
 def drain(stream: DataFrame, mode: str, shared: str, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

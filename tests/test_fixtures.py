@@ -2,12 +2,13 @@
 
 import collections
 import itertools
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import f1, ratio
-from tessera.operators import lexical, sampling, stats, structure, thematic
+from tessera.functions.text import any_of, f1, hits, listed, ratio
+from tessera.operators import lexical, pairs, sampling, stats, structure, textual, thematic
 from tessera.plans import registry
 from tessera.sources import transcripts
 
@@ -91,8 +92,8 @@ def test_accumulation_is_monotone_and_ends_at_all_codes(spark):
 def test_mattr_of_short_unit_is_undefined(spark):
     t = spark.createDataFrame([("u", 0, "a b a c")], "u string, turn_index int, text string")
     r = lexical.diversity(lexical.token_rows(t, ["u"]), ["u"], 3).first()
-    assert (r.tokens, r.types, r.mattr) == (4, 3, pytest.approx((2 + 3) / 6, abs=1e-6))
-    assert lexical.diversity(lexical.token_rows(t, ["u"]), ["u"], 50).first().mattr is None
+    assert (r.tokens, r.types, r.mattr_3) == (4, 3, pytest.approx((2 + 3) / 6, abs=1e-6))
+    assert lexical.diversity(lexical.token_rows(t, ["u"]), ["u"], 50).first().mattr_50 is None
 
 
 def test_empty_tables(spark, turns):
@@ -105,3 +106,54 @@ def test_empty_tables(spark, turns):
 def test_top_k_keeps_ties(spark):
     d = spark.createDataFrame([("g", 5), ("g", 5), ("g", 4), ("g", 1)], "g string, v int")
     assert sampling.top_k(d, ["g"], "v", 1).count() == 2
+
+
+def test_neighbouring_names_are_all_scrubbed(spark):
+    t = spark.createDataFrame([("s", 0, "Anna Ben spoke; ÁNNA's, annabel"), ("s", 1, None), ("z", 0, "Anna")], "session_id string, turn_index int, text string")
+    r = spark.createDataFrame([("s", "Anna Maria"), ("s", "Ben"), ("s", "Jo")], "session_id string, name string")
+    got = {(x.session_id, x.turn_index): (x.scrubbed, x.hits) for x in textual.roster_scrub(t, r).collect()}
+    assert got["s", 0] == ("[NAME] [NAME] spoke; [NAME]'s, annabel", 3) and got["z", 0] == ("anna", 0) and got["s", 1][0] is None
+
+
+def test_neighbouring_words_all_count(spark):
+    assert spark.sql("select 'no never not knots' t").select(hits("t", any_of(["no", "never", "not"])).alias("n")).first().n == 3
+
+
+def test_greedy_matching_by_hand(spark):
+    rows = [(1, 1, 11, 0.9), (1, 1, 12, 0.8), (1, 2, 11, 0.9), (1, 2, 12, 0.3), (1, 3, 12, 0.1), (2, 1, 11, 0.5), (2, 4, 11, 0.5)]
+    got = thematic.greedy_matching(spark.createDataFrame(rows, "block long, a long, b long, sim double"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 11, 0.9), (1, 2, 12, 0.3), (2, 1, 11, 0.5)]
+
+
+def test_nfkc_key(spark):
+    got = spark.sql("select 'ﬁne  “Ｑuote”.' t union all select null").select(textual.match_key("t").alias("k")).collect()
+    assert {r.k for r in got} == {'fine "quote', None}
+
+
+def test_excerpt_grows_by_whole_sentences(spark):
+    t = spark.createDataFrame([(1, "One two. Three four five. Six seven. Eight nine ten eleven."), (2, "a b c d e f g."), (3, None)], "k int, text string")
+    got = {r.k: (r.excerpt, r.excerpt_words) for r in textual.excerpts(t, 5).collect()}
+    assert got[1] == ("Three four five. Six seven.", 5) and got[2] == ("a b c d e f g.", 7) and got[3][0] is None
+
+
+def test_effects_without_each_unit(spark):
+    for values in ([1.0, 5.0, 2.0, 9.0, -3.0], [1.0, 5.0, 2.0, 9.0], [2.0, 2.0, 2.0, 1.0], [4.0, 7.0]):
+        d = spark.createDataFrame(list(enumerate(values)), "unit int, d double")
+        got = {r.left_out: (r.n, r.mean, r.median, r.up) for r in stats.effect_summary(d).collect()}
+        for k in (None, *range(len(values))):
+            rest = [v for i, v in enumerate(values) if i != k]
+            assert got[k] == (len(rest), pytest.approx(statistics.mean(rest), abs=1e-6), statistics.median(rest), sum(v > 0 for v in rest))
+
+
+def test_a_large_protected_set_gives_the_same_hits(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y z a b c d e f g")], "doc_id int, text string")
+    b = spark.createDataFrame([(7, "a b c d e f g h i"), (8, "q a b c d e f g h")], "item_id int, text string")
+    run = lambda: sorted(map(tuple, pairs.contamination(pairs.shingles(a, "doc_id"), pairs.shingles(b, "item_id"), pairs.shingles(b.where("false"), "item_id")).collect()))
+    want = run()
+    monkeypatch.setattr(pairs, "PROTECTED", 0)
+    assert run() == want == [(1, 2, 2, ["a b c d e f g h", "b c d e f g h i"])]
+
+
+def test_lists_have_a_bound(spark):
+    with pytest.raises(ValueError, match="more than 3"):
+        listed(spark.range(5), most=3)
