@@ -35,7 +35,7 @@ SHINGLE, BANDS, ROWS = 5, 32, 6
 T = BANDS * ROWS
 #: Percent; pairs are linked from here on: by the registered query, and by stages and callers that ask for nothing else.
 QUERY_THRESHOLD, STAGE_THRESHOLD = 85, 80
-TILE = 512
+TILE = 128
 _seeds = mixed(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(2**64 - 1)
 
