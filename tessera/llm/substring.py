@@ -16,7 +16,8 @@ depth in the suffix tree of the corpus. The tree is never built whole:
 
 Windows are judged on the input. Defined results: null and empty texts have no words; texts shorter than WINDOW lose nothing;
 rows that repeat a doc_id and its text count as further occurrences, so they lose their windows like any copy; extra columns pass through `remove_repeats`; an empty table
-gives no rows. Word sequences are compared by 64-bit hashes of words, combined and finalised at each level.
+gives no rows. Sequences are pruned by 64-bit hashes, and called equal only if two such hashes with different multipliers agree (128 bits: at
+1e13 suffixes a false repeat has a probability of about 1e-13). Words of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .wordhash import LENGTH, grams, mixed, slices, spans, word_hashes
+from .wordhash import LENGTH, STEP, grams, mixed, slices, spans, word_hashes
 
 WINDOW, PREFIX, GROUP = 35, 8, 2000
 _U = np.uint64
 
 
 def _runs(window: int):
-    """Rows (doc_id, rid, anchor, run, s, n): n windows from word s on share an anchor; run is the hash of all their words."""
+    """Rows (doc_id, rid, anchor, run, run2, s, n): n windows from word s on share an anchor; run and run2 hash all their words."""
     width = window - PREFIX + 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,36 +58,35 @@ def _runs(window: int):
                     new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                     n = np.diff(np.append(new, len(at)))
                     # a run's words are s .. s + n + window - 2; their hash: sums of word hash times a power of an odd number
-                    power = _powers(len(w))
-                    total = np.append(_U(0), np.cumsum(w * power[: len(w)]))
                     words = n + window - 1
-                    run = mixed((total[new + words] - total[new]) * _inverse(len(w))[new] + mixed((at[new] - new).astype(_U) * LENGTH + words.astype(_U)))
+                    shape, run = mixed((at[new] - new).astype(_U) * LENGTH + words.astype(_U)), []
+                    for base in BASES:
+                        total = np.append(_U(0), np.cumsum(w * _powers(base, len(w))[: len(w)]))
+                        run.append(mixed((total[new + words] - total[new]) * _powers(-base, len(w))[new] + shape))
                     docs.append(np.full(len(new), lo + i))
-                    parts.append((g[at[new]], run, new, n))
+                    parts.append((g[at[new]], *run, new, n))
                 if docs:
-                    g, run, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    g, run, run2, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                     who = pa.array(np.concatenate(docs))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(who), batch.column(1).take(who), pa.array(g.view(np.int64)), pa.array(run.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "rid", "anchor", "run", "s", "n"]
+                        [batch.column(0).take(who), batch.column(1).take(who), pa.array(g.view(np.int64)), pa.array(run.view(np.int64)), pa.array(run2.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "rid", "anchor", "run", "run2", "s", "n"]
                     )
 
     return of
 
 
-_cache = {"power": np.ones(1, dtype=_U), "inverse": np.ones(1, dtype=_U)}
+#: Odd multipliers of the two hashes of a run.
+BASES = (int(LENGTH), int(STEP[40]))
+_cache: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int, which: str = "power") -> np.ndarray:
-    if len(_cache[which]) <= n:
-        base = int(LENGTH) if which == "power" else pow(int(LENGTH), -1, 2**64)
-        more = np.full(2 * n + 1, _U(base))
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 .. n of an odd number, or for a negative one of its absolute value's inverse, modulo 2**64."""
+    if len(_cache.get(base, ())) <= n:
+        more = np.full(2 * n + 1, _U(base if base > 0 else pow(-base, -1, 2**64)))
         more[0] = _U(1)
-        _cache[which] = np.cumprod(more)
-    return _cache[which]
-
-
-def _inverse(n: int) -> np.ndarray:
-    return _powers(n, "inverse")
+        _cache[base] = np.cumprod(more)
+    return _cache[base]
 
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def _alone(node: np.ndarray, live: np.ndarray) -> np.ndarray:
 
 def subtree_repeats(words: np.ndarray, starts: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
     """Of the suffixes at `starts`, those whose first `window` words are also those of another suffix with the same key: nodes are
-    doubled in depth until they are `window` deep, and suffixes alone in a node drop out."""
+    doubled in depth until they are `window` deep, and suffixes alone in a node drop out. What is left at that depth is grouped again by a second hash."""
     depth, node, live = PREFIX, grams(words, PREFIX), np.arange(len(starts))
     live = _alone(node[starts] ^ keys, live)
     while depth < window and len(live):
@@ -126,7 +126,12 @@ def subtree_repeats(words: np.ndarray, starts: np.ndarray, keys: np.ndarray, win
         deeper[:n] = mixed(node[:n] + mixed(node[step:] + LENGTH))
         node, depth = deeper, depth + step
         live = _alone(node[starts] ^ keys, live)
-    return live
+    if not len(live):
+        return live
+    again = grams(mixed(words + LENGTH), window)
+    _, one = np.unique(node[starts] ^ keys, return_inverse=True)
+    _, two = np.unique(again[starts], return_inverse=True)
+    return _alone(one.astype(_U) << _U(32) | two.astype(_U), live)
 
 
 def _trees(window: int):
@@ -165,31 +170,32 @@ def _trees(window: int):
 
 
 def _suffixes(window: int):
-    """Suffixes of large groups, one row each: (doc_id, rid, s, prefix) with the hash of the first `window` words."""
+    """Suffixes of large groups, one row each: (doc_id, rid, s, prefix, prefix2) with two hashes of the first `window` words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, packed in enumerate(batch.column("words").to_pylist()):
-                g = grams(np.frombuffer(packed, dtype=_U), window)
+                w = np.frombuffer(packed, dtype=_U)
+                g, g2 = grams(w, window), grams(mixed(w + LENGTH), window)
                 who = pa.array(np.full(len(g), i))
                 s = batch.column("s")[i].as_py()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("rid").take(who), pa.array(np.arange(s, s + len(g), dtype=np.int32)), pa.array(g.view(np.int64))], ["doc_id", "rid", "s", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("rid").take(who), pa.array(np.arange(s, s + len(g), dtype=np.int32)), pa.array(g.view(np.int64)), pa.array(g2.view(np.int64))], ["doc_id", "rid", "s", "prefix", "prefix2"])
 
     return of
 
 
 def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(doc_id, rid, s, n): the n windows from word s on are repeats. `keyed` has doc_id, rid, text."""
-    runs = written(keyed.mapInArrow(_runs(window), "doc_id long, rid long, anchor long, run long, s int, n int"), "runs")
+    runs = written(keyed.mapInArrow(_runs(window), "doc_id long, rid long, anchor long, run long, run2 long, s int, n int"), "runs")
     # counts are written before they are joined: both sides then shuffle for the join alone, and Spark can split a hot anchor
     counts = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "anchors")
     alive = written(runs.join(counts.hint("merge"), "anchor", "left_semi"), "alive")
     # equal runs: settled; the first of them goes on with those that occur once
     place = F.struct("doc_id", "rid", "s")
-    whole = alive.groupBy("anchor", "run").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    whole = alive.groupBy("anchor", "run", "run2").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     whole = written(whole, "distinct-runs")
-    again = whole.where("k > 1").select(F.col("run").alias("_run"), F.col("anchor").alias("_anchor"))
-    settled = alive.join(again.hint("merge"), (F.col("run") == F.col("_run")) & (F.col("anchor") == F.col("_anchor")), "left_semi").select("doc_id", "rid", "s", "n")
+    again = whole.where("k > 1").select("anchor", "run", "run2")
+    settled = alive.join(again.hint("merge"), ["anchor", "run", "run2"], "left_semi").select("doc_id", "rid", "s", "n")
     sizes = written(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", (F.col("m") > group).alias("big")), "sizes")
     todo = whole.join(sizes.hint("merge"), "anchor").select("one.*", "anchor", "big", "n")
     by_doc = todo.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "big", "s", "n", F.lit(window).alias("w"))).alias("runs"))
@@ -197,9 +203,9 @@ def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataF
     texts = keyed.join(by_doc, (keyed["doc_id"].eqNullSafe(F.col("_id"))) & (keyed["rid"] == F.col("_rid"))).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "runs")
     packed = written(texts.mapInArrow(_texts_of_runs, "doc_id long, rid long, anchor long, big boolean, s int, n int, words binary"), "run-words")
     small = packed.where("not big").repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_trees(window), "doc_id long, rid long, s int, n int")
-    deep = written(packed.where("big").mapInArrow(_suffixes(window), "doc_id long, rid long, s int, prefix long"), "deep")
-    twice = deep.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("prefix")
-    large = deep.join(twice.hint("merge"), "prefix", "left_semi").select("doc_id", "rid", "s", F.lit(1).alias("n"))
+    deep = written(packed.where("big").mapInArrow(_suffixes(window), "doc_id long, rid long, s int, prefix long, prefix2 long"), "deep")
+    twice = written(deep.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("prefix", "prefix2"), "twice")
+    large = deep.join(twice.hint("merge"), ["prefix", "prefix2"], "left_semi").select("doc_id", "rid", "s", F.lit(1).alias("n"))
     return settled.unionByName(small).unionByName(large)
 
 

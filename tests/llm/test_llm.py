@@ -135,6 +135,18 @@ def test_substrings(docs, none, group):
     assert substring.repeat_report(none).count() == 0
 
 
+def test_texts_longer_than_a_slice(spark):
+    """Texts above the 4 MB that are worked at a time: repeats across them are found whole."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"{rng.randrange(10**9)}" for _ in range(n))
+    passage = say(60)
+    texts = [say(450_000), passage + " " + say(450_000), say(20) + " " + passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert min(map(len, texts[:2])) > 4_000_000
+    assert rows_of(substring.repeat_report(docs), "doc_id", "n_words", "n_removed") == [(0, 450_000, 0), (1, 450_060, 60), (2, 80, 60)]
+    assert rows_of(minhash.near_groups(docs), "doc_id", "n_shingles", "component_id") == [(0, 449_996, 0), (1, 450_056, 1), (2, 76, 2)]
+
+
 def test_near_groups(docs, none, monkeypatch):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = []
