@@ -49,25 +49,48 @@ def paired_reference(sessions: DataFrame, reference: str) -> DataFrame:
     return sessions.where(F.col("condition") != reference).join(ref, "group_id", "left").select("session_id", "condition", "group_id", "reference_session")
 
 
+#: Moderator actions that aim at one member, and those that open a section.
+STRICT, OPENING = ("direct_probe", "reactivate_silent", "invite_to_speak"), ("section_transition",)
+HUB_OVER = 5
+
+
 def interaction_edges(turns: DataFrame, roster: DataFrame) -> DataFrame:
-    """Directed edges: uptake (a participant after another) and reference (a turn names another), with the density of each kind."""
-    prev = F.lag("speaker_id").over(by_turn())
-    up = turns.where("role is not null").withColumns({"target": prev, "_r": F.lag("role").over(by_turn())}).where("role = 'participant' and _r = 'participant' and target != speaker_id").select("session_id", F.col("speaker_id").alias("source"), "target", F.lit("uptake").alias("type"))
-    named = turns.where("role = 'participant'").select("session_id", F.col("speaker_id").alias("source"), F.explode(F.array_distinct(tokens("text", "[a-z]+"))).alias("name"))
-    ref = named.join(roster.select("session_id", "name", F.col("speaker_id").alias("target")), ["session_id", "name"]).where("source != target").select("session_id", "source", "target", F.lit("referenced").alias("type"))
+    """Directed edges by type: addressed (the moderator names a member), answered (a member speaks after the moderator), uptake (after another
+    member), referenced (a member names another). Density over the possible directed pairs of the type, NULL where there are none; `hub` if the session
+    has no edge between members and more than HUB_OVER from the moderator."""
+    said = turns.where("role is not null").withColumns({"target": F.lag("speaker_id").over(by_turn()), "_r": F.lag("role").over(by_turn())})
+    edge = lambda df, kind, source, target: df.select("session_id", source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
+    moderator, who = F.lit("MODERATOR"), F.col("speaker_id")
+    member = said.where("role = 'participant'")
+    up = edge(member.where("_r = 'participant' and target != speaker_id"), "uptake", who, F.col("target"))
+    answered = edge(member.where("_r = 'moderator'"), "answered", who, moderator)
+    named = turns.where("role is not null").select("session_id", "role", "speaker_id", F.explode(F.array_distinct(tokens("text", "[a-z]+"))).alias("name"))
+    named = named.join(roster.select("session_id", "name", F.col("speaker_id").alias("target")).hint("merge"), ["session_id", "name"])
+    ref = edge(named.where("role = 'participant' and speaker_id != target"), "referenced", who, F.col("target"))
+    addressed = edge(named.where("role = 'moderator'"), "addressed", moderator, F.col("target"))
     people = turns.where("role = 'participant'").groupBy("session_id").agg(F.count_distinct("speaker_id").alias("k"))
-    g = up.unionByName(ref).groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source", "target").alias("pairs"))
-    return g.join(people, "session_id").select("session_id", "type", "edges", r6(ratio("pairs", F.col("k") * (F.col("k") - 1))).alias("density"))
+    g = up.unionByName(answered).unionByName(ref).unionByName(addressed).groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source", "target").alias("pairs"))
+    between, session = F.col("type").isin("uptake", "referenced"), W.partitionBy("session_id")
+    hub = (F.sum(F.when(between, F.col("edges")).otherwise(0)).over(session) == 0) & (F.sum(F.when(F.col("type") == "addressed", F.col("edges")).otherwise(0)).over(session) > HUB_OVER)
+    possible = F.when(between, F.col("k") * (F.col("k") - 1)).otherwise(F.col("k"))
+    return g.withColumn("hub", hub).join(people.hint("merge"), "session_id", "left").select("session_id", "type", "edges", r6(ratio("pairs", possible)).alias("density"), "hub")
 
 
-def targeting(turns: DataFrame, roster: DataFrame) -> DataFrame:
-    """Moderator turns that name a member, and whether the next participant is the one named."""
+def targeting(turns: DataFrame, log: DataFrame, roster: DataFrame) -> DataFrame:
+    """Moderator decisions (session_id, turn_index, action, target) on the moderator turns that carry them: strict (aims at one member), soft (at the
+    group, naming members), broad, transition or ambiguous; a strict one is honoured if the next participant is its target."""
     after = F.first(F.when(F.col("role") == "participant", F.col("speaker_id")), ignorenulls=True).over(by_turn().rowsBetween(1, W.unboundedFollowing))
-    m = turns.withColumn("next_speaker", after).where("role = 'moderator'").select("session_id", "turn_index", "next_speaker", F.explode_outer(F.array_distinct(tokens("text", "[a-z]+"))).alias("name"))
-    hit = m.join(roster.select("session_id", "name", F.col("speaker_id").alias("target")), ["session_id", "name"], "left")
-    g = hit.groupBy("session_id", "turn_index", "next_speaker").agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    kind = F.when(F.size("targets") == 0, "broad").when(F.size("targets") == 1, "strict").otherwise("ambiguous")
-    return g.select("session_id", "turn_index", kind.alias("kind"), F.when(kind == "strict", F.coalesce(F.col("next_speaker") == F.get("targets", F.lit(0)), F.lit(False))).alias("honoured"))
+    m = turns.withColumn("next_speaker", after).where("role = 'moderator'").select("session_id", "turn_index", "next_speaker", F.array_distinct(tokens("text", "[a-z]+")).alias("_t"))
+    names = roster.groupBy("session_id").agg(F.collect_set("name").alias("_n"))
+    m = m.join(names.hint("merge"), "session_id", "left").join(log.hint("merge"), ["session_id", "turn_index"])
+    names_any = F.coalesce(F.arrays_overlap("_t", "_n"), F.lit(False))
+    group, opens = F.coalesce(F.col("target") == "group", F.lit(False)), F.col("action").isin(*OPENING)
+    kind = (
+        F.when(F.col("action").isin(*STRICT) & F.col("target").isNotNull() & ~group, "strict").when(group & names_any, "soft").when(group & opens, "transition").when(group, "broad")
+        .when(opens | (F.col("action") == "ask_initial_to_group"), "transition").otherwise("ambiguous")
+    )
+    m = m.withColumn("kind", kind)
+    return m.select("session_id", "turn_index", "action", "target", "kind", F.when(F.col("kind") == "strict", F.coalesce(F.col("next_speaker") == F.col("target"), F.lit(False))).alias("honoured"))
 
 
 def side_by_side(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -28,12 +28,24 @@ def by_headers(turns: DataFrame, number: Column) -> DataFrame:
     return df.withColumn("warning", warn).select("session_id", "turn_index", "header", "section_no", "warning")
 
 
-def by_log(turns: DataFrame, log: DataFrame) -> DataFrame:
-    """Sections opened by transition rows of a log: each opens at the first moderator turn with its turn number; unmatched ones are counted."""
-    hit = log.join(turns.where("role = 'moderator'").select("session_id", "turn_index"), ["session_id", "turn_index"], "left_semi").distinct().withColumn("_b", F.lit(1))
-    missing = log.join(turns.where("role = 'moderator'").select("session_id", "turn_index"), ["session_id", "turn_index"], "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("missing"))
-    df = turns.join(hit, ["session_id", "turn_index"], "left").withColumn("section_no", F.sum(F.coalesce("_b", F.lit(0))).over(so_far()))
-    return df.join(missing, "session_id", "left").select("session_id", "turn_index", "section_no", F.coalesce("missing", F.lit(0)).alias("missing"))
+def by_log(turns: DataFrame, log: DataFrame, sections: int) -> DataFrame:
+    """Sections opened by the transition rows of a log (session_id, ord, turn_index, utterance): in the order of the log each is matched to a moderator
+    turn of its number and text (case and white space apart), the k-th of equal rows to the k-th of equal turns. At most sections - 1 open one; rows up to the
+    last of these without a turn are `missing`; `monotonic` says whether the boundaries follow each other as in the log. Blank utterances don't count."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    same = lambda order: F.row_number().over(W.partitionBy("session_id", "turn_index", "_k").orderBy(order))
+    rows = log.withColumn("_k", key("utterance")).where("_k != ''").withColumn("_i", same("ord"))
+    said = turns.where("role = 'moderator'").select("session_id", "turn_index", key("text").alias("_k")).withColumn("_i", same("turn_index")).withColumn("_hit", F.lit(1))
+    rows = rows.join(said.hint("merge"), ["session_id", "turn_index", "_k", "_i"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
+    in_log = W.partitionBy("session_id").orderBy("ord")
+    rows = rows.withColumn("_done", F.sum("_hit").over(in_log) - F.col("_hit")).where(F.col("_done") < sections - 1)
+    missing = rows.groupBy("session_id").agg(F.count_if(F.col("_hit") == 0).alias("missing"))
+    bounds = rows.where("_hit = 1").withColumn("_back", F.coalesce(F.lag("turn_index").over(in_log) > F.col("turn_index"), F.lit(False)))
+    order = bounds.groupBy("session_id").agg((~F.bool_or("_back")).alias("monotonic"))
+    opened = bounds.groupBy("session_id", "turn_index").agg(F.count(F.lit(1)).alias("_b"))
+    df = turns.join(opened.hint("merge"), ["session_id", "turn_index"], "left").withColumn("section_no", F.sum(F.coalesce("_b", F.lit(0))).over(so_far()))
+    df = df.join(missing.hint("merge"), "session_id", "left").join(order.hint("merge"), "session_id", "left")
+    return df.select("session_id", "turn_index", "section_no", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("monotonic", F.lit(True)).alias("monotonic"))
 
 
 def crosscheck(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -19,15 +19,18 @@ def head():
 
 HEAD_SQL = """h as (select *, case when "role" = 'moderator' and turn_index % 3 = 0 then turn_index // 40 end header from panel),
     e as (select *, last_value(header ignore nulls) over (partition by session_id order by turn_index rows unbounded preceding) section_no, last_value(header ignore nulls) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding) b from h)"""
-LOG_SQL = """lg as (select session_id, turn_index, "role" from panel where turn_index % 7 = 0), hit as (select * from lg where "role" = 'moderator'),
-    mi as (select session_id, count(*) missing from lg where coalesce("role", '') <> 'moderator' group by 1),
-    bl as (select p.session_id, p.turn_index, sum(case when hit.turn_index is null then 0 else 1 end) over (partition by p.session_id order by p.turn_index rows unbounded preceding) section_no from panel p left join hit using (session_id, turn_index))"""
-
 register("seg01_by_headers", lambda s, d: sg.by_headers(panel(s, d), head()), "panel", HEAD_SQL + """
     select session_id, turn_index, header, section_no, case when header is null or b is null then null when header = b then 'duplicate' when header < b then 'out_of_order' when header > b + 1 then 'gap' end warning from e""")
-register("seg02_by_log", lambda s, d: sg.by_log(panel(s, d), panel(s, d).where("turn_index % 7 = 0").select("session_id", "turn_index")), "panel", LOG_SQL + """
-    select session_id, turn_index, section_no, coalesce(missing, 0) missing from bl left join mi using (session_id)""")
-register("seg03_crosscheck", lambda s, d: sg.crosscheck(sg.by_headers(panel(s, d), head()), sg.by_log(panel(s, d), panel(s, d).where("turn_index % 7 = 0").select("session_id", "turn_index"))), "panel", HEAD_SQL + ", " + LOG_SQL + """,
+LOG_SQL = r"""lg as (select session_id, turn_index * 37 % 1000 ord, turn_index, case when n_words % 3 = 0 then text || ' x' else upper(' ' || text) end u from panel where turn_index % 7 = 0),
+    nl as (select *, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) k from lg where trim(u) <> ''), nt as (select session_id, turn_index, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) k from panel where "role" = 'moderator'),
+    h as (select nl.session_id, nl.ord, nl.turn_index, nt.k is not null hit from nl left join nt on nt.session_id = nl.session_id and nt.turn_index = nl.turn_index and nt.k = nl.k),
+    c as (select *, sum(hit::int) over (partition by session_id order by ord) - hit::int done from h), o as (select * from c where done < 3),
+    b as (select *, lag(turn_index) over (partition by session_id order by ord) > turn_index back from o where hit), w as (select session_id, count(*) filter (not hit) missing from o group by 1), v as (select session_id, not coalesce(bool_or(back), false) monotonic from b group by 1),
+    bl as (select p.session_id, p.turn_index, sum((b.turn_index is not null)::int) over (partition by p.session_id order by p.turn_index rows unbounded preceding)::bigint section_no, coalesce(missing, 0) missing, coalesce(monotonic, true) monotonic
+    from panel p left join b on b.session_id = p.session_id and b.turn_index = p.turn_index left join w on w.session_id = p.session_id left join v on v.session_id = p.session_id)"""
+TRANSITIONS = lambda s, d: panel(s, d).where("turn_index % 7 = 0").select("session_id", (F.col("turn_index") * 37 % 1000).alias("ord"), "turn_index", F.when(F.col("n_words") % 3 == 0, F.concat("text", F.lit(" x"))).otherwise(F.upper(F.concat(F.lit(" "), "text"))).alias("utterance"))
+register("seg02_by_log", lambda s, d: sg.by_log(panel(s, d), TRANSITIONS(s, d), 4), "panel", LOG_SQL + " select * from bl")
+register("seg03_crosscheck", lambda s, d: sg.crosscheck(sg.by_headers(panel(s, d), head()), sg.by_log(panel(s, d), TRANSITIONS(s, d), 4)), "panel", HEAD_SQL + ", " + LOG_SQL + """,
     j as (select session_id, case when e.section_no is null or bl.section_no is null then 'o' when e.section_no = bl.section_no then 'a' when abs(e.section_no - bl.section_no) = 1 then 'b' else 'c' end k from e full join bl using (session_id, turn_index))
     select session_id, count(*) filter (k = 'a') agree, count(*) filter (k = 'b') boundary, count(*) filter (k = 'c') conflict, count(*) filter (k = 'o') one_sided from j group by 1""")
 SEC = """sec as (select session_id, section, count(*) turns, count(*) filter ("role" = 'participant') participant_turns, sum(case when "role" = 'participant' then n_words else 0 end)::bigint words, count(distinct case when "role" = 'participant' then speaker_id end) participants,
@@ -84,21 +87,30 @@ register("jn05_paired_reference", lambda s, d: pr.paired_reference(panel(s, d).s
     select session_id, "condition", group_id, reference_session from x left join r using (group_id) where "condition" <> 'human'""")
 register("jn06_interaction_edges", lambda s, d: pr.interaction_edges(panel(s, d), roster(s, d)), "panel", ROSTER + """,
     l as (select *, lag(speaker_id) over w tg, lag("role") over w r from panel window w as (partition by session_id order by turn_index)),
+    t as (select session_id, "role", speaker_id src, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) nm from panel),
+    nd as (select t.*, r.speaker_id tg from t join roster r on r.session_id = t.session_id and r."name" = t.nm),
     e as (select session_id, speaker_id src, tg, 'uptake' "type" from l where "role" = 'participant' and r = 'participant' and tg <> speaker_id
-    union all select t.session_id, t.src, r.speaker_id, 'referenced' from (select session_id, speaker_id src, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) nm from panel where "role" = 'participant') t join roster r on r.session_id = t.session_id and r."name" = t.nm where t.src <> r.speaker_id),
+    union all select session_id, speaker_id, 'MODERATOR', 'answered' from l where "role" = 'participant' and r = 'moderator'
+    union all select session_id, src, tg, 'referenced' from nd where "role" = 'participant' and src <> tg union all select session_id, 'MODERATOR', tg, 'addressed' from nd where "role" = 'moderator'),
+    h as (select session_id, count(*) filter ("type" in ('uptake', 'referenced')) = 0 and count(*) filter ("type" = 'addressed') > 5 hub from e group by 1),
     k as (select session_id, count(distinct speaker_id) k from panel where "role" = 'participant' group by 1)
-    select session_id, "type", count(*) edges, round(count(distinct src || '>' || tg) / nullif(any_value(k) * (any_value(k) - 1), 0)::double, 6) density from e join k using (session_id) group by 1, 2""")
-register("jn07_targeting", lambda s, d: pr.targeting(panel(s, d), roster(s, d)), "panel", ROSTER + """,
-    n as (select *, first_value(case when "role" = 'participant' then speaker_id end ignore nulls) over (partition by session_id order by turn_index rows between 1 following and unbounded following) nx from panel),
-    m as (select session_id, turn_index, nx, unnest(case when len(regexp_extract_all(lower(text), '[a-z]+')) = 0 then [''] else list_distinct(regexp_extract_all(lower(text), '[a-z]+')) end) nm from n where "role" = 'moderator'),
-    g as (select m.session_id, turn_index, nx, list_distinct(list(r.speaker_id) filter (r.speaker_id is not null)) t from m left join roster r on r.session_id = m.session_id and r."name" = m.nm group by 1, 2, 3)
-    select session_id, turn_index, case coalesce(len(t), 0) when 0 then 'broad' when 1 then 'strict' else 'ambiguous' end kind, case when coalesce(len(t), 0) = 1 then coalesce(nx = t[1], false) end honoured from g""")
+    select session_id, "type", count(*) edges, round(count(distinct src || '>' || tg) / nullif(case when "type" in ('uptake', 'referenced') then any_value(k) * (any_value(k) - 1) else any_value(k) end, 0)::double, 6) density, any_value(hub) hub
+    from e left join k using (session_id) join h using (session_id) group by 1, 2""")
 
 
-def mean_words(s, d, condition):
-    return panel(s, d).where((F.col("condition") == condition) & (F.col("role") == "participant")).groupBy("group_id").agg(F.avg("n_words").alias("value"))
+def decisions(s, d):
+    """A moderator log over the given turns: action and target from their lengths."""
+    n, actions = F.col("n_words"), F.array(*map(F.lit, ("direct_probe", "redirect_to_group", "section_transition", "ask_initial_to_group", "summarise")))
+    return panel(s, d).where("role = 'moderator'").select("session_id", "turn_index", F.get(actions, (n % 5).cast("int")).alias("action"), F.when(n % 3 == 0, "en").when(n % 3 == 1, "group").alias("target"))
 
 
+register("jn07_targeting", lambda s, d: pr.targeting(panel(s, d), decisions(s, d), roster(s, d)), "panel", ROSTER + """,
+    n as (select *, first_value(case when "role" = 'participant' then speaker_id end ignore nulls) over (partition by session_id order by turn_index rows between 1 following and unbounded following) nx from panel),
+    m as (select session_id, turn_index, nx, (['direct_probe', 'redirect_to_group', 'section_transition', 'ask_initial_to_group', 'summarise'])[n_words % 5 + 1] "action", case n_words % 3 when 0 then 'en' when 1 then 'group' end target,
+        exists(select 1 from roster r where r.session_id = n.session_id and list_contains(regexp_extract_all(lower(text), '[a-z]+'), r."name")) named from n where "role" = 'moderator'),
+    k as (select *, case when "action" = 'direct_probe' and target = 'en' then 'strict' when target = 'group' then case when named then 'soft' when "action" = 'section_transition' then 'transition' else 'broad' end
+        when "action" in ('section_transition', 'ask_initial_to_group') then 'transition' else 'ambiguous' end kind from m)
+    select session_id, turn_index, "action", target, kind, case when kind = 'strict' then coalesce(nx = target, false) end honoured from k""")
 register("jn08_side_by_side", lambda s, d: pr.side_by_side(mean_words(s, d, "a"), mean_words(s, d, "human"), ["group_id"]), "panel", """
     m as (select group_id, "condition" c, avg(n_words) v from panel where "role" = 'participant' group by 1, 2)
     select group_id, round(a.v, 6) a, round(b.v, 6) b, round(a.v - b.v, 6) difference from (select * from m where c = 'a') a full join (select * from m where c = 'human') b using (group_id)""")
