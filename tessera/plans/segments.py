@@ -23,11 +23,11 @@ register("seg01_by_headers", lambda s, d: sg.by_headers(panel(s, d), head()), "p
     select session_id, turn_index, header, section_no, case when header is null or b is null then null when header = b then 'duplicate' when header < b then 'out_of_order' when header > b + 1 then 'gap' end warning from e""")
 LOG_SQL = r"""lg as (select session_id, turn_index * 37 % 1000 ord, turn_index, case when n_words % 3 = 0 then text || ' x' else upper(' ' || text) end u from panel where turn_index % 7 = 0),
     nl as (select *, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) k from lg where trim(u) <> ''), nt as (select session_id, turn_index, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) k from panel where "role" = 'moderator'),
-    h as (select nl.session_id, nl.ord, nl.turn_index, nt.k is not null hit from nl left join nt on nt.session_id = nl.session_id and nt.turn_index = nl.turn_index and nt.k = nl.k),
-    c as (select *, sum(hit::int) over (partition by session_id order by ord) - hit::int done from h), o as (select * from c where done < 3),
-    b as (select *, lag(turn_index) over (partition by session_id order by ord) > turn_index back from o where hit), w as (select session_id, count(*) filter (not hit) missing from o group by 1), v as (select session_id, not coalesce(bool_or(back), false) monotonic from b group by 1),
+    lh as (select nl.session_id, nl.ord, nl.turn_index, nt.k is not null hit from nl left join nt on nt.session_id = nl.session_id and nt.turn_index = nl.turn_index and nt.k = nl.k),
+    lc as (select *, sum(hit::int) over (partition by session_id order by ord) - hit::int done from lh), lo as (select * from lc where done < 3),
+    lb as (select *, lag(turn_index) over (partition by session_id order by ord) > turn_index back from lo where hit), lw as (select session_id, count(*) filter (not hit) missing from lo group by 1), lv as (select session_id, not coalesce(bool_or(back), false) monotonic from lb group by 1),
     bl as (select p.session_id, p.turn_index, sum((b.turn_index is not null)::int) over (partition by p.session_id order by p.turn_index rows unbounded preceding)::bigint section_no, coalesce(missing, 0) missing, coalesce(monotonic, true) monotonic
-    from panel p left join b on b.session_id = p.session_id and b.turn_index = p.turn_index left join w on w.session_id = p.session_id left join v on v.session_id = p.session_id)"""
+    from panel p left join lb b on b.session_id = p.session_id and b.turn_index = p.turn_index left join lw w on w.session_id = p.session_id left join lv v on v.session_id = p.session_id)"""
 TRANSITIONS = lambda s, d: panel(s, d).where("turn_index % 7 = 0").select("session_id", (F.col("turn_index") * 37 % 1000).alias("ord"), "turn_index", F.when(F.col("n_words") % 3 == 0, F.concat("text", F.lit(" x"))).otherwise(F.upper(F.concat(F.lit(" "), "text"))).alias("utterance"))
 register("seg02_by_log", lambda s, d: sg.by_log(panel(s, d), TRANSITIONS(s, d), 4), "panel", LOG_SQL + " select * from bl")
 register("seg03_crosscheck", lambda s, d: sg.crosscheck(sg.by_headers(panel(s, d), head()), sg.by_log(panel(s, d), TRANSITIONS(s, d), 4)), "panel", HEAD_SQL + ", " + LOG_SQL + """,
