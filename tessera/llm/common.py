@@ -85,6 +85,18 @@ def top_bits(h: Column, bits: int = 8) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
+#: Keys with more than a SHARE-th of all rows are hot; there are fewer than SHARE of them.
+SHARE = 1000
+
+
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int, how: str = "left_semi") -> DataFrame:
+    """Joins `df` (of about `total` rows) to `counted`, a written table of keys with the number `n` of their rows: hot keys by broadcast, so that their rows
+    stay where they are, and the others by merging. `how`: left_semi or inner."""
+    hot = F.broadcast(counted.where(F.col(n) * SHARE > total).drop(n))
+    rest = counted.where(F.col(n) * SHARE <= total).drop(n)
+    return df.join(hot, keys, how).unionByName(df.join(hot.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys, how))
+
+
 #: About how many rows a slice of a running sum holds, where hashes allow.
 SLICE_ROWS = 2**18
 

@@ -31,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 from .wordhash import LENGTH, STEP, grams, mixed, slices, spans, word_hashes
 
 WINDOW, PREFIX, GROUP = 35, 8, 2000
@@ -187,25 +187,23 @@ def _suffixes(window: int):
 def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(doc_id, rid, s, n): the n windows from word s on are repeats. `keyed` has doc_id, rid, text."""
     runs = written(keyed.mapInArrow(_runs(window), "doc_id long, rid long, anchor long, run long, run2 long, s int, n int"), "runs")
-    # counts are written before they are joined: both sides then shuffle for the join alone, and Spark can split a hot anchor
-    counts = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "anchors")
-    alive = written(runs.join(counts.hint("merge"), "anchor", "left_semi"), "alive")
+    counts = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "anchors")
+    alive = written(join_counted(runs, counts, ["anchor"], "k", runs.count()), "alive")
     # equal runs: settled; the first of them goes on with those that occur once
-    place = F.struct("doc_id", "rid", "s")
-    whole = alive.groupBy("anchor", "run", "run2").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    place, run = F.struct("doc_id", "rid", "s"), ["anchor", "run", "run2"]
+    whole = alive.groupBy(*run).agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     whole = written(whole, "distinct-runs")
-    again = whole.where("k > 1").select("anchor", "run", "run2")
-    settled = alive.join(again.hint("merge"), ["anchor", "run", "run2"], "left_semi").select("doc_id", "rid", "s", "n")
-    sizes = written(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", (F.col("m") > group).alias("big")), "sizes")
-    todo = whole.join(sizes.hint("merge"), "anchor").select("one.*", "anchor", "big", "n")
+    settled = join_counted(alive, whole.where("k > 1").select(*run, "k"), run, "k", alive.count()).select("doc_id", "rid", "s", "n")
+    sizes = written(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("big", F.col("m") > group), "sizes")
+    todo = join_counted(whole, sizes, ["anchor"], "m", whole.count(), "inner").select("one.*", "anchor", "big", "n")
     by_doc = todo.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "big", "s", "n", F.lit(window).alias("w"))).alias("runs"))
     by_doc = by_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("rid", "_rid").hint("merge")
     texts = keyed.join(by_doc, (keyed["doc_id"].eqNullSafe(F.col("_id"))) & (keyed["rid"] == F.col("_rid"))).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "runs")
     packed = written(texts.mapInArrow(_texts_of_runs, "doc_id long, rid long, anchor long, big boolean, s int, n int, words binary"), "run-words")
     small = packed.where("not big").repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_trees(window), "doc_id long, rid long, s int, n int")
     deep = written(packed.where("big").mapInArrow(_suffixes(window), "doc_id long, rid long, s int, prefix long, prefix2 long"), "deep")
-    twice = written(deep.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("prefix", "prefix2"), "twice")
-    large = deep.join(twice.hint("merge"), ["prefix", "prefix2"], "left_semi").select("doc_id", "rid", "s", F.lit(1).alias("n"))
+    twice = written(deep.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "twice")
+    large = join_counted(deep, twice, ["prefix", "prefix2"], "k", deep.count()).select("doc_id", "rid", "s", F.lit(1).alias("n"))
     return settled.unionByName(small).unionByName(large)
 
 

@@ -118,8 +118,9 @@ def test_pii(docs, none):
     assert pii.span_report(none).count() == 0
 
 
-@pytest.mark.parametrize("group", [2000, 1])
-def test_substrings(docs, none, group):
+@pytest.mark.parametrize(("group", "share"), [(2000, 1000), (1, 3), (1, 1e9)])
+def test_substrings(docs, none, group, share, monkeypatch):
+    monkeypatch.setattr(common, "SHARE", share)
     count = collections.Counter()
     for r in ROWS:
         w = words(r[1])
