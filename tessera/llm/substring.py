@@ -7,7 +7,7 @@ depth in the suffix tree of the corpus. The tree is never built whole:
    windows have equal anchors, so windows whose anchor occurs once in the corpus can't repeat. Consecutive windows with
    the same anchor are one run. A run whose whole text occurs more than once consists of repeats: it's settled, and one
    copy of it goes on to meet the runs that overlap it only in part.
-2. The other suffixes are split by variable-length prefixes. The first prefix is the anchor; while a prefix group has no more than
+2. The other suffixes are split by prefixes of two lengths. The first prefix is the anchor; while a prefix group has no more than
    GROUP runs, it's small enough for a task. The suffixes of larger groups are split by a prefix as long as the window, at
    which depth a group needs no tree, only its count.
 3. A task takes many small groups and builds their subtrees level by level (depths 8, 16, 32, then WINDOW) by prefix doubling: at
