@@ -80,6 +80,12 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def sentences_by_capital(c: Column | str) -> Column:
+    """Sentences by the stricter rule: cut after . ! ? only before a capital or an opening quote, and at line feeds."""
+    cut = F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"([.!?])\s+(?=[A-Z\"'‘“])", "$1\n"), "\n")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+
+
 def clauses(c: Column | str) -> Column:
     """Clauses of lower-cased text, cut at punctuation and at joining words."""
     cut = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"[.,;:!?\n]+|\s(?:and|but|so|because|although|though)\s")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import r6, ratio
+from ..functions.text import listed, r6, ratio
 
 SEVERITY = {"fail": 3, "warn": 2, "info": 1}
 
@@ -41,10 +41,12 @@ def transcript_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("session_id").agg(F.min(F.when(field.isNotNull(), F.struct("pos", field.alias("field")))).alias("_f"), F.count_if(field.isNotNull()).alias("differences")).select("session_id", "differences", F.col("_f.pos").alias("first"), F.col("_f.field").alias("field"))
 
 
-def structure_checks(turns: DataFrame) -> DataFrame:
-    """Leaks of structure into turns: headings, embedded labels, page numbers."""
+def structure_checks(turns: DataFrame, expected: DataFrame) -> DataFrame:
+    """Leaks of structure into turns: headings, embedded labels, page numbers; and turns against the metadata's count (session_id, expected), which
+    differ if it has none."""
     t = F.col("text")
-    return turns.groupBy("session_id").agg(F.count_if(t.rlike("^[A-Z ]+$")).alias("headings"), F.count_if(t.rlike(r"(^|\n)[A-Z][a-z]+:")).alias("labels"), F.count_if(t.rlike(r"(^|\n)[0-9]{1,3}(\n|$)")).alias("page_numbers"))
+    g = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(t.rlike("^[A-Z ]+$")).alias("headings"), F.count_if(t.rlike(r"(^|\n)[A-Z][a-z]+:")).alias("labels"), F.count_if(t.rlike(r"(^|\n)[0-9]{1,3}(\n|$)")).alias("page_numbers"))
+    return g.join(expected.hint("merge"), "session_id", "left").withColumn("matches", F.coalesce(F.col("turns") == F.col("expected"), F.lit(False)))
 
 
 def reconcile_table(computed: DataFrame, stated: DataFrame, tolerance: float) -> DataFrame:
@@ -55,20 +57,74 @@ def reconcile_table(computed: DataFrame, stated: DataFrame, tolerance: float) ->
 
 
 def call_audit(calls: DataFrame) -> DataFrame:
-    """Per run: calls, error rate, truncated (token limit reached), and the rule that applies (whether the run logs any input tokens)."""
-    g = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("errors"), F.count_if(F.col("output_tokens") >= 95).alias("truncated"), F.sum("input_tokens").alias("input_tokens"), F.count_distinct("model").alias("models"), F.max(F.col("input_tokens").isNotNull()).alias("logs_input"))
-    return g.withColumns({"error_rate": r6(ratio("errors", "calls")), "rule": F.when(F.col("logs_input"), "measured").otherwise("estimated")})
-
-
-def usage_cost(calls: DataFrame, rates: DataFrame) -> DataFrame:
-    """Tokens by model and role with cost bounds from a rate table (model, lo, hi); models without a rate stay unpriced, never 0."""
-    u = calls.groupBy("model", "role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
-    j = u.join(rates, "model", "left")
-    return j.select("model", "role", "calls", "tokens", r6(F.col("tokens") * F.col("lo") / 1e6).alias("cost_low"), r6(F.col("tokens") * F.col("hi") / 1e6).alias("cost_high"), F.when(F.col("lo").isNull(), "no_rate").otherwise("priced").alias("pricing"))
+    """Per session of a call log (session_id, event, model, input_tokens, output_tokens, error_type, attempt, fallback, coerced, truncated, stop_reason):
+    totals, rates over the calls they concern, stop reasons, and participants silenced by a fault. NULL or `none` marks no error and no coercion. A run
+    that logs `coerced` at all retries faults, so only faults that outlast the retry silence; in other runs a first fault does, too."""
+    is_ = lambda *names: F.col("event").isin(*names)
+    n = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    named = lambda c: F.coalesce(c, F.lit("none")) != "none"
+    error, assess = F.col("error_type"), is_("engagement", "engagement_retry")
+    lasting = F.coalesce(error.isin("fallback_after_retry", "api_error"), F.lit(False))
+    g = calls.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_distinct("model").alias("models"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        n(named(error)).alias("errors"), n(F.col("attempt") > 1).alias("retries"), n(is_("decision")).alias("decisions"), n(is_("decision") & F.col("fallback")).alias("fallbacks"),
+        n(is_("response")).alias("responses"), n(is_("response") & F.col("truncated")).alias("truncated"), n(is_("engagement") & (F.coalesce("attempt", F.lit(1)) == 1)).alias("assessments"),
+        n(named(F.col("coerced"))).alias("coerced"), F.max(F.col("coerced").isNotNull()).alias("retry_path"), n(assess & lasting).alias("_lasting"), n(is_("engagement") & named(error) & ~lasting & (error != "recovered_on_retry")).alias("_first"),
+    )
+    g = g.withColumn("forced_silences", F.col("_lasting") + F.when(F.col("retry_path"), 0).otherwise(F.col("_first"))).drop("_lasting", "_first")
+    rates = {"error_rate": ("errors", "calls"), "retry_rate": ("retries", "calls"), "fallback_rate": ("fallbacks", "decisions"), "truncation_rate": ("truncated", "responses"), "coercion_rate": ("coerced", "assessments"), "forced_silence_rate": ("forced_silences", "assessments")}
+    why = calls.where("event = 'response' and stop_reason is not null").groupBy("session_id", "stop_reason").agg(F.count(F.lit(1)).alias("_k"))
+    why = why.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "stop_reason", F.col("_k").cast("string")))), "|").alias("stop_reasons"))
+    return g.join(why, "session_id", "left").withColumns({k: r6(ratio(*v)) for k, v in rates.items()})
+
+
+def split_cache_writes(calls: DataFrame) -> DataFrame:
+    """Adds write_5m, write_1h and write_unknown from cache_writes (all written tokens), five, hour (those whose time to live is named) and ttl: what the
+    total holds beyond the named ones takes the declared time to live, and without one stays unknown."""
+    five, hour = F.coalesce("five", F.lit(0)), F.coalesce("hour", F.lit(0))
+    rest = F.greatest(F.coalesce("cache_writes", F.lit(0)), five + hour) - five - hour
+    of = lambda t: F.when(F.col("ttl") == t, rest).otherwise(0)
+    return calls.withColumns({"write_5m": five + of("5m"), "write_1h": hour + of("1h"), "write_unknown": F.when(F.coalesce(F.col("ttl").isin("5m", "1h"), F.lit(False)), 0).otherwise(rest)})
+
+
+TOKENS = ["input_tokens", "output_tokens", "cache_read", "write_5m", "write_1h", "write_unknown"]
+
+
+def usage_cost(calls: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens by `by` and model, with their cost from a rate table (model, currency and prices of a million tokens: input, output, cache_read, write_5m,
+    write_1h). A call without a model stays unattributed, a model without a rate or without a rate that its tokens need unpriced, never 0. Writes of
+    unknown time to live give bounds where their two prices differ, and then no cost."""
+    u = calls.groupBy(*by, "model").agg(F.count(F.lit(1)).alias("calls"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in TOKENS))
+    j = u.join(listed(rates.withColumn("_rate", F.lit(True)).withColumnsRenamed({"input": "_in", "output": "_out", "cache_read": "_cr", "write_5m": "_5", "write_1h": "_1"})), "model", "left")
+    writes = F.col("write_5m") + F.col("write_1h") + F.col("write_unknown")
+    lacks = ((F.col("cache_read") > 0) & F.col("_cr").isNull()) | ((writes > 0) & (F.col("_5").isNull() | F.col("_1").isNull()))
+    status = F.when(F.col("model").isNull(), "unattributed").when(F.col("_rate").isNull(), "no_rate").when(lacks, "incomplete_rate").when((F.col("write_unknown") > 0) & (F.col("_5") != F.col("_1")), "ttl_unknown").otherwise("priced")
+    price = lambda tokens, rate: F.col(tokens) * F.coalesce(rate, F.lit(0.0)) / 1e6
+    base = price("input_tokens", "_in") + price("output_tokens", "_out") + price("cache_read", "_cr") + price("write_5m", "_5") + price("write_1h", "_1")
+    known = F.col("status").isin("priced", "ttl_unknown")
+    j = j.withColumn("status", status).withColumns({"cost_low": F.when(known, base + price("write_unknown", F.least("_5", "_1"))), "cost_high": F.when(known, base + price("write_unknown", F.greatest("_5", "_1")))})
+    return j.select(*by, "model", "calls", *TOKENS, "currency", "status", r6("cost_low").alias("cost_low"), r6("cost_high").alias("cost_high"), r6(F.when(F.col("status") == "priced", F.col("cost_low"))).alias("cost"))
+
+
+def cost_totals(costs: DataFrame, by: list[str]) -> DataFrame:
+    """Totals of usage_cost rows: a total only if every row is priced, bounds only if every row has them, neither across currencies."""
+    g = costs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count("cost").alias("_k"), F.count("cost_low").alias("_b"), F.count_distinct("currency").alias("currencies"), F.min("currency").alias("_c"), *(F.sum(c).alias(c) for c in ("cost", "cost_low", "cost_high")))
+    one = F.col("currencies") == 1
+    bounds = {c: r6(F.when(one & (F.col("_b") == F.col("_n")), F.col(c))) for c in ("cost_low", "cost_high")}
+    return g.select(*by, "currencies", F.when(one, F.col("_c")).alias("currency"), (F.col("_n") - F.col("_k")).alias("undetermined"), r6(F.when(one & (F.col("_k") == F.col("_n")), F.col("cost"))).alias("cost"), *(v.alias(k) for k, v in bounds.items()))
+
+
+def projected_cost(totals: DataFrame, by: list[str], sessions: int) -> DataFrame:
+    """cost_totals rows of sessions to a number of sessions: mean, least and greatest determined cost times it; others are excluded and counted, and
+    there is no figure across currencies or without a determined cost."""
+    ok = F.col("cost").isNotNull()
+    g = totals.groupBy(*by).agg(F.count_if(ok).alias("observed"), F.count_if(~ok).alias("excluded"), F.count_distinct(F.when(ok, F.col("currency"))).alias("_c"), F.avg("cost").alias("_m"), F.min("cost").alias("_lo"), F.max("cost").alias("_hi"))
+    of = lambda c: r6(F.when(F.col("_c") == 1, F.col(c) * sessions))
+    return g.select(*by, "observed", "excluded", of("_m").alias("projected"), of("_lo").alias("projected_min"), of("_hi").alias("projected_max"))
 
 
 def stage_durations(rows: DataFrame) -> DataFrame:
-    """(stage, started, ended): n, missing ends, min, median, mean and total seconds; wall clock only if all have ended."""
+    """(stage, started, ended): n, missing ends, min, median, mean, max and total seconds; wall clock only if all have ended."""
     s = F.unix_micros("ended") / 1e6 - F.unix_micros("started") / 1e6
-    g = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ended").isNull()).alias("missing"), r6(F.min(s)).alias("min_s"), r6(F.percentile(s, F.lit(0.5))).alias("median_s"), r6(F.sum(s)).alias("total_s"), (F.max(F.unix_micros("ended")) - F.min(F.unix_micros("started"))).alias("_w"))
+    g = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ended").isNull()).alias("missing"), r6(F.min(s)).alias("min_s"), r6(F.percentile(s, F.lit(0.5))).alias("median_s"), r6(F.avg(s)).alias("mean_s"), r6(F.max(s)).alias("max_s"), r6(F.sum(s)).alias("total_s"), (F.max(F.unix_micros("ended")) - F.min(F.unix_micros("started"))).alias("_w"))
     return g.withColumn("wall_s", F.when(F.col("missing") == 0, r6(F.col("_w") / 1e6))).drop("_w")

@@ -79,6 +79,25 @@ def window_cut(turns: DataFrame, anchor: Column, closing: Column) -> DataFrame:
     return turns.join(b, "session_id").groupBy("session_id", "start", "stop").agg(F.count_if(inside).alias("included"), F.count_if(~inside).alias("excluded"), F.sum(F.when(inside, F.col("n_words")).otherwise(0)).alias("words"))
 
 
+def ask_offset(turns: DataFrame, ask: str, lead: str, residue: str) -> DataFrame:
+    """Adds `offset`, dropped_words and review for boundary turns: where the ask starts inside the text, in code points from 0.
+
+    The last sentence that matches `ask` is the anchor; it's extended back over each earlier sentence that matches `ask` or `lead` and not `residue`, up to
+    the first that fails. review is `clean` (starts at 0), `trimmed`, or `human` with a null offset: no ask, or residue in what is kept.
+    """
+    df = turns.withColumn("_s", F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])(?=\s)"))
+    last = lambda test: F.array_max(F.filter(F.transform("_s", lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("_a", last(lambda x, i: x.rlike(ask)))
+    stop = last(lambda x, i: (i < F.col("_a")) & ~(x.rlike(f"{ask}|{lead}") & ~x.rlike(residue)))
+    df = df.withColumn("_lo", F.when(F.col("_a").isNotNull(), F.coalesce(stop + 1, F.lit(0))))
+    head = F.array_join(F.slice("_s", 1, F.coalesce("_lo", F.lit(0))), "")
+    kept = F.array_join(F.slice("_s", F.coalesce("_lo", F.lit(0)) + 1, F.size("_s")), "")
+    gap = F.char_length(kept) - F.char_length(F.regexp_replace(kept, r"^\s+", ""))
+    ok = F.col("_lo").isNotNull() & ~kept.rlike(residue)
+    df = df.withColumns({"offset": F.when(ok, F.char_length(head) + F.when(F.col("_lo") > 0, gap).otherwise(0)), "dropped_words": F.when(ok, n_words(head))})
+    return df.withColumn("review", F.when(~ok, "human").when(F.col("offset") == 0, "clean").otherwise("trimmed")).drop("_s", "_a", "_lo")
+
+
 def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """The latest question (by terms) that a moderator turn asks decides; a question opens once, as the successor of the highest opened so
     far; later asks are reformulations. questions: question, term."""
@@ -92,15 +111,16 @@ def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
 
 def word_budget(turns: DataFrame, target: int, starts: int = 10, least: float = 0.9) -> DataFrame:
     """From every start the longest run of turns within `target` words; runs of at least 90 % are eligible, and up to `starts` evenly
-    spaced ones are selected."""
+    spaced ones are selected, from a phase that the hash of the session sets."""
     c = turns.withColumn("cum", F.sum("n_words").over(so_far())).select("session_id", "turn_index", "n_words", "cum")
     e = c.select(F.col("session_id").alias("_s"), F.col("turn_index").alias("stop"), F.col("cum").alias("_c"))
     run = c.join(e, (F.col("session_id") == F.col("_s")) & (F.col("stop") >= F.col("turn_index")) & (F.col("_c") - F.col("cum") + F.col("n_words") <= target))
     run = run.groupBy("session_id", F.col("turn_index").alias("start")).agg(F.max("stop").alias("stop"), F.max(F.col("_c") - F.col("cum") + F.col("n_words")).alias("words")).where(F.col("words") >= least * target)
     w = W.partitionBy("session_id")
     run = run.withColumns({"_i": F.row_number().over(w.orderBy("start")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    step = F.greatest(F.floor(F.col("_n") / starts), F.lit(1))
-    return run.where((F.col("_i") % step == 0) & (F.col("_i") / step < starts)).select("session_id", "start", "stop", "words")
+    seed = F.conv(F.substring(F.sha2(F.col("session_id").cast("string"), 256), 1, 8), 16, 10).cast("long")
+    picks = F.transform(F.sequence(F.lit(0), F.lit(starts - 1)), lambda i: F.floor((i + (seed % 1000) / 1000.0) * (F.col("_n") / starts)))
+    return run.where((F.col("_n") <= starts) | F.array_contains(picks, F.col("_i").cast("long"))).select("session_id", "start", "stop", "words")
 
 
 def completeness(turns: DataFrame, required: int) -> DataFrame:

@@ -55,8 +55,9 @@ def leakage(texts: DataFrame, forbidden: DataFrame) -> DataFrame:
     return texts.crossJoin(tx.listed(forbidden)).withColumn("n", n.cast("long")).groupBy("token").agg(F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").alias("hits"))
 
 
-def sentence_rows(turns: DataFrame) -> DataFrame:
-    return turns.select("session_id", "turn_index", F.posexplode(tx.sentences("text")).alias("sentence_index", "sentence"))
+def sentence_rows(turns: DataFrame, by_capital: bool = False) -> DataFrame:
+    cut = tx.sentences_by_capital if by_capital else tx.sentences
+    return turns.select("session_id", "turn_index", F.posexplode(cut("text")).alias("sentence_index", "sentence"))
 
 
 def clause_rows(turns: DataFrame) -> DataFrame:
@@ -74,31 +75,61 @@ def centred(c: Column | str, budget: int) -> Column:
     return F.when(n >= budget, tx.word_slice(c, start, budget))
 
 
+#: Sentences of context on each side of an excerpt.
+CONTEXT = 2
+
+
 def excerpts(turns: DataFrame, budget: int) -> DataFrame:
-    """Adds `excerpt`: whole sentences grown outward from the middle one, by turns after and before, while the words stay within the
-    budget (the middle sentence stands whatever its length), and excerpt_words."""
+    """Adds `excerpt`, excerpt_words, context, reduced, literal, excerpt_sha256 and text_sha256.
+
+    A text within the budget of words, or of one sentence, stands whole. Of others whole sentences are taken: the middle one, then by steps the shorter of
+    its neighbours (the earlier of equal ones), until the budget is reached. `context` is up to two sentences on each side; `literal` says whether the
+    excerpt stands in the text as it is (line feeds between sentences become spaces). Null texts have a null excerpt.
+    """
     df = turns.withColumn("_s", tx.sentences("text")).withColumn("_n", F.transform("_s", lambda x: F.size(F.split(x, r"\s+"))))
-    df = df.withColumn("_m", F.floor((F.size("_s") - 1) / 2).cast("int"))
+    df = df.withColumn("_m", F.floor(F.size("_s") / 2).cast("int"))
 
-    def grow(acc: Column, k: Column) -> Column:
-        after = (k % 2) == 1
-        more = F.get("_n", F.when(after, acc["hi"] + 1).otherwise(acc["lo"] - 1))
-        fits = F.coalesce(acc["n"] + more <= budget, F.lit(False))
-        step = fits.cast("int")
-        return F.struct((acc["lo"] - F.when(after, 0).otherwise(step)).alias("lo"), (acc["hi"] + F.when(after, step).otherwise(0)).alias("hi"), (acc["n"] + F.when(fits, more).otherwise(0)).alias("n"))
+    def grow(acc: Column, _: Column) -> Column:
+        before, after = F.get("_n", acc["lo"] - 1), F.get("_n", acc["hi"] + 1)
+        back, more = F.coalesce(before <= after, before.isNotNull()), acc["n"] < budget
+        down, up = more & back, more & ~back & after.isNotNull()
+        return F.struct((acc["lo"] - down.cast("int")).alias("lo"), (acc["hi"] + up.cast("int")).alias("hi"), (acc["n"] + F.when(down, before).when(up, after).otherwise(0)).alias("n"))
 
     start = F.struct(F.col("_m").alias("lo"), F.col("_m").alias("hi"), F.coalesce(F.get("_n", F.col("_m")), F.lit(0)).alias("n"))
-    df = df.withColumn("_x", F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(2 * F.size("_s"), F.lit(2 * budget)))), start, grow))
-    text = F.array_join(F.slice("_s", F.col("_x.lo") + 1, F.col("_x.hi") - F.col("_x.lo") + 1), " ")
-    return df.withColumns({"excerpt": F.when(F.size("_s") > 0, text), "excerpt_words": F.col("_x.n")}).drop("_s", "_n", "_m", "_x")
+    df = df.withColumn("_x", F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_s"))), start, grow))
+    df = df.withColumn("reduced", (tx.n_words("text") > budget) & (F.size("_s") > 1))
+    piece = lambda lo, hi: F.slice("_s", lo + 1, F.greatest(hi - lo + 1, F.lit(0)))
+    lo, hi = F.col("_x.lo"), F.col("_x.hi")
+    around = F.concat(piece(F.greatest(lo - CONTEXT, F.lit(0)), lo - 1), piece(hi + 1, hi + CONTEXT))
+    df = df.withColumns({"excerpt": F.when(F.col("reduced"), F.array_join(piece(lo, hi), " ")).otherwise(F.col("text")), "context": F.when(F.col("reduced"), F.array_join(around, " ")).otherwise("")})
+    df = df.withColumns({"excerpt_words": tx.n_words("excerpt"), "literal": F.contains("text", F.col("excerpt")), "excerpt_sha256": F.sha2("excerpt", 256), "text_sha256": F.sha2("text", 256)})
+    return df.drop("_s", "_n", "_m", "_x")
+
+
+def flattened(payload: Column | str, depth: int = 8) -> Column:
+    """Entries (path, value) of a JSON object: keys of nested objects joined by dots, lists as `<list len=n>`, null as NULL. Objects nested deeper than
+    `depth` stay JSON text; empty ones, and what is no object or no JSON, have no entry."""
+    entries = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(payload).alias("v")))
+
+    def open_(e: Column) -> Column:
+        inner = F.try_variant_get(e["v"], "$", "map<string,variant>")
+        prefix = F.when(e["path"] == "", F.lit("")).otherwise(F.concat(e["path"], F.lit(".")))
+        below = F.transform(F.map_entries(inner), lambda m: F.struct(F.concat(prefix, m["key"]).alias("path"), m["value"].alias("v")))
+        return F.when(inner.isNull(), F.array(e)).otherwise(below)
+
+    for _ in range(depth):
+        entries = F.flatten(F.transform(entries, open_))
+    n = lambda e: F.size(F.try_variant_get(e["v"], "$", "array<variant>"))
+    value = lambda e: F.when(F.try_variant_get(e["v"], "$", "array<variant>").isNotNull(), F.concat(F.lit("<list len="), n(e).cast("string"), F.lit(">"))).otherwise(F.try_variant_get(e["v"], "$", "string"))
+    return F.transform(F.filter(entries, lambda e: e["path"] != ""), lambda e: F.struct(e["path"].alias("path"), value(e).alias("value")))
 
 
 def payload_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Flat JSON payloads by key: paths only in a, only in b, or with other values."""
-    flat = lambda df, v: df.select(key, F.explode(F.from_json("payload", "map<string,string>")).alias("path", v))
+    """JSON payloads by key: dotted paths only in a, only in b, or with other values."""
+    flat = lambda df, v: df.select(key, F.inline(flattened("payload"))).select(key, "path", F.col("value").alias(v), F.lit(True).alias(f"_{v}"))
     j = flat(a, "va").join(flat(b, "vb").hint("merge"), [key, "path"], "full")
-    state = F.when(F.col("vb").isNull(), "only_a").when(F.col("va").isNull(), "only_b").when(F.col("va") != F.col("vb"), "differs").otherwise("same")
-    return j.withColumn("state", state)
+    state = F.when(F.col("_vb").isNull(), "only_a").when(F.col("_va").isNull(), "only_b").when(~F.col("va").eqNullSafe(F.col("vb")), "differs").otherwise("same")
+    return j.withColumn("state", state).drop("_va", "_vb")
 
 
 def strip_boilerplate(turns: DataFrame, phrases: list[str]) -> DataFrame:

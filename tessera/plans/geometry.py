@@ -104,18 +104,57 @@ register("qa04_transcript_compare", lambda s, d: qa.transcript_compare(positions
     a as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id s, text t from turns), b as (select session_id, row_number() over (partition by session_id order by turn_index) pos, speaker_id s2, case when n_words % 11 = 0 then 'X' else text end t2 from turns where not (session_id::int % 7 = 0 and turn_index = 2)),
     j as (select session_id, pos, case when t is null or t2 is null then 'length' when s <> s2 then 'speaker' when t <> t2 then 'text' end f from a full join b using (session_id, pos))
     select session_id, count(f) differences, min(pos) filter (f is not null) "first", arg_min(f, pos) filter (f is not null) field from j group by 1""")
-register("qa05_structure_checks", lambda s, d: qa.structure_checks(panel(s, d)), "panel", r"""
-    select session_id, count(*) filter (regexp_matches(text, '^[A-Z ]+$')) headings, count(*) filter (regexp_matches(text, '(^|\n)[A-Z][a-z]+:')) labels, count(*) filter (regexp_matches(text, '(^|\n)[0-9]{1,3}(\n|$)')) page_numbers from panel group by 1""")
+stated = lambda s, d: panel(s, d).where("group_id <> 'web'").groupBy("session_id").agg((F.count(F.lit(1)) + F.count_if(F.col("turn_index") % 397 == 0)).alias("expected"))
+register("qa05_structure_checks", lambda s, d: qa.structure_checks(panel(s, d), stated(s, d)), "panel", r"""
+    e as (select session_id, count(*) + count(*) filter (turn_index % 397 = 0) expected from panel where group_id <> 'web' group by 1),
+    g as (select session_id, count(*) turns, count(*) filter (regexp_matches(text, '^[A-Z ]+$')) headings, count(*) filter (regexp_matches(text, '(^|\n)[A-Z][a-z]+:')) labels, count(*) filter (regexp_matches(text, '(^|\n)[0-9]{1,3}(\n|$)')) page_numbers from panel group by 1)
+    select g.*, expected, coalesce(turns = expected, false) matches from g left join e using (session_id)""")
 register("qa06_reconcile_table", lambda s, d: qa.reconcile_table(calls(s, d).groupBy(F.col("model").alias("metric")).agg(F.avg("input_tokens").alias("value"), F.count(F.lit(1)).alias("n_source")), s.createDataFrame([("error", 49.5), ("click", 10.0), ("view", 49.4), ("ghost", 1.0)], "metric string, value double"), 1.0), "calls", """
     c as (select model metric, avg(input_tokens) v, count(*) n_source from calls group by 1), t as (select * from (values ('error', 49.5::double), ('click', 10.0), ('view', 49.4), ('ghost', 1.0)) t(metric, st))
     select metric, round(v, 6) "value", round(st, 6) stated, n_source, case when st is null then 'unstated' when v is null then 'unsupported' when abs(v - st) <= 1 then 'agrees' else 'differs' end state from c full join t using (metric)""")
-register("agg11_call_audit", lambda s, d: qa.call_audit(calls(s, d)), "calls", """
-    select session_id, count(*) calls, count(*) filter (failed) errors, count(*) filter (output_tokens >= 95) truncated, sum(input_tokens)::bigint input_tokens, count(distinct model) models, max(input_tokens is not null) logs_input, round(count(*) filter (failed) / count(*)::double, 6) error_rate, case when max(input_tokens is not null) then 'measured' else 'estimated' end "rule" from calls group by 1""")
-RATES = [("click", 1.5, 2.0), ("view", 3.0, 3.0), ("error", 0.5, 4.0)]
-RATES_SQL = "rt as (select * from (values ('click', 1.5::double, 2.0::double), ('view', 3.0, 3.0), ('error', 0.5, 4.0)) t(model, lo, hi))"
-rates = lambda s: s.createDataFrame(RATES, "model string, lo double, hi double")
-register("agg12_usage_cost", lambda s, d: qa.usage_cost(calls(s, d), rates(s)), "calls", RATES_SQL + """,
-    g as (select model, "role", count(*) calls, sum(input_tokens + output_tokens)::bigint tokens from calls group by 1, 2) select model, "role", calls, tokens, round(tokens * lo / 1e6, 6) cost_low, round(tokens * hi / 1e6, 6) cost_high, case when lo is null then 'no_rate' else 'priced' end pricing from g left join rt using (model)""")
+
+
+def audited(s, d):
+    """The call log with the columns of an audited one."""
+    k, failed = F.col("event_id"), F.col("failed")
+    event = F.when(k % 12 == 4, "engagement_retry").when(k % 3 == 0, "response").when(k % 3 == 1, "engagement").otherwise("decision")
+    error = F.when(failed & (k % 5 == 0), "fallback_after_retry").when(failed & (k % 5 == 1), "recovered_on_retry").when(failed, "malformed").when(k % 2 == 0, "none")
+    c = calls(s, d).withColumns({"event": event, "error_type": error, "attempt": 1 + (k % 7 == 0).cast("int"), "fallback": k % 11 == 0, "coerced": F.when(F.col("session_id") % 2 == 1, F.when(k % 13 == 0, "age").otherwise("none")), "truncated": F.col("output_tokens") >= 95})
+    return c.withColumn("stop_reason", F.when(k % 10 > 0, F.when(F.col("truncated"), "max_tokens").otherwise("end_turn")))
+
+
+register("agg11_call_audit", lambda s, d: qa.call_audit(audited(s, d)), "calls", """
+    a as (select *, case when event_id % 12 = 4 then 'engagement_retry' when event_id % 3 = 0 then 'response' when event_id % 3 = 1 then 'engagement' else 'decision' end ev, case when failed and event_id % 5 = 0 then 'fb' when failed and event_id % 5 = 1 then 'rec' when failed then 'bad' end er,
+        output_tokens >= 95 tr, session_id % 2 = 1 rp, case when event_id % 10 > 0 then case when output_tokens >= 95 then 'max_tokens' else 'end_turn' end end sr from calls),
+    g as (select session_id, count(*) calls, count(distinct model) models, sum(input_tokens)::bigint input_tokens, sum(output_tokens)::bigint output_tokens, count(er) errors, count(*) filter (event_id % 7 = 0) retries, count(*) filter (ev = 'decision') decisions, count(*) filter (ev = 'decision' and event_id % 11 = 0) fallbacks,
+        count(*) filter (ev = 'response') responses, count(*) filter (ev = 'response' and tr) truncated, count(*) filter (ev = 'engagement' and event_id % 7 > 0) assessments, count(*) filter (rp and event_id % 13 = 0) coerced, any_value(rp) retry_path,
+        count(*) filter (ev like 'engagement%' and er = 'fb') + count(*) filter (not rp and ev = 'engagement' and er = 'bad') forced_silences,
+        nullif(concat_ws('|', case when count(*) filter (ev = 'response' and sr = 'end_turn') > 0 then 'end_turn:' || count(*) filter (ev = 'response' and sr = 'end_turn') end, case when count(*) filter (ev = 'response' and sr = 'max_tokens') > 0 then 'max_tokens:' || count(*) filter (ev = 'response' and sr = 'max_tokens') end), '') stop_reasons from a group by 1)
+    select *, round(errors / calls::double, 6) error_rate, round(retries / calls::double, 6) retry_rate, round(fallbacks / nullif(decisions, 0)::double, 6) fallback_rate, round(truncated / nullif(responses, 0)::double, 6) truncation_rate, round(coerced / nullif(assessments, 0)::double, 6) coercion_rate, round(forced_silences / nullif(assessments, 0)::double, 6) forced_silence_rate from g""")
+RATES = [("click", "USD", 1.5, 2.0, 0.1, 1.0, 1.0), ("view", "USD", 3.0, 3.0, 0.3, 3.5, 6.0), ("error", "EUR", 0.5, 4.0, 0.1, 0.6, 0.6), ("purchase", "USD", 1.0, 1.0, None, None, 2.0)]
+rates = lambda s: s.createDataFrame(RATES, "model string, currency string, input double, output double, cache_read double, write_5m double, write_1h double")
+
+
+def cached(s, d):
+    """The call log with tokens read from and written to caches, some of no known time to live, and calls that name no model."""
+    k = F.col("event_id")
+    c = calls(s, d).withColumns({"model": F.when(k % 97 > 0, F.col("model")), "cache_read": F.when(k % 2 == 0, k % 30), "cache_writes": k % 50, "five": F.when(k % 3 == 0, F.floor(k % 50 / 2)), "hour": F.when(k % 3 == 1, F.floor(k % 50 / 2)), "ttl": F.when(k % 4 == 0, "5m").when(k % 4 == 1, "1h")})
+    return qa.split_cache_writes(c.where("model is null or model <> 'purchase' or event_id % 2 = 0"))
+
+
+COST_SQL = """ca as (select session_id, "role", case when event_id % 97 > 0 then model end model, input_tokens i, output_tokens o, case when event_id % 2 = 0 then event_id % 30 else 0 end cr, event_id % 50 cw, case when event_id % 3 = 0 then event_id % 50 // 2 else 0 end f, case when event_id % 3 = 1 then event_id % 50 // 2 else 0 end h, event_id % 4 tl from calls where event_id % 97 = 0 or model <> 'purchase' or event_id % 2 = 0),
+    cs as (select *, f + case when tl = 0 then cw - f - h else 0 end w5, h + case when tl = 1 then cw - f - h else 0 end w1, case when tl > 1 then cw - f - h else 0 end wu from ca),
+    rt as (select * from (values ('click', 'USD', 1.5::double, 2.0::double, 0.1::double, 1.0::double, 1.0::double), ('view', 'USD', 3, 3, 0.3, 3.5, 6), ('error', 'EUR', 0.5, 4, 0.1, 0.6, 0.6), ('purchase', 'USD', 1, 1, null, null, 2)) t(model, currency, ri, ro, rc, r5, r1)),
+    cg as (select {0}, model, count(*) calls, sum(i)::bigint input_tokens, sum(o)::bigint output_tokens, sum(cr)::bigint cache_read, sum(w5)::bigint write_5m, sum(w1)::bigint write_1h, sum(wu)::bigint write_unknown from cs group by all),
+    cj as (select cg.*, currency, case when cg.model is null then 'unattributed' when ri is null then 'no_rate' when (cache_read > 0 and rc is null) or (write_5m + write_1h + write_unknown > 0 and (r5 is null or r1 is null)) then 'incomplete_rate' when write_unknown > 0 and r5 <> r1 then 'ttl_unknown' else 'priced' end status,
+        (input_tokens * ri + output_tokens * ro + cache_read * coalesce(rc, 0) + write_5m * coalesce(r5, 0) + write_1h * coalesce(r1, 0)) / 1e6 b, write_unknown * least(r5, r1) / 1e6 lo, write_unknown * greatest(r5, r1) / 1e6 hi from cg left join rt on rt.model = cg.model),
+    co as (select {0}, model, calls, input_tokens, output_tokens, cache_read, write_5m, write_1h, write_unknown, currency, status, case when status in ('priced', 'ttl_unknown') then round(b + lo, 6) end cost_low, case when status in ('priced', 'ttl_unknown') then round(b + hi, 6) end cost_high, case when status = 'priced' then round(b + lo, 6) end cost from cj)"""
+TOTAL_SQL = COST_SQL.format("session_id") + """, tt as (select session_id, count(distinct currency) currencies, case when count(distinct currency) = 1 then min(currency) end currency, count(*) - count(cost) undetermined, case when count(distinct currency) = 1 and count(cost) = count(*) then round(sum(cost), 6) end cost,
+    case when count(distinct currency) = 1 and count(cost_low) = count(*) then round(sum(cost_low), 6) end cost_low, case when count(distinct currency) = 1 and count(cost_low) = count(*) then round(sum(cost_high), 6) end cost_high from co group by 1)"""
+register("agg12_usage_cost", lambda s, d: qa.usage_cost(cached(s, d), rates(s), ["role"]), "calls", COST_SQL.format('"role"') + " select * from co")
+register("agg12_cost_totals", lambda s, d: qa.cost_totals(qa.usage_cost(cached(s, d), rates(s), ["session_id"]), ["session_id"]), "calls", TOTAL_SQL + " select * from tt")
+register("agg12_projected_cost", lambda s, d: qa.projected_cost(qa.cost_totals(qa.usage_cost(cached(s, d).where("model in ('click', 'view')"), rates(s), ["session_id"]), ["session_id"]).withColumn("third", F.col("session_id") % 3), ["third"], 100), "calls", TOTAL_SQL.replace("or event_id % 2 = 0)", "or event_id % 2 = 0) ").replace("from calls where ", "from calls where event_id % 97 > 0 and model in ('click', 'view') and (").replace("or event_id % 2 = 0) ,", "or event_id % 2 = 0)),") + """
+    select session_id % 3 third, count(cost) observed, count(*) - count(cost) excluded, round(avg(cost) * 100, 6) projected, round(min(cost) * 100, 6) projected_min, round(max(cost) * 100, 6) projected_max from tt group by 1""")
 register("agg13_stage_durations", lambda s, d: qa.stage_durations(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(F.col("event_type").alias("stage"), F.col("ts").alias("started"), F.when((F.col("event_type") != "error") | (F.col("event_id") % 50 != 0), F.col("ts") + F.make_interval(secs=F.floor("value"))).alias("ended"))), "", """
     with r as (select event_type stage, ts st, case when event_type <> 'error' or event_id % 50 <> 0 then ts + to_seconds(floor(value)) end en from events), q as (select *, (epoch_us(en) / 1e6 - epoch_us(st) / 1e6) sc from r)
-    select stage, count(*) n, count(*) filter (en is null) missing, round(min(sc), 6) min_s, round(quantile_cont(sc, 0.5), 6) median_s, round(sum(sc), 6) total_s, case when count(*) filter (en is null) = 0 then round((max(epoch_us(en)) - min(epoch_us(st))) / 1e6, 6) end wall_s from q group by 1""")
+    select stage, count(*) n, count(*) filter (en is null) missing, round(min(sc), 6) min_s, round(quantile_cont(sc, 0.5), 6) median_s, round(avg(sc), 6) mean_s, round(max(sc), 6) max_s, round(sum(sc), 6) total_s, case when count(*) filter (en is null) = 0 then round((max(epoch_us(en)) - min(epoch_us(st))) / 1e6, 6) end wall_s from q group by 1""")

@@ -51,6 +51,14 @@ register("seg06_window_cut", lambda s, d: sg.window_cut(panel(s, d), F.col("role
     b as (select session_id, min(case when "role" = 'moderator' then turn_index end) "start", max(case when "role" = 'moderator' and n_words > 300 then turn_index end) c from panel group by 1),
     w as (select session_id, "start", case when c > "start" then c end stop from b), i as (select p.*, w."start", stop, coalesce(turn_index >= w."start" and (stop is null or turn_index < stop), false) inside from panel p join w using (session_id))
     select session_id, "start", stop, count(*) filter (inside) included, count(*) filter (not inside) excluded, sum(case when inside then n_words else 0 end)::bigint words from i group by 1, 2, 3""")
+ASK, LEAD, RESIDUE = "(?i)the |und ", "(?i) la |les ", "[0-9]|token"
+register("seg06_ask_offset", lambda s, d: sg.ask_offset(panel(s, d).where("role = 'moderator'"), ASK, LEAD, RESIDUE).select("session_id", "turn_index", "offset", "dropped_words", "review"), "panel", rf"""
+    p as (select session_id, turn_index, string_split(regexp_replace(coalesce(text, ''), '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) x from panel where "role" = 'moderator'),
+    a as (select *, list_max(list_filter(range(len(x)), lambda i: regexp_matches(x[i + 1], '{ASK}'))) an from p),
+    b as (select *, case when an is not null then coalesce(list_max(list_filter(range(an), lambda i: not (regexp_matches(x[i + 1], '{ASK}|{LEAD}') and not regexp_matches(x[i + 1], '{RESIDUE}')))) + 1, 0) end lo from a),
+    c as (select *, array_to_string(x[1:coalesce(lo, 0)], '') hd, array_to_string(x[coalesce(lo, 0) + 1:], '') kp from b), o as (select *, lo is not null and not regexp_matches(kp, '{RESIDUE}') ok from c),
+    f as (select session_id, turn_index, case when ok then length(hd) + case when lo > 0 then length(kp) - length(regexp_replace(kp, '^\s+', '')) else 0 end end "offset", case when ok then len(list_filter(string_split_regex(hd, '\s+'), lambda w: w <> '')) end dropped_words, ok from o)
+    select session_id, turn_index, "offset", dropped_words, case when not ok then 'human' when "offset" = 0 then 'clean' else 'trimmed' end review from f""")
 Q = [(1, "the"), (2, "und"), (3, "tion"), (4, "los")]
 register("seg07_openers", lambda s, d: sg.openers(panel(s, d), s.createDataFrame(Q, "question int, term string")), "panel", f"""
     q as (select * from (values {', '.join(map(str, Q))}) t(question, term)), a as (select session_id, turn_index, question, instr(lower(text), term) p from panel join q on instr(lower(text), term) > 0 where "role" = 'moderator'),
@@ -60,7 +68,8 @@ register("seg07_openers", lambda s, d: sg.openers(panel(s, d), s.createDataFrame
 BUDGET = """c as (select session_id, turn_index, n_words, sum(n_words) over (partition by session_id order by turn_index rows unbounded preceding) cum from panel),
     r as (select c.session_id, c.turn_index "start", max(e.turn_index) stop, max(e.cum - c.cum + c.n_words)::bigint words from c join c e on e.session_id = c.session_id and e.turn_index >= c.turn_index and e.cum - c.cum + c.n_words <= 1500 group by 1, 2 having max(e.cum - c.cum + c.n_words) >= 0.9 * 1500),
     n as (select *, row_number() over (partition by session_id order by "start") - 1 i, count(*) over (partition by session_id) n from r),
-    exc as (select session_id, "start", stop, words from n where i % greatest(n // 10, 1) = 0 and i / greatest(n // 10, 1) < 10)"""
+    h as (select *, (('0x' || substr(sha256(session_id), 1, 8))::bigint % 1000) / 1000.0::double ph from n),
+    exc as (select session_id, "start", stop, words from h where n <= 10 or list_contains(list_transform(range(10), lambda q: floor((q + ph) * (n / 10.0::double))::bigint), i))"""
 register("seg08_word_budget", lambda s, d: sg.word_budget(panel(s, d), 1500), "panel", BUDGET + " select * from exc")
 register("seg09_completeness", lambda s, d: sg.completeness(panel(s, d), 4), "panel", """
     z as (select session_id, section, bool_or("role" = 'participant') a from panel group by 1, 2),

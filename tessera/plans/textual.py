@@ -43,13 +43,20 @@ register("prj05_roster_scrub", lambda s, d: op.roster_scrub(panel(s, d), roster(
 register("prj06_leakage", lambda s, d: op.leakage(table(s, d, "documents").select("text"), s.createDataFrame([("token =",), ("@mail",), ("License",), ("the ",)], "token string")), "", """
     select token, count(*) filter (n > 0) texts, sum(n)::bigint hits from (select token, ((length(text) - length(replace(text, token, ''))) / length(token))::bigint n from documents cross join (select unnest(['token =', '@mail', 'License', 'the ']) token)) group by 1""")
 register("prj07_sentences", lambda s, d: op.sentence_rows(turns(s, d)), "turns", f"""select session_id, turn_index, unnest({SENT}) sentence, generate_subscripts({SENT}, 1) - 1 sentence_index from turns""")
+SENT_CAPITAL = SENT.replace(r"'([.!?])\s+', '\1' || chr(10)", r"""'([.!?])\s+([A-Z"''‘“])', '\1' || chr(10) || '\2'""")
+register("prj07_sentences_by_capital", lambda s, d: op.sentence_rows(panel(s, d), by_capital=True), "panel", f"""select session_id, turn_index, unnest({SENT_CAPITAL}) sentence, generate_subscripts({SENT_CAPITAL}, 1) - 1 sentence_index from panel""")
 register("prj08_clauses", lambda s, d: op.clause_rows(turns(s, d)), "turns", f"""select session_id, turn_index, unnest({CLAUSE}) clause, generate_subscripts({CLAUSE}, 1) - 1 clause_index from turns""")
 register("prj09_word_windows", lambda s, d: turns(s, d).select("session_id", "turn_index", op.truncated("text", 12).alias("head"), op.centred("text", 20).alias("middle")), "turns", f"""
     w as (select *, {W_} w from turns) select session_id, turn_index, array_to_string(w[1:12], ' ') head, case when len(w) >= 20 then array_to_string(w[greatest((len(w) - 20) // 2 + 1, 1):greatest((len(w) - 20) // 2 + 1, 1) + 19], ' ') end middle from w""")
-register("prj10_excerpt", lambda s, d: op.excerpts(turns(s, d), 40).select("session_id", "turn_index", "excerpt", "excerpt_words"))
+register("prj10_excerpt", lambda s, d: op.excerpts(turns(s, d), 40).select("session_id", "turn_index", "excerpt", "excerpt_words", "context", "reduced", "literal"))
 register("prj11_payload_diff", lambda s, d: op.payload_diff(calls(s, d).select("event_id").join(table(s, d, "events").select("event_id", F.col("props").alias("payload")), "event_id"), table(s, d, "events").select("event_id", F.to_json(F.struct(F.floor("value").cast("int").alias("k"), F.col("event_type").alias("t"))).alias("payload")), "event_id").select("event_id", "path", "va", "vb", "state"), "", """
     a as (select event_id, 'k' path, props->>'$.k' va from events), b as (select event_id, 'k' path, floor(value)::int::varchar vb from events union all select event_id, 't', event_type from events)
     select event_id, path, va, vb, case when vb is null then 'only_a' when va is null then 'only_b' when va <> vb then 'differs' else 'same' end state from a full join b using (event_id, path)""".replace("\n    a as", "with a as", 1))
+nested = lambda s, d, m, items, rest: table(s, d, "events").select("event_id", F.to_json(F.struct(F.struct((F.col("event_id") % m).alias("k"), F.array(*map(F.lit, range(items))).alias("l")).alias("m"), F.col("event_type").alias(rest))).alias("payload"))
+register("prj11_nested_diff", lambda s, d: op.payload_diff(nested(s, d, 3, 2, "t"), nested(s, d, 2, 1, "u"), "event_id"), "", """
+    with r as (select event_id, 'm.k' path, (event_id % 3)::varchar va, (event_id % 2)::varchar vb, event_type from events union all select event_id, 'm.l', '<list len=2>', '<list len=1>', event_type from events
+    union all select event_id, 't', event_type, null, event_type from events union all select event_id, 'u', null, event_type, event_type from events)
+    select event_id, path, va, vb, case when vb is null then 'only_a' when va is null then 'only_b' when va <> vb then 'differs' else 'same' end state from r""")
 register("prj12_strip_boilerplate", lambda s, d: op.strip_boilerplate(panel(s, d), ["Licensed under [A-Za-z ,0-9.]+", "token = \"[0-9a-f]+\""]), "panel", r"""
     select session_id, turn_index, list_sort(list_distinct(regexp_extract_all(text, '(Licensed under [A-Za-z ,0-9.]+|token = "[0-9a-f]+")', 1))) removed, length(regexp_replace(text, 'Licensed under [A-Za-z ,0-9.]+|token = "[0-9a-f]+"', '', 'g')) kept_chars from panel""")
 register("prj13_turn_third", lambda s, d: op.turn_third(turns(s, d)), "turns", """
