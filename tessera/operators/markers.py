@@ -25,13 +25,13 @@ def clause_markers(turns: DataFrame, lexicon: DataFrame, opening: int = 2) -> Da
 
 
 def style_rates(turns: DataFrame, families: dict[str, str]) -> DataFrame:
-    """Per speaker: type-token ratio, sentence length and each family's hits per 100 words; rates are NULL without words."""
+    """Per speaker: type-token ratio, sentence length (mean and population variance) and each family's hits per 100 words; rates are NULL without words."""
     t = tx.tokens("text", "[a-z]+")
-    df = turns.select("session_id", "speaker_id", "n_words", t.alias("t"), F.size(tx.sentences("text")).alias("ns"), *(tx.hits(F.lower("text"), p).alias(k) for k, p in families.items()))
+    df = turns.select("session_id", "speaker_id", "n_words", t.alias("t"), F.size(tx.sentences("text")).alias("ns"), F.aggregate(tx.sentences("text"), F.lit(0), lambda s, x: s + tx.n_words(x) * tx.n_words(x)).alias("_w2"), F.aggregate(tx.sentences("text"), F.lit(0), lambda s, x: s + tx.n_words(x)).alias("_w1"), *(tx.hits(F.lower("text"), p).alias(k) for k, p in families.items()))
     g = df.groupBy("session_id", "speaker_id").agg(
-        F.sum("n_words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("_types"), F.sum(F.size("t")).alias("_tokens"), F.sum("ns").alias("_ns"), *(F.sum(k).alias(k) for k in families)
+        F.sum("n_words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("_types"), F.sum(F.size("t")).alias("_tokens"), F.sum("ns").alias("_ns"), F.sum("_w1").alias("_w1"), F.sum("_w2").alias("_w2"), *(F.sum(k).alias(k) for k in families)
     )
-    return g.select("session_id", "speaker_id", "words", r6(ratio("_types", "_tokens")).alias("ttr"), r6(ratio("words", "_ns")).alias("sentence_words"), *(r6(100 * ratio(k, "words")).alias(k) for k in families))
+    return g.select("session_id", "speaker_id", "words", r6(ratio("_types", "_tokens")).alias("ttr"), r6(ratio("words", "_ns")).alias("sentence_words"), r6(ratio("_w2", "_ns") - F.pow(ratio("_w1", "_ns"), F.lit(2))).alias("sentence_variance"), *(r6(100 * ratio(k, "words")).alias(k) for k in families))
 
 
 def style_ranges(rates: DataFrame, families: list[str]) -> DataFrame:
@@ -99,12 +99,14 @@ def term_rates(turns: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def reference_density(turns: DataFrame, roster: DataFrame) -> DataFrame:
-    """Share of participant turns that name another member of the session's roster (by token); names of two members don't count."""
+    """Share of participant turns that name another member of the session's roster (by token); names of two members don't count, `ambiguous` says how many there are."""
     clear = roster.groupBy("session_id", "name").agg(F.min("speaker_id").alias("_who"), F.countDistinct("speaker_id").alias("_n")).where("_n = 1")
     t = turns.where("role = 'participant'").select("session_id", "turn_index", "speaker_id", F.explode_outer(F.array_distinct(tx.tokens("text", "[a-z]+"))).alias("name"))
     hit = t.join(clear.hint("merge"), ["session_id", "name"], "left").withColumn("_h", F.coalesce(F.col("_who") != F.col("speaker_id"), F.lit(False)))
     per = hit.groupBy("session_id", "turn_index").agg(F.bool_or("_h").alias("h"))
-    return per.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), r6(F.avg(F.col("h").cast("double"))).alias("density"))
+    shared = roster.where("name <> ''").groupBy("session_id", "name").agg(F.countDistinct("speaker_id").alias("_n")).where("_n > 1").groupBy("session_id").agg(F.count(F.lit(1)).alias("_k"))
+    g = per.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), r6(F.avg(F.col("h").cast("double"))).alias("density"))
+    return g.join(shared.hint("merge"), "session_id", "left").select("session_id", "turns", "density", F.coalesce("_k", F.lit(0)).alias("ambiguous"))
 
 
 def keyword_rate(turns: DataFrame, keywords: list[str]) -> DataFrame:

@@ -163,11 +163,11 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def attribute_match(targets: DataFrame, pool: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
     """k pool records for each target on exact keys, without replacement: targets with the same keys take disjoint slices of the pool,
-    which is ordered by hash."""
+    which is ordered by hash; `short` marks targets that get fewer than k."""
     t = targets.withColumn("_j", F.row_number().over(W.partitionBy(*keys).orderBy("target_id")))
     p = pool.withColumns({"_r": F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.col("record_id").cast("string")), "record_id")), "pool": F.count(F.lit(1)).over(W.partitionBy(*keys))})
     p = p.withColumn("_j", F.ceil(F.col("_r") / k))
-    return t.join(p, [*keys, "_j"], "left").groupBy("target_id").agg(F.array_sort(F.collect_list("record_id")).alias("records"), F.max("pool").alias("pool"))
+    return t.join(p, [*keys, "_j"], "left").groupBy("target_id").agg(F.array_sort(F.collect_list("record_id")).alias("records"), F.max("pool").alias("pool")).withColumn("short", F.size("records") < k)
 
 
 def metric_mapping(wanted: DataFrame, have: DataFrame, alias: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio
+from .stats import nth_values
 
 
 def _h(key: str, seed: str) -> Column:
@@ -32,6 +33,18 @@ def round_robin(df: DataFrame, by: str, cell: list[str], key: str, n: int, seed:
     return d.withColumn("draw", F.row_number().over(W.partitionBy(by).orderBy("_r", *cell))).where(F.col("draw") <= n).select(by, *cell, key, "draw")
 
 
+def terciles(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    """Adds `tercile`, T1 to T3, by the values a third and two thirds up the order of all rows (rounded); NULL for a null value."""
+    low, high = nth_values(df, value, lambda n: [n // 3, 2 * n // 3], digits)
+    v = F.round(value, digits)
+    return df.withColumn("tercile", F.when(v <= F.lit(low), "T1").when(v <= F.lit(high), "T2").when(v.isNotNull(), "T3"))
+
+
+def shortfalls(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Groups that can't give n rows, with what they have; a draw takes all of these."""
+    return df.groupBy(*by).agg(F.lit(n).alias("requested"), F.count(F.lit(1)).alias("available")).where(F.col("available") < n)
+
+
 def content_order(df: DataFrame, text: list[str], by: str, n: int) -> DataFrame:
     """First n per `by` in the order of a content hash."""
     h = F.sha2(F.concat_ws("|", *text), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,6 +95,26 @@ def wilson_gate(counts: DataFrame, low: float, high: float) -> DataFrame:
     return counts.where("n > 0").withColumns({"_lo": lo, "_hi": hi}).select("unit", "k", "n", r6("_lo").alias("lower"), r6("_hi").alias("upper"), F.when(F.col("_lo") >= high, "pass").when(F.col("_hi") < low, "fail").otherwise("open").alias("decision"))
 
 
+def least_k(n: Column | str, target: float, z: float = 1.96) -> Column:
+    """The smallest k of n whose Wilson lower bound reaches `target` (below 1), NULL if none does: the bound reaches it just where k / n lies z standard
+    errors, taken at the target, above it."""
+    n = F.col(n) if isinstance(n, str) else n
+    k = F.ceil(n * target + z * F.sqrt(n * target * (1 - target)))
+    return F.when((n > 0) & (k <= n), k)
+
+
+def nth_values(df: DataFrame, value: str, places: Callable[[int], list[int]], digits: int = 4) -> list[float | None]:
+    """The values, rounded, at places (from 0, given the number of rows) of all rows in order. Rows are counted by rounded value first, and one row
+    reaches the driver; nulls don't count, and an empty table gives None."""
+    c = df.where(F.col(value).isNotNull()).groupBy(F.round(value, digits).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    n = c.agg(F.sum("_k")).first()[0] or 0
+    at = places(n)
+    if not n:
+        return [None] * len(at)
+    row = c.agg(*(F.percentile("_v", F.lit(min(k / max(n - 1, 1), 1.0)), F.col("_k")) for k in at)).first()
+    return [round(v, digits) for v in row]
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     w = W.partitionBy(*by)
     ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
@@ -142,15 +164,23 @@ def classification(df: DataFrame) -> DataFrame:
 
 
 def horvitz_thompson(df: DataFrame) -> DataFrame:
-    """(side, stratum, N, predicted, label or NULL if uncoded): weights N / coded, weighted prevalence, recall, precision, Kish n and Wilson
-    bounds of the prevalence."""
+    """(side, stratum, N, predicted, label or NULL if uncoded): weights N / coded, weighted tp, fp, fn, tn, prevalence, recall, precision, Kish n and
+    Wilson bounds of the prevalence."""
     coded = df.where("label is not null")
     w = coded.withColumn("w", F.col("N") / F.count(F.lit(1)).over(W.partitionBy("side", "stratum")))
     s = lambda t: F.sum(F.when(t, F.col("w")).otherwise(0.0))
     g = w.groupBy("side").agg(F.sum("w").alias("_W"), F.sum(F.col("w") * F.col("w")).alias("_W2"), s(F.col("label") == 1).alias("_pos"), s(F.col("predicted") == 1).alias("_pre"), s((F.col("label") == 1) & (F.col("predicted") == 1)).alias("_tp"))
     g = g.withColumns({"_n": F.col("_W") * F.col("_W") / F.col("_W2"), "_p": F.col("_pos") / F.col("_W")})
     lo, hi = wilson(F.col("_p") * F.col("_n"), F.col("_n"))
-    return g.select("side", r6("_p").alias("prevalence"), r6(ratio("_tp", "_pos")).alias("recall"), r6(ratio("_tp", "_pre")).alias("precision"), r6("_n").alias("kish_n"), r6(lo).alias("lower"), r6(hi).alias("upper"))
+    cells = {"tp": F.col("_tp"), "fp": F.col("_pre") - F.col("_tp"), "fn": F.col("_pos") - F.col("_tp"), "tn": F.col("_W") - F.col("_pos") - F.col("_pre") + F.col("_tp")}
+    return g.select("side", *(r6(c).alias(k) for k, c in cells.items()), r6("_p").alias("prevalence"), r6(ratio("_tp", "_pos")).alias("recall"), r6(ratio("_tp", "_pre")).alias("precision"), r6("_n").alias("kish_n"), r6(lo).alias("lower"), r6(hi).alias("upper"))
+
+
+def recall_gap(estimates: DataFrame, a: str, b: str, small: float = 0.15, large: float = 0.30) -> DataFrame:
+    """One row: the difference of the two sides' recalls and whether their contrast can be read: pass, marginal, fail, or undetermined."""
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("recall")))
+    g = estimates.agg(F.abs(of(a) - of(b)).alias("_g"))
+    return g.select(r6("_g").alias("gap"), F.when(F.col("_g").isNull(), "undetermined").when(F.col("_g") < small, "pass").when(F.col("_g") < large, "marginal").otherwise("fail").alias("verdict"))
 
 
 def leik(df: DataFrame, by: list[str], total: int) -> DataFrame:
@@ -164,15 +194,33 @@ def leik(df: DataFrame, by: list[str], total: int) -> DataFrame:
     return g.select(*by, "n", r6(1 - 2 * (d("c1") + d("c2")) / 2).alias("consensus"), modes.alias("modes"), r6(top / F.col("n")).alias("in_mode"), r6(F.col("n") / F.lit(total)).alias("coverage"), "mean")
 
 
-def calibrate(values: DataFrame, reference: str, near: float = 0.15, floor: float = 0.01) -> DataFrame:
-    """Values against the reference range: inside, near (a share of the range, at least `floor`) or outside."""
+#: Metrics whose names hold one of these lie in 0..1.
+BOUNDED = "share|rate|density|gini"
+
+
+def calibrate(values: DataFrame, reference: str, near: float = 0.15, narrow: float = 0.05) -> DataFrame:
+    """Counts of values by their place against the reference range: inside, near (within a share of the range, for bounded metrics not beyond 0..1),
+    outside, or undefined. A range of one point holds only that point, and what is within `narrow` of it is near."""
     r = values.where(F.col("condition") == reference).groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    m = F.greatest(near * (F.col("hi") - F.col("lo")), F.lit(floor))
-    v = F.col("value")
-    status = F.when(v.isNull() | F.col("lo").isNull(), "undefined").when(v.between(F.col("lo"), F.col("hi")), "inside").when(v.between(F.col("lo") - m, F.col("hi") + m), "near").otherwise("outside")
+    v, lo, hi, m = F.col("value"), F.col("lo"), F.col("hi"), near * (F.col("hi") - F.col("lo"))
+    bounded = F.col("metric").rlike(BOUNDED)
+    low, high = F.when(bounded, F.greatest(lo - m, F.lit(0.0))).otherwise(lo - m), F.when(bounded, F.least(hi + m, F.lit(1.0))).otherwise(hi + m)
+    point = F.when(F.abs(v - lo) < 1e-6, "inside").when(F.abs(v - lo) <= narrow, "near").otherwise("outside")
+    status = F.when(v.isNull() | lo.isNull(), "undefined").when(lo == hi, point).when(v.between(lo, hi), "inside").when(v.between(low, high), "near").otherwise("outside")
     return values.where(F.col("condition") != reference).join(r, "metric", "left").groupBy("metric", "condition", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def progression(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stage, value, direction `down` or `up`): the last stage against the first: improved, stable, regressed, still_problematic; not_enough without
+    two values or without either end, not_comparable without a direction."""
+    g = values.groupBy(*by).agg(F.count("value").alias("_n"), F.min_by("value", "stage").alias("first"), F.max_by("value", "stage").alias("last"), F.first("direction").alias("_d"))
+    a, b, d = F.col("first"), F.col("last"), F.col("_d")
+    better = F.when(d == "down", b < a).otherwise(b > a)
+    worse = F.when((d == "down") & (b <= 0), "regressed").otherwise("still_problematic")
+    status = F.when((F.col("_n") < 2) | a.isNull() | b.isNull(), "not_enough").when(~F.coalesce(d.isin("down", "up"), F.lit(False)), "not_comparable").when(a == b, "stable").when(better, "improved").otherwise(worse)
+    return g.select(*by, r6("first").alias("first"), r6("last").alias("last"), status.alias("status"))
+
+
 #: Shuffles that one row of a task draws.
 CHUNK = 1000
 
@@ -218,14 +266,29 @@ def permutation_test(trials: DataFrame, draws: int, seed: int = 41) -> DataFrame
     return got.select((F.col("_hits") / F.col("_n")).alias("accuracy"), (F.col("_mean") / F.col("_n")).alias("null_mean"), "p")
 
 
+def signed_rank(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, d): Wilcoxon's rank sums of the positive and the negative differences, zeros dropped, average ranks; two-sided p by the normal approximation
+    with the variance corrected for ties."""
+    d = average_ranks(diffs.where("d <> 0").withColumn("_a", F.abs("d")), by, "_a", "_r").withColumn("_t", F.count(F.lit(1)).over(W.partitionBy(*by, "_a")))
+    side = lambda t: F.sum(F.when(t, F.col("_r")).otherwise(0.0))
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    n = F.col("n").cast("double")
+    z = F.abs(ratio(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48.0)))
+    return g.select(*by, "n", "w_plus", "w_minus", r6(_two_sided(z)).alias("p"))
+
+
+def _two_sided(z: Column) -> Column:
+    """Both tails of the normal law beyond z, by a logistic approximation good to 1e-4."""
+    return 2 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+
+
 def rank_effects(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, side 'a' or 'b', value): Mann-Whitney U of a, Cliff's delta and two-sided p (normal approximation), Holm-corrected over `by`."""
     r = average_ranks(df, by, "value", "_r").groupBy(*by).agg(F.sum(F.when(F.col("side") == "a", F.col("_r"))).alias("_ra"), F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
     u = F.col("_ra") - F.col("na") * (F.col("na") + 1) / 2.0
     z = ratio(u - F.col("na") * F.col("nb") / 2.0, F.sqrt(F.col("na") * F.col("nb") * (F.col("na") + F.col("nb") + 1) / 12.0))
     r = r.withColumns({"u": u, "delta": ratio(2 * u, F.col("na") * F.col("nb")) - 1, "_z": F.abs(z)})
-    # upper tail of the normal law, by a logistic approximation good to 1e-4
-    r = r.withColumn("_p", 2 / (1 + F.exp(1.5976 * F.col("_z") + 0.07056 * F.col("_z") * F.col("_z") * F.col("_z"))))
+    r = r.withColumn("_p", _two_sided(F.col("_z")))
     w = W.orderBy("_p", *by)
     r = r.withColumn("_adj", F.least(F.lit(1.0), F.col("_p") * (F.count(F.lit(1)).over(W.partitionBy()) - F.row_number().over(w) + 1)))
     return r.select(*by, r6("u").alias("u"), r6("delta").alias("delta"), r6("_p").alias("p"), r6(F.max("_adj").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("holm"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import n_words, r6, ratio, word_slice
+from .stats import nth_values
 
 CELL = ["doc", "question", "participant"]
 
@@ -110,11 +111,34 @@ def sweep(cell: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
     return out
 
 
-def pair_screen(turns: DataFrame, least_words: int, least_shared: int, far: float = 0.12) -> DataFrame:
-    """A speaker's turns in different questions that share content terms (four letters or more) but little else: candidates for a check of
-    consistency, with shared terms and Jaccard."""
-    t = turns.where(F.col("n_words") >= least_words).select("doc", "participant", "question", "ord", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("t"))
-    b = t.select("doc", "participant", F.col("question").alias("qb"), F.col("ord").alias("ob"), F.col("t").alias("u"))
-    j = t.join(b, ["doc", "participant"]).where((F.col("question") < F.col("qb"))).withColumn("shared", F.size(F.array_intersect("t", "u")))
-    j = j.where(F.col("shared") >= least_shared).withColumn("jac", F.col("shared") / F.size(F.array_union("t", "u")))
-    return j.select("doc", "participant", "ord", "ob", "shared", r6("jac").alias("jaccard"), (F.col("jac") < far).alias("far"))
+# Words that deny, and words of high frequency.
+NEGATION = ["not", "never", "no", "nothing", "none", "dont", "doesnt", "didnt", "wouldnt", "wont", "cant", "couldnt", "hardly", "rarely", "barely"]
+FREQUENCY = ["always", "every", "constantly", "usually", "mostly", "often", "definitely", "absolutely"]
+FREQUENT_PHRASE = "all the time"
+
+
+def pair_screen(turns: DataFrame, least_words: int, least_shared: int, far: float = 0.12, cut: float = 0.70) -> DataFrame:
+    """A speaker's turns in different questions, as candidates for a check of consistency: shared content terms (four letters or more), their Jaccard, the
+    cosine of the turns' TF-IDF (over the speaker's turns), whether they differ in denial or in high frequency, and a stratum. Pairs of a cosine at or
+    above that at the place `cut` of all, with enough shared terms, are high, with or without contrast; the others are controls."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    often = F.arrays_overlap(words, F.array(*map(F.lit, FREQUENCY))) | F.contains(F.lower("text"), F.lit(FREQUENT_PHRASE))
+    t = turns.where(F.col("n_words") >= least_words).select("doc", "participant", "question", "ord", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("k"), F.arrays_overlap(words, F.array(*map(F.lit, NEGATION))).alias("no"), often.alias("often"))
+    who = ["doc", "participant"]
+    tf = t.select(*who, "question", "ord", F.explode("k").alias("term")).groupBy(*who, "question", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = t.groupBy(*who).agg(F.count(F.lit(1)).alias("n"))
+    idf = tf.groupBy(*who, "term").agg(F.count(F.lit(1)).alias("df")).join(n.hint("merge"), who).select(*who, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tf.join(idf.hint("merge"), [*who, "term"]).withColumn("x", F.col("tf") * F.col("idf"))
+    w = w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*who, "ord"))))
+    v = w.select(*who, F.col("question").alias("qb"), F.col("ord").alias("ob"), "term", F.col("x").alias("y"))
+    cos = w.join(v.hint("merge"), [*who, "term"]).where(F.col("question") < F.col("qb")).groupBy(*who, "ord", "ob").agg(F.sum(F.col("x") * F.col("y")).alias("_c"))
+    d = t.withColumn("k", F.array_distinct("k"))
+    b = d.select(*who, F.col("question").alias("qb"), F.col("ord").alias("ob"), F.col("k").alias("kb"), F.col("no").alias("nb"), F.col("often").alias("fb"))
+    j = d.join(b.hint("merge"), who).where(F.col("question") < F.col("qb")).join(cos.hint("merge"), [*who, "ord", "ob"], "left")
+    contrast = (F.col("no") != F.col("nb")) | (F.col("often") != F.col("fb"))
+    j = j.select(*who, "ord", "ob", F.size(F.array_intersect("k", "kb")).alias("shared"), F.size(F.array_union("k", "kb")).alias("_u"), F.round(F.coalesce("_c", F.lit(0.0)), 4).alias("cosine"), contrast.alias("contrast"))
+    (level,) = nth_values(j, "cosine", lambda n: [int(n * cut)])
+    high = (F.col("cosine") >= F.lit(level)) & (F.col("shared") >= least_shared)
+    jac = ratio("shared", "_u")
+    stratum = F.when(high & F.col("contrast"), "high_with_contrast").when(high, "high_without_contrast").otherwise("control")
+    return j.select(*who, "ord", "ob", "shared", r6(jac).alias("jaccard"), F.coalesce(jac < far, F.lit(True)).alias("far"), "cosine", "contrast", stratum.alias("stratum"))

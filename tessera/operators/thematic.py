@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import f1, normalised, r6, ratio
+from .stats import wilson
 
 CELL = ["condition", "group_id", "replicate"]
 
@@ -102,13 +103,13 @@ def coverage_by_words(turns: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def excerpt_recall(excerpts: DataFrame, evidence: DataFrame, reference: DataFrame) -> DataFrame:
-    """Codes with evidence inside each excerpt (range join within the session) against the session's reference codes: mean and range."""
+    """Codes with evidence inside each excerpt (range join within the session) against the session's reference codes: mean, deviation (NULL of one) and range."""
     e = excerpts.select("session_id", "start", "stop").join(evidence, "session_id").where(F.col("turn_index").between(F.col("start"), F.col("stop")))
     got = e.select("session_id", "start", "code").distinct().join(reference.withColumn("_r", F.lit(1)), ["session_id", "code"], "left")
     n_ref = reference.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_ref"))
     s = got.groupBy("session_id", "start").agg(F.count(F.lit(1)).alias("n"), F.count("_r").alias("hit")).join(n_ref, "session_id")
     s = s.withColumns({"_rc": ratio("hit", "n_ref"), "_pc": ratio("hit", "n")})
-    return s.groupBy("session_id").agg(F.count(F.lit(1)).alias("k"), r6(F.avg("_rc")).alias("recall"), r6(F.min("_rc")).alias("recall_min"), r6(F.max("_rc")).alias("recall_max"), r6(F.avg("_pc")).alias("precision"))
+    return s.groupBy("session_id").agg(F.count(F.lit(1)).alias("k"), r6(F.avg("_rc")).alias("recall"), r6(F.stddev_samp("_rc")).alias("recall_sd"), r6(F.min("_rc")).alias("recall_min"), r6(F.max("_rc")).alias("recall_max"), r6(F.avg("_pc")).alias("precision"), r6(F.stddev_samp("_pc")).alias("precision_sd"))
 
 
 def tri_state(presence: DataFrame, measured: DataFrame) -> DataFrame:
@@ -202,14 +203,27 @@ def treatments(presence: DataFrame) -> DataFrame:
     return p.groupBy("condition", "treatment").agg(F.count_if("p").alias("present"), r6(F.avg(F.when(F.col("p"), ratio("voiced", "participants")))).alias("mean_reach"))
 
 
-def cross_rater(rows: DataFrame, gate: float) -> DataFrame:
-    """Outcome of an item by two raters (a, b in 0/1, b may be NULL), corroborated only for codes whose control agreement passes the gate."""
-    control = rows.where("control").groupBy("code").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
+def cross_rater(rows: DataFrame, gate: float, overall: float) -> DataFrame:
+    """Outcome of an item by two raters (a, b in 0/1, b may be NULL). Agreement corroborates only codes whose control agreement reaches `gate`, and only if
+    the Wilson lower bound of the agreement of all controls reaches `overall`."""
+    agreed = (F.col("a") == F.col("b")).cast("double")
+    control = rows.where("control").groupBy("code").agg(F.avg(agreed).alias("agreement"))
+    total = rows.where("control").agg(F.sum(agreed).alias("_k"), F.count("b").alias("_n"))
+    total = total.select(F.coalesce((F.col("_n") > 0) & (wilson("_k", "_n")[0] >= overall), F.lit(False)).alias("_open"))
     label = F.when(F.col("b").isNull(), F.when(F.col("a") == 1, "present_unchecked").otherwise("absent_unchecked")).when(F.col("a") == F.col("b"), F.when(F.col("a") == 1, "both_present").otherwise("both_absent")).otherwise("disagree")
-    j = rows.where("not control").join(control, "code", "left").withColumns({"label": label, "corroborated": F.coalesce(F.col("agreement") >= gate, F.lit(False)) & (F.col("a") == F.col("b"))})
+    j = rows.where("not control").join(control, "code", "left").crossJoin(F.broadcast(total))  # the right side is one row
+    j = j.withColumns({"label": label, "corroborated": F.col("_open") & F.coalesce(F.col("agreement") >= gate, F.lit(False)) & (F.col("a") == F.col("b"))})
     return j.groupBy("code", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("corroborated", F.lit(False))).alias("corroborated"))
 
 
+def calibration_scores(rows: DataFrame) -> DataFrame:
+    """The second rater against the first's presences and absences (a): found, not found and unresolved, with the rate of agreement and its interval."""
+    g = rows.groupBy(F.col("a").alias("original")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("b") == 1, F.lit(False))).alias("found"), F.count_if(F.coalesce(F.col("b") == 0, F.lit(False))).alias("not_found"), F.count_if(F.col("b").isNull()).alias("unresolved"))
+    k = F.when(F.col("original") == 1, F.col("found")).otherwise(F.col("not_found"))
+    lo, hi = wilson(k, "n")
+    return g.select("*", r6(ratio(k, "n")).alias("rate"), r6(lo).alias("lower"), r6(hi).alias("upper"))
+
+
 def extend_taxonomy(assigned: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Assignments (item, cluster, is_new, uncertain) against a frozen taxonomy: strict (known clusters) and extended denominators, problems."""
     j = assigned.join(taxonomy.withColumn("_k", F.lit(True)), "cluster", "left")

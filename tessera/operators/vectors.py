@@ -68,12 +68,23 @@ def displacement_summary(df: DataFrame) -> DataFrame:
 
 
 def dispersion(df: DataFrame) -> DataFrame:
-    """Mean pairwise cosine distance of a unit's unit vectors in closed form, and mean distance to the centroid."""
+    """Per (small) unit of unit vectors: mean pairwise cosine distance in closed form, the greatest one, mean distance to the centroid, and by how much
+    the last turn is nearer to it than the mean."""
     u = df.withColumn("v", unit("v"))
     s = sum_vectors(u, ["unit"])
     g = s.select("unit", "n", r6(1 - ratio(dot("s", "s") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("pairwise"), "s")
-    c = u.join(g.select("unit", "s").hint("merge"), "unit").groupBy("unit").agg(r6(F.avg(1 - dot("v", "s") / norm("s"))).alias("to_centroid"))
-    return g.drop("s").join(c.hint("merge"), "unit")
+    d = u.join(g.select("unit", "s").hint("merge"), "unit").withColumn("_c", 1 - dot("v", "s") / norm("s"))
+    c = d.groupBy("unit").agg(r6(F.avg("_c")).alias("to_centroid"), r6(F.avg("_c") - F.max_by("_c", "turn_index")).alias("closing"))
+    b = u.select("unit", F.col("turn_index").alias("_t"), F.col("v").alias("_v"))
+    far = u.join(b.hint("merge"), "unit").where(F.col("_t") < F.col("turn_index")).groupBy("unit").agg(r6(1 - F.min(dot("v", "_v"))).alias("greatest"))
+    return g.drop("s").join(c.hint("merge"), "unit").join(far.hint("merge"), "unit", "left")
+
+
+def dispersion_bands(stats: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
+    """Means of dispersion rows over the units whose size lies in each band, which may overlap."""
+    band = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in bands))
+    b = stats.withColumn("_b", F.explode(F.filter(band, lambda x: F.col("n").between(x["lo"], x["hi"]))))
+    return b.groupBy(F.col("_b.lo").alias("low"), F.col("_b.hi").alias("high")).agg(F.count(F.lit(1)).alias("units"), *(r6(F.avg(c)).alias(c) for c in ("pairwise", "greatest", "to_centroid", "closing")))
 
 
 def redundancy(df: DataFrame, least: float = 0.7) -> DataFrame:

@@ -37,6 +37,15 @@ ITEMS = [("q1", "calm", False, 5), ("q2", "calm", True, 5), ("q3", "open", False
 register("src06_survey", lambda s, d: tr.survey_attributes(table(s, d, "customer").select(F.col("c_custkey").alias("person"), F.to_json(F.struct((F.col("c_custkey") % 5 + 1).alias("q1"), (F.col("c_nationkey") % 5 + 1).alias("q2"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 4 + 1).alias("q3"), F.col("c_mktsegment").alias("q4"))).alias("payload")), s.createDataFrame(ITEMS, "question string, scale string, reverse boolean, top int")), "", """
     with a as (select c_custkey person, 'calm' scale, c_custkey % 5 + 1 x from customer union all select c_custkey, 'calm', 6 - (c_nationkey % 5 + 1) from customer union all select c_custkey, 'open', c_custkey % 4 + 1 from customer where c_custkey % 3 > 0 union all select c_custkey, 'open', null from customer)
     select person, scale, count(x) items, round(avg(x), 6) score from a group by 1, 2""")
+def blocks(s, d):
+    """The survey with its answers in two blocks; the second asks the first's question again."""
+    q = lambda name, v: F.struct(F.lit(name).alias("id"), v.cast("string").alias("answer"))
+    one, two = F.array(q("q1", F.col("c_custkey") % 5 + 1), q("q2", F.col("c_nationkey") % 5 + 1)), F.array(q("q3", F.col("c_custkey") % 4 + 1), q("q1", F.lit(9)))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("person"), F.to_json(F.struct(F.array(F.struct(one.alias("questions")), F.struct(two.alias("questions"))).alias("blocks"))).alias("payload"))
+
+
+register("src06_nested_survey", lambda s, d: tr.survey_attributes(tr.nested_answers(blocks(s, d)), s.createDataFrame(ITEMS, "question string, scale string, reverse boolean, top int")), "", """
+    with a as (select c_custkey person, 'calm' scale, c_custkey % 5 + 1 x from customer union all select c_custkey, 'calm', 6 - (c_nationkey % 5 + 1) from customer union all select c_custkey, 'open', c_custkey % 4 + 1 from customer) select person, scale, count(x) items, round(avg(x), 6) score from a group by 1, 2""")
 register("src06_age_bucket", lambda s, d: tr.age_bucket(table(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 40, F.concat(F.col("p_size").cast("string"), F.lit("+"))).when(F.col("p_size") > 5, F.concat_ws("-", F.col("p_size").cast("string"), (F.col("p_size") + 9).cast("string"))).otherwise("n/a").alias("bucket")), "bucket"), "", """
     select p_partkey, case when p_size > 40 then p_size || '+' when p_size > 5 then p_size || '-' || (p_size + 9) else 'n/a' end bucket, case when p_size > 40 then p_size when p_size > 5 then ceil((2 * p_size + 9) / 2.0)::int end age from part""")
 
@@ -103,9 +112,16 @@ register("sty05_identity_gap", lambda s, d: sty.identity_gap(sty.cells(styled(s,
 register("sty06_within_question", lambda s, d: sty.within_question(sty.cells(styled(s, d))), "", f"""with {GR}, x as (select *, tf / sqrt(sum(tf * tf) over (partition by doc, question, participant)) x from g), p as (select a.doc, a.question, a.participant pa, b.participant pb, sum(a.x * b.x) s from x a join x b on a.doc = b.doc and a.gram = b.gram and a.question = b.question and a.participant < b.participant group by 1, 2, 3, 4),
     q as (select doc, question, quantile_cont(s, 0.5) m from p group by 1, 2) select doc, count(*) questions, round(quantile_cont(m, 0.5), 6) similarity from q group by 1""")
 register("sty07_hierarchical", lambda s, d: sty.hierarchical(sty.trial_summary(trials(s, d)).withColumn("half", F.col("doc") % 2), "half"), "", f"with {SUMM} select doc % 2 half, count(accuracy) docs, round(avg(accuracy), 6) accuracy, round(avg(corrected), 6) corrected from su group by 1")
-register("sty08_pair_screen", lambda s, d: sty.pair_screen(styled(s, d).withColumn("doc", F.floor(F.col("ord") / 100)), 25, 3), "", r"""
-    with t as (select conv_id doc, "role" participant, turn % 3 question, conv_id * 100 + turn ord, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) t from conversations where "role" <> 'system' and len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) >= 25),
-    j as (select a.doc, a.participant, a.ord, b.ord ob, len(list_intersect(a.t, b.t)) shared, len(list_distinct(list_concat(a.t, b.t))) u from t a join t b on a.doc = b.doc and a.participant = b.participant and a.question < b.question) select doc, participant, ord, ob, shared, round(shared / u::double, 6) jaccard, shared / u::double < 0.12 far from j where shared >= 3""")
+IN_ = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+register("sty08_pair_screen", lambda s, d: sty.pair_screen(styled(s, d).withColumn("doc", F.floor(F.col("ord") / 100)), 25, 3), "", rf"""
+    with t as (select conv_id doc, "role" participant, turn % 3 question, conv_id * 100 + turn ord, regexp_extract_all(lower(text), '[a-z]{{4,}}') k, list_has_any(regexp_extract_all(lower(text), '[a-z]+'), {IN_(sty.NEGATION)}) ng, list_has_any(regexp_extract_all(lower(text), '[a-z]+'), {IN_(sty.FREQUENCY)}) or contains(lower(text), '{sty.FREQUENT_PHRASE}') fq
+        from conversations where "role" <> 'system' and len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) >= 25),
+    e as (select doc, participant, question, ord, unnest(k) term from t), f as (select doc, participant, question, ord, term, count(*) tf from e group by all), n as (select doc, participant, count(*) n from t group by 1, 2),
+    i as (select doc, participant, term, ln((1 + any_value(n)) / (1 + count(*))::double) + 1 idf from f join n using (doc, participant) group by 1, 2, 3), w0 as (select f.*, tf * idf x from f join i using (doc, participant, term)),
+    w as (select * replace (x / sqrt(sum(x * x) over (partition by doc, participant, ord)) as x) from w0), c as (select a.doc, a.participant, a.ord, b.ord ob, sum(a.x * b.x) c from w a join w b on a.doc = b.doc and a.participant = b.participant and a.term = b.term and a.question < b.question group by 1, 2, 3, 4),
+    j as (select a.doc, a.participant, a.ord, b.ord ob, len(list_intersect(a.k, b.k)) shared, len(list_distinct(list_concat(a.k, b.k))) u, a.ng <> b.ng or a.fq <> b.fq contrast from t a join t b on a.doc = b.doc and a.participant = b.participant and a.question < b.question),
+    s as (select j.*, round(coalesce(c, 0), 4) cosine from j left join c using (doc, participant, ord, ob)), l as (select (list(cosine order by cosine))[floor(count(*) * 0.7::double)::int + 1] lv from s)
+    select doc, participant, ord, ob, shared, round(shared / nullif(u, 0)::double, 6) jaccard, coalesce(shared / nullif(u, 0)::double < 0.12, true) far, cosine, contrast, case when cosine >= lv and shared >= 3 then case when contrast then 'high_with_contrast' else 'high_without_contrast' end else 'control' end stratum from s, l""")
 SWEEP = [(3, 5, 100), (3, 5, 50), (3, 5, 150), (3, 3, 100), (2, 3, 100)]
 register("sty09_sweep", lambda s, d: sty.sweep(sty.cells(styled(s, d)), SWEEP), "", " union all ".join(f"select '{lo}-{hi}@{b}' setting, trials, accuracy from (with {grams_sql(range(lo, hi + 1), b)}{ATT_TAIL} select count(*) trials, round(avg((truth = guess)::int), 6) accuracy from att)" for lo, hi, b in SWEEP))
 
@@ -121,8 +137,11 @@ register("str01_usage_windows", lambda s, d: us.drain(us.usage_windows(log(s, d)
 register("str02_activity_sessions", lambda s, d: us.drain(us.activity_sessions(log(s, d)), "complete", shared(s), newest(["user_id", "started"])), "", """
     with l as (select *, case when lag(ts) over (partition by user_id order by ts) + interval 6 hours >= ts then 0 else 1 end n from events), g as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) k from l)
     select user_id, floor(epoch(min(ts)))::bigint started, floor(epoch(max(ts) + interval 6 hours))::bigint ended, count(*) calls, round(sum(value), 6) "value" from g group by user_id, k""")
-register("str03_running_chains", lambda s, d: us.drain(us.running_chains(log(s, d)), "update", shared(s), newest(["user_id"])), "", """
+register("str03_running_chains", lambda s, d: us.drain(us.running_chains(log(s, d)), "update", shared(s), newest(["user_id"])).drop("expired"), "", """
     with o as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) k from events), r as (select user_id, k, count(*) filter (event_type <> 'error') n from o group by 1, 2)
     select user_id, arg_max(n, k) run, max(n) longest, (select count(*) from events e where e.user_id = r.user_id) events from r group by 1""")
 register("str04_deduplicated", lambda s, d: us.drain(us.deduplicated(log(s, d), ["user_id", "event_type"]), "append", shared(s)).select("user_id", "event_type"), "", "select distinct user_id, event_type from events")
-register("str05_priced", lambda s, d: us.drain(us.priced(log(s, d), s.createDataFrame([("click", 0.5), ("view", 0.25)], "model string, rate double")), "append", shared(s)), "", "select event_id, event_type, round(value * case event_type when 'click' then 0.5::double when 'view' then 0.25::double end, 6) cost from events")
+DATED = [("click", "2023-01-01", "2024-01-10", 0.5), ("click", "2024-01-10", None, 0.75), ("view", "2024-01-05", "2024-01-20", 0.25)]
+dated = lambda s: s.createDataFrame(DATED, "model string, since string, until string, rate double").withColumns({c: F.col(c).cast("timestamp") for c in ("since", "until")})
+register("str05_priced", lambda s, d: us.drain(us.priced(log(s, d), dated(s)), "append", shared(s)), "", """
+    select event_id, event_type, round(value * case when event_type = 'click' then case when ts >= timestamp '2024-01-10' then 0.75::double when ts >= timestamp '2023-01-01' then 0.5::double end when event_type = 'view' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' then 0.25::double end, 6) cost from events""")

@@ -69,8 +69,12 @@ DSP = """e as (select unit, speaker, unnest(v) x, generate_subscripts(v, 1) i fr
 register("vec04_displacement", lambda s, d: vc.displacement_summary(vectors(s, d)), "vectors", DSP + """,
     rk as (select *, row_number() over (partition by unit order by moved) i from dsp) select unit, round(avg(moved), 6) mean_moved, round(avg(converges::int), 6) converging, count(*) members, round(case when count(*) >= 2 and sum(moved) > 0 then (2 * sum(i * moved) - (count(*) + 1) * sum(moved)) / (count(*) * sum(moved)) end, 6) gini from rk group by 1""")
 UV = """u as (select unit, speaker, turn_index, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v from vectors), ue as (select unit, speaker, unnest(v) x, generate_subscripts(v, 1) i from u), us as (select unit, list(x order by i) s from (select unit, i, sum(x) x from ue group by 1, 2) group by 1)"""
-register("vec05_dispersion", lambda s, d: vc.dispersion(vectors(s, d)), "vectors", UV + """
-    select unit, count(*) n, round(case when count(*) > 1 then 1 - (list_inner_product(any_value(s), any_value(s)) - count(*)) / (count(*) * (count(*) - 1)) end, 6) pairwise, round(avg(1 - list_inner_product(v, s) / sqrt(list_inner_product(s, s))), 6) to_centroid from u join us using (unit) group by 1""")
+DISP = UV + """, dc as (select unit, turn_index, v, s, 1 - list_inner_product(v, s) / sqrt(list_inner_product(s, s)) c from u join us using (unit)), fr as (select a.unit, round(1 - min(list_inner_product(a.v, b.v)), 6) greatest from u a join u b on a.unit = b.unit and b.turn_index < a.turn_index group by 1),
+    di as (select unit, count(*) n, round(case when count(*) > 1 then 1 - (list_inner_product(any_value(s), any_value(s)) - count(*)) / (count(*) * (count(*) - 1)) end, 6) pairwise, round(avg(c), 6) to_centroid, round(avg(c) - arg_max(c, turn_index), 6) closing from dc group by 1),
+    ds as (select di.*, greatest from di left join fr using (unit))"""
+register("vec05_dispersion", lambda s, d: vc.dispersion(vectors(s, d)), "vectors", DISP + " select * from ds")
+register("vec05_dispersion_bands", lambda s, d: vc.dispersion_bands(vc.dispersion(vectors(s, d)), [(1, 10), (5, 20), (15, 200)]), "vectors", DISP + """, bd as (select * from (values (1, 10), (5, 20), (15, 200)) t(low, high))
+    select low, high, count(*) units, round(avg(pairwise), 6) pairwise, round(avg(greatest), 6) greatest, round(avg(to_centroid), 6) to_centroid, round(avg(closing), 6) closing from ds join bd on n between low and high group by 1, 2""")
 register("vec06_redundancy", lambda s, d: vc.redundancy(vectors(s, d)), "vectors", UV + """,
     m as (select a.unit, a.turn_index, max(list_inner_product(a.v, b.v)) m from u a join u b on a.unit = b.unit and b.turn_index < a.turn_index group by 1, 2) select unit, count(*) turns, round(avg(m), 6) mean_max, round(avg((m >= 0.7)::int), 6) redundant from m group by 1""")
 register("vec07_differentiation", lambda s, d: vc.differentiation(vectors(s, d)), "vectors", UV + """,

@@ -152,7 +152,7 @@ register("jn13_reconcile", lambda s, d: pr.reconcile(table(s, d, "orders").selec
 register("jn14_attribute_match", lambda s, d: pr.attribute_match(table(s, d, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").cast("int").alias("nation")), table(s, d, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_nationkey").alias("nation")), ["nation"]), "", """
     with t as (select s_suppkey target_id, s_nationkey nation, row_number() over (partition by s_nationkey order by s_suppkey) j from supplier),
     p as (select c_custkey record_id, c_nationkey nation, ceil(row_number() over (partition by c_nationkey order by md5(c_custkey::varchar), c_custkey) / 2.0) j, count(*) over (partition by c_nationkey) pool from customer)
-    select target_id, coalesce(list_sort(list(record_id) filter (record_id is not null)), []) records, max(pool) pool from t left join p using (nation, j) group by 1""")
+    select target_id, coalesce(list_sort(list(record_id) filter (record_id is not null)), []) records, max(pool) pool, count(record_id) < 2 short from t left join p using (nation, j) group by 1""")
 WANT, ALIAS = [("error",), ("click",), ("views",), ("buys",), ("none",)], [("views", "viewed", 1), ("views", "view", 2), ("buys", "purchase", 1)]
 register("jn15_metric_mapping", lambda s, d: pr.metric_mapping(s.createDataFrame(WANT, "name string"), table(s, d, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value")), s.createDataFrame(ALIAS, "name string, alias string, priority int")), "", """
     with h as (select event_type metric, avg(value) v from events group by 1), w as (select unnest(['error', 'click', 'views', 'buys', 'none']) "name"), a as (select * from (values ('views', 'viewed', 1), ('views', 'view', 2), ('buys', 'purchase', 1)) t(nm, al, pr)),

@@ -54,6 +54,10 @@ register("sta07_sign_test", lambda s, d: st.sign_test(diffs(s, d).withColumn("ha
 register("sta08_wilson_gate", lambda s, d: st.wilson_gate(table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("unit")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count(F.lit(1)).alias("n")), 0.34, 0.32), "", """
     with c as (select o_custkey % 40 unit, count(*) filter (o_orderstatus = 'F') k, count(*) n from orders group by 1), w as (select *, 1.96::double z, k / n::double p from c), b as (select *, (p + z * z / (2 * n)) / (1 + z * z / n) m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) h from w)
     select unit, k, n, round(greatest(0, m - h), 6) "lower", round(least(1, m + h), 6) "upper", case when m - h >= 0.32 then 'pass' when m + h < 0.34 then 'fail' else 'open' end decision from b""")
+register("sta08_least_k", lambda s, d: table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("unit")).agg(F.count(F.lit(1)).alias("n")).select("unit", "n", st.least_k("n", 0.9).alias("k"), st.least_k("n", 0.5).alias("k_half")), "", """
+    with c as (select o_custkey % 40 unit, count(*) n from orders group by 1), g as (select unit, n, unnest(range(n + 1)) k from c),
+    w as (select unit, n, k, (k / n::double + 1.96::double * 1.96 / (2 * n)) / (1 + 1.96::double * 1.96 / n) - 1.96::double * sqrt(k / n::double * (1 - k / n::double) / n + 1.96::double * 1.96 / (4 * n * n)) / (1 + 1.96::double * 1.96 / n) lo from g)
+    select unit, n, min(case when lo >= 0.9 then k end) k, min(case when lo >= 0.5 then k end) k_half from w group by 1, 2""")
 XY = """xy as (select p_partkey // 200 block, p_partkey item, p_size::double x, round(p_retailprice / 50)::double y from part)"""
 
 
@@ -96,23 +100,36 @@ register("sta11_classification", lambda s, d: st.classification(table(s, d, "ord
     with p as (select o_orderstatus g, (['F', 'O', 'P'])[o_orderkey % 3 + 1] p from orders), n as (select g, p, count(*) n from p group by 1, 2), l as (select distinct g "label" from p union select distinct p from p),
     r as (select "label", sum(case when g = "label" and p = "label" then n else 0 end)::bigint tp, sum(case when g <> "label" and p = "label" then n else 0 end)::bigint fp, sum(case when g = "label" and p <> "label" then n else 0 end)::bigint fn from l cross join n group by 1)
     select "label", tp, fp, fn, round(tp / nullif(tp + fp, 0)::double, 6) "precision", round(tp / nullif(tp + fn, 0)::double, 6) recall, round(case when tp = 0 then 0 else 2.0::double * tp / (2 * tp + fp + fn) end, 6) f1 from r""")
-register("sta12_horvitz_thompson", lambda s, d: st.horvitz_thompson(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select((F.col("doc_id") % 2).alias("side"), F.col("lang").alias("stratum"), F.contains("text", F.lit("***")).cast("int").alias("predicted"), (1 - F.col("quality")).alias("label")).withColumn("N", F.lit(1000))), "", """
+weighted = lambda s, d: st.horvitz_thompson(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select((F.col("doc_id") % 2).alias("side"), F.col("lang").alias("stratum"), F.contains("text", F.lit("***")).cast("int").alias("predicted"), (1 - F.col("quality")).alias("label")).withColumn("N", F.lit(1000)))
+HT = r"""
     with r as (select doc_id % 2 side, lang stratum, contains(text, '***')::int p, 1 - quality l from documents join labels using (doc_id)), w as (select *, 1000 / (count(*) over (partition by side, stratum))::double w from r),
-    g as (select side, sum(w) sw, sum(w * w) s2, sum(case when l = 1 then w else 0 end) pos, sum(case when p = 1 then w else 0 end) pre, sum(case when l = 1 and p = 1 then w else 0 end) tp from w group by 1), h as (select *, sw * sw / s2 n, pos / sw p, 1.96::double z from g),
-    b as (select *, (p + z * z / (2 * n)) / (1 + z * z / n) m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) hf from h)
-    select side, round(p, 6) prevalence, round(tp / nullif(pos, 0), 6) recall, round(tp / nullif(pre, 0), 6) "precision", round(n, 6) kish_n, round(greatest(0, m - hf), 6) "lower", round(least(1, m + hf), 6) "upper" from b""")
+    g as (select side, sum(w) sw, sum(w * w) s2, sum(case when l = 1 then w else 0 end) pos, sum(case when p = 1 then w else 0 end) pre, sum(case when l = 1 and p = 1 then w else 0 end) tp, sum(case when l = 0 and p = 1 then w else 0 end) fp, sum(case when l = 1 and p = 0 then w else 0 end) fn, sum(case when l = 0 and p = 0 then w else 0 end) tn from w group by 1), h as (select *, sw * sw / s2 n, pos / sw p, 1.96::double z from g),
+    b as (select *, (p + z * z / (2 * n)) / (1 + z * z / n) m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) hf from h),
+    ht as (select side, round(tp, 6) tp, round(fp, 6) fp, round(fn, 6) fn, round(tn, 6) tn, round(p, 6) prevalence, round(tp / nullif(pos, 0), 6) recall, round(tp / nullif(pre, 0), 6) "precision", round(n, 6) kish_n, round(greatest(0, m - hf), 6) "lower", round(least(1, m + hf), 6) "upper" from b)"""
+register("sta12_horvitz_thompson", weighted, "", HT + " select * from ht")
+register("sta12_recall_gap", lambda s, d: st.recall_gap(weighted(s, d).withColumn("side", F.col("side").cast("string")), "0", "1"), "", HT + """, gp as (select abs(max(recall) filter (side = 0) - max(recall) filter (side = 1)) g from ht)
+    select round(g, 6) gap, case when g is null then 'undetermined' when g < 0.15 then 'pass' when g < 0.3 then 'marginal' else 'fail' end verdict from gp""")
 register("sta13_leik", lambda s, d: st.leik(table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("claim"), (F.col("l_linenumber") % 3 - 1).alias("stance")), ["claim"], 2000), "", """
     with g as (select l_partkey % 50 claim, count(*) n, avg((l_linenumber % 3 - 1 <= -1)::int) c1, avg((l_linenumber % 3 - 1 <= 0)::int) c2, count(*) filter (l_linenumber % 3 = 0) k0, count(*) filter (l_linenumber % 3 = 1) k1, count(*) filter (l_linenumber % 3 = 2) k2, round(avg(l_linenumber % 3 - 1), 6) mean from lineitem group by 1)
     select claim, n, round(1 - (case when c1 <= 0.5 then c1 else 1 - c1 end + case when c2 <= 0.5 then c2 else 1 - c2 end), 6) consensus, list_filter([case when k0 = greatest(k0, k1, k2) then -1 end, case when k1 = greatest(k0, k1, k2) then 0 end, case when k2 = greatest(k0, k1, k2) then 1 end], lambda x: x is not null) modes,
     round(greatest(k0, k1, k2) / n::double, 6) in_mode, round(n / 2000.0::double, 6) coverage, mean from g""")
-register("sta14_calibrate", lambda s, d: st.calibrate(metrics(s, d), "BUILDING"), "", f"""with {MET}, r as (select metric, min("value") lo, max("value") hi from met where "condition" = 'BUILDING' group by 1), m as (select met.*, lo, hi, greatest(0.15 * (hi - lo), 0.01) mg from met left join r using (metric) where "condition" <> 'BUILDING')
-    select metric, "condition", case when "value" is null or lo is null then 'undefined' when "value" between lo and hi then 'inside' when "value" between lo - mg and hi + mg then 'near' else 'outside' end status, count(*) n from m group by 1, 2, 3""")
+named = lambda s, d: metrics(s, d).withColumn("metric", F.when(F.col("metric") == "filled", "filled_share").otherwise(F.col("metric")))
+register("sta14_calibrate", lambda s, d: st.calibrate(named(s, d), "BUILDING"), "", f"""with {MET}, r as (select metric, min("value") lo, max("value") hi from met where "condition" = 'BUILDING' group by 1), m as (select met.*, lo, hi, 0.15::double * (hi - lo) mg from met left join r using (metric) where "condition" <> 'BUILDING')
+    select case metric when 'filled' then 'filled_share' else metric end metric, "condition", case when "value" is null or lo is null then 'undefined' when lo = hi then case when abs("value" - lo) < 1e-6 then 'inside' when abs("value" - lo) <= 0.05 then 'near' else 'outside' end when "value" between lo and hi then 'inside'
+        when "value" between case when metric = 'filled' then greatest(lo - mg, 0) else lo - mg end and case when metric = 'filled' then least(hi + mg, 1) else hi + mg end then 'near' else 'outside' end status, count(*) n from m group by 1, 2, 3""")
+register("sta14_progression", lambda s, d: st.progression(metrics(s, d).where("replicate = 2").select("condition", "metric", F.col("group_id").alias("stage"), "value", F.when(F.col("metric") == "price", "down").otherwise("up").alias("direction")), ["condition", "metric"]), "", f"""with {MET},
+    g as (select "condition", metric, count("value") n, (list("value" order by group_id))[1] a, (list("value" order by group_id))[-1] b from met where replicate = 2 group by 1, 2)
+    select "condition", metric, round(a, 6) "first", round(b, 6) "last", case when n < 2 or a is null or b is null then 'not_enough' when a = b then 'stable' when (metric = 'price') = (b < a) then 'improved' when metric = 'price' and b <= 0 then 'regressed' else 'still_problematic' end status from g""")
 register("sta15_permutation_test", lambda s, d: st.permutation_test(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("fold"), F.col("c_custkey").alias("trial"), F.col("c_mktsegment").alias("truth"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("BUILDING").alias("guess")), 20_000))
 register("sta16_rank_effects", lambda s, d: st.rank_effects(table(s, d, "customer").select("c_nationkey", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "a").otherwise("b").alias("side"), F.round("c_acctbal", -2).alias("value")), ["c_nationkey"]), "", """
     with c as (select c_nationkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'a' else 'b' end side, round(c_acctbal, -2) v from customer), k as (select *, rank() over (partition by c_nationkey order by v) + (count(*) over (partition by c_nationkey, v) - 1) / 2.0::double r from c),
     g as (select c_nationkey, sum(case when side = 'a' then r end) ra, count(*) filter (side = 'a') na, count(*) filter (side = 'b') nb from k group by 1), u as (select *, ra - na * (na + 1) / 2.0::double u from g),
     z as (select *, 2 * u / (na * nb) - 1 dl, abs((u - na * nb / 2.0::double) / sqrt(na * nb * (na + nb + 1) / 12.0::double)) z from u), p as (select *, 2 / (1 + exp(1.5976::double * z + 0.07056::double * z * z * z)) p from z),
     a as (select *, least(1, p * (count(*) over () - row_number() over (order by p, c_nationkey) + 1)) ad from p) select c_nationkey, round(u, 6) u, round(dl, 6) delta, round(p, 6) p, round(max(ad) over (order by p, c_nationkey rows unbounded preceding), 6) holm from a""")
+register("sta16_signed_rank", lambda s, d: st.signed_rank(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("k"), F.round("c_acctbal", -2).cast("double").alias("d")), ["k"]), "", """
+    with c as (select c_nationkey % 5 k, round(c_acctbal, -2)::double d from customer where round(c_acctbal, -2) <> 0), r as (select *, rank() over (partition by k order by abs(d)) + (count(*) over (partition by k, abs(d)) - 1) / 2.0::double r, count(*) over (partition by k, abs(d)) t from c),
+    g as (select k, count(*)::double n, sum(case when d > 0 then r else 0 end) w_plus, sum(case when d < 0 then r else 0 end) w_minus, sum(t * t - 1) ti from r group by 1), z as (select *, abs((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ti / 48.0::double)) z from g)
+    select k, n::bigint n, w_plus, w_minus, round(2 / (1 + exp(1.5976::double * z + 0.07056::double * z * z * z)), 6) p from z""")
 register("sta17_condition_wins", lambda s, d: st.condition_wins(metrics(s, d), "MACHINERY", "FURNITURE"), "", f"""with {MET}, m as (select metric, group_id, avg("value") filter ("condition" = 'MACHINERY') - avg("value") filter ("condition" = 'FURNITURE') d from met group by 1, 2)
     select metric, count(*) filter (d > 0) favour_a, count(*) filter (d < 0) favour_b, count(*) filter (d = 0) ties, round(avg(d), 6) mean_difference from m group by 1""")
 register("sta18_stability_matrix", lambda s, d: st.stability_matrix(repetitions(s, d)), "", f"""with {REPS} select a.family, a.category c1, b.category c2, count(*) n, a.category = b.category agree from reps a join reps b on a.item = b.item and a.repetition = 1 and b.repetition = 2 group by 1, 2, 3, 5""")
@@ -124,6 +141,13 @@ register("smp01_stratified", lambda s, d: sm.stratified(table(s, d, "documents")
     select lang, "source", doc_id, stratum_size, round(least(1, 5 / stratum_size::double), 6) inclusion, round(1 / least(1, 5 / stratum_size::double), 6) weight from d where r <= 5""")
 register("smp02_round_robin", lambda s, d: sm.round_robin(table(s, d, "customer"), "c_mktsegment", ["c_nationkey"], "c_custkey", 40), "", """
     with a as (select *, row_number() over (partition by c_mktsegment, c_nationkey order by md5('s' || c_custkey), c_custkey) r from customer), b as (select *, row_number() over (partition by c_mktsegment order by r, c_nationkey) draw from a) select c_mktsegment, c_nationkey, c_custkey, draw from b where draw <= 40""")
+TERCILE = """cu as (select (list(c_acctbal order by c_acctbal))[count(*) // 3 + 1] t1, (list(c_acctbal order by c_acctbal))[2 * count(*) // 3 + 1] t2 from customer),
+    te as (select customer.*, case when c_acctbal <= t1 then 'T1' when c_acctbal <= t2 then 'T2' else 'T3' end tercile from customer, cu)"""
+thirds = lambda s, d: sm.terciles(table(s, d, "customer"), "c_acctbal")
+register("smp02_terciles", lambda s, d: sm.round_robin(thirds(s, d), "c_mktsegment", ["c_nationkey", "tercile"], "c_custkey", 40), "", f"""with {TERCILE},
+    a as (select *, row_number() over (partition by c_mktsegment, c_nationkey, tercile order by md5('s' || c_custkey), c_custkey) r from te), b as (select *, row_number() over (partition by c_mktsegment order by r, c_nationkey, tercile) draw from a) select c_mktsegment, c_nationkey, tercile, c_custkey, draw from b where draw <= 40""")
+register("smp02_shortfalls", lambda s, d: sm.shortfalls(thirds(s, d), ["c_nationkey", "tercile"], 20), "", f"""with {TERCILE}
+    select c_nationkey, tercile, 20 requested, count(*) available from te group by 1, 2 having count(*) < 20""")
 register("smp03_content_order", lambda s, d: sm.content_order(table(s, d, "part").select("p_brand", "p_name", "p_type").distinct(), ["p_name", "p_type"], "p_brand", 6), "", """
     with p as (select distinct p_brand, p_name, p_type from part), o as (select *, row_number() over (partition by p_brand order by sha256(p_name || '|' || p_type), p_name, p_type) place from p) select * from o where place <= 6""")
 QUO = [("BUILDING", 7), ("MACHINERY", 12), ("FURNITURE", 30)]

@@ -79,8 +79,8 @@ FAMILIES = {k: tx.any_of(x) for k, x in FAM_WORDS.items()}
 #: The same hits, counted on the letter runs of a text.
 ON_WORDS = r"len(list_filter(string_split_regex(lower({0}), '[^\p{{L}}]+'), lambda x: x in {1}))"
 FAM_SQL = ", ".join(f"sum({ON_WORDS.format('text', tuple(x))})::bigint {k}_n" for k, x in FAM_WORDS.items())
-STYLE = f"""st as (select session_id, speaker_id, sum(n_words)::bigint words, len(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+'))))) ty, sum(len(regexp_extract_all(lower(text), '[a-z]+'))) tk, sum(len({SENT})) ns, {FAM_SQL} from turns group by 1, 2),
-    rates as (select session_id, speaker_id, words, round(ty / nullif(tk, 0)::double, 6) ttr, round(words / nullif(ns, 0)::double, 6) sentence_words, {", ".join(f"round(100 * (({k}_n)::double / nullif(words, 0)), 6) {k}" for k in FAMILIES)} from st)"""
+STYLE = f"""st as (select session_id, speaker_id, sum(n_words)::bigint words, len(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+'))))) ty, sum(len(regexp_extract_all(lower(text), '[a-z]+'))) tk, sum(len({SENT})) ns, flatten(list(list_transform({SENT}, lambda y: len(list_filter(string_split_regex(y, '\\s+'), lambda z: z <> ''))))) sl, {FAM_SQL} from turns group by 1, 2),
+    rates as (select session_id, speaker_id, words, round(ty / nullif(tk, 0)::double, 6) ttr, round(words / nullif(ns, 0)::double, 6) sentence_words, round(list_aggregate(sl, 'var_pop'), 6) sentence_variance, {", ".join(f"round(100 * (({k}_n)::double / nullif(words, 0)), 6) {k}" for k in FAMILIES)} from st)"""
 register("mrk02_style_rates", lambda s, d: mk.style_rates(turns(s, d), FAMILIES), "turns", STYLE + " select * from rates")
 register("mrk02_style_ranges", lambda s, d: mk.style_ranges(mk.style_rates(turns(s, d), FAMILIES), list(FAMILIES)), "turns", STYLE + " select session_id, " + ", ".join(f"round(max({k}) - min({k}), 6) {k}_range" for k in FAMILIES) + " from rates group by 1")
 register("mrk03_topic_terms", lambda s, d: mk.topic_terms(panel(s, d), ["token", "mail", "license"], ["tion", "keit"]), "panel", """
@@ -110,8 +110,9 @@ register("mrk10_term_rates", lambda s, d: mk.term_rates(turns(s, d), s.createDat
 register("mrk11_reference_density", lambda s, d: mk.reference_density(panel(s, d), roster(s, d)), "panel", ROSTER + """,
     c as (select session_id, "name", min(speaker_id) who from roster group by 1, 2 having count(distinct speaker_id) = 1),
     t as (select session_id, turn_index, speaker_id, unnest(case when len(regexp_extract_all(lower(text), '[a-z]+')) = 0 then [''] else list_distinct(regexp_extract_all(lower(text), '[a-z]+')) end) "name" from panel where "role" = 'participant'),
-    h as (select session_id, turn_index, bool_or(coalesce(who <> speaker_id, false)) h from t left join c using (session_id, "name") group by 1, 2)
-    select session_id, count(*) turns, round(avg(h::int), 6) density from h group by 1""")
+    h as (select session_id, turn_index, bool_or(coalesce(who <> speaker_id, false)) h from t left join c using (session_id, "name") group by 1, 2),
+    am as (select session_id, count(*) k from (select session_id, "name" from roster where "name" <> '' group by 1, 2 having count(distinct speaker_id) > 1) group by 1)
+    select h.session_id, count(*) turns, round(avg(h::int), 6) density, coalesce(max(k), 0) ambiguous from h left join am using (session_id) group by 1""")
 register("mrk12_keyword_rate", lambda s, d: mk.keyword_rate(turns(s, d), ["yes", "oui", "genau", "claro", "than"]), "turns", """
     select session_id, round(avg((contains(lower(text), 'yes') or contains(lower(text), 'oui') or contains(lower(text), 'genau') or contains(lower(text), 'claro') or contains(lower(text), 'than'))::int), 6) rate from turns where "role" = 'participant' group by 1""")
 register("mrk13_polarity_contrast", lambda s, d: mk.polarity_contrast(panel(s, d)), "panel", "f as (select session_id, speaker_id, turn_index, " + ", ".join(f"{ON_WORDS.format('text', tuple(x))} > 0 {k}" for k, x in mk.POLARITY.items()) + """ from panel),

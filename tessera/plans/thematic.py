@@ -79,7 +79,7 @@ register("thm10_coverage_by_words", lambda s, d: th.coverage_by_words(panel(s, d
 register("thm11_excerpt_recall", lambda s, d: th.excerpt_recall(sg.word_budget(panel(s, d), 1500), evidence(s, d), evidence(s, d).where("code < 8").select("session_id", "code").distinct()), "panel", BUDGET + ", " + EVID + """,
     rf as (select distinct session_id, code from ev where code < 8), nr as (select session_id, count(*) n_ref from rf group by 1), got as (select distinct x.session_id, x."start", ev.code from exc x join ev on ev.session_id = x.session_id and ev.turn_index between x."start" and x.stop),
     sc as (select g.session_id, g."start", count(*) n, count(rf.code) hit from got g left join rf on rf.session_id = g.session_id and rf.code = g.code group by 1, 2)
-    select session_id, count(*) k, round(avg(hit / n_ref::double), 6) recall, round(min(hit / n_ref::double), 6) recall_min, round(max(hit / n_ref::double), 6) recall_max, round(avg(hit / n::double), 6) "precision" from sc join nr using (session_id) group by 1""")
+    select session_id, count(*) k, round(avg(hit / n_ref::double), 6) recall, round(stddev_samp(hit / n_ref::double), 6) recall_sd, round(stddev_samp(hit / n::double), 6) precision_sd, round(min(hit / n_ref::double), 6) recall_min, round(max(hit / n_ref::double), 6) recall_max, round(avg(hit / n::double), 6) "precision" from sc join nr using (session_id) group by 1""")
 register("thm12_tri_state", lambda s, d: th.tri_state(presence(s, d), presence(s, d).select(*th.CELL).distinct().where("not (group_id = 2 and replicate = 3)")), "presence", GRID + f"""
     select {CELL}, code, case when group_id = 2 and replicate = 3 then 'UNMEASURED' when v is null then 'TRUE_ABSENCE' else 'PRESENT' end state, round(case when group_id = 2 and replicate = 3 then null when v is null then 0 else v end, 6) score from g""")
 register("thm16_set_differences", lambda s, d: th.set_differences(presence(s, d), "BUILDING"), "presence", """
@@ -122,10 +122,16 @@ register("thm24_prevalence_bands", lambda s, d: th.prevalence_bands(presence(s,
 register("thm25_treatments", lambda s, d: th.treatments(presence(s, d)), "presence", """
     t as (select *, case treatment when 'LOWER' then present and voiced > 1 when 'UPPER' then present or voiced >= 2 else present end p from presence cross join (select unnest(['LOWER', 'MID', 'UPPER']) treatment))
     select "condition", treatment, count(*) filter (p) present, round(avg(case when p then voiced / participants::double end), 6) mean_reach from t group by 1, 2""")
-register("thm26_cross_rater", lambda s, d: th.cross_rater(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(F.col("lang").alias("code"), (F.col("doc_id") % 5 == 0).alias("control"), F.contains("text", F.lit(".")).cast("int").alias("a"), F.col("quality").alias("b")), 0.8), "", """
+raters = lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(F.col("lang").alias("code"), (F.col("doc_id") % 5 == 0).alias("control"), F.contains("text", F.lit(".")).cast("int").alias("a"), F.col("quality").alias("b"))
+register("thm26_cross_rater", lambda s, d: th.cross_rater(raters(s, d), 0.8, 0.7), "", """
     with r as (select lang code, doc_id % 5 = 0 k, contains(text, '.')::int a, quality b from documents left join labels using (doc_id)), c as (select code, avg((a = b)::int) ag from r where k group by 1),
-    j as (select code, case when b is null then case when a = 1 then 'present_unchecked' else 'absent_unchecked' end when a = b then case when a = 1 then 'both_present' else 'both_absent' end else 'disagree' end "label", coalesce(ag >= 0.8, false) and a = b ok from r left join c using (code) where not k)
+    t as (select count(*) filter (a = b) / count(b)::double p, count(b)::double n from r where k), o as (select coalesce((p + 1.96::double * 1.96 / (2 * n) - 1.96::double * sqrt(p * (1 - p) / n + 1.96::double * 1.96 / (4 * n * n))) / (1 + 1.96::double * 1.96 / n) >= 0.7, false) op from t),
+    j as (select code, case when b is null then case when a = 1 then 'present_unchecked' else 'absent_unchecked' end when a = b then case when a = 1 then 'both_present' else 'both_absent' end else 'disagree' end "label", op and coalesce(ag >= 0.8, false) and a = b ok from r left join c using (code) cross join o where not k)
     select code, "label", count(*) n, count(*) filter (coalesce(ok, false)) corroborated from j group by 1, 2""")
+register("thm26_calibration", lambda s, d: th.calibration_scores(raters(s, d)), "", """
+    with r as (select contains(text, '.')::int a, quality b from documents left join labels using (doc_id)), g as (select a original, count(*) n, count(*) filter (b = 1) found, count(*) filter (b = 0) not_found, count(*) filter (b is null) unresolved from r group by 1), k as (select *, case when original = 1 then found else not_found end / n::double p from g),
+    h as (select *, (p + 1.96::double * 1.96 / (2 * n)) / (1 + 1.96::double * 1.96 / n) m, 1.96::double * sqrt(p * (1 - p) / n + 1.96::double * 1.96 / (4 * n * n)) / (1 + 1.96::double * 1.96 / n) w from k)
+    select original, n, found, not_found, unresolved, round(p, 6) rate, round(greatest(0, m - w), 6) "lower", round(least(1, m + w), 6) "upper" from h""")
 register("thm27_extend_taxonomy", lambda s, d: th.extend_taxonomy(table(s, d, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 150).alias("cluster"), (F.col("o_custkey") % 150 > 98).alias("is_new"), (F.col("o_orderkey") % 17 == 0).alias("uncertain")), s.range(100).select(F.col("id").alias("cluster"))), "", """
     with a as (select o_custkey % 150 cluster, o_custkey % 150 > 98 nw, o_orderkey % 17 = 0 un from orders), j as (select cluster, case when un then 'uncertain' when nw and cluster < 100 then 'problem_not_new' when not nw and cluster >= 100 then 'problem_unknown' when nw then 'new' else 'known' end kind from a)
     select kind, count(*) items, count(distinct cluster) clusters from j group by 1""")

@@ -52,6 +52,14 @@ def lines_to_turns(texts: DataFrame) -> DataFrame:
     return g.select("doc_id", "turn", "speaker", F.array_join(F.transform("_l", lambda x: x["b"]), " ").alias("text"))
 
 
+def nested_answers(df: DataFrame) -> DataFrame:
+    """Surveys whose answers stand in blocks of questions (`blocks[].questions[]` with id and answer) as flat ones: person, payload."""
+    blocks = F.from_json("payload", "blocks array<struct<questions array<struct<id string, answer string>>>>")["blocks"]
+    asked = F.filter(F.flatten(F.filter(F.transform(blocks, lambda b: b["questions"]), lambda q: q.isNotNull())), lambda q: q["id"].isNotNull())
+    first = F.filter(asked, lambda q, i: F.array_position(F.transform(asked, lambda x: x["id"]), q["id"]) == i + 1)  # the first answer to a question counts
+    return df.select("person", F.to_json(F.map_from_entries(F.transform(first, lambda q: F.struct(q["id"], q["answer"])))).alias("payload"))
+
+
 def survey_attributes(answers: DataFrame, items: DataFrame) -> DataFrame:
     """JSON answers by question id to scale means; reverse-scored items count max + 1 - x. items: question, scale, reverse, top."""
     a = answers.select("person", F.explode(F.from_json("payload", "map<string,string>")).alias("question", "v")).withColumn("x", F.expr("try_cast(v as double)"))

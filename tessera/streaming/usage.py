@@ -14,11 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import listed, r6
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log as a stream of the event files under a folder or pattern."""
+def read_log(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """The log as a stream of the event files under a folder or pattern, in batches of so many files."""
     schema = spark.read.parquet(path).schema
     # a pattern, for the file source takes a plain path for a folder
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": files_a_batch} if files_a_batch else {})).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def usage_windows(log: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -35,43 +35,67 @@ def activity_sessions(log: DataFrame, gap: str = "6 hours", late: str = "2 days"
     return g.select("user_id", F.unix_timestamp(F.col("w.start")).alias("started"), F.unix_timestamp(F.col("w.end")).alias("ended"), "calls", "value")
 
 
-def running_chains(log: DataFrame, breaks: str = "error") -> DataFrame:
+def running_chains(log: DataFrame, breaks: str = "error", idle: str = "40 days", late: str = "2 days") -> DataFrame:
     """For each user the current and longest run of events without a break, kept as state across batches (three numbers a user).
-    Events of a batch are ordered by time; the file source gives batches in order."""
+    Events of a batch are ordered by time; the file source gives batches in order. A user idle for `idle` of event time gets a last row marked
+    `expired` and loses the state; events that come after it start anew."""
+    wait = int(log.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {idle})").first()[0])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, longest, seen = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            run = 0 if kind == breaks else run + 1
-            longest, seen = max(longest, run), seen + 1
-        state.update((run, longest, seen))
-        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "longest": [longest], "events": [seen]})
-
-    rows = log.select("user_id", "event_id", "ts", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, run long, longest long, events long", "run long, longest long, seen long", "update", GroupStateTimeout.NoTimeout)
+        if expired := state.hasTimedOut:
+            state.remove()
+        else:
+            rows = pd.concat(batches).sort_values(["ms", "event_id"])
+            for kind in rows["event_type"]:
+                run = 0 if kind == breaks else run + 1
+                longest, seen = max(longest, run), seen + 1
+            state.update((run, longest, seen))
+            state.setTimeoutTimestamp(max(int(rows["ms"].max()) + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "longest": [longest], "events": [seen], "expired": [expired]})
+
+    rows = log.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"), "event_type")
+    out = "user_id long, run long, longest long, events long, expired boolean"
+    return rows.groupBy("user_id").applyInPandasWithState(step, out, "run long, longest long, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(log: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
-    """The first row of each key within the watermark."""
+    """The first row of each key within the watermark; rows later than it are left out, and `drain_counted` counts them."""
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def priced(log: DataFrame, rates: DataFrame) -> DataFrame:
-    """Each call joined to a small static rate table; a model without a rate stays NULL."""
-    return log.join(listed(rates), log["event_type"] == rates["model"], "left").select("event_id", "event_type", r6(F.col("value") * F.col("rate")).alias("cost"))
+    """Each call joined to a small static table of dated rates (model, since, until or NULL, rate): the rate of a model holds from `since` to before `until`,
+    and its periods don't overlap. A call without a rate stays NULL."""
+    valid = (log["event_type"] == rates["model"]) & (log["ts"] >= rates["since"]) & (rates["until"].isNull() | (log["ts"] < rates["until"]))
+    return log.join(listed(rates), valid, "left").select("event_id", "event_type", r6(F.col("value") * F.col("rate")).alias("cost"))
 
 
 def drain(stream: DataFrame, mode: str, shared: str, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a stream over everything that is there (availableNow) into Parquet under the shared folder and reads the result; update and
     complete modes write each batch beside the others, and `last` reduces them (`batch` is its number)."""
+    return drain_counted(stream, mode, shared, last)[0]
+
+
+def drain_counted(stream: DataFrame, mode: str, shared: str, last: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int]:
+    """As `drain`, with the number of rows that stateful operators left out as late (Spark holds a batch's rows
+    against the watermark that the batch before it started from). Each batch adds the finished ones to the
+    count, so that it covers all of them whatever number Spark remembers."""
     spark, out = stream.sparkSession, f"{shared}/stream-{uuid.uuid4().hex[:12]}"
+    late: dict[int, int] = {}
+    running = []
+
+    def note() -> None:
+        for p in running[0].recentProgress if running else []:
+            late[p.batchId] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch_no={number}")
+        note()
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
+    running.append(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start())
+    running[0].awaitTermination()
+    note()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     got = spark.read.schema(schema).parquet(f"{out}/rows")
-    return (last(got) if last else got).drop("batch", "batch_no")
+    return (last(got) if last else got).drop("batch", "batch_no"), sum(late.values())

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import any_of, f1, hits, listed, ratio
-from tessera.operators import lexical, pairs, sampling, stats, structure, textual, thematic
+from tessera.operators import lexical, pairs, quality, sampling, segments, stats, structure, textual, thematic
 from tessera.plans import registry
 from tessera.sources import transcripts
+from tessera.streaming import usage
 
 TURNS = "session_id string, turn_index int, speaker_id string, role string, text string, n_words int"
 
@@ -157,3 +158,72 @@ def test_a_large_protected_set_gives_the_same_hits(spark, monkeypatch):
 def test_lists_have_a_bound(spark):
     with pytest.raises(ValueError, match="more than 3"):
         listed(spark.range(5), most=3)
+
+
+def test_excerpt_against_plain_python(spark):
+    texts = ["A b c. D e. F g h i. J. K l m n o p. Q r.", "One. Two three. Four five six. Seven.\nEight nine ten.", "a b c d e f g h", "", "x. y. z."]
+    for budget in (1, 4, 7, 50):
+        got = {r.text: r for r in textual.excerpts(spark.createDataFrame([(t,) for t in texts], "text string"), budget).collect()}
+        for text in texts:
+            parts = [p for p in text.replace("\n", " ").replace(". ", ".|").split("|") if p]
+            n = [len(p.split()) for p in parts]
+            if len(text.split()) <= budget or len(parts) < 2:
+                want, around = text, ""
+            else:
+                lo = hi = len(parts) // 2
+                while sum(n[lo : hi + 1]) < budget and (lo or hi < len(parts) - 1):
+                    if lo and (hi == len(parts) - 1 or n[lo - 1] <= n[hi + 1]):
+                        lo -= 1
+                    else:
+                        hi += 1
+                want, around = " ".join(parts[lo : hi + 1]), " ".join(parts[max(0, lo - 2) : lo] + parts[hi + 1 : hi + 3])
+            r = got[text]
+            assert (r.excerpt, r.context, r.literal, r.excerpt_words) == (want, around, want in text, len(want.split())), (budget, text)
+
+
+def test_flattened_paths(spark):
+    rows = [('{"a": {"b": {"c": 1}, "l": [1, [2]], "n": null}, "d": "x.y"}',), ("[1]",), ("broken",), (None,), ('{"e": {}}',)]
+    got = spark.createDataFrame(rows, "p string").select("p", textual.flattened("p").alias("f")).collect()
+    want = [[("a.b.c", "1"), ("a.l", "<list len=2>"), ("a.n", None), ("d", "x.y")], [], [], [], []]
+    assert [sorted(map(tuple, r.f or [])) for r in got] == want
+
+
+def test_ask_offset(spark):
+    texts = {1: "Thanks Anna. A wide spread. Let us turn to food. What do you eat?", 2: "What do you eat?", 3: "No question.", 4: "Well. What do you eat? Thanks Anna.", 5: None}
+    t = spark.createDataFrame(list(texts.items()), "k int, text string")
+    got = {r.k: (r.offset, r.dropped_words, r.review) for r in segments.ask_offset(t, "eat", "turn to", "Anna").collect()}
+    assert got == {1: (28, 5, "trimmed"), 2: (0, 0, "clean"), 3: (None, None, "human"), 4: (None, None, "human"), 5: (None, None, "human")}
+
+
+def test_costs_are_never_guessed(spark):
+    rows = [("s", "m", 10**6, 0, 0, 100, 40, None, None), ("s", "m", 0, 10**6, 0, 0, None, None, "5m"), ("t", None, 5, 5, 0, 0, None, None, None), ("u", "x", 5, 5, 0, 0, None, None, None), ("v", "m", 10**6, 0, 0, 10, None, None, "1h")]
+    calls = spark.createDataFrame(rows, "s string, model string, input_tokens long, output_tokens long, cache_read long, cache_writes long, five long, hour long, ttl string")
+    rates = spark.createDataFrame([("m", "USD", 1.0, 2.0, 0.1, 1e4, 2e4)], "model string, currency string, input double, output double, cache_read double, write_5m double, write_1h double")
+    costs = quality.usage_cost(quality.split_cache_writes(calls), rates, ["s"])
+    got = {r.s: (r.status, r.cost_low, r.cost_high, r.cost) for r in costs.collect()}
+    assert got == {"s": ("ttl_unknown", 4.0, 4.6, None), "t": ("unattributed", None, None, None), "u": ("no_rate", None, None, None), "v": ("priced", 1.2, 1.2, 1.2)}
+    p = quality.projected_cost(quality.cost_totals(costs, ["s"]), [], 10).first()
+    assert (p.observed, p.excluded, p.projected, p.projected_min) == (1, 3, 12.0, 12.0)
+
+
+def test_places_in_order(spark):
+    d = spark.createDataFrame([(v,) for v in (5.0, 1.0, 1.0, 9.0, None, 3.0, 2.5)], "v double")
+    assert stats.nth_values(d, "v", lambda n: [n // 3, 2 * n // 3, n - 1]) == [2.5, 5.0, 9.0]
+    assert stats.nth_values(d.where("false"), "v", lambda n: [0]) == [None]
+
+
+def test_progression(spark):
+    d = spark.createDataFrame([("a", 1, 3.0, "down"), ("a", 2, 1.0, "down"), ("b", 1, 1.0, "up"), ("b", 2, None, "up"), ("c", 1, -2.0, "down"), ("c", 3, -1.0, "down"), ("d", 1, 1.0, "up"), ("d", 2, 1.0, "up"), ("e", 1, 1.0, None), ("e", 2, 2.0, None)], "k string, stage int, value double, direction string")
+    assert {r.k: r.status for r in stats.progression(d, ["k"]).collect()} == {"a": "improved", "b": "not_enough", "c": "regressed", "d": "stable", "e": "not_comparable"}
+
+
+def test_late_rows_and_idle_users(spark, tmp_path):
+    parts = [[(1, "2024-01-01", 1, "view"), (2, "2024-05-01", 2, "view")], [(4, "2024-05-02", 2, "view"), (5, "2024-05-02", 3, "view")], [(6, "2024-05-03", 1, "view"), (3, "2024-01-02", 4, "view")]]
+    for i, rows in enumerate(parts):
+        d = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        d.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    log = lambda: usage.read_log(spark, f"{tmp_path}/in/*/*.parquet", 1)
+    kept, late = usage.drain_counted(usage.deduplicated(log(), ["user_id", "event_type"]), "append", str(tmp_path / "out"))
+    assert late == 1 and sorted(r.event_id for r in kept.collect()) == [1, 2, 5, 6]
+    got = usage.drain(usage.running_chains(log()), "update", str(tmp_path / "out")).where("user_id = 1").collect()
+    assert {(r.events, r.expired) for r in got} == {(1, False), (1, True)}
