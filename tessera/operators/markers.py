@@ -57,12 +57,16 @@ def phrase_hits(turns: DataFrame, phrases: list[str]) -> DataFrame:
     return g.withColumns({"rate": r6(ratio("with_hits", "entries")), "per_entry": r6(ratio("hits", "entries"))})
 
 
-def anchors(turns: DataFrame, first_words: int = 40) -> DataFrame:
-    """Specificity anchors: numbers, times and capitalised words inside sentences, in the whole turn and in its first words."""
-    part = tx.word_slice("text", 1, first_words)
-    kinds = {"numbers": "[0-9]+", "times": tx.any_of("monday tuesday today yesterday january year week day".split()), "names": r"[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)"}
-    c = lambda k, t: tx.hits(F.lower(t) if k == "times" else t, kinds[k])
-    return turns.select("session_id", "turn_index", *(c(k, F.col("text")).alias(k) for k in kinds), *(c(k, part).alias(f"{k}_first") for k in kinds))
+def anchors(turns: DataFrame, roster: DataFrame, first_words: int = 40) -> DataFrame:
+    """Specificity anchors: numbers, times and capitalised words inside sentences, but for names of the session's roster (session_id, name), in the whole
+    turn and in its first words."""
+    own = roster.groupBy("session_id").agg(F.collect_set(F.lower("name")).alias("_own"))
+    df = turns.join(own.hint("merge"), "session_id", "left").withColumns({"_own": F.coalesce("_own", F.array().cast("array<string>")), "_part": tx.word_slice("text", 1, first_words)})
+    times = tx.any_of("monday tuesday today yesterday january year week day".split())
+    entity = F.lit(r"[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)")
+    others = lambda t: F.size(F.filter(F.regexp_extract_all(t, entity, F.lit(1)), lambda x: ~F.array_contains("_own", F.lower(x))))
+    kinds = {"numbers": lambda t: tx.hits(t, "[0-9]+"), "times": lambda t: tx.hits(F.lower(t), times), "names": others}
+    return df.select("session_id", "turn_index", *(f(F.col("text")).alias(k) for k, f in kinds.items()), *(f(F.col("_part")).alias(f"{k}_first") for k, f in kinds.items()))
 
 
 def entity_density(entities: DataFrame, sizes: DataFrame, stop: DataFrame, gazetteer: DataFrame) -> DataFrame:
