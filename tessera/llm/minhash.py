@@ -5,7 +5,7 @@ shingles go to bin i. A bin keeps the least value of the first round that reache
 coordinate has the probability of the Jaccard similarity, and the count of agreements is concentrated like independent draws.
 Rounds stop when all bins are full, which takes about T log T / n rounds for n shingles.
 
-Equal shingle sets first become one class (its least doc_id stands for it). BANDS bands of ROWS coordinates find candidates: a
+Equal shingle sets, by two hashes that rest on different tables of words, first become one class (its least doc_id stands for it). BANDS bands of ROWS coordinates find candidates: a
 pair at the threshold is missed by all bands with a probability of about 3e-7. In a band's bucket each member is compared with
 one hub, which links large groups of near copies without their pairs. Where a bucket still holds more than one component, its
 members are compared in memory: the bucket is cut into tiles of about TILE members by hash, tiles of its largest component meet only those of the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .wordhash import LENGTH, LOWER, STEP, grams, mixed, slices, spans, word_hashes
+from .wordhash import LENGTH, LOWER, SECOND, STEP, TABLE, grams, mixed, slices, spans, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
 T = BANDS * ROWS
@@ -57,29 +57,31 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return bins
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def _shingles(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of one text from those of its words and of the 5-word sequences that start at each."""
+    if len(h) >= SHINGLE:
+        return g[: len(h) - SHINGLE + 1]
+    return mixed((h * STEP[: len(h)]).sum(keepdims=True) + np.full(1, len(h), dtype=np.uint64) * LENGTH) if len(h) else h
+
+
+def shingle_sets(texts: pa.Array, table: np.ndarray = TABLE) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles, A-Z lowered."""
     for lo, hi, raw, off in slices(texts):
         starts, ends, first = spans(raw, off)
-        h = word_hashes(LOWER[raw], starts, ends)
+        h = word_hashes(LOWER[raw], starts, ends, table)
         g = grams(h, SHINGLE)
         for i in range(hi - lo):
             a, b = first[i], first[i + 1]
-            if b - a >= SHINGLE:
-                yield np.unique(g[a : b - SHINGLE + 1])
-            elif b > a:
-                yield mixed((h[a:b] * STEP[: b - a]).sum(keepdims=True) + np.full(1, b - a, dtype=np.uint64) * LENGTH)
-            else:
-                yield g[:0]
+            yield np.unique(_shingles(h[a:b], g[a:b]))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sig1, sig2, bands, low = [], [], [], [], []
-        for x in shingle_sets(batch.column(1)):
+        for x, y in zip(shingle_sets(batch.column(1)), shingle_sets(batch.column(1), SECOND), strict=True):
             n.append(len(x))
             sig1.append(int(mixed(x).sum()))
-            sig2.append(int(mixed(x ^ LENGTH).sum()))
+            sig2.append(int(mixed(y).sum()))
             if not len(x):
                 bands.append(None)
                 low.append(None)

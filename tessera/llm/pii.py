@@ -11,7 +11,7 @@ Patterns are written so that Java's matcher neither recurses nor retries: posses
 run or right after the match before.
 
 Defined results: null and empty texts have no spans; ends are exclusive, places count code points; rows that repeat a doc_id
-are searched as rows; base spans always stay; an empty table gives no rows; extra columns pass through `redact`.
+are searched as rows, and `redact` finds each by doc_id and a hash of its text; texts of any length are searched whole; base spans always stay; an empty table gives no rows; extra columns pass through `redact`.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .weak import expectation_maximisation, log_ratios, posterior
 
+#: Parameters of the method's candidates (base spans have no such bounds): a mixed token is one if a digit stands after at most LEAD letters, a group of digits holds at
+#: most GROUP_DIGITS of them, labelers see CONTEXT characters before a candidate, and a base span within NEAR characters is company.
+LEAD, GROUP_DIGITS, CONTEXT, NEAR = 40, 24, 40, 200
 KINDS = ["email", "ip", "card", "phone", "secret", "local_phone", "number"]
 BASE = 4
 #: kind: (pattern, what a text must hold for it). A start may only lie at the edge of a run or at the end of the last match.
@@ -33,7 +36,7 @@ PATTERNS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digits and instr(t, '.') > 0"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){11,}+", "digits"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "digits and instr(t, '+') > 0"),
-    "other": (r"(?<![0-9A-Za-z+])(?:\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,23}+(?![0-9A-Za-z])|(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{16,}+)", "digits"),
+    "other": (rf"(?<![0-9A-Za-z+])(?:\(?[0-9](?:[\x20().-]{{0,2}}[0-9]){{6,{GROUP_DIGITS - 1}}}+(?![0-9A-Za-z])|(?=[A-Za-z]{{0,{LEAD}}}[0-9])[A-Za-z0-9]{{16,}}+)", "digits"),
 }
 #: Words that announce personal data or credentials.
 CUES = "tel phone telefon teléfono mobile fax call token key apikey secret password passwd pwd passwort clave card karte carte tarjeta visa account konto compte cuenta iban ssn passport id".split()
@@ -49,7 +52,6 @@ FEATURES = {
     "letters": "hit rlike '[A-Za-z]'", "separators": "hit rlike '[ ().-]'", "long": "char_length(hit) >= 24", "card_length": "n_digits between 12 and 19", "phone_length": "n_digits between 9 and 11",
     "cue": "cue", "assigned": r"before rlike '[=:]\\s*[\"\']?$'", "near": "near",
 }
-NEAR = 200
 
 
 def _sql_text(pattern: str) -> str:
@@ -57,14 +59,14 @@ def _sql_text(pattern: str) -> str:
 
 
 def _matches(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, found): every match of every pattern in order, with the length of the gap before it and its surroundings."""
-    df = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("digits", F.expr("t rlike '[0-9]'"))
+    """(rid, doc_id, th, found): every match of every pattern in order, with the length of the gap before it and its surroundings; th is a hash of the text."""
+    df = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("t")).withColumn("digits", F.expr("t rlike '[0-9]'"))
     for k, (pattern, where) in PATTERNS.items():
         p = _sql_text(pattern)
         df = df.withColumn(f"h_{k}", F.expr(f"case when {where} then regexp_extract_all(t, '{p}', 0) else array() end"))
         df = df.withColumn(f"g_{k}", F.expr(f"case when size(h_{k}) > 0 then split(t, '{p}', -1) else array() end"))
-    part = lambda n, k: f"transform(h_{k}, (h, i) -> named_struct('kind', {n}, 'i', i, 'gap', char_length(get(g_{k}, i)), 'hit', h, 'before', lower(right(get(g_{k}, i), 40))))"
-    return df.select("rid", "doc_id", F.expr("concat(" + ", ".join(part(n, k) for n, k in enumerate(PATTERNS)) + ")").alias("found"))
+    part = lambda n, k: f"transform(h_{k}, (h, i) -> named_struct('kind', {n}, 'i', i, 'gap', char_length(get(g_{k}, i)), 'hit', h, 'before', lower(right(get(g_{k}, i), {CONTEXT}))))"
+    return df.select("rid", "doc_id", "th", F.expr("concat(" + ", ".join(part(n, k) for n, k in enumerate(PATTERNS)) + ")").alias("found"))
 
 
 def _luhn(digits: str) -> str:
@@ -121,7 +123,7 @@ def train(candidates: DataFrame, steps: int = 300, rate: float = 1.0) -> list[fl
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has rid and doc_id for each document; spans has rid, kind (a place in KINDS), s, e, base."""
+    """(rows, spans): rows has rid, doc_id and th (a hash of the text) for each document; spans has rid, kind (a place in KINDS), s, e, base."""
     found = written(_matches(docs), "matches")
     placed = written(_placed(found), "placed")
     more = written(_candidates(placed), "candidates")
@@ -130,7 +132,7 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("f_letters") == 1, 4).when(F.col("v_shape_phone") == 1, 5).otherwise(6)
     more = more.where(score >= 0).select("rid", kind.alias("kind"), "s", "e", F.lit(False).alias("base"))
     base = placed.where(f"ok and kind < {BASE}").select("rid", "kind", "s", "e", F.lit(True).alias("base"))
-    return found.select("rid", "doc_id"), base.unionByName(more)
+    return found.select("rid", "doc_id", "th"), base.unionByName(more)
 
 
 def _joined(spans: Column) -> Column:
@@ -152,15 +154,14 @@ def span_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     """The documents with each span (of overlapping ones the first) replaced by a mark of its kind. Rows find their spans by doc_id and
     a hash of the text, so rows that repeat both are alike."""
-    key = F.xxhash64("doc_id", "text")
     rows, spans = find_spans(docs.select("doc_id", "text").distinct())
     names = F.array(*(F.lit(mark.format(k)) for k in KINDS))
-    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), key.alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
     w = W.partitionBy("rid").orderBy("s", "kind", "e")
     first = spans.withColumn("_end", F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))).where("coalesce(_end <= s, true)")
     by = first.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "kind", "e"))).alias("_spans"))
-    by = rows.join(by.hint("merge"), "rid").select(F.col("doc_id").alias("_doc"), "_spans")
-    df = keyed.join(by.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc")), "left").withColumn("_t", F.col("_row.text"))
+    by = rows.join(by.hint("merge"), "rid").select(F.col("doc_id").alias("_doc"), "th", "_spans")
+    df = keyed.join(by.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("th")), "left").withColumn("_t", F.col("_row.text"))
     cut = F.transform("_spans", lambda x, i: F.concat(F.substring(F.col("_t"), F.coalesce(F.get("_spans", i - 1)["e"], F.lit(0)).cast("int") + 1, (x["s"] - F.coalesce(F.get("_spans", i - 1)["e"], F.lit(0))).cast("int")), F.get(names, x["kind"])))
     tail = F.substring(F.col("_t"), F.element_at("_spans", -1)["e"].cast("int") + 1, F.char_length("_t"))
     text = F.when(F.col("_spans").isNull(), F.col("_t")).otherwise(F.concat(F.array_join(cut, ""), tail))

@@ -16,8 +16,9 @@ depth in the suffix tree of the corpus. The tree is never built whole:
 
 Windows are judged on the input. Defined results: null and empty texts have no words; texts shorter than WINDOW lose nothing;
 rows that repeat a doc_id and its text count as further occurrences, so they lose their windows like any copy; extra columns pass through `remove_repeats`; an empty table
-gives no rows. Sequences are pruned by 64-bit hashes, and called equal only if two such hashes with different multipliers agree (128 bits: at
-1e13 suffixes a false repeat has a probability of about 1e-13). Words of any length are hashed whole.
+gives no rows; very long texts are worked whole, with a few numpy arrays of their bytes. Sequences are pruned by 64-bit hashes and called equal only if a second hash
+agrees, which rests on hashes of words from another table: 128 bits for whole runs, and at least 96 below (64 and 32 of each word). Words of any length are hashed whole, their
+blocks of 256 bytes chained; a clashing column `n_words` or `n_removed` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted, written
-from .wordhash import LENGTH, STEP, grams, mixed, slices, spans, word_hashes
+from .wordhash import LENGTH, SECOND, STEP, TABLE, grams, mixed, slices, spans, word_hashes
 
 WINDOW, PREFIX, GROUP = 35, 8, 2000
 _U = np.uint64
@@ -46,7 +47,7 @@ def _runs(window: int):
         for batch in batches:
             for lo, hi, raw, off in slices(batch.column(2)):
                 starts, ends, first = spans(raw, off)
-                h = word_hashes(raw, starts, ends)
+                h, h2 = word_hashes(raw, starts, ends, TABLE, SECOND)
                 docs, parts = [], []
                 for i in range(hi - lo):
                     a, b = first[i], first[i + 1]
@@ -60,8 +61,8 @@ def _runs(window: int):
                     # a run's words are s .. s + n + window - 2; their hash: sums of word hash times a power of an odd number
                     words = n + window - 1
                     shape, run = mixed((at[new] - new).astype(_U) * LENGTH + words.astype(_U)), []
-                    for base in BASES:
-                        total = np.append(_U(0), np.cumsum(w * _powers(base, len(w))[: len(w)]))
+                    for base, own in zip(BASES, (w, h2[a:b]), strict=True):
+                        total = np.append(_U(0), np.cumsum(own * _powers(base, len(w))[: len(w)]))
                         run.append(mixed((total[new + words] - total[new]) * _powers(-base, len(w))[new] + shape))
                     docs.append(np.full(len(new), lo + i))
                     parts.append((g[at[new]], *run, new, n))
@@ -90,22 +91,24 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, rid, text, runs) rows to rows (doc_id, rid, anchor, big, s, n, words): word hashes of each run, packed."""
+    """From (doc_id, rid, text, runs) rows to rows (doc_id, rid, anchor, big, s, n, words, again): word hashes of each run, packed, and 32 bits of each second one."""
     for batch in batches:
         doc, rid, runs = batch.column("doc_id"), batch.column("rid"), batch.column("runs")
         for lo, hi, raw, off in slices(batch.column("text")):
             starts, ends, first = spans(raw, off)
-            h = word_hashes(raw, starts, ends)
+            h, h2 = word_hashes(raw, starts, ends, TABLE, SECOND)
+            h2 = (h2 >> _U(32)).astype(np.uint32)
             who, rows = [], []
             for i in range(lo, hi):
                 a = first[i - lo]
                 for r in runs[i].as_py():
                     who.append(i)
-                    rows.append((r["anchor"], r["big"], r["s"], r["n"], h[a + r["s"] : a + r["s"] + r["n"] + r["w"] - 1].tobytes()))
+                    lo_w, hi_w = a + r["s"], a + r["s"] + r["n"] + r["w"] - 1
+                    rows.append((r["anchor"], r["big"], r["s"], r["n"], h[lo_w:hi_w].tobytes(), h2[lo_w:hi_w].tobytes()))
             if rows:
-                anchor, big, s, n, packed = zip(*rows, strict=True)
+                anchor, big, s, n, packed, again = zip(*rows, strict=True)
                 at = pa.array(who)
-                yield pa.RecordBatch.from_arrays([doc.take(at), rid.take(at), pa.array(anchor, pa.int64()), pa.array(big, pa.bool_()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "rid", "anchor", "big", "s", "n", "words"])
+                yield pa.RecordBatch.from_arrays([doc.take(at), rid.take(at), pa.array(anchor, pa.int64()), pa.array(big, pa.bool_()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.array(again, pa.binary())], ["doc_id", "rid", "anchor", "big", "s", "n", "words", "again"])
 
 
 def _alone(node: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -114,9 +117,9 @@ def _alone(node: np.ndarray, live: np.ndarray) -> np.ndarray:
     return live[count[back] > 1]
 
 
-def subtree_repeats(words: np.ndarray, starts: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
+def subtree_repeats(words: np.ndarray, second: np.ndarray, starts: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
     """Of the suffixes at `starts`, those whose first `window` words are also those of another suffix with the same key: nodes are
-    doubled in depth until they are `window` deep, and suffixes alone in a node drop out. What is left at that depth is grouped again by a second hash."""
+    doubled in depth until they are `window` deep, and suffixes alone in a node drop out. What is left at that depth is grouped again by the `second` hashes of the words."""
     depth, node, live = PREFIX, grams(words, PREFIX), np.arange(len(starts))
     live = _alone(node[starts] ^ keys, live)
     while depth < window and len(live):
@@ -128,7 +131,7 @@ def subtree_repeats(words: np.ndarray, starts: np.ndarray, keys: np.ndarray, win
         live = _alone(node[starts] ^ keys, live)
     if not len(live):
         return live
-    again = grams(mixed(words + LENGTH), window)
+    again = grams(mixed(second.astype(_U) + LENGTH), window)
     _, one = np.unique(node[starts] ^ keys, return_inverse=True)
     _, two = np.unique(again[starts], return_inverse=True)
     return _alone(one.astype(_U) << _U(32) | two.astype(_U), live)
@@ -138,13 +141,13 @@ def _trees(window: int):
     """Groups arrive sorted by anchor; whole groups are gathered up to about 200,000 words and their subtrees built together."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        doc, rid, anchor, s, n, packed = zip(*rows, strict=True)
-        words = np.frombuffer(b"".join(packed), dtype=_U)
+        doc, rid, anchor, s, n, packed, again = zip(*rows, strict=True)
+        words, second = np.frombuffer(b"".join(packed), dtype=_U), np.frombuffer(b"".join(again), dtype=np.uint32)
         n, size = np.array(n), np.array([len(x) // 8 for x in packed])
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
         run = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        live = subtree_repeats(words, base[run] + inside, mixed(np.array(anchor, dtype=np.int64).view(_U))[run], window)
+        live = subtree_repeats(words, second, base[run] + inside, mixed(np.array(anchor, dtype=np.int64).view(_U))[run], window)
         if not len(live):
             return None
         at = run[live]
@@ -155,7 +158,7 @@ def _trees(window: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("doc_id", "rid", "anchor", "s", "n", "words")]
+            cols = [batch.column(k).to_pylist() for k in ("doc_id", "rid", "anchor", "s", "n", "words", "again")]
             for row in zip(*cols, strict=True):
                 if words > 200_000 and row[2] != last:
                     if (out := flush(held)) is not None:
@@ -174,9 +177,8 @@ def _suffixes(window: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, packed in enumerate(batch.column("words").to_pylist()):
-                w = np.frombuffer(packed, dtype=_U)
-                g, g2 = grams(w, window), grams(mixed(w + LENGTH), window)
+            for i, (packed, again) in enumerate(zip(batch.column("words").to_pylist(), batch.column("again").to_pylist(), strict=True)):
+                g, g2 = grams(np.frombuffer(packed, dtype=_U), window), grams(mixed(np.frombuffer(again, dtype=np.uint32).astype(_U) + LENGTH), window)
                 who = pa.array(np.full(len(g), i))
                 s = batch.column("s")[i].as_py()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("rid").take(who), pa.array(np.arange(s, s + len(g), dtype=np.int32)), pa.array(g.view(np.int64)), pa.array(g2.view(np.int64))], ["doc_id", "rid", "s", "prefix", "prefix2"])
@@ -199,7 +201,7 @@ def repeats(keyed: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataF
     by_doc = todo.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "big", "s", "n", F.lit(window).alias("w"))).alias("runs"))
     by_doc = by_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("rid", "_rid").hint("merge")
     texts = keyed.join(by_doc, (keyed["doc_id"].eqNullSafe(F.col("_id"))) & (keyed["rid"] == F.col("_rid"))).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "runs")
-    packed = written(texts.mapInArrow(_texts_of_runs, "doc_id long, rid long, anchor long, big boolean, s int, n int, words binary"), "run-words")
+    packed = written(texts.mapInArrow(_texts_of_runs, "doc_id long, rid long, anchor long, big boolean, s int, n int, words binary, again binary"), "run-words")
     small = packed.where("not big").repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_trees(window), "doc_id long, rid long, s int, n int")
     deep = written(packed.where("big").mapInArrow(_suffixes(window), "doc_id long, rid long, s int, prefix long, prefix2 long"), "deep")
     twice = written(deep.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "twice")
@@ -246,4 +248,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     """The documents with n_words, n_removed and, in place of the text, the words that are left, joined by single spaces."""
     rows = _with_repeats(docs, F.struct("*").alias("_row"), window, group)
     done = rows.mapInArrow(_kept(window, True), f"_row {docs.schema.simpleString()}, n_words long, n_removed long, kept string")
-    return done.withColumn("_row", F.col("_row").withField("text", F.col("kept"))).select("_row.*", "n_words", "n_removed")
+    return done.withColumn("_row", F.col("_row").withField("text", F.col("kept"))).select(*(F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed")), "n_words", "n_removed")

@@ -9,9 +9,12 @@ import pyarrow as pa
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _odd = lambda n: _rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
-#: Tabulation hashing: a random long for each byte value at each place in a word (places repeat after 256, with another factor).
+#: Tabulation hashing: a random long for each byte value at each of the 256 places of a block of a word.
 TABLE = _rng.integers(0, 2**64, (256, 256), dtype=np.uint64)
 STEP, LENGTH = _odd(64), _odd(1)[0]
+#: A table of its own for the second of two hashes.
+SECOND = _rng.integers(0, 2**64, (256, 256), dtype=np.uint64)
+BLOCK = _odd(1)[0]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,9 +46,10 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words, and for each document the number of its first word (one more entry than documents)."""
-    solid = ~IS_SPACE[raw]
+def spans(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words, and for each document the number of its first word (one more entry than documents).
+    `gap`: for each byte value whether it separates words."""
+    solid = ~gap[raw]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -56,18 +60,46 @@ def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _places(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words cut into blocks of 256 bytes: for each byte its place in its block, and where each block begins."""
+    mark = np.zeros(len(raw), dtype=bool)
+    mark[starts] = True
+    size = ends - starts
+    if len(size) and size.max() > 256:
+        long = np.flatnonzero(size > 256)
+        mark[np.concatenate([np.arange(starts[k] + 256, ends[k], 256) for k in long])] = True
+    block = np.flatnonzero(mark)
+    place = np.arange(len(raw)) - block[np.maximum(np.cumsum(mark) - 1, 0)]
+    return place & 255, block
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *tables: np.ndarray) -> np.ndarray | tuple[np.ndarray, ...]:
+    """A hash of each word, or one for each of `tables`. A block of 256 bytes is summed from the table; the blocks of a longer word
+    are chained through the mixer, so that no exchange of bytes between blocks cancels out."""
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    mark = np.zeros(len(raw) + 1, dtype=np.int64)
-    mark[starts] = 1
-    place = np.arange(len(raw) + 1) - starts[np.maximum(np.cumsum(mark) - 1, 0)]
-    place = np.maximum(place, 0)
-    value = TABLE[place[:-1] & 255, raw] * ((place[:-1] >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    value = np.append(value, np.uint64(0))
-    at = np.empty(2 * len(starts), dtype=np.int64)
-    at[0::2], at[1::2] = starts, ends
-    return mixed(np.add.reduceat(value, at)[0::2] + (ends - starts).astype(np.uint64) * LENGTH)
+        empty = np.empty(0, dtype=np.uint64)
+        return tuple(empty for _ in tables) if len(tables) > 1 else empty
+    place, block = _places(raw, starts, ends)
+    at = np.searchsorted(block, starts)
+    size, long = (ends - starts).astype(np.uint64), np.flatnonzero(ends - starts > 256)
+    stop = np.minimum(ends, starts + 256)
+    edges = np.empty(2 * len(block), dtype=np.int64)
+    edges[0::2] = block
+    edges[1::2] = block + 256
+    edges[2 * at + 1] = stop
+    if len(long):
+        last = np.append(at[1:], len(block))[long] - 1
+        edges[2 * last + 1] = ends[long]
+    out = []
+    for table in tables or (TABLE,):
+        value = np.append(table[place, raw], np.uint64(0))
+        sums = np.add.reduceat(value, edges)[0::2]
+        h = sums[at]
+        for k in long:
+            for x in sums[at[k] + 1 : at[k] + -(-int(size[k]) // 256)]:
+                h[k : k + 1] = mixed(h[k : k + 1] * BLOCK) + x
+        out.append(mixed(h + size * LENGTH))
+    return tuple(out) if len(out) > 1 else out[0]
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
