@@ -11,15 +11,15 @@ from .common import documents
 def _license_sql() -> str:
     """Phrases by their places in the list of words, templates by regular expressions over the words."""
     phrases = [(p.split(), label) for p, label in licenses.PHRASES.items()]
-    places = ", ".join("list_filter(range(len(w)), i -> " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p, 1)) + ")" for p, _ in phrases)
+    places = ", ".join("list_filter(range(len(w)), lambda i: " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p, 1)) + ")" for p, _ in phrases)
     base = ", ".join(f"case when len(p[{n}]) > 0 then '{label}' end" for n, (_, label) in enumerate(phrases, 1))
     method = ", ".join("case when " + " or ".join(f"regexp_matches(t, ' {licenses.pattern(m)}')" for m in of) + f" then '{label}' end" for label, of in licenses.TEMPLATES.items())
     return rf"""
         with d as (
-            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ -/:-`{-]+'), x -> x <> '') w
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w
             from documents),
         p as (select doc_id, len(w) n, ' ' || array_to_string(w, ' ') || ' ' t, [{places}] p from d),
-        f as (select doc_id, n, flatten(p) f, list_filter([{base}], x -> x is not null) b, list_filter([{method}], x -> x is not null) m from p)
+        f as (select doc_id, n, flatten(p) f, list_filter([{base}], lambda x: x is not null) b, list_filter([{method}], lambda x: x is not null) m from p)
         select doc_id, n n_words, len(f) n_base, list_min(f) first_word, list_max(f) last_word, array_to_string(list_sort(b), ',') base_labels, array_to_string(list_sort(list_distinct(b || m)), ',') labels,
             case when len(m) > 0 then 1.0 when len(f) > 0 then 0.5 else 0.0 end::double score from f
     """
@@ -85,8 +85,8 @@ ORACLE_SQL = {
     """,
     "op11_hard_negatives": r"""
         with r as (
-            select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end l, list_transform(embedding, x -> floor(256 * x::double)) v from embeddings
-            where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select a.vec_id a, b.vec_id b, a.l = b.l same, list_inner_product(a.v, b.v)::bigint s from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
         p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
         n as (select p.a, p.b p, p.s ps, s.b n, s.s ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) k from p join s on p.a = s.a where not same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)

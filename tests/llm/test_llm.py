@@ -453,7 +453,8 @@ def test_held_out_accuracy(spark):
 def test_oracle(spark, name):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, d).select(*want.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
