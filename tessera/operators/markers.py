@@ -57,16 +57,32 @@ def phrase_hits(turns: DataFrame, phrases: list[str]) -> DataFrame:
     return g.withColumns({"rate": r6(ratio("with_hits", "entries")), "per_entry": r6(ratio("hits", "entries"))})
 
 
+#: Quantities with their units, expressions of time, capitalised words inside sentences, and the capitalised words that name nothing.
+NUMBER = r"(?i)(?<![A-Za-z])(?:£|\$|€)?[0-9]+(?:[.,][0-9]+)?\s?(?:%|p|k|quid|pounds?|mins?|minutes?|hours?|years?|stone|kg|lbs?|ml|l)?(?![A-Za-z])"
+TEMPORAL = (
+    r"(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|september|october|november|december|yesterday|today|tonight|tomorrow"
+    r"|last\s+(?:night|week|month|year|time|summer|winter)|this\s+(?:morning|afternoon|evening|week|month|year)|next\s+(?:week|month|year)"
+    r"|(?:every|each)\s+(?:day|week|weekend|morning|night|friday|saturday|sunday)|[0-9]+\s*(?:years?|months?|weeks?|days?)\s+ago|o'?clock|midday|midnight|lunchtime|teatime|weekend)"
+)
+NO_ENTITY = (
+    "The And But Yeah Well That This There They Then When What With You Your For Not Its It's Like Just Because Actually Maybe Probably Honestly Sometimes Also Even Still Nah Yes No Okay Right "
+    "One Some Most All Every Something Someone Anything Anyone Everything Everyone Nothing Nobody Mean Think Know Get Got Say Said Sort Kind Bit Thing Things People Blokes Lads Mate Mates Guys Men "
+    "Food Pub Home Work Life Time Day Days Week Suppose Guess Wonder Take Point Fair Whereas Whether Which Where While Who Whose How Why Any Both"
+).split()
+_WORD = r"[\p{L}\p{N}_]"
+ENTITY = rf"(?<![.!?]\s)(?<!\A)(?<!{_WORD})([A-Z][a-z]{{2,}})(?!{_WORD})"
+
+
 def anchors(turns: DataFrame, roster: DataFrame, first_words: int = 40) -> DataFrame:
-    """Specificity anchors: numbers, times and capitalised words inside sentences, but for names of the session's roster (session_id, name), in the whole
-    turn and in its first words."""
-    own = roster.groupBy("session_id").agg(F.collect_set(F.lower("name")).alias("_own"))
+    """Specificity anchors: quantities, expressions of time and capitalised words that don't begin a sentence, but for words that name nothing and the first names of the
+    session's roster (session_id, name), in the whole turn and in its first words."""
+    own = roster.groupBy("session_id").agg(F.collect_set(F.lower(F.get(tx.words("name"), F.lit(0)))).alias("_own"))
     df = turns.join(own.hint("merge"), "session_id", "left").withColumns({"_own": F.coalesce("_own", F.array().cast("array<string>")), "_part": tx.word_slice("text", 1, first_words)})
-    times = tx.any_of("monday tuesday today yesterday january year week day".split())
-    entity = F.lit(r"[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)")
-    others = lambda t: F.size(F.filter(F.regexp_extract_all(t, entity, F.lit(1)), lambda x: ~F.array_contains("_own", F.lower(x))))
-    kinds = {"numbers": lambda t: tx.hits(t, "[0-9]+"), "times": lambda t: tx.hits(F.lower(t), times), "names": others}
-    return df.select("session_id", "turn_index", *(f(F.col("text")).alias(k) for k, f in kinds.items()), *(f(F.col("_part")).alias(f"{k}_first") for k, f in kinds.items()))
+    no = F.array(*map(F.lit, NO_ENTITY))
+    others = lambda t: F.size(F.filter(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(1)), lambda x: ~F.array_contains(no, x) & ~F.array_contains("_own", F.lower(x))))
+    kinds = {"numbers": lambda t: tx.hits(t, NUMBER), "times": lambda t: tx.hits(F.lower(t), rf"(?<!{_WORD}){TEMPORAL}(?!{_WORD})"), "names": others}
+    df = df.select("session_id", "turn_index", *(f(F.col("text")).alias(k) for k, f in kinds.items()), *(f(F.col("_part")).alias(f"{k}_first") for k, f in kinds.items()))
+    return df.withColumns({f"anchors{part}": F.col(f"numbers{part}") + F.col(f"times{part}") + F.col(f"names{part}") for part in ("", "_first")})
 
 
 def entity_density(entities: DataFrame, sizes: DataFrame, stop: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -91,9 +91,18 @@ register("mrk04_artefacts", lambda s, d: mk.pattern_counts(panel(s, d), ART), "p
 register("mrk05_phrase_hits", lambda s, d: mk.phrase_hits(turns(s, d), ["the ", "la ", "und "]), "turns", """
     h as (select session_id, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 + (length(lower(text)) - length(replace(lower(text), 'la ', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'und ', ''))) // 4 n from turns where "role" = 'moderator')
     select session_id, count(*) entries, count(*) filter (n > 0) with_hits, sum(n)::bigint hits, round(count(*) filter (n > 0) / count(*)::double, 6) rate, round(sum(n) / count(*)::double, 6) per_entry from h group by 1""")
-ANCH = {"numbers": "len(regexp_extract_all({0}, '[0-9]+'))", "times": ON_WORDS.replace("{1}", str(tuple("monday tuesday today yesterday january year week day".split()))), "names": "len(list_filter(regexp_extract_all({0}, '[a-zäöüéèñ,] ([A-ZÄÖÜÉÈÑ][a-zäöüéèñ]+)', 1), lambda x: not list_contains(own, lower(x))))"}
+#: On tokens, as this dialect's patterns don't look around: a digit right after a letter begins no quantity, and a single one right before letters is one only with a unit; words that begin a sentence get
+#: a mark that makes them other words; other letters than ASCII count as letters at the ends of expressions of time.
+UNITS = "(?i)[0-9](?:p|k|quid|pounds?|mins?|minutes?|hours?|years?|stone|kg|lbs?|ml|l)"
+ANCH = {
+    "numbers": f"len(list_filter(regexp_extract_all(regexp_replace({{0}}, '([A-Za-z])[0-9]', '\\1#', 'g'), '[0-9]+(?:[.,][0-9]+)?[A-Za-z]*'), lambda x: not regexp_full_match(x, '[0-9][A-Za-z]+') or regexp_full_match(x, '{UNITS}')))",
+    "times": "len(regexp_extract_all(regexp_replace(lower({0}), '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}]', 'x', 'g'), '\\b" + mk.TEMPORAL.replace("'", "''").replace("{", "{{").replace("}", "}}") + "\\b'))",
+    "names": f"len(list_filter(regexp_extract_all(regexp_replace(regexp_replace({{0}}, '([.!?]\\s)([A-Z])', '\\1_\\2', 'g'), '^([A-Z])', '_\\1'), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{{{2,}}}}') and x not in {tuple(x for x in mk.NO_ENTITY if chr(39) not in x)} and not list_contains(own, lower(x))))",
+}
 register("mrk06_anchors", lambda s, d: mk.anchors(panel(s, d), roster(s, d)), "panel", ROSTER + f""",
-    ow as (select session_id, list(distinct "name") ow from roster group by 1), p as (select panel.*, coalesce(ow, []) own, array_to_string(({W_})[1:40], ' ') part from panel left join ow using (session_id)) select session_id, turn_index, """ + ", ".join(f"{e.format('text')}::int {k}, {e.format('part')}::int {k}_first" for k, e in ANCH.items()) + " from p")
+    ow as (select session_id, list(distinct "name") ow from roster where "name" <> '' group by 1), p as (select panel.*, coalesce(ow, []) own, array_to_string(({W_})[1:40], ' ') part from panel left join ow using (session_id)),
+    a as (select session_id, turn_index, """ + ", ".join(f"{e.format('text')}::int {k}, {e.format('part')}::int {k}_first" for k, e in ANCH.items()) + """ from p)
+    select *, numbers + times + names anchors, numbers_first + times_first + names_first anchors_first from a""")
 STOP, GAZ = ["the", "and", "der", "und", "la"], [("that", "place"), ("with", "place"), ("les", "thing"), ("ein", "thing")]
 register("mrk07_entity_density", lambda s, d: mk.entity_density(panel(s, d).select(F.col("session_id").alias("unit"), F.explode(tx.tokens("text", "[a-z]+", 3)).alias("entity")), panel(s, d).groupBy(F.col("session_id").alias("unit")).agg(F.sum("n_words").alias("words")), s.createDataFrame([(x,) for x in STOP], "entity string"), s.createDataFrame(GAZ, "entity string, kind string")), "panel", f"""
     e as (select session_id unit, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3)) entity from panel), w as (select session_id unit, sum(n_words) words from panel group by 1),
