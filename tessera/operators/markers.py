@@ -129,6 +129,24 @@ def reference_density(turns: DataFrame, roster: DataFrame) -> DataFrame:
     return g.join(shared.hint("merge"), "session_id", "left").select("session_id", "turns", "density", F.coalesce("_k", F.lit(0)).alias("ambiguous"))
 
 
+def label_density(turns: DataFrame, members: DataFrame, ambiguous: list[str]) -> DataFrame:
+    """Share of participant turns that name another member by the first word of their name, with words of letters only (`density`) and with words that may be labels such as mf_p2 or p1.1 (`label_density`); names under
+    three characters and those that are ordinary words don't count. `unrepresentable` names can't occur among words of letters, `collapsed` names share their first word: either makes the plain figure invalid.
+    members: session_id, speaker_id, name."""
+    first = F.lower(F.get(tx.words("name"), F.lit(0)))
+    clean = lambda c: F.transform(c, lambda x: F.when(F.endswith(x, F.lit("'s")), F.left(x, F.char_length(x) - 2)).otherwise(F.regexp_replace(x, r"\.+$", "")))
+    m = members.select("session_id", "speaker_id", "name", first.alias("first")).where(F.char_length("first") >= 3).distinct().withColumn("_common", F.col("first").isin(ambiguous))
+    facts = m.groupBy("session_id").agg(
+        F.count_if("_common").alias("excluded"), F.count_if(~F.col("_common") & ~F.col("first").rlike("^[a-z]+('[a-z]+)?$")).alias("unrepresentable"),
+        (F.count_distinct(F.when(~F.col("_common"), F.col("first"))) < F.count_if(~F.col("_common"))).alias("collapsed"), F.collect_set(F.when(~F.col("_common"), F.struct("speaker_id", "first"))).alias("_m"),
+    )
+    t = turns.where("role = 'participant'").select("session_id", "speaker_id", *(clean(tx.tokens("text", p)).alias(k) for k, p in (("_plain", "[a-z]+(?:'[a-z]+)?"), ("_label", r"[a-z][a-z0-9_.']*"))))
+    t = t.join(facts.hint("merge"), "session_id")
+    hit = lambda k: F.exists("_m", lambda x: (x["speaker_id"] != F.col("speaker_id")) & F.array_contains(k, x["first"])).cast("double")
+    g = t.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), r6(F.avg(hit("_plain"))).alias("density"), r6(F.avg(hit("_label"))).alias("label_density"), *(F.first(k).alias(k) for k in ("excluded", "unrepresentable", "collapsed")))
+    return g.withColumn("valid", (F.col("unrepresentable") == 0) & ~F.col("collapsed"))
+
+
 def keyword_rate(turns: DataFrame, keywords: list[str]) -> DataFrame:
     any_ = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower("text"), k))
     return turns.where("role = 'participant'").groupBy("session_id").agg(r6(F.avg(any_.cast("double"))).alias("rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import n_words, r6, ratio, tokens
+from ..functions.text import n_words, r6, ratio, tokens, words
 
 
 def by_turn():
@@ -76,6 +76,45 @@ def interaction_edges(turns: DataFrame, roster: DataFrame) -> DataFrame:
     return g.withColumn("hub", hub).join(people.hint("merge"), "session_id", "left").select("session_id", "type", "edges", r6(ratio("pairs", possible)).alias("density"), "hub")
 
 
+def mentions(turns: DataFrame, members: DataFrame) -> DataFrame:
+    """(session_id, turn_index, role, speaker_id, target, how), one row for each turn and member of the session that its text names: by the full name anywhere in it, else by a first name of three letters or
+    more as a whole word, else by the id anywhere. members: session_id, speaker_id, name. A session's members are one array, which its turns meet once."""
+    plain = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    full = F.lower("name")
+    one = F.struct(F.col("speaker_id").alias("id"), full.alias("full"), F.get(words(full), F.lit(0)).alias("first"))
+    of = members.where("trim(name) != ''").groupBy("session_id").agg(F.array_sort(F.collect_set(one)).alias("_m"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    t = turns.where("role is not null").join(of.hint("merge"), "session_id").withColumns({"_low": low, "_plain": plain(low)})
+    how = lambda m: F.when(F.contains("_low", m["full"]), "full_name").when((F.char_length(m["first"]) > 2) & F.contains("_plain", plain(m["first"])), "first_name").when(F.contains("_low", F.lower(m["id"].cast("string"))), "id")
+    found = F.filter(F.transform("_m", lambda m: F.struct(m["id"].alias("target"), how(m).alias("how"))), lambda x: x["how"].isNotNull())
+    t = t.select("session_id", "turn_index", "role", "speaker_id", F.explode(found).alias("x")).select("session_id", "turn_index", "role", "speaker_id", "x.*")
+    return t.where("role = 'moderator' or target != speaker_id")
+
+
+def interaction_graph(turns: DataFrame, members: DataFrame) -> DataFrame:
+    """Per session with members: edges by kind of end (between members: uptake of the turn before and mentions; from and to the moderator), densities over all directed pairs of members and over members, how
+    mentions were made, and `hub`: no edge between members and more than HUB_OVER from the moderator. Density between fewer than two members is 0 with status `insufficient_sample`."""
+    said = turns.where("role is not null").withColumns({"target": F.lag("speaker_id").over(by_turn()), "_r": F.lag("role").over(by_turn())}).where("role = 'participant'")
+    edge = lambda df, kind, source, target, how: df.select("session_id", F.lit(kind).alias("kind"), source.cast("string").alias("source"), target.cast("string").alias("target"), how.alias("how"))
+    who, mod, none = F.col("speaker_id"), F.lit("MODERATOR"), F.lit(None).cast("string")
+    named = mentions(turns, members)
+    edges = edge(said.where("_r = 'moderator'"), "to_moderator", who, mod, none).unionByName(edge(said.where("_r = 'participant' and target != speaker_id"), "between", who, F.col("target"), none))
+    edges = edges.unionByName(edge(named.where("role = 'participant'"), "between", who, F.col("target"), F.col("how"))).unionByName(edge(named.where("role = 'moderator'"), "from_moderator", mod, F.col("target"), F.col("how")))
+    kinds = ("between", "from_moderator", "to_moderator")
+    count = lambda k: F.count_if(F.coalesce(F.col("kind") == k, F.lit(False)))
+    g = edges.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("edges"), *(count(k).alias(k) for k in kinds), *(F.count_distinct(F.when(F.col("kind") == k, F.struct("source", "target"))).alias(f"_{k}") for k in kinds),
+        *(F.count_if(F.coalesce(F.col("how") == h, F.lit(False))).alias(f"{h}_mentions") for h in ("full_name", "first_name", "id")),
+    )
+    n = members.where("trim(name) != ''").groupBy("session_id").agg(F.count_distinct("speaker_id").alias("members"))
+    j = n.join(g.hint("merge"), "session_id", "left").na.fill(0)
+    m = F.col("members")
+    return j.select(
+        "session_id", "members", "edges", *kinds, F.col("_between").alias("pairs"), (m * (m - 1)).alias("possible"), r6(F.coalesce(ratio("_between", m * (m - 1)), F.lit(0.0))).alias("density"), F.when(m < 2, "insufficient_sample").otherwise("ok").alias("status"),
+        r6(ratio("_from_moderator", m)).alias("density_from_moderator"), r6(ratio("_to_moderator", m)).alias("density_to_moderator"), "full_name_mentions", "first_name_mentions", "id_mentions", ((F.col("between") == 0) & (F.col("from_moderator") > HUB_OVER)).alias("hub"),
+    )
+
+
 def targeting(turns: DataFrame, log: DataFrame, roster: DataFrame) -> DataFrame:
     """Moderator decisions (session_id, turn_index, action, target) on the moderator turns that carry them: strict (aims at one member), soft (at the
     group, naming members), broad, transition or ambiguous; a strict one is honoured if the next participant is its target."""

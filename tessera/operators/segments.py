@@ -112,10 +112,13 @@ def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
 def word_budget(turns: DataFrame, target: int, starts: int = 10, least: float = 0.9) -> DataFrame:
     """From every start the longest run of turns within `target` words; runs of at least 90 % are eligible, and up to `starts` evenly
     spaced ones are selected, from a phase that the hash of the session sets."""
-    c = turns.withColumn("cum", F.sum("n_words").over(so_far())).select("session_id", "turn_index", "n_words", "cum")
-    e = c.select(F.col("session_id").alias("_s"), F.col("turn_index").alias("stop"), F.col("cum").alias("_c"))
-    run = c.join(e, (F.col("session_id") == F.col("_s")) & (F.col("stop") >= F.col("turn_index")) & (F.col("_c") - F.col("cum") + F.col("n_words") <= target))
-    run = run.groupBy("session_id", F.col("turn_index").alias("start")).agg(F.max("stop").alias("stop"), F.max(F.col("_c") - F.col("cum") + F.col("n_words")).alias("words")).where(F.col("words") >= least * target)
+    c = turns.withColumn("_cum", F.sum("n_words").over(so_far()))
+    # starts and stops are events on the running sum of words; within reach of a start is a range of that sum
+    event = F.array(F.struct((F.col("_cum") - F.col("n_words")).alias("at"), F.lit(None).cast("bigint").alias("stop")), F.struct(F.col("_cum").alias("at"), F.col("turn_index").cast("bigint").alias("stop")))
+    e = c.select("session_id", "turn_index", F.explode(event).alias("e")).select("session_id", "turn_index", "e.*")
+    reach = W.partitionBy("session_id").orderBy("at").rangeBetween(0, target)
+    run = e.withColumn("_last", F.max(F.when(F.col("stop").isNotNull(), F.struct("stop", "at"))).over(reach)).where("stop is null and _last.stop >= turn_index")
+    run = run.select("session_id", F.col("turn_index").alias("start"), F.col("_last.stop").alias("stop"), (F.col("_last.at") - F.col("at")).alias("words")).where(F.col("words") >= least * target)
     w = W.partitionBy("session_id")
     run = run.withColumns({"_i": F.row_number().over(w.orderBy("start")) - 1, "_n": F.count(F.lit(1)).over(w)})
     seed = F.conv(F.substring(F.sha2(F.col("session_id").cast("string"), 256), 1, 8), 16, 10).cast("long")

@@ -9,19 +9,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import f1, r6, ratio
+from ..scratch import written
+from .order import joined, quantiles, tau_b
 
 
 def honest_summary(values: DataFrame, by: list[str], expected: DataFrame) -> DataFrame:
     """n valid of n expected, mean, median, sample SD (0 for one value), range and coverage. expected: by columns and n_expected."""
     v = F.col("value")
     g = values.groupBy(*by).agg(
-        F.count(v).alias("n_valid"), F.avg(v).alias("_m"), F.percentile(v, F.lit(0.5)).alias("_d"), F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
+        F.count(v).alias("n_valid"), F.avg(v).alias("_m"), F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
     )
+    g = joined(g, quantiles(values, by, "value", {"_d": 0.5}).drop("n"), by)
     j = expected.join(g, by, "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
     status = F.when(F.col("n_valid") == 0, "none").when(F.col("n_valid") < F.col("n_expected"), "partial").otherwise("complete")
     return j.select(*by, "n_expected", "n_valid", r6("_m").alias("mean"), r6("_d").alias("median"), r6("_s").alias("sd"), r6("_lo").alias("min"), r6("_hi").alias("max"), status.alias("coverage"))
 
 
+def missing_units(values: DataFrame, by: list[str], unit: str, expected: DataFrame) -> DataFrame:
+    """Units of the expected list (by, unit) without a value, per group: how many, and which. A unit whose value is NULL is missing."""
+    have = values.where("value is not null").select(*by, unit).distinct()
+    gone = expected.select(*by, unit).distinct().join(have, [*by, unit], "left_anti")
+    return gone.groupBy(*by).agg(F.count(F.lit(1)).alias("n_missing"), F.array_sort(F.collect_list(unit)).alias("missing"))
+
+
 def route_a(values: DataFrame, reference: str, strict: bool = True) -> DataFrame:
     """(condition, group_id, replicate, metric, value) to metric × group × condition over replicates, with the reference's value; STRICT
     keeps only metrics without an undefined value."""
@@ -130,14 +140,8 @@ def spearman(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def kendall(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, item, x, y): tau-b from concordant, discordant and tied pairs inside blocks, which have to be of bounded size; NULL with a reason if undefined."""
-    b = df.select(*by, F.col("item").alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    p = df.join(b, by).where(F.col("item") < F.col("_i"))
-    s = F.signum(F.col("x") - F.col("_x")) * F.signum(F.col("y") - F.col("_y"))
-    g = p.groupBy(*by).agg(F.sum(s).alias("_s"), F.count_if(F.col("x") != F.col("_x")).alias("_nx"), F.count_if(F.col("y") != F.col("_y")).alias("_ny"))
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    reason = F.when(F.col("n") < 3, "too_few").when((F.col("_nx") == 0) | (F.col("_ny") == 0), "no_variance")
-    return n.join(g, by, "left").select(*by, "n", F.when(reason.isNull(), r6(F.col("_s") / F.sqrt(F.col("_nx").cast("double") * F.col("_ny")))).alias("tau_b"), reason.alias("undefined_reason"))
+    """(by, x, y): tau-b of groups of any size, from counts of ties and inversions; NULL with a reason if undefined."""
+    return tau_b(df, by)
 
 
 def agreement(df: DataFrame, by: list[str]) -> DataFrame:
@@ -314,7 +318,56 @@ def closer_to_reference(values: DataFrame, reference: str, a: str, b: str) -> Da
 
 
 def ordering_similarity(scores: DataFrame, by: list[str]) -> DataFrame:
-    """(by, item, x, y) scores of the same codes on two sides: tau-b, rho, mean absolute difference and tie-aware top-3 overlap."""
+    """(by, item, x, y) scores of the same codes on two sides: tau-b, rho, mean absolute difference, tie-aware top-3 overlap, and tied pairs of each side."""
     top = lambda c: F.rank().over(W.partitionBy(*by).orderBy(F.desc(c))) <= 3
     t = scores.withColumns({"_x": top("x"), "_y": top("y")}).groupBy(*by).agg(r6(F.avg(F.abs(F.col("x") - F.col("y")))).alias("mean_abs"), r6(ratio(F.count_if(F.col("_x") & F.col("_y")), F.count_if(F.col("_x") | F.col("_y")))).alias("top3"))
-    return kendall(scores, by).join(spearman(scores, by).select(*by, "rho"), by).join(t, by)
+    ties = lambda c: scores.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_k")).groupBy(*by).agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2).cast("long").alias(f"ties_{c}"))
+    return kendall(scores, by).join(spearman(scores, by).select(*by, "rho"), by).join(t, by).join(ties("x"), by).join(ties("y"), by)
+
+
+def _measured(presence: DataFrame, measured: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
+    """(unit, code, x) of the reference's sessions and (unit, condition, replicate, code, y) of the others: reach of a present code, 0 of one truly absent; NULL where the session wasn't measured.
+    The grid has a row for each session and code of the codebook."""
+    codes = presence.select("code").distinct()
+    cells = presence.select("condition", "group_id", "replicate").distinct().join(measured.withColumn("_m", F.lit(True)), ["condition", "group_id", "replicate"], "left")
+    said = presence.where("present").select("condition", "group_id", "replicate", "code", ratio("voiced", "participants").alias("_v"))
+    grid = cells.crossJoin(F.broadcast(codes)).join(said, ["condition", "group_id", "replicate", "code"], "left")  # a codebook is a small list
+    grid = written(grid.select("condition", "group_id", "replicate", "code", F.when(F.col("_m"), F.coalesce("_v", F.lit(0.0))).alias("v")), "grid")
+    return grid.where(F.col("condition") == reference).select("group_id", "code", F.col("v").alias("x")), grid.where(F.col("condition") != reference).select("group_id", "condition", "replicate", "code", F.col("v").alias("y"))
+
+
+CELL = ["group_id", "condition", "replicate"]
+
+
+def group_ordering(presence: DataFrame, measured: DataFrame, reference: str) -> DataFrame:
+    """Each session's reach against its group's reference, code by code: over the codes that the reference voices (`n_present`; recovered, at zero, unmeasured), and over the union with the session's own
+    (n_union, tau_union). A session that wasn't measured scores nothing."""
+    ref, gen = _measured(presence, measured, reference)
+    both = gen.join(ref, ["group_id", "code"]).withColumnRenamed("code", "item")
+    own = both.where("x > 0")
+    facts = own.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_present"), F.count_if(F.col("y") > 0).alias("recovered"), F.count_if(F.col("y") == 0).alias("at_zero"), F.count_if(F.col("y").isNull()).alias("unmeasured"))
+    scored = ordering_similarity(own.where("y is not null"), CELL)
+    union = kendall(both.where("(x > 0 or y > 0) and y is not null"), CELL).select(*CELL, F.col("n").alias("n_union"), F.col("tau_b").alias("tau_union"))
+    return facts.join(scored, CELL, "left").join(union, CELL, "left")
+
+
+def study_ordering(presence: DataFrame, measured: DataFrame, reference: str) -> DataFrame:
+    """Each replicate of a condition as one study against the reference: order of the codes by groups that hold them, and by mean reach over the measured groups."""
+    ref, gen = _measured(presence, measured, reference)
+    profile = lambda df, by, v, n, m: df.groupBy(*by).agg(F.count_if(F.col(v) > 0).cast("double").alias(n), r6(F.avg(v)).alias(m), F.count_if(F.col(v).isNull()).alias(f"_{n}"))
+    r, by = profile(ref, ["code"], "x", "xn", "xm"), ["condition", "replicate"]
+    j = profile(gen, [*by, "code"], "y", "yn", "ym").join(r, "code").withColumnRenamed("code", "item")
+    use = j.where("xm is not null and ym is not null")
+    side = lambda x, y, name: ordering_similarity(use.select(*by, "item", F.col(x).alias("x"), F.col(y).alias("y")), by).select(*by, F.col("n").alias("codes"), F.col("tau_b").alias(f"tau_{name}"), F.col("undefined_reason").alias(f"reason_{name}"), F.col("top3").alias(f"top3_{name}"))
+    blank = j.groupBy(*by).agg(F.sum("_yn").alias("unmeasured"))
+    return blank.join(side("xn", "yn", "groups"), by, "left").join(side("xm", "ym", "reach").drop("codes"), by, "left")
+
+
+def ordering_summary(orderings: DataFrame, a: str, b: str) -> DataFrame:
+    """Of group_ordering's rows, per group: the median over replicates of the defined tau-b of conditions a and b, their difference and its direction; values of single replicates are never averaged."""
+    m = orderings.groupBy("group_id", "condition").agg(F.count("tau_b").alias("k"), F.percentile("tau_b", F.lit(0.5)).alias("m"), F.min("tau_b").alias("lo"), F.max("tau_b").alias("hi"))
+    of = lambda c, v: F.max(F.when(F.col("condition") == c, F.col(v)))
+    g = m.groupBy("group_id").agg(*(of(c, v).alias(f"{s}_{v}") for s, c in (("a", a), ("b", b)) for v in ("k", "m", "lo", "hi")))
+    d = F.col("a_m") - F.col("b_m")
+    direction = F.when(d.isNull(), "undefined").when(d > 0, a).when(d < 0, b).otherwise("tie")
+    return g.select("group_id", *(F.coalesce(f"{s}_k", F.lit(0)).alias(f"defined_{s}") for s in "ab"), *(r6(f"{s}_{v}").alias(f"{name}_{s}") for s in "ab" for v, name in (("m", "median"), ("lo", "least"), ("hi", "most"))), r6(d).alias("difference"), direction.alias("direction"))

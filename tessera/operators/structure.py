@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio
+from .order import at_places, joined, quantiles
 
 BINS = (0, 10, 25, 50, 100, 200, 250, 300)
 
@@ -31,22 +32,18 @@ def window_counts(turns: DataFrame) -> DataFrame:
     )
 
 
-def exclusive_quartile(sorted_: Column, q: float) -> Column:
-    """The quantile at place q (n + 1), between neighbours; NULL under four values."""
-    n = F.size(sorted_)
-    h = F.lit(q) * (n + 1)
-    lo = F.floor(h).cast("int")
-    a, b = F.get(sorted_, lo - 1), F.get(sorted_, F.least(lo, n - 1))
-    return F.when(n >= 4, a + (b - a) * (h - lo))
-
-
 def turn_lengths(turns: DataFrame) -> DataFrame:
-    """Per session: median and exclusive IQR of participant words a turn, shares of turns under 10, 25 and 50 words."""
+    """Per session: median and exclusive IQR (quartiles at place q (n + 1), between neighbours; NULL under four values) of participant words a turn, shares of turns under 10, 25 and 50 words."""
     own = turns.where(is_part() & (F.col("n_words") > 0))
-    w = F.sort_array(F.collect_list("n_words"))
     share = lambda k: r6(F.avg((F.col("n_words") < k).cast("double"))).alias(f"under_{k}")
-    got = own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), w.alias("_w"), share(10), share(25), share(50))
-    return got.withColumn("iqr", r6(exclusive_quartile(F.col("_w"), 0.75) - exclusive_quartile(F.col("_w"), 0.25))).drop("_w")
+    got = own.groupBy("session_id").agg(share(10), share(25), share(50))
+    h = lambda q, n: F.lit(q) * (n + 1)
+    places = {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)}
+    places |= {f"_{end}{k}": (lambda q, end: lambda n: F.floor(h(q, n)) - 1 if end == "a" else F.least(F.floor(h(q, n)), n - 1))(q, end) for k, q in ((1, 0.25), (3, 0.75)) for end in "ab"}
+    at = at_places(own, ["session_id"], "n_words", places)
+    quartile = lambda k, q: F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (h(q, F.col("n")) - F.floor(h(q, F.col("n"))))
+    at = at.select("session_id", "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median_words"), r6(F.when(F.col("n") >= 4, quartile(3, 0.75) - quartile(1, 0.25))).alias("iqr"))
+    return joined(at, got, ["session_id"], "inner").select("session_id", "n", "median_words", "under_10", "under_25", "under_50", "iqr")
 
 
 def gini(values: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -193,6 +190,6 @@ def envelope(metric: DataFrame, reference: str = "human") -> DataFrame:
 def length_ratio(turns: DataFrame, reference: str = "human") -> DataFrame:
     """A session's words over the mean words of its group's reference sessions, and the group's reference width (median words a turn)."""
     words = turns.groupBy("condition", "group_id", "session_id").agg(F.sum("n_words").alias("words"))
-    width = turns.where((F.col("condition") == reference) & is_part()).groupBy("group_id").agg(F.floor(F.percentile("n_words", F.lit(0.5))).cast("long").alias("width"))
+    width = quantiles(turns.where((F.col("condition") == reference) & is_part()), ["group_id"], "n_words", {"_m": 0.5}).select("group_id", F.floor("_m").cast("long").alias("width"))
     ref = words.where(F.col("condition") == reference).groupBy("group_id").agg(F.avg("words").alias("_ref"))
     return words.where(F.col("condition") != reference).join(ref, "group_id", "left").join(width, "group_id", "left").select("session_id", "group_id", "condition", r6(ratio("words", "_ref")).alias("ratio"), "width")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import n_words, r6, ratio, word_slice
+from ..scratch import written
+from .order import joined, quantiles
 from .stats import nth_values
 
 CELL = ["doc", "question", "participant"]
@@ -84,7 +86,11 @@ def identity_gap(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     b = g.select("doc", F.col("question").alias("qb"), F.col("participant").alias("pb"), "gram", F.col("x").alias("y"))
     p = g.join(b.hint("merge"), ["doc", "gram"]).where(F.col("question") < F.col("qb")).groupBy("doc", "question", "qb", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     same = F.col("participant") == F.col("pb")
-    q = p.groupBy("doc", "question", "qb").agg(F.percentile(F.when(same, F.col("s")), F.lit(0.5)).alias("own"), F.percentile(F.when(~same, F.col("s")), F.lit(0.5)).alias("other"))
+    p, by = written(p.withColumn("same", same), "cosines"), ["doc", "question", "qb"]
+    median = lambda test, name: quantiles(p.where(test), by, "s", {name: 0.5}).drop("n")
+    q = p.select(*by).distinct()
+    for test, name in (("same", "own"), ("not same", "other")):
+        q = joined(q, median(test, name), by)
     return q.groupBy("doc").agg(F.count(F.lit(1)).alias("pairs"), r6(F.percentile(F.col("own") - F.col("other"), F.lit(0.5))).alias("gap"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import f1, normalised, r6, ratio
+from ..scratch import written
 from .stats import wilson
 
 CELL = ["condition", "group_id", "replicate"]
@@ -87,6 +88,52 @@ def accumulation(presence: DataFrame) -> DataFrame:
     return e.select("condition", "replicate", "k", r6("e").alias("expected"), r6(F.col("e") - F.coalesce(F.lag("e").over(W.partitionBy("condition", "replicate").orderBy("k")), F.lit(0.0))).alias("gain"))
 
 
+#: Groups up to which all orders are taken into account: unions over 2^n subsets.
+MOST_GROUPS = 12
+#: Mean codes added by a further group under which the curve counts as flat.
+PLATEAU = 0.5
+
+
+def accumulation_envelope(presence: DataFrame) -> DataFrame:
+    """Distinct codes after k groups of a condition's replicate: mean, least and most over all orders, in the order of the groups, the mean gain, and the plateau: the first k after which
+    every further mean gain is under PLATEAU (NULL if there is none).
+
+    A group's codes are bits of longs; unions over all subsets of n groups come from a lattice in which each subset is one smaller by a bitwise or. Beyond MOST_GROUPS groups only the order of
+    the groups is given. Groups without a code count as groups."""
+    by = ["condition", "replicate"]
+    groups = presence.select(*by, "group_id").distinct()
+    groups = groups.withColumns({"_i": F.row_number().over(W.partitionBy(*by).orderBy("group_id")) - 1, "n": F.count(F.lit(1)).over(W.partitionBy(*by))})
+    codes = presence.where("present").select("code").distinct()
+    codes = codes.withColumn("_c", F.row_number().over(W.orderBy("code")) - 1)  # a codebook is a small list
+    p = presence.where("present").select(*by, "group_id", "code").distinct().join(groups, [*by, "group_id"]).join(F.broadcast(codes), "code")
+    new = p.groupBy(*by, "code").agg(F.min("_i").alias("_i")).groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_new"))
+    seen = groups.select(*by, "n", "_i").join(new, [*by, "_i"], "left").withColumn("observed", F.sum(F.coalesce("_new", F.lit(0))).over(W.partitionBy(*by).orderBy("_i")))
+    masks = p.groupBy(*by, "n", F.floor(F.col("_c") / 63).alias("_w"), "_i").agg(F.bit_or(F.expr("shiftleft(1L, cast(_c % 63 as int))")).alias("_m"))
+    words = masks.where(F.col("n") <= MOST_GROUPS).groupBy(*by, "n", "_w").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_m"))).alias("_m"))
+    lattice = "aggregate(sequence(0, cast(n as int) - 1), array(0L), (u, i) -> concat(u, transform(u, x -> x | coalesce(_m[i], 0L))))"
+    subsets = words.select(*by, "n", F.posexplode(F.expr(f"transform({lattice}, x -> bit_count(x))")).alias("_s", "_bits")).groupBy(*by, "n", "_s").agg(F.sum("_bits").alias("_bits"))
+    k = subsets.where("_s > 0").groupBy(*by, F.bit_count("_s").cast("int").alias("k")).agg(F.min("_bits").alias("least"), F.avg("_bits").alias("_mean"), F.max("_bits").alias("most"))
+    e = seen.withColumn("k", F.col("_i") + 1).join(k, [*by, "k"], "left")
+    none = ~F.max(F.col("observed") > 0).over(W.partitionBy(*by))  # no code at all: no row of masks
+    fill = lambda c: F.when(none & (F.col("n") <= MOST_GROUPS), 0).otherwise(F.col(c))
+    e = e.select(*by, "n", "k", "observed", fill("least").cast("long").alias("least"), fill("_mean").cast("double").alias("_mean"), fill("most").cast("long").alias("most"))
+    gain = F.round(F.col("_mean") - F.lag("_mean").over(W.partitionBy(*by).orderBy("k")), 4)
+    e = e.withColumn("gain", gain)
+    last = F.coalesce(F.max(F.when(F.col("gain") >= PLATEAU, F.col("k"))).over(W.partitionBy(*by)), F.lit(1))
+    known = F.max(F.col("_mean")).over(W.partitionBy(*by)).isNotNull()
+    return e.withColumn("plateau", F.when(known & (last < F.col("n")), last)).select(*by, "k", "least", r6("_mean").alias("mean"), "most", "observed", "gain", "plateau")
+
+
+def accumulation_summary(presence: DataFrame) -> DataFrame:
+    """Per condition over its replicates, which are not further groups: mean, least and greatest final repertoire, and the codes seen anywhere, as a share of the codebook."""
+    p = presence.where("present")
+    final = presence.select("condition", "replicate").distinct().join(p.groupBy("condition", "replicate").agg(F.count_distinct("code").alias("_f")), ["condition", "replicate"], "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
+    g = final.groupBy("condition").agg(F.count(F.lit(1)).alias("replicates"), r6(F.avg("_f")).alias("mean"), F.min("_f").alias("least"), F.max("_f").alias("most"))
+    union = p.groupBy("condition").agg(F.count_distinct("code").alias("anywhere"))
+    book = presence.agg(F.count_distinct("code").alias("_book"))
+    return g.join(union, "condition", "left").crossJoin(F.broadcast(book)).withColumn("anywhere", F.coalesce("anywhere", F.lit(0))).withColumn("of_codebook", r6(ratio("anywhere", "_book"))).drop("_book")
+
+
 def first_seen(rows: DataFrame) -> DataFrame:
     """New and cumulative clusters in the order of units, and the share of the final repertoire. rows: series, unit, cluster."""
     f = rows.groupBy("series", "cluster").agg(F.min("unit").alias("unit")).groupBy("series", "unit").agg(F.count(F.lit(1)).alias("new"))
@@ -129,18 +176,20 @@ def set_differences(presence: DataFrame, reference: str) -> DataFrame:
 
 
 def greedy_matching(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs by falling similarity inside each block: (block, a, b, sim). A block is one grouped task, so blocks
-    have to be of bounded size."""
-    def match(pdf):
-        taken_a, taken_b, keep = set(), set(), []
-        for r in pdf.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if r.a not in taken_a and r.b not in taken_b:
-                taken_a.add(r.a)
-                taken_b.add(r.b)
-                keep.append(r)
-        return type(pdf)(keep, columns=pdf.columns)
-
-    return pairs.groupBy("block").applyInPandas(match, "block long, a long, b long, sim double")
+    """One-to-one pairs by falling similarity inside each block: (block, a, b, sim), ties by a, then b; pairs with a null take no part, repeated ones count once.
+
+    In each round every pair that comes first among the pairs of both its ends is taken, which greedy order would take too, and all pairs of taken ends leave. Rounds are written;
+    they go on until no pair is left (a few for mixed similarities; a chain of pairs that fall evenly takes one for each link)."""
+    left = written(pairs.select("block", "a", "b", "sim").where("block is not null and a is not null and b is not null and sim is not null").distinct(), "pairs")
+    taken = left.where("false")
+    while not left.isEmpty():
+        a, b = W.partitionBy("block", "a"), W.partitionBy("block", "b")
+        order = [F.desc("sim"), "a", "b"]
+        seen = left.withColumns({"_a": F.row_number().over(a.orderBy(*order)), "_b": F.row_number().over(b.orderBy(*order))}).withColumn("_hit", (F.col("_a") == 1) & (F.col("_b") == 1))
+        seen = written(seen.withColumns({"_gone_a": F.max("_hit").over(a), "_gone_b": F.max("_hit").over(b)}).drop("_a", "_b"), "round")
+        taken = taken.unionByName(seen.where("_hit").select("block", "a", "b", "sim"))
+        left = seen.where("not _gone_a and not _gone_b").select("block", "a", "b", "sim")
+    return taken
 
 
 def judge_disagreement(pairs: DataFrame, low: float = 0.35, high: float = 0.65) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import markers as mk
 from ..operators import pairs as pr
 from ..operators import segments as sg
 from ..sources.adapters import panel, presence, table, turns
@@ -107,6 +108,49 @@ register("jn06_interaction_edges", lambda s, d: pr.interaction_edges(panel(s, d)
     from e left join k using (session_id) join h using (session_id) group by 1, 2""")
 
 
+def labelled(s, d):
+    """The panel with speakers named by labels, which some turns name too."""
+    k, t = F.col("turn_index") % 7, F.coalesce("text", F.lit(""))
+    return panel(s, d).withColumns({"speaker_id": F.concat(F.lit("Mf_"), "speaker_id"), "text": F.when(k == 3, F.concat(t, F.lit(" ask mf_de."))).when(k == 5, F.concat(t, F.lit(" so Mf_en's point"))).otherwise(F.col("text"))})
+
+
+def members(s, d):
+    """The first two long words of each speaker's first turn stand for their names."""
+    first = labelled(s, d).where("role = 'participant'").groupBy("session_id", "speaker_id").agg(F.min_by("text", "turn_index").alias("t"))
+    w = F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{5,}"), F.lit(0))
+    return first.where(F.size(w) >= 2).select("session_id", "speaker_id", F.concat_ws(" ", F.initcap(w[0]), w[1]).alias("name"))
+
+
+LABELLED = r"""lb as (select session_id, turn_index, "role", 'Mf_' || speaker_id speaker_id, case turn_index % 7 when 3 then coalesce(text, '') || ' ask mf_de.' when 5 then coalesce(text, '') || ' so Mf_en''s point' else text end text from panel),
+    me as (select session_id, speaker_id, w[1] || ' ' || w[2] nm, w[1] fi from (select session_id, speaker_id, regexp_extract_all(lower(arg_min(text, turn_index)), '[a-z]{5,}') w from lb where "role" = 'participant' group by 1, 2) where len(w) >= 2)"""
+register("jn06_interaction_graph", lambda s, d: pr.interaction_graph(labelled(s, d), members(s, d)), "panel", LABELLED + r""",
+    lw as (select *, lower(coalesce(text, '')) lo, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' pl from lb where "role" is not null),
+    mn as (select l.session_id, "role", l.speaker_id src, m.speaker_id tg, case when contains(lo, nm) then 'full_name' when contains(pl, ' ' || fi || ' ') then 'first_name' when contains(lo, lower(m.speaker_id)) then 'id' end how from lw l join me m using (session_id)),
+    lg as (select *, lag(speaker_id) over w tg, lag("role") over w r from lb where "role" is not null window w as (partition by session_id order by turn_index)),
+    e as (select session_id, 'to_moderator' kind, speaker_id src, 'MODERATOR' tg, null how from lg where "role" = 'participant' and r = 'moderator' union all select session_id, 'between', speaker_id, tg, null from lg where "role" = 'participant' and r = 'participant' and tg <> speaker_id
+        union all select session_id, 'between', src, tg, how from mn where "role" = 'participant' and src <> tg and how is not null union all select session_id, 'from_moderator', 'MODERATOR', tg, how from mn where "role" = 'moderator' and how is not null),
+    n as (select session_id, count(distinct speaker_id) m from me group by 1),
+    g as (select session_id, any_value(m) members, count(kind) edges, count(*) filter (kind = 'between') "between", count(*) filter (kind = 'from_moderator') from_moderator, count(*) filter (kind = 'to_moderator') to_moderator, count(distinct src || '>' || tg) filter (kind = 'between') pairs,
+        count(distinct tg) filter (kind = 'from_moderator') fm, count(distinct src) filter (kind = 'to_moderator') tm, count(*) filter (how = 'full_name') full_name_mentions, count(*) filter (how = 'first_name') first_name_mentions, count(*) filter (how = 'id') id_mentions from n left join e using (session_id) group by 1)
+    select session_id, members, edges, "between", from_moderator, to_moderator, pairs, members * (members - 1) possible, round(coalesce(pairs / nullif(members * (members - 1), 0)::double, 0), 6) density, case when members < 2 then 'insufficient_sample' else 'ok' end status,
+        round(fm / members::double, 6) density_from_moderator, round(tm / members::double, 6) density_to_moderator, full_name_mentions, first_name_mentions, id_mentions, "between" = 0 and from_moderator > 5 hub from g""")
+
+
+def handles(s, d):
+    """Members some of whom are known by their labels only."""
+    return members(s, d).withColumn("name", F.when(F.col("speaker_id") == "Mf_de", F.col("speaker_id")).otherwise(F.col("name")))
+
+
+COMMON = ["their", "there", "would", "elle", "cette"]
+register("mrk11_label_density", lambda s, d: mk.label_density(labelled(s, d), handles(s, d), COMMON), "panel", LABELLED + rf""",
+    h as (select session_id, speaker_id, case when speaker_id = 'Mf_de' then 'mf_de' else fi end fi, case when speaker_id = 'Mf_de' then 'mf_de' else fi end in {tuple(COMMON)} cm from me),
+    f as (select session_id, count(*) filter (cm) excluded, count(*) filter (not cm and not regexp_full_match(fi, '[a-z]+(''[a-z]+)?')) unrepresentable, count(distinct case when not cm then fi end) < count(*) filter (not cm) collapsed from h group by 1),
+    t as (select row_number() over () k, session_id, speaker_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?'), lambda x: case when x like '%''s' then x[:-3] else x end) pl,
+        list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_.'']*'), lambda x: case when x like '%''s' then x[:-3] else rtrim(x, '.') end) la from lb where "role" = 'participant'),
+    r as (select t.k, t.session_id, bool_or(coalesce(h.speaker_id <> t.speaker_id and list_contains(pl, fi), false)) p, bool_or(coalesce(h.speaker_id <> t.speaker_id and list_contains(la, fi), false)) l from t join f using (session_id) left join h on h.session_id = t.session_id and not h.cm group by 1, 2)
+    select session_id, count(*) turns, round(avg(p::int), 6) density, round(avg(l::int), 6) label_density, any_value(excluded) excluded, any_value(unrepresentable) unrepresentable, any_value(collapsed) collapsed, any_value(unrepresentable) = 0 and not any_value(collapsed) valid from r join f using (session_id) group by 1""")
+
+
 def decisions(s, d):
     """A moderator log over the given turns: action and target from their lengths."""
     n, actions = F.col("n_words"), F.array(*map(F.lit, ("direct_probe", "redirect_to_group", "section_transition", "ask_initial_to_group", "summarise")))

@@ -29,6 +29,8 @@ PRICE = MET + """, pr as (select * from met where metric = 'price')"""
 register("sta01_honest_summary", lambda s, d: st.honest_summary(metrics(s, d), ["metric", "group_id"], metrics(s, d).select("metric", "group_id").distinct().withColumn("n_expected", F.lit(15))), "", f"""with {MET}
     select metric, group_id, 15 n_expected, count("value") n_valid, round(avg("value"), 6) mean, round(quantile_cont("value", 0.5), 6) median, round(case when count("value") = 1 then 0 else stddev_samp("value") end, 6) sd, round(min("value"), 6) "min", round(max("value"), 6) "max",
     case when count("value") = 0 then 'none' when count("value") < 15 then 'partial' else 'complete' end coverage from met group by 1, 2""")
+register("sta01_missing_units", lambda s, d: st.missing_units(metrics(s, d).withColumn("unit", F.concat_ws(":", "condition", F.col("replicate").cast("string"))), ["metric", "group_id"], "unit", metrics(s, d).select("metric", "group_id", F.concat_ws(":", "condition", F.col("replicate").cast("string")).alias("unit"))), "", f"""with {MET}
+    select metric, group_id, count(*) n_missing, list_sort(list("condition" || ':' || replicate)) missing from met where "value" is null group by 1, 2""")
 register("sta02_route_a", lambda s, d: st.route_a(metrics(s, d), "BUILDING"), "", f"""with {MET}, v as (select * from met where metric not in (select metric from met where "value" is null)), r as (select metric, group_id, avg("value") rf from v where "condition" = 'BUILDING' group by 1, 2)
     select metric, group_id, "condition", count("value") n, round(avg("value"), 6) "value", round(any_value(rf), 6) reference from v left join r using (metric, group_id) where "condition" <> 'BUILDING' group by 1, 2, 3""")
 register("sta03_route_b", lambda s, d: st.route_b(price(s, d).where("not (condition = 'MACHINERY' and group_id = 1 and replicate = 0)")), "", f"""with {PRICE}, v as (select * from pr where not ("condition" = 'MACHINERY' and group_id = 1 and replicate = 0)),
@@ -72,8 +74,47 @@ TAU = """pq as (select a.block, sign(a.x - b.x) * sign(a.y - b.y) s, a.x <> b.x
     case when any_value(n) < 3 then 'too_few' when count(*) filter (nx) = 0 or count(*) filter (ny) = 0 then 'no_variance' end undefined_reason from tn left join pq on pq.block = tn.block group by 1)"""
 register("sta09_spearman", lambda s, d: st.spearman(xy(s, d), ["block"]), "", f"with {XY}, {RHO} select * from rho")
 register("sta09_kendall", lambda s, d: st.kendall(xy(s, d), ["block"]), "", f"with {XY}, {TAU} select * from tau")
-register("thm13_ordering", lambda s, d: st.ordering_similarity(xy(s, d), ["block"]), "", f"""with {XY}, {RHO}, {TAU}, t as (select *, rank() over (partition by block order by x desc) <= 3 tx, rank() over (partition by block order by y desc) <= 3 ty from xy)
-    select tau.block, tau.n, tau_b, tau.undefined_reason, rho, mean_abs, top3 from tau join rho using (block) join (select block, round(avg(abs(x - y)), 6) mean_abs, round(count(*) filter (tx and ty) / nullif(count(*) filter (tx or ty), 0)::double, 6) top3 from t group by 1) using (block)""")
+ORDER = """t as (select *, rank() over (partition by block order by x desc) <= 3 tx, rank() over (partition by block order by y desc) <= 3 ty from xy),
+    tp as (select block, round(avg(abs(x - y)), 6) mean_abs, round(count(*) filter (tx and ty) / nullif(count(*) filter (tx or ty), 0)::double, 6) top3 from t group by 1),
+    kx as (select block, sum(k * (k - 1) // 2)::bigint ties_x from (select block, x, count(*) k from xy group by 1, 2) group by 1), ky as (select block, sum(k * (k - 1) // 2)::bigint ties_y from (select block, y, count(*) k from xy group by 1, 2) group by 1),
+    od as (select tau.block, tau.n, tau_b, tau.undefined_reason, rho, mean_abs, top3, ties_x, ties_y from tau join rho using (block) join tp using (block) join kx using (block) join ky using (block))"""
+register("thm13_ordering", lambda s, d: st.ordering_similarity(xy(s, d), ["block"]), "", f"with {XY}, {RHO}, {TAU}, {ORDER} select * from od")
+WHOLE = 'xy as (select o_orderpriority block, o_orderkey item, floor(o_totalprice / 500)::double x, date_diff(\'day\', date \'1970-01-01\', o_orderdate::date)::double y from orders)'
+
+
+def prices_by_day(s, d):
+    return table(s, d, "orders").select(F.col("o_orderpriority").alias("block"), F.floor(F.col("o_totalprice") / 500).alias("x"), F.unix_date(F.to_date("o_orderdate")).alias("y"))
+
+
+#: Groups of thousands of rows; the statement compares all pairs.
+register("sta09_kendall_whole", lambda s, d: st.kendall(prices_by_day(s, d), ["block"]), "", f"with {WHOLE}, {TAU} select * from tau")
+
+
+def measured(s, d):
+    return presence(s, d).select("condition", "group_id", "replicate").distinct().where("not (group_id = 2 and replicate = 3)")
+
+
+MS = """cl as (select distinct "condition", group_id, replicate from presence), cb as (select distinct code from presence), sd as (select "condition", group_id, replicate, code, voiced / participants::double v from presence where present),
+    grid as (select cl.*, cb.code, case when cl.group_id = 2 and cl.replicate = 3 then null else coalesce(v, 0) end v from cl cross join cb left join sd using ("condition", group_id, replicate, code)),
+    rf as (select group_id, code, v x from grid where "condition" = 'BUILDING'), gn as (select group_id, "condition", replicate, code, v y from grid where "condition" <> 'BUILDING'),
+    bo as (select *, group_id || ':' || "condition" || ':' || replicate block from gn join rf using (group_id, code))"""
+UNION_TAU = TAU.replace("xy", "xu").replace("pq", "pu").replace("tn", "tu").replace("tau as", "uau as")
+GROUPS = f"""{MS}, xy as (select block, code item, x, y from bo where x > 0 and y is not null), xu as (select block, code item, x, y from bo where (x > 0 or y > 0) and y is not null), {RHO}, {TAU}, {UNION_TAU}, {ORDER},
+    fc as (select block, any_value(group_id) group_id, any_value("condition") "condition", any_value(replicate) replicate, count(*) n_present, count(*) filter (y > 0) recovered, count(*) filter (y = 0) at_zero, count(*) filter (y is null) unmeasured from bo where x > 0 group by 1),
+    go as (select fc.*, od.n, od.tau_b, od.undefined_reason, rho, mean_abs, top3, ties_x, ties_y, uau.n n_union, uau.tau_b tau_union from fc left join od using (block) left join uau using (block))"""
+register("thm13_group_ordering", lambda s, d: st.group_ordering(presence(s, d), measured(s, d), "BUILDING"), "presence", f"{GROUPS} select * exclude (block) from go")
+register("thm13_ordering_summary", lambda s, d: st.ordering_summary(st.group_ordering(presence(s, d), measured(s, d), "BUILDING"), "MACHINERY", "FURNITURE"), "presence", f"""{GROUPS},
+    m as (select group_id, "condition", count(tau_b) k, quantile_cont(tau_b, 0.5) m, min(tau_b) lo, max(tau_b) hi from go group by 1, 2),
+    g as (select group_id, max(case when "condition" = 'MACHINERY' then k end) ka, max(case when "condition" = 'FURNITURE' then k end) kb, max(case when "condition" = 'MACHINERY' then m end) ma, max(case when "condition" = 'FURNITURE' then m end) mb,
+        max(case when "condition" = 'MACHINERY' then lo end) la, max(case when "condition" = 'FURNITURE' then lo end) lb, max(case when "condition" = 'MACHINERY' then hi end) ha, max(case when "condition" = 'FURNITURE' then hi end) hb from m group by 1)
+    select group_id, coalesce(ka, 0) defined_a, coalesce(kb, 0) defined_b, round(ma, 6) median_a, round(la, 6) least_a, round(ha, 6) most_a, round(mb, 6) median_b, round(lb, 6) least_b, round(hb, 6) most_b, round(ma - mb, 6) difference,
+        case when ma is null or mb is null then 'undefined' when ma > mb then 'MACHINERY' when mb > ma then 'FURNITURE' else 'tie' end direction from g""")
+register("thm14_study_profiles", lambda s, d: st.study_ordering(presence(s, d), measured(s, d), "BUILDING"), "presence", f"""{MS},
+    pf as (select "condition", replicate, code, count(*) filter (v > 0)::double n, round(avg(v), 6) m, count(*) filter (v is null) u from grid group by 1, 2, 3),
+    jn as (select g."condition", g.replicate, g.code, r.n xn, g.n yn, r.m xm, g.m ym, g.u from pf g join pf r on r.code = g.code and r."condition" = 'BUILDING' where g."condition" <> 'BUILDING'),
+    us as (select *, "condition" || ':' || replicate b from jn where xm is not null and ym is not null), xy as (select 'n' || b block, code item, xn x, yn y from us union all select 'm' || b, code, xm, ym from us), {RHO}, {TAU}, {ORDER},
+    bl as (select "condition", replicate, "condition" || ':' || replicate b, sum(u)::bigint unmeasured from jn group by 1, 2)
+    select "condition", replicate, unmeasured, a.n codes, a.tau_b tau_groups, a.undefined_reason reason_groups, a.top3 top3_groups, m.tau_b tau_reach, m.undefined_reason reason_reach, m.top3 top3_reach from bl left join od a on a.block = 'n' || b left join od m on m.block = 'm' || b""")
 
 
 def study_scores(s, d):
@@ -84,8 +125,7 @@ def study_scores(s, d):
 
 
 SXY = """sn as (select "condition", code, count(distinct group_id)::double g from presence where present group by 1, 2), xy as (select a."condition" block, a.code item, b.g x, a.g y from sn a join sn b on a.code = b.code and b."condition" = 'BUILDING' where a."condition" <> 'BUILDING')"""
-register("thm14_study_ordering", lambda s, d: st.ordering_similarity(study_scores(s, d), ["block"]), "presence", f"""{SXY}, {RHO}, {TAU}, t as (select *, rank() over (partition by block order by x desc) <= 3 tx, rank() over (partition by block order by y desc) <= 3 ty from xy)
-    select tau.block, tau.n, tau_b, tau.undefined_reason, rho, mean_abs, top3 from tau join rho using (block) join (select block, round(avg(abs(x - y)), 6) mean_abs, round(count(*) filter (tx and ty) / nullif(count(*) filter (tx or ty), 0)::double, 6) top3 from t group by 1) using (block)""")
+register("thm14_study_ordering", lambda s, d: st.ordering_similarity(study_scores(s, d), ["block"]), "presence", f"{SXY}, {RHO}, {TAU}, {ORDER} select * from od")
 register("thm15_shared_rank", lambda s, d: st.spearman(study_scores(s, d), ["block"]), "presence", f"{SXY}, {RHO} select * from rho")
 
 

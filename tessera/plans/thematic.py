@@ -62,6 +62,17 @@ register("thm08_accumulation", lambda s, d: th.accumulation(presence(s, d)), "pr
     j as (select *, unnest(range(1, n + 1)) k from m join n using ("condition", replicate)),
     e as (select "condition", replicate, k, sum(1 - list_product(list_transform(range(k), lambda i: greatest(n - m - i, 0) / (n - i)::double))) e from j group by 1, 2, 3)
     select "condition", replicate, k, round(e, 6) expected, round(e - coalesce(lag(e) over (partition by "condition", replicate order by k), 0), 6) gain from e""")
+ENV = """g0 as (select "condition", replicate, group_id, row_number() over (partition by "condition", replicate order by group_id) - 1 i, count(*) over (partition by "condition", replicate) n from (select distinct "condition", replicate, group_id from presence)),
+    p as (select distinct "condition", replicate, i, code from presence join g0 using ("condition", replicate, group_id) where present), cr as (select distinct "condition", replicate, n from g0),
+    su as (select *, unnest(range(1, 1 << n)) s from cr), co as (select su."condition", su.replicate, n, s, count(distinct code) c from su left join p on p."condition" = su."condition" and p.replicate = su.replicate and (s >> i) & 1 = 1 group by 1, 2, 3, 4),
+    kk as (select "condition", replicate, n, bit_count(s)::int k, min(c) least, avg(c) mean, max(c) most from co group by 1, 2, 3, 4),
+    ob as (select g0."condition", g0.replicate, g0.i + 1 k, count(distinct p.code) observed from g0 left join p on p."condition" = g0."condition" and p.replicate = g0.replicate and p.i <= g0.i group by 1, 2, 3),
+    ga as (select *, round(mean - lag(mean) over (partition by "condition", replicate order by k), 4) gain from kk join ob using ("condition", replicate, k)), pl as (select "condition", replicate, coalesce(max(case when gain >= 0.5 then k end), 1) l from ga group by 1, 2)"""
+register("thm08_envelope", lambda s, d: th.accumulation_envelope(presence(s, d)), "presence", ENV + """
+    select "condition", replicate, k, least, round(mean, 6) mean, most, observed, gain, case when l < n then l end plateau from ga join pl using ("condition", replicate)""")
+register("thm08_replicates", lambda s, d: th.accumulation_summary(presence(s, d)), "presence", """
+    f as (select "condition", replicate, count(distinct case when present then code end) f from presence group by 1, 2), b as (select count(distinct code) b from presence), u as (select "condition", count(distinct case when present then code end) anywhere from presence group by 1)
+    select "condition", count(*) replicates, round(avg(f), 6) mean, min(f) least, max(f) most, any_value(anywhere) anywhere, round(any_value(anywhere) / any_value(b)::double, 6) of_codebook from f join u using ("condition") cross join b group by 1""")
 register("thm09_first_seen", lambda s, d: th.first_seen(table(s, d, "orders").select((F.col("o_custkey") % 10).alias("series"), F.to_date("o_orderdate").alias("unit"), (F.col("o_custkey") % 300).alias("cluster"))), "", """
     with r as (select o_custkey % 10 series, o_orderdate::date unit, o_custkey % 300 cluster from orders), f as (select series, unit, count(*) new from (select series, cluster, min(unit) unit from r group by 1, 2) group by 1, 2),
     u as (select series, unit, coalesce(new, 0) new from (select distinct series, unit from r) left join f using (series, unit)), c as (select *, sum(new) over (partition by series order by unit rows unbounded preceding)::bigint cumulative from u)
