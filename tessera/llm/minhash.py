@@ -14,8 +14,8 @@ becomes a row, and a task holds at most two tiles. Only members with a partner i
 standard deviations below it) are joined to their texts, and their pairs are verified on the full shingle sets. Components: alternating stars.
 
 Defined results: a document without words has an empty set and is linked with nothing; fewer than SHINGLE words make one
-shingle; a null doc_id stands alone; rows that repeat a doc_id share its component; extra columns pass through `near_dedup`; an
-empty table gives no rows.
+shingle; a null doc_id stands alone; rows that repeat a doc_id and its text are one document, and other texts under a doc_id that occurs with several are compared by each text, as members under that id; texts of any length
+are taken whole; extra columns pass through `near_dedup`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(key.tobytes())
             low.append(s.astype(np.uint8).tobytes())
         as_long = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(sig1), as_long(sig2), pa.array(bands, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "bands", "low"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), as_long(sig1), as_long(sig2), pa.array(bands, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "th", "n_shingles", "sig1", "sig2", "bands", "low"])
 
 
 def _least(threshold: int) -> float:
@@ -237,11 +237,12 @@ def bucket_links(named: DataFrame, reps: DataFrame, docs: DataFrame, threshold:
     # tiles of the largest component meet those of the rest; the rest's meet each other, and themselves
     pairs = member.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k_rest") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("k_main")))))
     pairs = pairs.select("key", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"), "tile", "band", "rep", "c")
-    pairs = pairs.join(reps.select("rep", "low", "bands").hint("merge"), "rep").select("key", "i", "j", "tile", "band", "rep", "c", "low", "bands")
+    pairs = pairs.join(reps.select("rep", "th", "low", "bands").hint("merge"), "rep").select("key", "i", "j", "tile", "band", "rep", "th", "c", "low", "bands")
     dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     close = written(dealt(pairs).mapInArrow(_close_members(threshold), pairs.schema), "close-members")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(close.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
-    return written(dealt(close.join(texts.hint("merge"), "rep")).mapInArrow(_tile_links(threshold), "a long, b long"), "tile-links")
+    of = ["rep", "th"]
+    texts = docs.select(F.col("doc_id").alias("rep"), "th", "text").join(close.select(*of).distinct().hint("merge"), of, "left_semi").dropDuplicates(of)
+    return written(dealt(close.join(texts.hint("merge"), of)).mapInArrow(_tile_links(threshold), "a long, b long"), "tile-links")
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, name: str) -> DataFrame:
@@ -265,10 +266,10 @@ def _keys(bands: str) -> Column:
 
 def near_groups(docs: DataFrame, threshold: int = STAGE_THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    marked = written(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, sig1 long, sig2 long, bands binary, low binary"), "sketches")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    marked = written(docs.mapInArrow(_sketched, "doc_id long, th long, n_shingles long, sig1 long, sig2 long, bands binary, low binary"), "sketches")
     sig = ["n_shingles", "sig1", "sig2"]
-    reps = written(marked.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+    reps = written(marked.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("bands").alias("bands"), F.first("low").alias("low")).select(*sig, F.col("one.doc_id").alias("rep"), F.col("one.th").alias("th"), "bands", "low"), "classes")
     rows = reps.select(F.posexplode(_keys("bands")).alias("band", "key"), "rep")
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     shared = written(rows.join(hubs.hint("merge"), "key"), "buckets")

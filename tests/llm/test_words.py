@@ -79,3 +79,12 @@ def test_columns_that_clash_with_the_results_names(spark):
     docs = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_words long, N_removed long")
     out = substring.remove_repeats(docs)
     assert out.columns == ["doc_id", "text", "n_words", "n_removed"] and out.first() == (1, "a b", 2, 0)
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    a, b = say(120), say(120)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b + " tail"), (3, say(80)), (1, a)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(docs).collect())
+    assert got == [(1, 116, 1), (1, 116, 1), (1, 116, 1), (2, 117, 1), (3, 76, 3)]
