@@ -59,6 +59,12 @@ def listed(df: DataFrame, most: int = 10_000) -> DataFrame:
     return df.hint("broadcast")
 
 
+def with_each(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Every row with every distinct value of a small dimension (a codebook, a list of groups): the values come as one row, whatever their statistics, and are exploded."""
+    one = values.agg(F.array_sort(F.collect_set(name)).alias("_all"))
+    return df.crossJoin(F.broadcast(one)).withColumn(name, F.explode("_all")).drop("_all")
+
+
 def ratio(n: Column | str, d: Column | str) -> Column:
     """n / d; NULL where d is 0 or either is NULL."""
     return F.try_divide(_col(n).cast("double"), _col(d).cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import n_words, r6, ratio, tokens, words
+from ..functions.text import n_words, r6, ratio, tokens, with_each, words
 
 
 def by_turn():
@@ -141,9 +141,9 @@ def side_by_side(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def grid_integrity(seen: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Expected cells (the product of small dimensions) against observed (cell, run) rows: missing, unexpected, duplicate run, collision."""
     keys = list(dims)
-    grid = None
-    for k in keys:
-        grid = dims[k].select(k) if grid is None else grid.crossJoin(dims[k].select(k))
+    grid = dims[keys[0]].select(keys[0]).distinct()
+    for k in keys[1:]:
+        grid = with_each(grid, dims[k], k)
     n = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("run").alias("runs"))
     j = grid.withColumn("_e", F.lit(True)).join(n, keys, "full")
     state = F.when(F.col("rows").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("runs") > 1, "collision").when(F.col("rows") > 1, "duplicate").otherwise("ok")

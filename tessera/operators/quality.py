@@ -28,10 +28,14 @@ def recommendation(flags: DataFrame) -> DataFrame:
 
 
 def readiness(turns: DataFrame, roster_size: int) -> DataFrame:
-    """Findings per session as rows: too few turns, no moderator, roster mismatch; a hash of the content, and the verdict."""
-    g = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("role") == "moderator", F.lit(False))).alias("m"), F.count_distinct(F.when(F.col("role") == "participant", F.col("speaker_id"))).alias("k"), F.sum(F.length("text")).alias("chars"))
+    """Findings per session as rows: too few turns, no moderator, roster mismatch; a hash of the content, and the verdict. The hash is that of two sums over hashes of turns (place, role, speaker, text),
+    so it doesn't depend on the order of rows and no session is gathered."""
+    line = F.concat_ws("|", F.col("turn_index").cast("string"), *(F.coalesce(c, F.lit("")) for c in ("role", "speaker_id", "text")))
+    t = turns.withColumn("_h", F.sha2(line, 256))
+    part = lambda a: F.sum(F.conv(F.substring("_h", a, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    g = t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("role") == "moderator", F.lit(False))).alias("m"), F.count_distinct(F.when(F.col("role") == "participant", F.col("speaker_id"))).alias("k"), part(1).alias("_a"), part(16).alias("_b"))
     f = F.array_compact(F.array(F.when(F.col("n") < 5, "few_turns"), F.when(F.col("m") == 0, "no_moderator"), F.when(F.col("k") != roster_size, "roster_mismatch")))
-    return g.select("session_id", "n", "chars", f.alias("findings"), F.when(F.size(f) == 0, "ready").otherwise("not_ready").alias("verdict"))
+    return g.select("session_id", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "_a", "_b"), 256).alias("content_hash"), f.alias("findings"), F.when(F.size(f) == 0, "ready").otherwise("not_ready").alias("verdict"))
 
 
 def transcript_compare(a: DataFrame, b: DataFrame) -> DataFrame:

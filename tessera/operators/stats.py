@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import f1, r6, ratio
+from ..functions.text import f1, r6, ratio, with_each
 from ..scratch import written
 from .order import joined, quantiles, tau_b
 
@@ -145,26 +146,47 @@ def kendall(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def agreement(df: DataFrame, by: list[str]) -> DataFrame:
-    """Two raters (by, a, b in 0/1): raw agreement, Cohen's kappa, Gwet's AC1, Krippendorff's alpha; NULL where chance is certain."""
+    """Two raters (by, a, b in 0/1): raw agreement, Cohen's kappa, Gwet's AC1, Krippendorff's alpha, NULL where chance is certain; each rater's positives, and their prevalence."""
     ok = df.where("a is not null and b is not null")
-    g = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), F.avg(F.col("a").cast("double")).alias("pa"), F.avg(F.col("b").cast("double")).alias("pb"))
+    g = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), F.avg(F.col("a").cast("double")).alias("pa"), F.avg(F.col("b").cast("double")).alias("pb"), F.sum("a").cast("long").alias("positives_a"), F.sum("b").cast("long").alias("positives_b"))
     q = (F.col("pa") + F.col("pb")) / 2
     pe = F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb"))
     ac, de = 2 * q * (1 - q), 2 * q * (1 - q) * (2 * F.col("n")) / (2 * F.col("n") - 1)
     chance = lambda e: r6(ratio(F.col("po") - e, 1 - e))
-    return g.select(*by, "n", r6("po").alias("agreement"), chance(pe).alias("kappa"), chance(ac).alias("ac1"), r6(1 - ratio(1 - F.col("po"), de)).alias("alpha"))
+    return g.select(*by, "n", r6("po").alias("agreement"), chance(pe).alias("kappa"), chance(ac).alias("ac1"), r6(1 - ratio(1 - F.col("po"), de)).alias("alpha"), "positives_a", "positives_b", r6(q).alias("prevalence"))
+
+
+#: Positives of both raters together from which a code counts as observed.
+LEAST_POSITIVES = 3
+
+
+def validation_status(agreed: DataFrame, elicited: Column) -> DataFrame:
+    """Adds to agreement's rows what they validate: a code that was asked for (`elicited`) is validated with enough positives, another is opportunistic detection, and without positives there is only
+    evidence of specificity."""
+    enough = F.col("positives_a") + F.col("positives_b") >= LEAST_POSITIVES
+    status = F.when(elicited & enough, "validated").when(elicited, "not_fully_validated").when(enough, "opportunistic_detection").otherwise("specificity_only")
+    return agreed.withColumns({"elicited": elicited, "status": status})
 
 
 def classification(df: DataFrame) -> DataFrame:
     """(gold, predicted): per label tp, fp, fn, precision, recall and F1."""
-    labels = df.select(F.col("gold").alias("label")).union(df.select("predicted")).distinct()
-    n = df.groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    j = labels.crossJoin(n)
-    s = lambda t: F.sum(F.when(t, F.col("n")).otherwise(0))
-    g, p = F.col("gold") == F.col("label"), F.col("predicted") == F.col("label")
-    r = j.groupBy("label").agg(s(g & p).alias("tp"), s(~g & p).alias("fp"), s(g & ~p).alias("fn"))
-    r = r.withColumns({"_p": ratio("tp", F.col("tp") + F.col("fp")), "_r": ratio("tp", F.col("tp") + F.col("fn"))})
-    return r.select("label", "tp", "fp", "fn", r6("_p").alias("precision"), r6("_r").alias("recall"), r6(f1("_r", "_p")).alias("f1"))
+    n = confusion(df)
+    side = lambda c, name: n.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias(name), F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).alias(f"_{name}"))
+    r = side("gold", "g").join(side("predicted", "p"), "label", "full").na.fill(0, ["g", "p", "_g", "_p"]).withColumn("tp", F.col("_g"))
+    r = r.withColumns({"fp": F.col("p") - F.col("tp"), "fn": F.col("g") - F.col("tp"), "_pr": ratio("tp", "p"), "_rc": ratio("tp", "g")})
+    return r.select("label", "tp", "fp", "fn", r6("_pr").alias("precision"), r6("_rc").alias("recall"), r6(f1("_rc", "_pr")).alias("f1"))
+
+
+def confusion(df: DataFrame) -> DataFrame:
+    """The confusion matrix as rows: gold, predicted, n."""
+    return df.where("gold is not null and predicted is not null").groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def classification_summary(df: DataFrame) -> DataFrame:
+    """One row: trials, accuracy, and over labels that occur in gold, macro-F1 (precision of a label never predicted is 0) and balanced accuracy (mean recall)."""
+    c = classification(df).where(F.col("tp") + F.col("fn") > 0)
+    g, p, tp = (F.col(k).cast("double") for k in ("fn", "fp", "tp"))
+    return c.agg(F.sum(F.col("tp") + F.col("fn")).alias("n"), F.count(F.lit(1)).alias("labels"), r6(ratio(F.sum("tp"), F.sum(F.col("tp") + F.col("fn")))).alias("accuracy"), r6(F.avg(2 * tp / (2 * tp + g + p))).alias("macro_f1"), r6(F.avg(tp / (tp + g))).alias("balanced_accuracy"))
 
 
 def horvitz_thompson(df: DataFrame) -> DataFrame:
@@ -188,14 +210,14 @@ def recall_gap(estimates: DataFrame, a: str, b: str, small: float = 0.15, large:
 
 
 def leik(df: DataFrame, by: list[str], total: int) -> DataFrame:
-    """(by, stance in -1, 0, 1): Leik's consensus, modes, share in the mode, coverage and mean."""
+    """(by, stance in -1, 0, 1): Leik's consensus, modes, share in the mode, coverage, mean and standard deviation (of all, 0 for one)."""
     n = F.count(F.lit(1))
     share = lambda v: F.avg((F.col("stance") <= v).cast("double"))
-    g = df.groupBy(*by).agg(n.alias("n"), share(-1).alias("c1"), share(0).alias("c2"), *(F.count_if(F.col("stance") == v).alias(f"k{v + 1}") for v in (-1, 0, 1)), r6(F.avg("stance")).alias("mean"))
+    g = df.groupBy(*by).agg(n.alias("n"), share(-1).alias("c1"), share(0).alias("c2"), *(F.count_if(F.col("stance") == v).alias(f"k{v + 1}") for v in (-1, 0, 1)), r6(F.avg("stance")).alias("mean"), r6(F.stddev_pop("stance")).alias("sd"))
     d = lambda c: F.when(F.col(c) <= 0.5, F.col(c)).otherwise(1 - F.col(c))
     top = F.greatest("k0", "k1", "k2")
     modes = F.array_compact(F.array(*(F.when(F.col(f"k{v + 1}") == top, F.lit(v)) for v in (-1, 0, 1))))
-    return g.select(*by, "n", r6(1 - 2 * (d("c1") + d("c2")) / 2).alias("consensus"), modes.alias("modes"), r6(top / F.col("n")).alias("in_mode"), r6(F.col("n") / F.lit(total)).alias("coverage"), "mean")
+    return g.select(*by, "n", r6(1 - 2 * (d("c1") + d("c2")) / 2).alias("consensus"), modes.alias("modes"), r6(top / F.col("n")).alias("in_mode"), r6(F.col("n") / F.lit(total)).alias("coverage"), "mean", "sd")
 
 
 #: Metrics whose names hold one of these lie in 0..1.
@@ -281,9 +303,17 @@ def signed_rank(diffs: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "n", "w_plus", "w_minus", r6(_two_sided(z)).alias("p"))
 
 
+#: Terms of the series of the error function: enough up to 8.5 standard deviations, beyond which both tails are under 2e-17.
+TERMS = 150
+
+
 def _two_sided(z: Column) -> Column:
-    """Both tails of the normal law beyond z, by a logistic approximation good to 1e-4."""
-    return 2 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    """Both tails of the normal law beyond z: 1 - erf(z / sqrt(2)), by the series of positive terms 2 / sqrt(pi) exp(-x^2) (x + 2 x^3 / 3 + 4 x^5 / 15 + ...)."""
+    x = z / math.sqrt(2)
+    start = F.struct(x.alias("t"), x.alias("s"))
+    step = lambda a, k: F.struct((a["t"] * 2 * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * 2 * x * x / (2 * k + 1)).alias("s"))
+    erf = F.lit(2 / math.sqrt(math.pi)) * F.exp(-x * x) * F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["s"]
+    return F.when(z > 8.5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - erf))
 
 
 def rank_effects(df: DataFrame, by: list[str]) -> DataFrame:
@@ -310,6 +340,17 @@ def stability_matrix(rows: DataFrame) -> DataFrame:
     return a.join(b.drop("family"), "item").groupBy("family", "c1", "c2").agg(F.count(F.lit(1)).alias("n")).withColumn("agree", F.col("c1") == F.col("c2"))
 
 
+def stability_rates(rows: DataFrame) -> DataFrame:
+    """Agreement of repetitions 1 and 2, overall (family NULL, `level` 1) and by family, without planted items (item, family, planted, repetition, category); planted ones are counted, and how many of them
+    have their true category (`expected`) in both."""
+    key = ["item", "family", "planted", "expected"]
+    at = lambda k: F.max(F.when(F.col("repetition") == k, F.col("category")))
+    g = rows.groupBy(*key).agg(at(1).alias("c1"), at(2).alias("c2")).where("c1 is not null and c2 is not null")
+    own, same = ~F.col("planted"), F.col("c1") == F.col("c2")
+    right = F.col("planted") & (F.col("c1") == F.col("expected")) & (F.col("c2") == F.col("expected"))
+    return g.rollup("family").agg(F.grouping_id().cast("int").alias("level"), F.count_if(own).alias("items"), F.count_if(own & same).alias("agree"), r6(ratio(F.count_if(own & same), F.count_if(own))).alias("rate"), F.count_if("planted").alias("planted"), F.count_if(right).alias("planted_right"))
+
+
 def closer_to_reference(values: DataFrame, reference: str, a: str, b: str) -> DataFrame:
     """Groups in which condition a's mean is nearer the reference than b's, over groups with all three."""
     mean = lambda c: F.avg(F.when(F.col("condition") == c, F.col("value")))
@@ -328,10 +369,9 @@ def ordering_similarity(scores: DataFrame, by: list[str]) -> DataFrame:
 def _measured(presence: DataFrame, measured: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
     """(unit, code, x) of the reference's sessions and (unit, condition, replicate, code, y) of the others: reach of a present code, 0 of one truly absent; NULL where the session wasn't measured.
     The grid has a row for each session and code of the codebook."""
-    codes = presence.select("code").distinct()
     cells = presence.select("condition", "group_id", "replicate").distinct().join(measured.withColumn("_m", F.lit(True)), ["condition", "group_id", "replicate"], "left")
     said = presence.where("present").select("condition", "group_id", "replicate", "code", ratio("voiced", "participants").alias("_v"))
-    grid = cells.crossJoin(F.broadcast(codes)).join(said, ["condition", "group_id", "replicate", "code"], "left")  # a codebook is a small list
+    grid = with_each(cells, presence, "code").join(said, ["condition", "group_id", "replicate", "code"], "left")
     grid = written(grid.select("condition", "group_id", "replicate", "code", F.when(F.col("_m"), F.coalesce("_v", F.lit(0.0))).alias("v")), "grid")
     return grid.where(F.col("condition") == reference).select("group_id", "code", F.col("v").alias("x")), grid.where(F.col("condition") != reference).select("group_id", "condition", "replicate", "code", F.col("v").alias("y"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import f1, normalised, r6, ratio
+from ..functions.text import f1, normalised, r6, ratio, with_each
 from ..scratch import written
 from .stats import wilson
 
@@ -63,15 +63,15 @@ def reach(presence: DataFrame, shared_with: str | None = None) -> DataFrame:
 
 def presence_grid(presence: DataFrame) -> DataFrame:
     """Every session with every code: present or absent, and reach for present ones only. Both dimensions are small."""
-    cells, codes = presence.select(*CELL).distinct(), presence.select("code").distinct()
+    cells = with_each(presence.select(*CELL).distinct(), presence, "code")
     p = presence.where("present").select(*CELL, "code", ratio("voiced", "participants").alias("_v"))
-    return cells.crossJoin(codes).join(p, [*CELL, "code"], "left").select(*CELL, "code", F.col("_v").isNotNull().alias("present"), r6("_v").alias("reach"))
+    return cells.join(p, [*CELL, "code"], "left").select(*CELL, "code", F.col("_v").isNotNull().alias("present"), r6("_v").alias("reach"))
 
 
 def recurrence(presence: DataFrame) -> DataFrame:
     """Groups that hold each code by condition and replicate, 0 where never; and the range over the replicates."""
     n = presence.where("present").groupBy("condition", "replicate", "code").agg(F.count_distinct("group_id").alias("groups"))
-    grid = presence.select("condition", "replicate").distinct().crossJoin(presence.select("code").distinct())
+    grid = with_each(presence.select("condition", "replicate").distinct(), presence, "code")
     g = grid.join(n, ["condition", "replicate", "code"], "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
     return g.groupBy("condition", "code").agg(F.min("groups").alias("least"), F.max("groups").alias("most"), F.max("groups").alias("_m")).withColumn("never", F.col("_m") == 0).drop("_m")
 
@@ -161,7 +161,7 @@ def excerpt_recall(excerpts: DataFrame, evidence: DataFrame, reference: DataFram
 
 def tri_state(presence: DataFrame, measured: DataFrame) -> DataFrame:
     """Every measured session with every code: reach if present, 0 if truly absent, NULL if the session was not measured."""
-    grid = presence.select(*CELL).distinct().crossJoin(presence.select("code").distinct())
+    grid = with_each(presence.select(*CELL).distinct(), presence, "code")
     j = grid.join(measured.withColumn("_m", F.lit(True)), CELL, "left").join(presence.where("present").select(*CELL, "code", ratio("voiced", "participants").alias("_v")), [*CELL, "code"], "left")
     state = F.when(F.col("_m").isNull(), "UNMEASURED").when(F.col("_v").isNull(), "TRUE_ABSENCE").otherwise("PRESENT")
     return j.select(*CELL, "code", state.alias("state"), r6(F.when(state == "PRESENT", F.col("_v")).when(state == "TRUE_ABSENCE", 0.0)).alias("score"))
@@ -225,7 +225,7 @@ def partition_alignment(rows: DataFrame) -> DataFrame:
     pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
     n = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     tot = lambda k, name: n.groupBy(k).agg(F.sum("n").alias("n")).agg(pairs.alias(name))
-    j = n.agg(pairs.alias("both")).crossJoin(tot("a", "in_a")).crossJoin(tot("b", "in_b"))
+    j = n.agg(pairs.alias("both")).crossJoin(F.broadcast(tot("a", "in_a"))).crossJoin(F.broadcast(tot("b", "in_b")))  # one row each
     return j.select("both", (F.col("in_a") - F.col("both")).alias("only_a"), (F.col("in_b") - F.col("both")).alias("only_b"), r6(ratio("both", F.col("in_a") + F.col("in_b") - F.col("both"))).alias("jaccard"))
 
 
@@ -283,7 +283,7 @@ def extend_taxonomy(assigned: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 def completeness(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Sessions' result codes against the expected list: missing, duplicate, unexpected; anything off is incomplete, never absent."""
-    cells = results.select("session_id").distinct().crossJoin(expected.select("code"))
+    cells = with_each(results.select("session_id").distinct(), expected, "code").hint("merge")
     n = results.groupBy("session_id", "code").agg(F.count(F.lit(1)).alias("n"))
     j = cells.withColumn("_e", F.lit(True)).join(n, ["session_id", "code"], "full")
     g = j.groupBy("session_id").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("duplicate"), F.count_if(F.col("_e").isNull()).alias("unexpected"))

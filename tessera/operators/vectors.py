@@ -44,13 +44,13 @@ def consecutive(df: DataFrame) -> DataFrame:
     return d.groupBy("unit").agg(F.count("c").alias("pairs"), r6(F.avg("c")).alias("consecutive"), r6(F.avg(F.when(F.col("_s") != F.col("speaker"), F.col("c")))).alias("cross_speaker"))
 
 
-def anchoring(df: DataFrame) -> DataFrame:
-    """Similarity of later turns of other speakers to the unit's first turn, and its rank correlation with position."""
+def anchoring(df: DataFrame, turns: int = 4, others: int = 3) -> DataFrame:
+    """Similarity of later turns of other speakers to the unit's first turn, and its rank correlation with position; units of fewer than `turns` turns or `others` such turns say nothing."""
     w = W.partitionBy("unit").orderBy("turn_index")
-    d = df.withColumns({"_f": F.first("v").over(w), "_s": F.first("speaker").over(w), "pos": F.row_number().over(w)}).where(F.col("speaker") != F.col("_s"))
+    d = df.withColumns({"_f": F.first("v").over(w), "_s": F.first("speaker").over(w), "pos": F.row_number().over(w), "_n": F.count(F.lit(1)).over(W.partitionBy("unit"))}).where((F.col("speaker") != F.col("_s")) & (F.col("_n") >= turns))
     d = d.withColumn("c", F.round(dot("v", "_f") / (norm("v") * norm("_f")), 9))
     rho = spearman(d.select("unit", F.col("pos").alias("x"), F.col("c").alias("y")), ["unit"])
-    return d.groupBy("unit").agg(r6(F.avg("c")).alias("similarity")).join(rho.select("unit", "n", "rho"), "unit")
+    return d.groupBy("unit").agg(r6(F.avg("c")).alias("similarity"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= others).join(rho.select("unit", "n", "rho"), "unit").drop("_k")
 
 
 def displacement(df: DataFrame) -> DataFrame:

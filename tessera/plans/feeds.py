@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import stylometry as sty
+from ..scratch import scratch, shared_dir
 from ..sources import transcripts as tr
 from ..sources.adapters import panel, table, turns
 from ..streaming import usage as us
@@ -30,6 +30,25 @@ register("src03_turn_audit", lambda s, d: tr.turn_audit(entries(s, d)), "", f"""
 register("src04_artefacts", lambda s, d: tr.artefact_status(table(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("artefact"), F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("content")).dropDuplicates(["session_id", "artefact", "content"]).groupBy("session_id", "artefact").agg(F.min("content").alias("content")), s.createDataFrame([("click", True), ("view", False), ("absent", True)], "artefact string, required boolean")), "", """
     with f as (select user_id session_id, event_type artefact, min(case when event_id % 13 = 0 then '{broken' else props end) c from events group by 1, 2), e as (select * from (values ('click', true), ('view', false), ('absent', true)) t(artefact, rq))
     select s.session_id, e.artefact, case when c is null then case when rq then 'missing_required' else 'missing_optional' end when json_valid(c) then 'loaded' else 'malformed' end state from (select distinct session_id from f) s cross join e left join f on f.session_id = s.session_id and f.artefact = e.artefact""")
+LISTED = [("click", True), ("view", False), ("absent", True)]
+
+
+def event_files(s, d):
+    """The call log as JSON-lines files, one for each session group and kind, with every 13th line cut and every 29th blank; read back with their line numbers."""
+    path, k = scratch(s, "logs"), F.col("event_id")
+    line = F.when(k % 13 == 0, F.expr("left(props, char_length(props) - 1)")).when(k % 29 == 0, "").otherwise(F.col("props"))
+    e = table(s, d, "events").select((F.col("user_id") % 20).alias("session"), F.col("event_type").alias("artefact"), "event_id", line.alias("value"))
+    e.repartition("session", "artefact").sortWithinPartitions("session", "artefact", "event_id").select("session", "artefact", "value").write.partitionBy("session", "artefact").text(path)
+    j = tr.json_lines(s, f"{path}/*/*")
+    return j.withColumns({"session_id": F.regexp_extract("file", "session=([0-9]+)", 1).cast("long"), "artefact": F.regexp_extract("file", "artefact=([a-z]+)", 1)})
+
+
+FILES = """ef as (select user_id % 20 session_id, event_type artefact, row_number() over (partition by user_id % 20, event_type order by event_id) line, event_id % 13 = 0 bad, event_id % 29 = 0 and event_id % 13 <> 0 blank from events)"""
+register("src04_bad_lines", lambda s, d: event_files(s, d).where("error is not null").select("session_id", "artefact", "line", F.regexp_replace("error", "in .* line", "in file line").alias("error")), "", f"with {FILES} select session_id, artefact, line, 'Malformed JSON in file line ' || line error from ef where bad")
+register("src04_files", lambda s, d: tr.file_artefacts(event_files(s, d), event_files(s, d), s.createDataFrame(LISTED, "artefact string, required boolean")), "", f"""with {FILES}, e as (select * from (values ('click', true), ('view', false), ('absent', true)) t(artefact, rq)),
+    g as (select session_id, artefact, count(*) filter (not bad) records, coalesce(list_sort(list(line) filter (bad)), []) bad_lines from ef where not blank group by 1, 2)
+    select s.session_id, e.artefact, case when records is null then case when rq then 'missing_required' else 'missing_optional' end when len(bad_lines) > 0 then 'malformed' else 'loaded' end state, coalesce(records, 0) records, coalesce(bad_lines, []) bad_lines
+    from (select distinct session_id from ef where not blank) s cross join e left join g on g.session_id = s.session_id and g.artefact = e.artefact""")
 register("src05_lines_to_turns", lambda s, d: tr.lines_to_turns(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n(A|The|La|Der) ", "\n$1$1: ").alias("text"))).select("doc_id", "turn", "speaker", F.md5("text").alias("text_md5")), "", rf"""
     with t as (select doc_id, string_split(regexp_replace(text, '\n(A|The|La|Der) ', chr(10) || '\1\1: ', 'g'), chr(10)) x from documents), l as (select doc_id, unnest(x) t, generate_subscripts(x, 1) line from t), k as (select *, nullif(regexp_extract(t, '^([A-Z][A-Za-z]{{1,20}}):', 1), '') s from l where not regexp_matches(trim(t), '^[0-9]{{1,3}}$|^[0-9]{{1,2}}:[0-9]{{2}}$')),
     c as (select *, count(s) over (partition by doc_id order by line rows unbounded preceding) turn from k) select doc_id, turn, max(s) speaker, md5(string_agg(trim(regexp_replace(t, '^[A-Z][A-Za-z]{{1,20}}:', '')), ' ' order by line)) text_md5 from c group by 1, 2""")
@@ -52,19 +71,12 @@ register("src06_age_bucket", lambda s, d: tr.age_bucket(table(s, d, "part").sele
 
 def frozen(s, d):
     """A metric table written as CSV with its marks for NULL, and read back typed."""
-    path = f"{shared(s)}/metrics-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(s)}/metrics-{uuid.uuid4().hex[:8]}"
     v = F.when(F.col("o_orderkey") % 7 == 0, "None").when(F.col("o_orderkey") % 7 == 1, "null").when(F.col("o_orderkey") % 7 == 2, "n.a.").otherwise(F.col("o_totalprice").cast("string"))
     table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("session_id"), (F.col("o_orderkey") % 3).cast("string").alias("replicate"), F.col("o_orderstatus").alias("metric_id"), v.alias("value")).write.option("header", True).csv(path)
     return tr.long_metrics(s, path)
 
 
-def shared(s) -> str:
-    if not (path := s.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        s.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 register("src07_long_metrics", lambda s, d: frozen(s, d).groupBy("metric_id", "replicate").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total")), "", """
     select o_orderstatus metric_id, (o_orderkey % 3)::int replicate, count(*) "rows", count(case when o_orderkey % 7 > 2 then o_totalprice end) n, round(sum(case when o_orderkey % 7 > 2 then o_totalprice end), 2) total from orders group by 1, 2""")
 register("src08_fixed_schema", lambda s, d: tr.to_schema(table(s, d, "nation").withColumn("extra", F.lit(1)), "n_name string, n_nationkey bigint, note string"), "", "select n_name, n_nationkey, null note from nation")
@@ -132,16 +144,16 @@ def newest(keys):
     return lambda df: df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))).where("_r = 1").drop("_r")
 
 
-register("str01_usage_windows", lambda s, d: us.drain(us.usage_windows(log(s, d)), "update", shared(s), newest(["window_start", "model"])), "", """
+register("str01_usage_windows", lambda s, d: us.drain(us.usage_windows(log(s, d)), "update", shared_dir(s), newest(["window_start", "model"])), "", """
     select epoch(date_trunc('day', ts))::bigint window_start, event_type model, count(*) calls, count(*) filter (event_type = 'error') errors, sum((props->>'$.k')::bigint)::bigint tokens from events group by 1, 2""")
-register("str02_activity_sessions", lambda s, d: us.drain(us.activity_sessions(log(s, d)), "complete", shared(s), newest(["user_id", "started"])), "", """
+register("str02_activity_sessions", lambda s, d: us.drain(us.activity_sessions(log(s, d)), "complete", shared_dir(s), newest(["user_id", "started"])), "", """
     with l as (select *, case when lag(ts) over (partition by user_id order by ts) + interval 6 hours >= ts then 0 else 1 end n from events), g as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) k from l)
     select user_id, floor(epoch(min(ts)))::bigint started, floor(epoch(max(ts) + interval 6 hours))::bigint ended, count(*) calls, round(sum(value), 6) "value" from g group by user_id, k""")
-register("str03_running_chains", lambda s, d: us.drain(us.running_chains(log(s, d)), "update", shared(s), newest(["user_id"])).drop("expired"), "", """
+register("str03_running_chains", lambda s, d: us.drain(us.running_chains(log(s, d)), "update", shared_dir(s), newest(["user_id"])).drop("expired"), "", """
     with o as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) k from events), r as (select user_id, k, count(*) filter (event_type <> 'error') n from o group by 1, 2)
     select user_id, arg_max(n, k) run, max(n) longest, (select count(*) from events e where e.user_id = r.user_id) events from r group by 1""")
-register("str04_deduplicated", lambda s, d: us.drain(us.deduplicated(log(s, d), ["user_id", "event_type"]), "append", shared(s)).select("user_id", "event_type"), "", "select distinct user_id, event_type from events")
+register("str04_deduplicated", lambda s, d: us.drain(us.deduplicated(log(s, d), ["user_id", "event_type"]), "append", shared_dir(s)).select("user_id", "event_type"), "", "select distinct user_id, event_type from events")
 DATED = [("click", "2023-01-01", "2024-01-10", 0.5), ("click", "2024-01-10", None, 0.75), ("view", "2024-01-05", "2024-01-20", 0.25)]
 dated = lambda s: s.createDataFrame(DATED, "model string, since string, until string, rate double").withColumns({c: F.col(c).cast("timestamp") for c in ("since", "until")})
-register("str05_priced", lambda s, d: us.drain(us.priced(log(s, d), dated(s)), "append", shared(s)), "", """
+register("str05_priced", lambda s, d: us.drain(us.priced(log(s, d), dated(s)), "append", shared_dir(s)), "", """
     select event_id, event_type, round(value * case when event_type = 'click' then case when ts >= timestamp '2024-01-10' then 0.75::double when ts >= timestamp '2023-01-01' then 0.5::double end when event_type = 'view' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' then 0.25::double end, 6) cost from events""")

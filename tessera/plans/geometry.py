@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import lexical as lx
@@ -60,7 +62,7 @@ register("vec02_consecutive", lambda s, d: vc.consecutive(vectors(s, d)), "vecto
     l as (select *, lag(v) over w p, lag(speaker) over w ps from vectors window w as (partition by unit order by turn_index)), c as (select *, list_cosine_similarity(v, p) c from l)
     select unit, count(c) pairs, round(avg(c), 6) consecutive, round(avg(case when ps <> speaker then c end), 6) cross_speaker from c group by 1""")
 register("vec03_anchoring", lambda s, d: vc.anchoring(vectors(s, d)), "vectors", """
-    l as (select *, first_value(v) over w f, first_value(speaker) over w fs, row_number() over w pos from vectors window w as (partition by unit order by turn_index)), c as (select unit, pos, round(list_cosine_similarity(v, f), 9) c from l where speaker <> fs),
+    l as (select *, first_value(v) over w f, first_value(speaker) over w fs, row_number() over w pos, count(*) over (partition by unit) nt from vectors window w as (partition by unit order by turn_index)), c as (select unit, pos, round(list_cosine_similarity(v, f), 9) c from l where speaker <> fs and nt >= 4 qualify count(*) over (partition by unit) >= 3),
     r as (select *, rank() over (partition by unit order by pos)::double rx, rank() over (partition by unit order by c) + (count(*) over (partition by unit, c) - 1) / 2.0::double ry from c)
     select unit, round(avg(c), 6) similarity, count(*) n, case when count(*) < 2 or min(c) = max(c) then null else round(corr(rx, ry), 6) end rho from r group by 1""")
 DSP = """e as (select unit, speaker, unnest(v) x, generate_subscripts(v, 1) i from vectors), so as (select unit, speaker, i, sum(x) x from e group by 1, 2, 3), sa as (select unit, i, sum(x) x from so group by 1, 2), cn as (select unit, speaker, count(*) n from vectors group by 1, 2), ca as (select unit, count(*) na from vectors group by 1),
@@ -94,8 +96,9 @@ register("qa02_recommendation", lambda s, d: qa.recommendation(flags(s, d)), "tu
     g as (select session_id, max(case severity when 'fail' then 3 when 'warn' then 2 else 1 end) worst, count(*) filter (severity = 'fail') fails, count(*) filter (severity = 'warn') warns, list_sort(list_distinct(list(flag))) rules from flags group by 1)
     select *, case when fails > 0 then 'reject' when warns > 1 then 'review' else 'accept' end recommendation from g""")
 register("qa03_readiness", lambda s, d: qa.readiness(panel(s, d), 3), "panel", """
-    g as (select session_id, count(*) n, count(*) filter ("role" = 'moderator') m, count(distinct case when "role" = 'participant' then speaker_id end) k, sum(length(text))::bigint chars from panel group by 1),
-    f as (select session_id, n, chars, list_filter([case when n < 5 then 'few_turns' end, case when m = 0 then 'no_moderator' end, case when k <> 3 then 'roster_mismatch' end], lambda x: x is not null) findings from g) select *, case when len(findings) = 0 then 'ready' else 'not_ready' end verdict from f""")
+    h as (select session_id, "role", speaker_id, text, sha256(turn_index || '|' || coalesce("role", '') || '|' || coalesce(speaker_id, '') || '|' || coalesce(text, '')) h from panel),
+    g as (select session_id, count(*) n, count(*) filter ("role" = 'moderator') m, count(distinct case when "role" = 'participant' then speaker_id end) k, sha256(count(*) || '|' || sum(('0x' || h[1:15])::bigint)::varchar || '|' || sum(('0x' || h[16:30])::bigint)::varchar) content_hash from h group by 1),
+    f as (select session_id, n, content_hash, list_filter([case when n < 5 then 'few_turns' end, case when m = 0 then 'no_moderator' end, case when k <> 3 then 'roster_mismatch' end], lambda x: x is not null) findings from g) select *, case when len(findings) = 0 then 'ready' else 'not_ready' end verdict from f""")
 
 
 def positions(df):
@@ -143,10 +146,20 @@ def cached(s, d):
     """The call log with tokens read from and written to caches, some of no known time to live, and calls that name no model."""
     k = F.col("event_id")
     c = calls(s, d).withColumns({"model": F.when(k % 97 > 0, F.col("model")), "cache_read": F.when(k % 2 == 0, k % 30), "cache_writes": k % 50, "five": F.when(k % 3 == 0, F.floor(k % 50 / 2)), "hour": F.when(k % 3 == 1, F.floor(k % 50 / 2)), "ttl": F.when(k % 4 == 0, "5m").when(k % 4 == 1, "1h")})
-    return qa.split_cache_writes(c.where("model is null or model <> 'purchase' or event_id % 2 = 0"))
+    return qa.split_cache_writes(c)
+
+
+#: Prices for all models, of which one has two prices for cache writes: sessions whose writes it holds of unknown time to live have no cost.
+FULL = [("click", "USD", 1.5, 2.0, 0.1, 1.0, 1.0), ("view", "USD", 3.0, 3.0, 0.3, 3.5, 3.5), ("error", "USD", 0.5, 4.0, 0.1, 0.6, 0.7), ("purchase", "USD", 1.0, 1.0, 0.2, 2.0, 2.0)]
+
+
+def full_costs(s, d):
+    named = cached(s, d).drop("model").join(calls(s, d).select("event_id", "model"), "event_id")
+    rate = s.createDataFrame(FULL, "model string, currency string, input double, output double, cache_read double, write_5m double, write_1h double")
+    return qa.cost_totals(qa.usage_cost(named, rate, ["session_id"]), ["session_id"])
 
 
-COST_SQL = """ca as (select session_id, "role", case when event_id % 97 > 0 then model end model, input_tokens i, output_tokens o, case when event_id % 2 = 0 then event_id % 30 else 0 end cr, event_id % 50 cw, case when event_id % 3 = 0 then event_id % 50 // 2 else 0 end f, case when event_id % 3 = 1 then event_id % 50 // 2 else 0 end h, event_id % 4 tl from calls where event_id % 97 = 0 or model <> 'purchase' or event_id % 2 = 0),
+COST_SQL = """ca as (select session_id, "role", case when event_id % 97 > 0 then model end model, input_tokens i, output_tokens o, case when event_id % 2 = 0 then event_id % 30 else 0 end cr, event_id % 50 cw, case when event_id % 3 = 0 then event_id % 50 // 2 else 0 end f, case when event_id % 3 = 1 then event_id % 50 // 2 else 0 end h, event_id % 4 tl from calls),
     cs as (select *, f + case when tl = 0 then cw - f - h else 0 end w5, h + case when tl = 1 then cw - f - h else 0 end w1, case when tl > 1 then cw - f - h else 0 end wu from ca),
     rt as (select * from (values ('click', 'USD', 1.5::double, 2.0::double, 0.1::double, 1.0::double, 1.0::double), ('view', 'USD', 3, 3, 0.3, 3.5, 6), ('error', 'EUR', 0.5, 4, 0.1, 0.6, 0.6), ('purchase', 'USD', 1, 1, null, null, 2)) t(model, currency, ri, ro, rc, r5, r1)),
     cg as (select {0}, model, count(*) calls, sum(i)::bigint input_tokens, sum(o)::bigint output_tokens, sum(cr)::bigint cache_read, sum(w5)::bigint write_5m, sum(w1)::bigint write_1h, sum(wu)::bigint write_unknown from cs group by all),
@@ -157,7 +170,9 @@ TOTAL_SQL = COST_SQL.format("session_id") + """, tt as (select session_id, count
     case when count(distinct currency) = 1 and count(cost_low) = count(*) then round(sum(cost_low), 6) end cost_low, case when count(distinct currency) = 1 and count(cost_low) = count(*) then round(sum(cost_high), 6) end cost_high from co group by 1)"""
 register("agg12_usage_cost", lambda s, d: qa.usage_cost(cached(s, d), rates(s), ["role"]), "calls", COST_SQL.format('"role"') + " select * from co")
 register("agg12_cost_totals", lambda s, d: qa.cost_totals(qa.usage_cost(cached(s, d), rates(s), ["session_id"]), ["session_id"]), "calls", TOTAL_SQL + " select * from tt")
-register("agg12_projected_cost", lambda s, d: qa.projected_cost(qa.cost_totals(qa.usage_cost(cached(s, d).where("model in ('click', 'view')"), rates(s), ["session_id"]), ["session_id"]).withColumn("third", F.col("session_id") % 3), ["third"], 100), "calls", TOTAL_SQL.replace("or event_id % 2 = 0)", "or event_id % 2 = 0) ").replace("from calls where ", "from calls where event_id % 97 > 0 and model in ('click', 'view') and (").replace("or event_id % 2 = 0) ,", "or event_id % 2 = 0)),") + """
+VALUES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::double" for x in r) + ")" for r in FULL)
+FULL_SQL = re.sub(r"\(values .*?\) t\(model", lambda _: f"(values {VALUES}) t(model", TOTAL_SQL.replace("case when event_id % 97 > 0 then model end model", "model"), count=1)
+register("agg12_projected_cost", lambda s, d: qa.projected_cost(full_costs(s, d).withColumn("third", F.col("session_id") % 3), ["third"], 100), "calls", FULL_SQL + """
     select session_id % 3 third, count(cost) observed, count(*) - count(cost) excluded, round(avg(cost) * 100, 6) projected, round(min(cost) * 100, 6) projected_min, round(max(cost) * 100, 6) projected_max from tt group by 1""")
 register("agg13_stage_durations", lambda s, d: qa.stage_durations(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(F.col("event_type").alias("stage"), F.col("ts").alias("started"), F.when((F.col("event_type") != "error") | (F.col("event_id") % 50 != 0), F.col("ts") + F.make_interval(secs=F.floor("value"))).alias("ended"))), "", """
     with r as (select event_type stage, ts st, case when event_type <> 'error' or event_id % 50 <> 0 then ts + to_seconds(floor(value)) end en from events), q as (select *, (epoch_us(en) / 1e6 - epoch_us(st) / 1e6) sc from r)

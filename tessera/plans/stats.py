@@ -134,12 +134,20 @@ def rated(s, d):
 
 
 RATED = "ra as (select lang, quality a, 1 - toxic b from labels join documents using (doc_id))"
-register("sta10_agreement", lambda s, d: st.agreement(rated(s, d), ["lang"]), "", f"""with {RATED}, g as (select lang, count(*) n, avg((a = b)::int) po, avg(a) pa, avg(b) pb from ra group by 1), h as (select *, (pa + pb) / 2 q, pa * pb + (1 - pa) * (1 - pb) pe from g)
-    select lang, n, round(po, 6) agreement, round((po - pe) / nullif(1 - pe, 0), 6) kappa, round((po - 2 * q * (1 - q)) / nullif(1 - 2 * q * (1 - q), 0), 6) ac1, round(1 - (1 - po) / nullif(2 * q * (1 - q) * (2 * n) / (2 * n - 1), 0), 6) alpha from h""")
+register("sta10_agreement", lambda s, d: st.agreement(rated(s, d), ["lang"]), "", f"""with {RATED}, g as (select lang, count(*) n, avg((a = b)::int) po, avg(a) pa, avg(b) pb, sum(a)::bigint positives_a, sum(b)::bigint positives_b from ra group by 1), h as (select *, (pa + pb) / 2 q, pa * pb + (1 - pa) * (1 - pb) pe from g)
+    select lang, n, round(po, 6) agreement, round((po - pe) / nullif(1 - pe, 0), 6) kappa, round((po - 2 * q * (1 - q)) / nullif(1 - 2 * q * (1 - q), 0), 6) ac1, round(1 - (1 - po) / nullif(2 * q * (1 - q) * (2 * n) / (2 * n - 1), 0), 6) alpha, positives_a, positives_b, round(q, 6) prevalence from h""")
+register("sta10_validation", lambda s, d: st.validation_status(st.agreement(rated(s, d).where("lang is not null"), ["lang"]), F.col("lang").isin("en", "de")).select("lang", "n", "prevalence", "elicited", "status"), "", f"""with {RATED}
+    select lang, count(*) n, round((avg(a) + avg(b)) / 2, 6) prevalence, lang in ('en', 'de') elicited, case when lang in ('en', 'de') then case when sum(a) + sum(b) >= 3 then 'validated' else 'not_fully_validated' end when sum(a) + sum(b) >= 3 then 'opportunistic_detection' else 'specificity_only' end status
+    from ra where lang is not null and a is not null and b is not null group by 1""")
 register("sta11_classification", lambda s, d: st.classification(table(s, d, "orders").select(F.col("o_orderstatus").alias("gold"), F.when(F.col("o_orderkey") % 3 == 0, "F").when(F.col("o_orderkey") % 3 == 1, "O").otherwise("P").alias("predicted"))), "", """
     with p as (select o_orderstatus g, (['F', 'O', 'P'])[o_orderkey % 3 + 1] p from orders), n as (select g, p, count(*) n from p group by 1, 2), l as (select distinct g "label" from p union select distinct p from p),
     r as (select "label", sum(case when g = "label" and p = "label" then n else 0 end)::bigint tp, sum(case when g <> "label" and p = "label" then n else 0 end)::bigint fp, sum(case when g = "label" and p <> "label" then n else 0 end)::bigint fn from l cross join n group by 1)
     select "label", tp, fp, fn, round(tp / nullif(tp + fp, 0)::double, 6) "precision", round(tp / nullif(tp + fn, 0)::double, 6) recall, round(case when tp = 0 then 0 else 2.0::double * tp / (2 * tp + fp + fn) end, 6) f1 from r""")
+guesses = lambda s, d: table(s, d, "orders").select(F.col("o_orderstatus").alias("gold"), F.when(F.col("o_orderkey") % 3 == 0, "F").when(F.col("o_orderkey") % 3 == 1, "O").otherwise("X").alias("predicted"))
+register("sta11_confusion", lambda s, d: st.confusion(guesses(s, d)), "", "select o_orderstatus gold, (['F', 'O', 'X'])[o_orderkey % 3 + 1] predicted, count(*) n from orders group by 1, 2")
+register("sta11_summary", lambda s, d: st.classification_summary(guesses(s, d)), "", """
+    with p as (select o_orderstatus g, (['F', 'O', 'X'])[o_orderkey % 3 + 1] p from orders), l as (select g, count(*) n, count(*) filter (p = g) tp from p group by 1), q as (select p, count(*) k from p group by 1)
+    select sum(n)::bigint n, count(*) labels, round(sum(tp) / sum(n)::double, 6) accuracy, round(avg(2.0::double * tp / (n + coalesce(k, 0))), 6) macro_f1, round(avg(tp / n::double), 6) balanced_accuracy from l left join q on q.p = l.g""")
 weighted = lambda s, d: st.horvitz_thompson(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select((F.col("doc_id") % 2).alias("side"), F.col("lang").alias("stratum"), F.contains("text", F.lit("***")).cast("int").alias("predicted"), (1 - F.col("quality")).alias("label")).withColumn("N", F.lit(1000)))
 HT = r"""
     with r as (select doc_id % 2 side, lang stratum, contains(text, '***')::int p, 1 - quality l from documents join labels using (doc_id)), w as (select *, 1000 / (count(*) over (partition by side, stratum))::double w from r),
@@ -150,9 +158,9 @@ register("sta12_horvitz_thompson", weighted, "", HT + " select * from ht")
 register("sta12_recall_gap", lambda s, d: st.recall_gap(weighted(s, d).withColumn("side", F.col("side").cast("string")), "0", "1"), "", HT + """, gp as (select abs(max(recall) filter (side = 0) - max(recall) filter (side = 1)) g from ht)
     select round(g, 6) gap, case when g is null then 'undetermined' when g < 0.15 then 'pass' when g < 0.3 then 'marginal' else 'fail' end verdict from gp""")
 register("sta13_leik", lambda s, d: st.leik(table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("claim"), (F.col("l_linenumber") % 3 - 1).alias("stance")), ["claim"], 2000), "", """
-    with g as (select l_partkey % 50 claim, count(*) n, avg((l_linenumber % 3 - 1 <= -1)::int) c1, avg((l_linenumber % 3 - 1 <= 0)::int) c2, count(*) filter (l_linenumber % 3 = 0) k0, count(*) filter (l_linenumber % 3 = 1) k1, count(*) filter (l_linenumber % 3 = 2) k2, round(avg(l_linenumber % 3 - 1), 6) mean from lineitem group by 1)
+    with g as (select l_partkey % 50 claim, count(*) n, avg((l_linenumber % 3 - 1 <= -1)::int) c1, avg((l_linenumber % 3 - 1 <= 0)::int) c2, count(*) filter (l_linenumber % 3 = 0) k0, count(*) filter (l_linenumber % 3 = 1) k1, count(*) filter (l_linenumber % 3 = 2) k2, round(avg(l_linenumber % 3 - 1), 6) mean, round(stddev_pop(l_linenumber % 3 - 1), 6) sd from lineitem group by 1)
     select claim, n, round(1 - (case when c1 <= 0.5 then c1 else 1 - c1 end + case when c2 <= 0.5 then c2 else 1 - c2 end), 6) consensus, list_filter([case when k0 = greatest(k0, k1, k2) then -1 end, case when k1 = greatest(k0, k1, k2) then 0 end, case when k2 = greatest(k0, k1, k2) then 1 end], lambda x: x is not null) modes,
-    round(greatest(k0, k1, k2) / n::double, 6) in_mode, round(n / 2000.0::double, 6) coverage, mean from g""")
+    round(greatest(k0, k1, k2) / n::double, 6) in_mode, round(n / 2000.0::double, 6) coverage, mean, sd from g""")
 named = lambda s, d: metrics(s, d).withColumn("metric", F.when(F.col("metric") == "filled", "filled_share").otherwise(F.col("metric")))
 register("sta14_calibrate", lambda s, d: st.calibrate(named(s, d), "BUILDING"), "", f"""with {MET}, r as (select metric, min("value") lo, max("value") hi from met where "condition" = 'BUILDING' group by 1), m as (select met.*, lo, hi, 0.15::double * (hi - lo) mg from met left join r using (metric) where "condition" <> 'BUILDING')
     select case metric when 'filled' then 'filled_share' else metric end metric, "condition", case when "value" is null or lo is null then 'undefined' when lo = hi then case when abs("value" - lo) < 1e-6 then 'inside' when abs("value" - lo) <= 0.05 then 'near' else 'outside' end when "value" between lo and hi then 'inside'
@@ -161,18 +169,24 @@ register("sta14_progression", lambda s, d: st.progression(metrics(s, d).where("r
     g as (select "condition", metric, count("value") n, (list("value" order by group_id))[1] a, (list("value" order by group_id))[-1] b from met where replicate = 2 group by 1, 2)
     select "condition", metric, round(a, 6) "first", round(b, 6) "last", case when n < 2 or a is null or b is null then 'not_enough' when a = b then 'stable' when (metric = 'price') = (b < a) then 'improved' when metric = 'price' and b <= 0 then 'regressed' else 'still_problematic' end status from g""")
 register("sta15_permutation_test", lambda s, d: st.permutation_test(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("fold"), F.col("c_custkey").alias("trial"), F.col("c_mktsegment").alias("truth"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("BUILDING").alias("guess")), 20_000))
+#: Both tails by the terms of the error function's series, each as a product of its own.
+TAILS = "(case when z > 8.5 then 0 else greatest(0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * z / sqrt(2) * list_sum(list_transform(range(151), lambda i: coalesce(list_product(list_transform(range(1, i + 1), lambda k: z * z / (2 * k + 1)::double)), 1)))) end)"
 register("sta16_rank_effects", lambda s, d: st.rank_effects(table(s, d, "customer").select("c_nationkey", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "a").otherwise("b").alias("side"), F.round("c_acctbal", -2).alias("value")), ["c_nationkey"]), "", """
     with c as (select c_nationkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'a' else 'b' end side, round(c_acctbal, -2) v from customer), k as (select *, rank() over (partition by c_nationkey order by v) + (count(*) over (partition by c_nationkey, v) - 1) / 2.0::double r from c),
     g as (select c_nationkey, sum(case when side = 'a' then r end) ra, count(*) filter (side = 'a') na, count(*) filter (side = 'b') nb from k group by 1), u as (select *, ra - na * (na + 1) / 2.0::double u from g),
-    z as (select *, 2 * u / (na * nb) - 1 dl, abs((u - na * nb / 2.0::double) / sqrt(na * nb * (na + nb + 1) / 12.0::double)) z from u), p as (select *, 2 / (1 + exp(1.5976::double * z + 0.07056::double * z * z * z)) p from z),
-    a as (select *, least(1, p * (count(*) over () - row_number() over (order by p, c_nationkey) + 1)) ad from p) select c_nationkey, round(u, 6) u, round(dl, 6) delta, round(p, 6) p, round(max(ad) over (order by p, c_nationkey rows unbounded preceding), 6) holm from a""")
+    z as (select *, 2 * u / (na * nb) - 1 dl, abs((u - na * nb / 2.0::double) / sqrt(na * nb * (na + nb + 1) / 12.0::double)) z from u), p as (select *, {P} p from z),
+    a as (select *, least(1, p * (count(*) over () - row_number() over (order by p, c_nationkey) + 1)) ad from p) select c_nationkey, round(u, 6) u, round(dl, 6) delta, round(p, 6) p, round(max(ad) over (order by p, c_nationkey rows unbounded preceding), 6) holm from a""".replace("{P}", TAILS))
 register("sta16_signed_rank", lambda s, d: st.signed_rank(table(s, d, "customer").select((F.col("c_nationkey") % 5).alias("k"), F.round("c_acctbal", -2).cast("double").alias("d")), ["k"]), "", """
     with c as (select c_nationkey % 5 k, round(c_acctbal, -2)::double d from customer where round(c_acctbal, -2) <> 0), r as (select *, rank() over (partition by k order by abs(d)) + (count(*) over (partition by k, abs(d)) - 1) / 2.0::double r, count(*) over (partition by k, abs(d)) t from c),
     g as (select k, count(*)::double n, sum(case when d > 0 then r else 0 end) w_plus, sum(case when d < 0 then r else 0 end) w_minus, sum(t * t - 1) ti from r group by 1), z as (select *, abs((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ti / 48.0::double)) z from g)
-    select k, n::bigint n, w_plus, w_minus, round(2 / (1 + exp(1.5976::double * z + 0.07056::double * z * z * z)), 6) p from z""")
+    select k, n::bigint n, w_plus, w_minus, round({P}, 6) p from z""".replace("{P}", TAILS))
 register("sta17_condition_wins", lambda s, d: st.condition_wins(metrics(s, d), "MACHINERY", "FURNITURE"), "", f"""with {MET}, m as (select metric, group_id, avg("value") filter ("condition" = 'MACHINERY') - avg("value") filter ("condition" = 'FURNITURE') d from met group by 1, 2)
     select metric, count(*) filter (d > 0) favour_a, count(*) filter (d < 0) favour_b, count(*) filter (d = 0) ties, round(avg(d), 6) mean_difference from m group by 1""")
 register("sta18_stability_matrix", lambda s, d: st.stability_matrix(repetitions(s, d)), "", f"""with {REPS} select a.family, a.category c1, b.category c2, count(*) n, a.category = b.category agree from reps a join reps b on a.item = b.item and a.repetition = 1 and b.repetition = 2 group by 1, 2, 3, 5""")
+planted = lambda s, d: table(s, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("repetition"), F.col("l_returnflag").alias("category"), F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("family"), (F.col("l_orderkey") % 11 == 0).alias("planted"), F.lit("N").alias("expected"))
+register("sta18_rates", lambda s, d: st.stability_rates(planted(s, d)), "", """
+    with g as (select l_orderkey % 11 = 0 planted, case when l_orderkey % 2 = 0 then 'even' else 'odd' end family, max(case when l_linenumber = 1 then l_returnflag end) c1, max(case when l_linenumber = 2 then l_returnflag end) c2 from lineitem where l_linenumber <= 2 group by l_orderkey), k as (select * from g where c1 is not null and c2 is not null)
+    select family, grouping(family)::int "level", count(*) filter (not planted) items, count(*) filter (not planted and c1 = c2) agree, round(count(*) filter (not planted and c1 = c2) / nullif(count(*) filter (not planted), 0)::double, 6) rate, count(*) filter (planted) planted, count(*) filter (planted and c1 = 'N' and c2 = 'N') planted_right from k group by rollup (family)""")
 register("sta19_closer", lambda s, d: st.closer_to_reference(metrics(s, d), "BUILDING", "MACHINERY", "FURNITURE"), "", f"""with {MET}, g as (select metric, group_id, avg("value") filter ("condition" = 'BUILDING') h, avg("value") filter ("condition" = 'MACHINERY') a, avg("value") filter ("condition" = 'FURNITURE') b from met group by 1, 2)
     select metric, count(*) "groups", count(*) filter (abs(a - h) < abs(b - h)) a_closer from g where h is not null and a is not null and b is not null group by 1""")
 

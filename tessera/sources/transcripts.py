@@ -40,6 +40,29 @@ def artefact_status(files: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("session_id", "artefact", state.alias("state"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines of text files with their numbers, from 1. A file may be read in many splits: lines are numbered inside a split, and the splits' counts, a row a split, are added up."""
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = df.groupBy("file", "_b").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return df.join(splits.drop("_n").hint("merge"), ["file", "_b"]).select("file", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("line"), "value")
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value, error): lines of JSON-lines files but for blank ones; `error` says what is wrong with a line that isn't JSON, and nothing stops at it."""
+    df = numbered_lines(spark, path).where(F.trim("value") != "")
+    return df.withColumn("error", F.when(F.try_parse_json("value").isNull(), F.concat(F.lit("Malformed JSON in "), F.element_at(F.split("file", "/"), -1), F.lit(" line "), F.col("line").cast("string"))))
+
+
+def file_artefacts(lines: DataFrame, sessions: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sessions' files against the expected list. lines: session_id, artefact, line, error (of json_lines); sessions: session_id; expected: artefact, required. State is loaded, malformed (a line isn't JSON) or
+    missing; records are good lines, bad_lines the numbers of the others."""
+    g = lines.groupBy("session_id", "artefact").agg(F.count_if(F.col("error").isNull()).alias("records"), F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.col("line")))).alias("bad_lines"))
+    j = sessions.select("session_id").distinct().crossJoin(tx.listed(expected)).join(g, ["session_id", "artefact"], "left")
+    state = F.when(F.col("records").isNull(), F.when(F.col("required"), "missing_required").otherwise("missing_optional")).when(F.size("bad_lines") > 0, "malformed").otherwise("loaded")
+    return j.select("session_id", "artefact", state.alias("state"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("bad_lines", F.array().cast("array<bigint>")).alias("bad_lines"))
+
+
 def lines_to_turns(texts: DataFrame) -> DataFrame:
     """(doc_id, text) to turns: a `Speaker:` line opens a turn, later lines append, bare numbers and times are left out; lines before the first
     speaker are front matter (turn 0)."""
