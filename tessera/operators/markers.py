@@ -14,7 +14,11 @@ def clause_markers(turns: DataFrame, lexicon: DataFrame, opening: int = 2) -> Da
     """At most one marker a clause (the first in lexicon order that starts it); divergence and alignment counts in the opening clauses
     and the whole turn, and the opening's label. lexicon: marker, kind, ord."""
     c = turns.select("session_id", "turn_index", F.posexplode(tx.clauses("text")).alias("k", "clause"))
-    found = c.join(tx.listed(lexicon), F.expr("startswith(clause, marker)"), "left").groupBy("session_id", "turn_index", "k").agg(F.min_by("kind", "ord").alias("kind"))
+    # markers and clauses meet on as many first characters as every marker has
+    least = lexicon.where("marker != ''").agg(F.min(F.char_length("marker"))).first()[0] or 1
+    keyed = tx.listed(lexicon.where("marker != ''").withColumn("_key", F.left("marker", F.lit(least))))
+    hit = F.coalesce(F.startswith("clause", "marker"), F.lit(False))
+    found = c.withColumn("_key", F.left("clause", F.lit(least))).join(keyed, "_key", "left").groupBy("session_id", "turn_index", "k").agg(F.min_by("kind", F.when(hit, F.col("ord"))).alias("kind"))
     n = lambda kind, test: F.count_if(F.coalesce((F.col("kind") == kind) & test, F.lit(False)))
     early, any_ = F.col("k") < opening, F.lit(True)
     got = found.groupBy("session_id", "turn_index").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.text import n_words, r6, ratio
+from .literals import literal_hits, terms_of
 
 
 def by_turn():
@@ -101,8 +102,9 @@ def ask_offset(turns: DataFrame, ask: str, lead: str, residue: str) -> DataFrame
 def openers(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """The latest question (by terms) that a moderator turn asks decides; a question opens once, as the successor of the highest opened so
     far; later asks are reformulations. questions: question, term."""
-    asks = turns.where("role = 'moderator'").join(tx.listed(questions), F.expr("instr(lower(text), term) > 0"))
-    q = asks.groupBy("session_id", "turn_index").agg(F.max_by("question", F.struct(F.expr("instr(lower(text), term)"), "question")).alias("question"))
+    t = turns.where("role = 'moderator'").select("session_id", "turn_index", F.lower("text").alias("_low"))
+    asks = literal_hits(t, ["session_id", "turn_index"], "_low", terms_of(questions, "term")).join(tx.listed(questions), "term")
+    q = asks.groupBy("session_id", "turn_index").agg(F.max_by("question", F.struct("first", "question")).alias("question"))
     before = by_turn().rowsBetween(W.unboundedPreceding, -1)
     first = F.row_number().over(W.partitionBy("session_id", "question").orderBy("turn_index")) == 1
     q = q.withColumn("_first", first).withColumn("_top", F.coalesce(F.max("question").over(before), F.lit(0)))

@@ -403,6 +403,26 @@ def study_ordering(presence: DataFrame, measured: DataFrame, reference: str) ->
     return blank.join(side("xn", "yn", "groups"), by, "left").join(side("xm", "ym", "reach").drop("codes"), by, "left")
 
 
+def scenario_orderings(presence: DataFrame, reference: str) -> DataFrame:
+    """group_ordering's tau-b under each scenario of `presence` (scenario, condition, group_id, replicate, code, present, voiced, participants), all in one plan: over the codes that the scenario's reference voices."""
+    said = F.when(F.col("present"), ratio("voiced", "participants")).otherwise(0.0)
+    p = written(presence.select("scenario", *CELL, "code", said.alias("v")), "scenarios")
+    ref = p.where(F.col("condition") == reference).select("scenario", "group_id", "code", F.col("v").alias("x")).where("x > 0")
+    j = p.where(F.col("condition") != reference).withColumnRenamed("v", "y").join(ref, ["scenario", "group_id", "code"]).withColumnRenamed("code", "item")
+    return kendall(j, ["scenario", *CELL])
+
+
+def transitions(orderings: DataFrame, base: str) -> DataFrame:
+    """Each scenario's figure against the base's: whether it stays, becomes or ceases to be defined, and by how much it moves; sessions that only one side has count as undefined on the other."""
+    one, by = orderings.where(F.col("scenario") == base), CELL
+    named = orderings.where(F.col("scenario") != base).select("scenario").distinct()
+    cells = with_each(orderings.select(*by).distinct(), named, "scenario")
+    j = cells.join(orderings.select("scenario", *by, F.col("tau_b").alias("tau")), ["scenario", *by], "left").join(one.select(*by, F.col("tau_b").alias("base")), by, "left")
+    a, b = F.col("base").isNotNull(), F.col("tau").isNotNull()
+    kind = F.when(a & b, "stays_defined").when(a, "becomes_undefined").when(b, "becomes_defined").otherwise("stays_undefined")
+    return j.select("scenario", *by, r6("base").alias("base"), r6("tau").alias("tau"), r6(F.col("tau") - F.col("base")).alias("moved"), kind.alias("transition"))
+
+
 def ordering_summary(orderings: DataFrame, a: str, b: str) -> DataFrame:
     """Of group_ordering's rows, per group: the median over replicates of the defined tau-b of conditions a and b, their difference and its direction; values of single replicates are never averaged."""
     m = orderings.groupBy("group_id", "condition").agg(F.count("tau_b").alias("k"), F.percentile("tau_b", F.lit(0.5)).alias("m"), F.min("tau_b").alias("lo"), F.max("tau_b").alias("hi"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .literals import literal_hits, terms_of
 
 
 def non_empty(turns: DataFrame) -> DataFrame:
@@ -50,9 +51,10 @@ def roster_scrub(turns: DataFrame, roster: DataFrame, placeholder: str = "[NAME]
 
 
 def leakage(texts: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """(token, texts, hits): in how many texts each forbidden token still stands. The token list is joined as a small dimension."""
-    n = (F.char_length("text") - F.char_length(F.replace("text", "token", F.lit("")))) / F.char_length("token")
-    return texts.crossJoin(tx.listed(forbidden)).withColumn("n", n.cast("long")).groupBy("token").agg(F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").alias("hits"))
+    """(token, texts, hits): in how many texts each forbidden token still stands, and how often; tokens that stand nowhere have zeros."""
+    found = literal_hits(texts, [], "text", terms_of(forbidden, "token")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("hits"))
+    tokens = forbidden.select("token").where("token != ''").distinct()
+    return tokens.join(found.hint("merge"), F.col("token") == F.col("term"), "left").select("token", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def sentence_rows(turns: DataFrame, by_capital: bool = False) -> DataFrame:

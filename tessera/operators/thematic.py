@@ -252,6 +252,25 @@ def treatments(presence: DataFrame) -> DataFrame:
     return p.groupBy("condition", "treatment").agg(F.count_if("p").alias("present"), r6(F.avg(F.when(F.col("p"), ratio("voiced", "participants")))).alias("mean_reach"))
 
 
+BASE = "BASE"
+
+
+def scenarios(presence: DataFrame, overrides: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The coded presence under the base and every scenario: `overrides` (scenario, condition, group_id, replicate, code, present) replaces single cells, everything else is the base's, and the given table
+    stays as it is. `names`: scenarios that count even if they override nothing. One plan carries the column `scenario` through whatever follows."""
+    names = overrides.select("scenario").distinct().unionByName(presence.sparkSession.createDataFrame([(x,) for x in (BASE, *(names or []))], "scenario string"))
+    o = overrides.select("scenario", *CELL, "code", F.col("present").alias("_o"))
+    p = with_each(presence, names, "scenario").join(o.hint("merge"), ["scenario", *CELL, "code"], "left")
+    return p.withColumns({"overridden": F.col("_o").isNotNull() & (F.col("_o") != F.col("present")), "present": F.coalesce("_o", "present")}).drop("_o")
+
+
+def scenario_recurrence(under: DataFrame) -> DataFrame:
+    """Per scenario and condition: overridden and present cells, codes seen anywhere, mean reach of present cells, and the mean number of groups that hold a code in a replicate."""
+    cells = under.groupBy("scenario", "condition").agg(F.count_if("overridden").alias("overridden"), F.count_if("present").alias("present"), F.count_distinct(F.when(F.col("present"), F.col("code"))).alias("codes"), r6(F.avg(F.when(F.col("present"), ratio("voiced", "participants")))).alias("mean_reach"))
+    held = under.groupBy("scenario", "condition", "replicate", "code").agg(F.count_distinct(F.when(F.col("present"), F.col("group_id"))).alias("_g")).groupBy("scenario", "condition").agg(r6(F.avg("_g")).alias("mean_groups"))
+    return cells.join(held, ["scenario", "condition"])
+
+
 def cross_rater(rows: DataFrame, gate: float, overall: float) -> DataFrame:
     """Outcome of an item by two raters (a, b in 0/1, b may be NULL). Agreement corroborates only codes whose control agreement reaches `gate`, and only if
     the Wilson lower bound of the agreement of all controls reaches `overall`."""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling as sm
 from ..operators import stats as st
+from ..operators import thematic as th
 from ..sources.adapters import panel, presence, table, turns
 from .registry import register
-from .thematic import REPS, repetitions
+from .thematic import REPS, SCN, borders, repetitions
 
 
 def metrics(s, d):
@@ -117,6 +118,14 @@ register("thm14_study_profiles", lambda s, d: st.study_ordering(presence(s, d),
     select "condition", replicate, unmeasured, a.n codes, a.tau_b tau_groups, a.undefined_reason reason_groups, a.top3 top3_groups, m.tau_b tau_reach, m.undefined_reason reason_reach, m.top3 top3_reach from bl left join od a on a.block = 'n' || b left join od m on m.block = 'm' || b""")
 
 
+register("thm25_transitions", lambda s, d: st.transitions(st.scenario_orderings(th.scenarios(presence(s, d), borders(s, d), ["LOWER", "UPPER"]), "BUILDING"), th.BASE), "presence", SCN + f""",
+    sv as (select scenario, group_id, "condition", replicate, code, case when pr then voiced / participants::double else 0 end v from un), xy as (select g.scenario || ':' || g.group_id || ':' || g."condition" || ':' || g.replicate block, g.code item, r.v x, g.v y, g.scenario, g.group_id, g."condition", g.replicate
+        from sv g join sv r on r.scenario = g.scenario and r.group_id = g.group_id and r.code = g.code and r."condition" = 'BUILDING' where g."condition" <> 'BUILDING' and r.v > 0),
+    {TAU}, ky as (select distinct block, scenario, group_id, "condition", replicate from xy), tk as (select ky.*, tau_b from tau join ky using (block)), cl as (select distinct group_id, "condition", replicate from tk),
+    j as (select s.scenario, cl.*, t.tau_b tau, b.tau_b base from cl cross join (select unnest(['LOWER', 'UPPER']) scenario) s left join tk t on t.scenario = s.scenario and t.group_id = cl.group_id and t."condition" = cl."condition" and t.replicate = cl.replicate left join tk b on b.scenario = 'BASE' and b.group_id = cl.group_id and b."condition" = cl."condition" and b.replicate = cl.replicate)
+    select scenario, group_id, "condition", replicate, base, tau, round(tau - base, 6) moved, case when base is not null and tau is not null then 'stays_defined' when base is not null then 'becomes_undefined' when tau is not null then 'becomes_defined' else 'stays_undefined' end transition from j""")
+
+
 def study_scores(s, d):
     """Per condition against the reference: groups that hold a code, on both sides."""
     n = presence(s, d).where("present").groupBy("condition", "code").agg(F.count_distinct("group_id").cast("double").alias("g"))

@@ -130,6 +130,19 @@ register("thm23_cluster_presence", lambda s, d: th.cluster_presence(table(s, d,
     select cluster, min(unit) first_unit, count(*) units, count(*) filter (len(r) > 1) units_shared, list_sort(list_distinct(flatten(list(r)))) raters, len(list_distinct(flatten(list(r)))) = 1 exclusive from g group by 1""")
 register("thm24_prevalence_bands", lambda s, d: th.prevalence_bands(presence(s, d)), "presence", """
     n as (select "condition", code, count(*) sessions from presence where present group by 1, 2) select "condition", sessions, list_sort(list(code)) codes, dense_rank() over (partition by "condition" order by sessions desc) band from n group by 1, 2""")
+
+def borders(s, d):
+    """Rank-10 borders read two ways: LOWER drops codes voiced by fewer than four in ten participants, UPPER adds absent ones voiced by two or more."""
+    p = presence(s, d).select(*th.CELL, "code", "present", "voiced", "participants")
+    lower, upper = p.where("present and voiced * 10 < participants * 4").withColumn("present", F.lit(False)), p.where("not present and voiced >= 2").withColumn("present", F.lit(True))
+    return lower.withColumn("scenario", F.lit("LOWER")).unionByName(upper.withColumn("scenario", F.lit("UPPER"))).drop("voiced", "participants")
+
+
+SCN = """sn as (select unnest(['BASE', 'LOWER', 'UPPER']) scenario), un as (select scenario, p.*, case when scenario = 'LOWER' and present and voiced * 10 < participants * 4 then false when scenario = 'UPPER' and not present and voiced >= 2 then true else present end pr from presence p cross join sn)"""
+register("thm25_scenarios", lambda s, d: th.scenario_recurrence(th.scenarios(presence(s, d), borders(s, d), ["LOWER", "UPPER"])), "presence", SCN + """,
+    c as (select scenario, "condition", count(*) filter (pr <> present) overridden, count(*) filter (pr) present, count(distinct case when pr then code end) codes, round(avg(case when pr then voiced / participants::double end), 6) mean_reach from un group by 1, 2),
+    h as (select scenario, "condition", round(avg(g), 6) mean_groups from (select scenario, "condition", replicate, code, count(distinct case when pr then group_id end) g from un group by 1, 2, 3, 4) group by 1, 2) select * from c join h using (scenario, "condition")""")
+
 register("thm25_treatments", lambda s, d: th.treatments(presence(s, d)), "presence", """
     t as (select *, case treatment when 'LOWER' then present and voiced > 1 when 'UPPER' then present or voiced >= 2 else present end p from presence cross join (select unnest(['LOWER', 'MID', 'UPPER']) treatment))
     select "condition", treatment, count(*) filter (p) present, round(avg(case when p then voiced / participants::double end), 6) mean_reach from t group by 1, 2""")

@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  it registers the queries
 from tessera.functions.text import any_of, f1, hits, listed, ratio
 from tessera.operators import lexical, pairs, quality, sampling, segments, stats, structure, textual, thematic
 from tessera.plans import registry

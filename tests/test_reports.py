@@ -80,3 +80,42 @@ def test_grids_of_small_dimensions(spark):
     assert got == {("x", 1): "duplicate", ("x", 2): "collision", ("y", 1): "missing", ("y", 2): "missing", ("y", 3): "unexpected"}
     p = spark.createDataFrame([("c", 1, 1, "k", True, 1, 2), ("c", 2, 1, "l", False, 1, 2)], "condition string, group_id int, replicate int, code string, present boolean, voiced int, participants int")
     assert thematic.presence_grid(p).count() == 4
+
+
+def test_10_000_terms_at_once(spark):
+    import random
+
+    from tessera.operators import literals, markers, segments, textual
+
+    rng = random.Random(8)
+    say = lambda k: "".join(rng.choice("abcé ") for _ in range(k))
+    terms = sorted({say(rng.randint(1, 9)) for _ in range(9000)} | {"aa", "aaa", "a"} | {f"term{k}" for k in range(3000)})[:10_000]
+    texts = [say(rng.randint(0, 300)) for _ in range(40)] + ["a" * 50, None, "", "term7term77"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = {(r.id, r.term): (r.n, r.first) for r in literals.literal_hits(df, ["id"], "text", terms).collect()}
+    assert got == {(i, t): (x.count(t), x.index(t) + 1) for i, x in enumerate(texts) if x for t in terms if t in x}
+    out = textual.leakage(df, spark.createDataFrame([(t,) for t in terms], "token string"))
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and len(out.collect()) == len(terms)
+    assert {r.token: (r.texts, r.hits) for r in out.collect()} == {t: (sum(t in x for x in texts if x), sum(x.count(t) for x in texts if x)) for t in terms}
+    with pytest.raises(ValueError, match="10000"):
+        literals.terms_of(spark.range(10_001).selectExpr("cast(id as string) token"), "token")
+    turns = spark.createDataFrame([("s", 0, "moderator", "But well, no way but"), ("s", 1, "moderator", "why"), ("s", 2, "moderator", None)], "session_id string, turn_index int, role string, text string")
+    lexicon = spark.createDataFrame([("but well", "divergence", 2), ("but", "alignment", 1), ("no", "divergence", 3)], "marker string, kind string, ord int")
+    plan = markers.clause_markers(turns, lexicon)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r.turn_index: (r.clauses, r.d1_div, r.d1_align, r.label) for r in plan.collect()}[0] == (2, 1, 1, "mixed")
+    q = segments.openers(turns, spark.createDataFrame([(1, "well"), (2, "way"), (2, "no")], "question int, term string"))
+    assert [(r.turn_index, r.question, r.kind) for r in q.collect()] == [(0, 2, "out_of_turn")]
+
+
+def test_scenarios_leave_the_base_as_it_is(spark):
+    reach = {("ref", 0): [3, 2, 1, 1], ("x", 1): [3, 2, 1, 0], ("x", 2): [1, 1, 1, 1]}
+    rows = [(c, 1, r, f"c{k}", v > 0, v, 4) for (c, r), of in reach.items() for k, v in enumerate(of)]
+    p = spark.createDataFrame(rows, "condition string, group_id int, replicate int, code string, present boolean, voiced int, participants int")
+    over = spark.createDataFrame([("S", "x", 1, 2, "c0", False), ("S", "x", 1, 1, "c0", True), ("T", "ref", 1, 0, "c1", False), ("T", "ref", 1, 0, "c2", False)], "scenario string, condition string, group_id int, replicate int, code string, present boolean")
+    under = thematic.scenarios(p, over)
+    assert under.count() == 3 * len(rows) and sorted(map(tuple, under.where("scenario = 'BASE'").select(*p.columns).collect())) == sorted(rows)
+    got = {(r.scenario, r.condition): (r.overridden, r.present, r.codes, r.mean_groups) for r in thematic.scenario_recurrence(under).collect()}
+    assert got["BASE", "x"] == (0, 7, 4, 0.875) and got["S", "x"] == (1, 6, 4, 0.75) and got["T", "ref"] == (2, 2, 2, 0.5)
+    t = {(r.scenario, r.replicate): (r.transition, r.moved) for r in stats.transitions(stats.scenario_orderings(under, "ref"), thematic.BASE).collect()}
+    assert t["S", 1] == ("stays_defined", 0) and t["S", 2][0] == "becomes_defined" and t["T", 1][0] == "becomes_undefined" and t["T", 2][0] == "stays_undefined"
