@@ -171,10 +171,13 @@ def shingles(df: DataFrame, key: str, n: int = 8) -> DataFrame:
 def contamination(scanned: DataFrame, protected: DataFrame, allowed: DataFrame) -> DataFrame:
     """Scanned texts that share protected shingles which the allowed corpus doesn't have: how many, of how many items, and the first three of them.
 
-    A protected set of at most PROTECTED shingles is broadcast, so the scanned shingles are met where they are made and only hits move; a larger one is
-    joined by merging on a 64-bit hash and the shingle itself."""
-    risky = protected.join(allowed.select("shingle").distinct().hint("merge"), "shingle", "left_anti").distinct()
-    if risky.limit(PROTECTED + 1).count() <= PROTECTED:
+    A protected set of at most PROTECTED shingles is broadcast, so the allowed and the scanned shingles are met where they are made and only hits move; a larger one is
+    joined by merging, the scanned ones on a 64-bit hash and the shingle itself."""
+    few = protected.limit(PROTECTED + 1).count() <= PROTECTED
+    wanted = protected.select("shingle").distinct()
+    held = allowed.select("shingle").join(F.broadcast(wanted) if few else wanted.hint("merge"), "shingle", "left_semi").distinct()
+    risky = protected.join(held.hint("merge"), "shingle", "left_anti").distinct()
+    if few:
         hits = scanned.join(F.broadcast(risky), "shingle")
     else:
         keyed = lambda df: df.withColumn("_h", F.xxhash64("shingle"))
