@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio
+from . import pivots as pv
 from .stats import spearman
 from .structure import gini
 
@@ -67,16 +68,31 @@ def displacement_summary(df: DataFrame) -> DataFrame:
     return d.groupBy("unit").agg(r6(F.avg("moved")).alias("mean_moved"), r6(F.avg(F.col("converges").cast("double"))).alias("converging")).join(gini(d, ["unit"], "moved"), "unit")
 
 
-def dispersion(df: DataFrame) -> DataFrame:
-    """Per (small) unit of unit vectors: mean pairwise cosine distance in closed form, the greatest one, mean distance to the centroid, and by how much
-    the last turn is nearer to it than the mean."""
+#: Units with more rows than this go through pivots and blocks, the others are compared row by row.
+SMALL = 256
+
+
+def _by_size(u: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of units of at most `small` rows, and those of larger ones (None if there are none)."""
+    large = u.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select("unit")
+    if large.isEmpty():
+        return u, None
+    return u.join(large.hint("merge"), "unit", "left_anti"), u.join(large.hint("merge"), "unit", "left_semi")
+
+
+def dispersion(df: DataFrame, small: int = SMALL, block: int = pv.BLOCK) -> DataFrame:
+    """Per unit of unit vectors: mean pairwise cosine distance in closed form, the greatest one, mean distance to the centroid, and by how much
+    the last turn is nearer to it than the mean. The greatest distance of units with more than `small` turns comes from blocks of `block` rows that pivots leave open."""
     u = df.withColumn("v", unit("v"))
     s = sum_vectors(u, ["unit"])
     g = s.select("unit", "n", r6(1 - ratio(dot("s", "s") - F.col("n"), F.col("n") * (F.col("n") - 1))).alias("pairwise"), "s")
-    d = u.join(g.select("unit", "s").hint("merge"), "unit").withColumn("_c", 1 - dot("v", "s") / norm("s"))
+    d = u.join(g.select("unit", "s").hint("merge"), "unit").withColumn("_c", 1 - ratio(dot("v", "s"), norm("s")))
     c = d.groupBy("unit").agg(r6(F.avg("_c")).alias("to_centroid"), r6(F.avg("_c") - F.max_by("_c", "turn_index")).alias("closing"))
-    b = u.select("unit", F.col("turn_index").alias("_t"), F.col("v").alias("_v"))
-    far = u.join(b.hint("merge"), "unit").where(F.col("_t") < F.col("turn_index")).groupBy("unit").agg(r6(1 - F.min(dot("v", "_v"))).alias("greatest"))
+    few, many = _by_size(u, small)
+    b = few.select("unit", F.col("turn_index").alias("_t"), F.col("v").alias("_v"))
+    far = few.join(b.hint("merge"), "unit").where(F.col("_t") < F.col("turn_index")).groupBy("unit").agg(r6(1 - F.min(dot("v", "_v"))).alias("greatest"))
+    if many is not None:
+        far = far.unionByName(pv.farthest(pv.blocks(many, size=block)).select("unit", r6(1 - F.col("least")).alias("greatest")))
     return g.drop("s").join(c.hint("merge"), "unit").join(far.hint("merge"), "unit", "left")
 
 
@@ -87,11 +103,14 @@ def dispersion_bands(stats: DataFrame, bands: list[tuple[int, int]]) -> DataFram
     return b.groupBy(F.col("_b.lo").alias("low"), F.col("_b.hi").alias("high")).agg(F.count(F.lit(1)).alias("units"), *(r6(F.avg(c)).alias(c) for c in ("pairwise", "greatest", "to_centroid", "closing")))
 
 
-def redundancy(df: DataFrame, least: float = 0.7) -> DataFrame:
-    """Each turn's greatest cosine to an earlier one of its (small) unit: mean, and share at or above `least`."""
+def redundancy(df: DataFrame, least: float = 0.7, small: int = SMALL, block: int = pv.BLOCK) -> DataFrame:
+    """Each turn's greatest cosine to an earlier one of its unit: mean, and share at or above `least`. Units with more than `small` turns go through blocks that pivots leave open."""
     u = df.withColumn("v", unit("v"))
+    u, many = _by_size(u, small)
     b = u.select("unit", F.col("turn_index").alias("_t"), F.col("v").alias("_v"))
-    m = u.join(b, "unit").where(F.col("_t") < F.col("turn_index")).groupBy("unit", "turn_index").agg(F.max(dot("v", "_v")).alias("m"))
+    m = u.join(b.hint("merge"), "unit").where(F.col("_t") < F.col("turn_index")).groupBy("unit", "turn_index").agg(F.max(dot("v", "_v")).alias("m"))
+    if many is not None:
+        m = m.unionByName(pv.nearest_earlier(pv.blocks(many, size=block)).select("unit", "turn_index", "m"))
     return m.groupBy("unit").agg(F.count(F.lit(1)).alias("turns"), r6(F.avg("m")).alias("mean_max"), r6(F.avg((F.col("m") >= least).cast("double"))).alias("redundant"))
 
 
