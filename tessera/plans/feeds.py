@@ -146,12 +146,20 @@ def newest(keys):
 
 register("str01_usage_windows", lambda s, d: us.drain(us.usage_windows(log(s, d)), "update", shared_dir(s), newest(["window_start", "model"])), "", """
     select epoch(date_trunc('day', ts))::bigint window_start, event_type model, count(*) calls, count(*) filter (event_type = 'error') errors, sum((props->>'$.k')::bigint)::bigint tokens from events group by 1, 2""")
+register("str01_sliding_windows", lambda s, d: us.drain(us.usage_windows(log(s, d), "7 days", slide="1 day"), "update", shared_dir(s), newest(["window_start", "model"])), "", """
+    with w as (select *, unnest(range(0, 7)) back from events) select epoch(date_trunc('day', ts))::bigint - 86400 * back window_start, event_type model, count(*) calls, count(*) filter (event_type = 'error') errors, sum((props->>'$.k')::bigint)::bigint tokens from w group by 1, 2""")
 register("str02_activity_sessions", lambda s, d: us.drain(us.activity_sessions(log(s, d)), "complete", shared_dir(s), newest(["user_id", "started"])), "", """
     with l as (select *, case when lag(ts) over (partition by user_id order by ts) + interval 6 hours >= ts then 0 else 1 end n from events), g as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) k from l)
-    select user_id, floor(epoch(min(ts)))::bigint started, floor(epoch(max(ts) + interval 6 hours))::bigint ended, count(*) calls, round(sum(value), 6) "value" from g group by user_id, k""")
+    select user_id, floor(epoch(min(ts)))::bigint started, floor(epoch(max(ts) + interval 6 hours))::bigint ended, count(*) calls, sum((props->>'$.k')::bigint)::bigint tokens, round(sum(value), 6) "value",
+        first(event_id order by ts desc, event_id desc) last_event, first(event_type order by ts desc, event_id desc) last_kind, epoch_us(max(ts)) - epoch_us(min(ts)) elapsed_us from g group by user_id, k""")
 register("str03_running_chains", lambda s, d: us.drain(us.running_chains(log(s, d)), "update", shared_dir(s), newest(["user_id"])).drop("expired"), "", """
     with o as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) k from events), r as (select user_id, k, count(*) filter (event_type <> 'error') n from o group by 1, 2)
     select user_id, arg_max(n, k) run, max(n) longest, (select count(*) from events e where e.user_id = r.user_id) events from r group by 1""")
+register("str03_session_progress", lambda s, d: us.drain(us.session_progress(log(s, d)), "update", shared_dir(s), newest(["user_id"])), "", """
+    with o as (select *, sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) k from events), r as (select user_id, k, count(*) filter (event_type <> 'error') n from o group by 1, 2),
+    c as (select user_id, arg_max(n, k) run, max(n) longest from r group by 1), g as (select user_id, count(*) filter (event_type = 'signup') section, count(*) calls, sum((props->>'$.k')::bigint)::bigint tokens,
+        first(event_id order by ts desc, event_id desc) last_event, first(event_type order by ts desc, event_id desc) last_kind, epoch_us(max(ts)) - epoch_us(min(ts)) elapsed_us from events group by 1)
+    select g.user_id, section, greatest(section - 1, 0) completed, least(greatest(section - 1, 0) / 5::double, 1) completion, run, longest, calls, tokens, last_event, last_kind, elapsed_us, case when section > 5 then 'complete' else 'running' end status from g join c using (user_id)""")
 register("str04_deduplicated", lambda s, d: us.drain(us.deduplicated(log(s, d), ["user_id", "event_type"]), "append", shared_dir(s)).select("user_id", "event_type"), "", "select distinct user_id, event_type from events")
 DATED = [("click", "2023-01-01", "2024-01-10", 0.5), ("click", "2024-01-10", None, 0.75), ("view", "2024-01-05", "2024-01-20", 0.25)]
 dated = lambda s: s.createDataFrame(DATED, "model string, since string, until string, rate double").withColumns({c: F.col(c).cast("timestamp") for c in ("since", "until")})

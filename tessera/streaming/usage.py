@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,20 @@ def read_log(spark: SparkSession, path: str, files_a_batch: int | None = None) -
     return spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": files_a_batch} if files_a_batch else {})).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def usage_windows(log: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Calls, errors and tokens by model in tumbling windows; rows later than the watermark are left out."""
+def usage_windows(log: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    """Calls, errors and tokens by model in windows that start every `slide` (tumbling without one); rows later than the watermark are left out."""
     k = F.get_json_object("props", "$.k").cast("long")
-    w = log.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("event_type").alias("model"))
+    w = log.withWatermark("ts", late).groupBy(F.window("ts", width, slide), F.col("event_type").alias("model"))
     g = w.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(k).alias("tokens"))
     return g.select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "model", "calls", "errors", "tokens")
 
 
 def activity_sessions(log: DataFrame, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
-    """Bursts of activity of each user with no pause of `gap`."""
-    g = log.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("calls"), r6(F.sum("value")).alias("value"))
-    return g.select("user_id", F.unix_timestamp(F.col("w.start")).alias("started"), F.unix_timestamp(F.col("w.end")).alias("ended"), "calls", "value")
+    """Bursts of activity of each user with no pause of `gap`: calls, tokens, value, the last event (by time, then id) and its kind, and the microseconds from the first to the last."""
+    k, last = F.get_json_object("props", "$.k").cast("long"), F.max(F.struct("ts", "event_id", "event_type"))
+    g = log.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("calls"), F.sum(k).alias("tokens"), r6(F.sum("value")).alias("value"), F.min("ts").alias("_a"), last.alias("_z"))
+    ends = [F.unix_timestamp(F.col("w.start")).alias("started"), F.unix_timestamp(F.col("w.end")).alias("ended")]
+    return g.select("user_id", *ends, "calls", "tokens", "value", F.col("_z.event_id").alias("last_event"), F.col("_z.event_type").alias("last_kind"), (F.unix_micros("_z.ts") - F.unix_micros("_a")).alias("elapsed_us"))
 
 
 def running_chains(log: DataFrame, breaks: str = "error", idle: str = "40 days", late: str = "2 days") -> DataFrame:
@@ -59,6 +62,41 @@ def running_chains(log: DataFrame, breaks: str = "error", idle: str = "40 days",
     return rows.groupBy("user_id").applyInPandasWithState(step, out, "run long, longest long, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def session_progress(log: DataFrame, opens: str = "signup", breaks: str = "error", planned: int = 5, idle: str = "40 days", late: str = "2 days") -> DataFrame:
+    """Progress of each user, kept as state across batches: the section (how many events of kind `opens` came so far; 0 before the first), sections completed (each is by
+    the opening of the next), their share of those planned (1 at most), current and longest run without a break, calls, tokens, the last event's id and kind, and the microseconds since the first.
+    Status is running, complete (all planned sections are) or expired: a user idle for `idle` of event time gets a last row of that status from a timer and loses the state."""
+    wait = int(log.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {idle})").first()[0])
+    kept = "section long, run long, longest long, calls long, tokens long, first_us long, last_us long, last_event long, last_kind string"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        section, run, longest, calls, tokens, first, last, event, kind = state.get if state.exists else (0, 0, 0, 0, 0, None, None, None, None)
+        if expired := state.hasTimedOut:
+            state.remove()
+        else:
+            rows = pd.concat(batches).sort_values(["us", "event_id"])
+            ends = np.flatnonzero((rows["event_type"] == breaks).to_numpy())
+            # runs between breaks; the first goes on from the batch before
+            runs = np.diff(np.concatenate([[-1], ends, [len(rows)]])) - 1
+            runs[0] += run
+            run, longest = int(runs[-1]), max(longest, int(runs.max()))
+            section, calls, tokens = section + int((rows["event_type"] == opens).sum()), calls + len(rows), tokens + int(rows["tokens"].sum())
+            newest = rows.iloc[-1]
+            first = int(rows["us"].min()) if first is None else min(first, int(rows["us"].min()))
+            if last is None or (int(newest["us"]), int(newest["event_id"])) > (last, event):
+                last, event, kind = int(newest["us"]), int(newest["event_id"]), newest["event_type"]
+            state.update((section, run, longest, calls, tokens, first, last, event, kind))
+            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        done = max(section - 1, 0)
+        status = "expired" if expired else "complete" if done >= planned else "running"
+        row = (key[0], section, done, min(done / planned, 1.0), run, longest, calls, tokens, event, kind, last - first, status)
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in out.split(", ")])
+
+    rows = log.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "event_type", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("tokens"))
+    out = "user_id long, section long, completed long, completion double, run long, longest long, calls long, tokens long, last_event long, last_kind string, elapsed_us long, status string"
+    return rows.groupBy("user_id").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def deduplicated(log: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
     """The first row of each key within the watermark; rows later than it are left out, and `drain_counted` counts them."""
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
