@@ -52,6 +52,25 @@ register("src04_files", lambda s, d: tr.file_artefacts(event_files(s, d), event_
 register("src05_lines_to_turns", lambda s, d: tr.lines_to_turns(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n(A|The|La|Der) ", "\n$1$1: ").alias("text"))).select("doc_id", "turn", "speaker", F.md5("text").alias("text_md5")), "", rf"""
     with t as (select doc_id, string_split(regexp_replace(text, '\n(A|The|La|Der) ', chr(10) || '\1\1: ', 'g'), chr(10)) x from documents), l as (select doc_id, unnest(x) t, generate_subscripts(x, 1) line from t), k as (select *, nullif(regexp_extract(t, '^([A-Z][A-Za-z]{{1,20}}):', 1), '') s from l where not regexp_matches(trim(t), '^[0-9]{{1,3}}$|^[0-9]{{1,2}}:[0-9]{{2}}$')),
     c as (select *, count(s) over (partition by doc_id order by line rows unbounded preceding) turn from k) select doc_id, turn, max(s) speaker, md5(string_agg(trim(regexp_replace(t, '^[A-Z][A-Za-z]{{1,20}}:', '')), ' ' order by line)) text_md5 from c group by 1, 2""")
+PARTS = [("\n(A|The|La|Der) ", "\n$1$1: "), ("\n(And|Was) ", "\nThe Campaign’s  Issues?\n$1 "), ("\n(To|En) ", "\nEnd of transcript.\n$1 ")]
+
+
+def parted(s, d):
+    """Documents as raw transcripts: some words that begin a line stand for speakers, headings and ends."""
+    text = F.col("text")
+    for pattern, by in PARTS:
+        text = F.regexp_replace(text, pattern, by)
+    return tr.transcript_parts(table(s, d, "documents").select("doc_id", text.alias("text")), ["the campaigns issues", "Leaders"])
+
+
+register("src05_transcript_parts", lambda s, d: parted(s, d).withColumn("text_md5", F.md5("text")).drop("text"), "", r"""
+    with d as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n(A|The|La|Der) ', chr(10) || '\1\1: ', 'g'), '\n(And|Was) ', chr(10) || 'The Campaign’s  Issues?' || chr(10) || '\1 ', 'g'), '\n(To|En) ', chr(10) || 'End of transcript.' || chr(10) || '\1 ', 'g') text from documents),
+    l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) line from d), a as (select *, nullif(regexp_extract(t, '^([A-Z][A-Za-z]{1,20}):', 1), '') s0 from l),
+    b as (select *, count(s0) over w > 0 started from a window w as (partition by doc_id order by line rows unbounded preceding)), c as (select *, coalesce(bool_or(started and starts_with(lower(trim(t)), 'end of transcript')) over w, false) ended from b window w as (partition by doc_id order by line rows unbounded preceding)),
+    e as (select *, case when not ended then s0 end s, not ended and s0 is null and trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))), '[''‘’′]', '', 'g'), '\?+$', '')) in ('the campaigns issues', 'leaders') h from c where ended or not regexp_matches(trim(t), '^[0-9]{1,3}$|^[0-9]{1,2}:[0-9]{2}$')),
+    f as (select *, count(s) over w turn0, count(*) filter (h) over w section0, max(case when s is not null then line end) over w sl, max(case when h then line end) over w hl from e window w as (partition by doc_id order by line rows unbounded preceding)),
+    g as (select *, case when ended then 'back' when h then 'heading' when not started then 'front' when coalesce(hl, 0) > sl then 'loose' else 'turn' end part from f)
+    select doc_id, part, case when part in ('front', 'back') then 0 else section0 end "section", case when part in ('front', 'back') then 0 else turn0 end turn, max(s) speaker, md5(string_agg(trim(case when part = 'turn' then regexp_replace(t, '^[A-Z][A-Za-z]{1,20}:', '') else t end), ' ' order by line)) text_md5 from g group by 1, 2, 3, 4""")
 ITEMS = [("q1", "calm", False, 5), ("q2", "calm", True, 5), ("q3", "open", False, 5), ("q4", "open", True, 7)]
 register("src06_survey", lambda s, d: tr.survey_attributes(table(s, d, "customer").select(F.col("c_custkey").alias("person"), F.to_json(F.struct((F.col("c_custkey") % 5 + 1).alias("q1"), (F.col("c_nationkey") % 5 + 1).alias("q2"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 4 + 1).alias("q3"), F.col("c_mktsegment").alias("q4"))).alias("payload")), s.createDataFrame(ITEMS, "question string, scale string, reverse boolean, top int")), "", """
     with a as (select c_custkey person, 'calm' scale, c_custkey % 5 + 1 x from customer union all select c_custkey, 'calm', 6 - (c_nationkey % 5 + 1) from customer union all select c_custkey, 'open', c_custkey % 4 + 1 from customer where c_custkey % 3 > 0 union all select c_custkey, 'open', null from customer)

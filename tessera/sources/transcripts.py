@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,6 +75,37 @@ def lines_to_turns(texts: DataFrame) -> DataFrame:
     return g.select("doc_id", "turn", "speaker", F.array_join(F.transform("_l", lambda x: x["b"]), " ").alias("text"))
 
 
+#: What a line after the dialogue's start begins with, in lower case, when the dialogue is over.
+THE_END = "end of transcript"
+
+
+def heading_key(c: Column) -> Column:
+    """How headings compare: lower case, single spaces, no apostrophes, no question marks at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), r"['‘’′]", ""), r"\?+$", ""))
+
+
+def transcript_parts(texts: DataFrame, headings: list[str]) -> DataFrame:
+    """(doc_id, text) to (doc_id, part, section, turn, speaker, text). A `Speaker:` line opens a turn, a line of the list `headings` closes it and opens the next section (from 1; 0 before the first).
+    Parts: front (what stands before the first speaker), heading, turn, loose (lines between a heading and the next speaker), back (from a line that begins with THE_END, once somebody
+    has spoken). Bare numbers and times are left out up to there; text without a line for a part gives no row, null text none at all."""
+    w = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    df = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    name = F.regexp_extract("t", r"^([A-Z][A-Za-z]{1,20}):", 1)
+    df = df.withColumn("_s", F.when(name != "", name)).withColumn("_started", F.count("_s").over(w) > 0)
+    df = df.withColumn("_ended", F.max(F.col("_started") & F.lower(F.trim("t")).startswith(THE_END)).over(w))
+    df = df.where("_ended" + r" or not trim(t) rlike '^[0-9]{1,3}$|^[0-9]{1,2}:[0-9]{2}$'")
+    listed = F.array_contains(F.array(*(heading_key(F.lit(h)) for h in headings)), heading_key(F.col("t"))) if headings else F.lit(False)
+    df = df.withColumns({"_s": F.when(~F.col("_ended"), F.col("_s")), "_h": ~F.col("_ended") & F.col("_s").isNull() & listed})
+    df = df.withColumns({"turn": F.count("_s").over(w), "section": F.count_if("_h").over(w), "_open": F.last(F.when(F.col("_s").isNotNull(), "turn").when(F.col("_h"), "loose"), True).over(w)})
+    part = F.when(F.col("_ended"), "back").when(F.col("_h"), "heading").when(~F.col("_started"), "front").otherwise(F.col("_open"))
+    df = df.withColumn("part", part)
+    outside = F.col("part").isin("front", "back")
+    df = df.withColumns({"turn": F.when(outside, 0).otherwise(F.col("turn")), "section": F.when(outside, 0).otherwise(F.col("section"))})
+    body = F.trim(F.when(F.col("part") == "turn", F.regexp_replace("t", r"^[A-Z][A-Za-z]{1,20}:", "")).otherwise(F.col("t")))
+    g = df.groupBy("doc_id", "part", "section", "turn").agg(F.max("_s").alias("speaker"), F.array_sort(F.collect_list(F.struct("line", body.alias("b")))).alias("_l"))
+    return g.select("doc_id", "part", "section", "turn", "speaker", F.array_join(F.transform("_l", lambda x: x["b"]), " ").alias("text"))
+
+
 def nested_answers(df: DataFrame) -> DataFrame:
     """Surveys whose answers stand in blocks of questions (`blocks[].questions[]` with id and answer) as flat ones: person, payload."""
     blocks = F.from_json("payload", "blocks array<struct<questions array<struct<id string, answer string>>>>")["blocks"]
