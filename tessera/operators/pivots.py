@@ -105,8 +105,7 @@ def _pairs(b: DataFrame, a_cols: list[str], keep: Column) -> DataFrame:
     y = light.select("unit", *(F.col(c).alias(f"b_{c}") for c in light.columns[1:]))
     pairs = written(x.join(y.hint("merge"), "unit").where(keep).select("a_block", "b_block"), "pivot-pairs")
     heavy = lambda s, cols: b.select(*(F.col(c).alias(f"{s}_{c}") for c in ["block", *cols]))
-    j = pairs.join(heavy("a", ["unit", *a_cols]).hint("merge"), "a_block").join(heavy("b", ["turns", "v", "lo", "hi"]).hint("merge"), "b_block")
-    return j.repartition("a_block", "b_block")
+    return pairs.join(heavy("a", ["unit", *a_cols]).hint("merge"), "a_block").join(heavy("b", ["turns", "v", "lo", "hi"]).hint("merge"), "b_block")
 
 
 def nearest_earlier(b: DataFrame) -> DataFrame:

@@ -79,10 +79,10 @@ register("vec05_dispersion_bands", lambda s, d: vc.dispersion_bands(vc.dispersio
     select low, high, count(*) units, round(avg(pairwise), 6) pairwise, round(avg(greatest), 6) greatest, round(avg(to_centroid), 6) to_centroid, round(avg(closing), 6) closing from ds join bd on n between low and high group by 1, 2""")
 register("vec06_redundancy", lambda s, d: vc.redundancy(vectors(s, d)), "vectors", UV + """,
     m as (select a.unit, a.turn_index, max(list_inner_product(a.v, b.v)) m from u a join u b on a.unit = b.unit and b.turn_index < a.turn_index group by 1, 2) select unit, count(*) turns, round(avg(m), 6) mean_max, round(avg((m >= 0.7)::int), 6) redundant from m group by 1""")
-WHOLE = ", whole as (select 'all' unit, * exclude (unit) from vectors), "
-whole = lambda s, d: vectors(s, d).withColumn("unit", F.lit("all"))
-register("vec05_dispersion_whole", lambda s, d: vc.dispersion(whole(s, d), 0, 128), "vectors", (WHOLE[2:] + DISP.replace("from vectors", "from whole") + " select * from ds"))
-register("vec06_redundancy_whole", lambda s, d: vc.redundancy(whole(s, d), 0.7, 0, 128), "vectors", (WHOLE[2:] + UV.replace("from vectors", "from whole") + """,
+WHOLE = "whole as (select (split_part(unit, ':', 1)::int % 2)::varchar unit, * exclude (unit) from vectors), "
+whole = lambda s, d: vectors(s, d).withColumn("unit", (F.split_part("unit", F.lit(":"), F.lit(1)).cast("int") % 2).cast("string"))
+register("vec05_dispersion_whole", lambda s, d: vc.dispersion(whole(s, d), 0, 1024), "vectors", (WHOLE + DISP.replace("from vectors", "from whole") + " select * from ds"))
+register("vec06_redundancy_whole", lambda s, d: vc.redundancy(whole(s, d), 0.7, 0, 1024), "vectors", (WHOLE + UV.replace("from vectors", "from whole") + """,
     m as (select a.unit, a.turn_index, max(list_inner_product(a.v, b.v)) m from u a join u b on a.unit = b.unit and b.turn_index < a.turn_index group by 1, 2) select unit, count(*) turns, round(avg(m), 6) mean_max, round(avg((m >= 0.7)::int), 6) redundant from m group by 1"""))
 register("vec07_differentiation", lambda s, d: vc.differentiation(vectors(s, d)), "vectors", UV + """,
     sp as (select unit, speaker, sum(x * x) q from (select unit, speaker, i, sum(x) x from ue group by 1, 2, 3) group by 1, 2), sn as (select unit, speaker, count(*) n from u group by 1, 2), w as (select unit, sum(q) q, sum(n) n, sum(n * n) n2 from sp join sn using (unit, speaker) group by 1)
