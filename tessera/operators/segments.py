@@ -33,7 +33,8 @@ def by_log(turns: DataFrame, log: DataFrame, sections: int) -> DataFrame:
     """Sections opened by the transition rows of a log (session_id, ord, turn_index, utterance): in the order of the log each is matched to a moderator
     turn of its number and text (case and white space apart), the k-th of equal rows to the k-th of equal turns. At most sections - 1 open one; rows up to the
     last of these without a turn are `missing`; `monotonic` says whether the boundaries follow each other as in the log. Blank utterances don't count."""
-    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    # capitals, not lower case: a log in capitals has SS where the turn has ß (and lower(upper(x)) won't do, Spark shortens it to lower(x))
+    key = lambda c: F.trim(F.regexp_replace(F.upper(c), r"\s+", " "))
     same = lambda order: F.row_number().over(W.partitionBy("session_id", "turn_index", "_k").orderBy(order))
     rows = log.withColumn("_k", key("utterance")).where("_k != ''").withColumn("_i", same("ord"))
     said = turns.where("role = 'moderator'").select("session_id", "turn_index", key("text").alias("_k")).withColumn("_i", same("turn_index")).withColumn("_hit", F.lit(1))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import with_each
-from tessera.operators import pairs, quality, stats, thematic
+from tessera.operators import pairs, quality, segments, stats, thematic
 from tessera.sources import transcripts
 
 
@@ -119,3 +119,11 @@ def test_scenarios_leave_the_base_as_it_is(spark):
     assert got["BASE", "x"] == (0, 7, 4, 0.875) and got["S", "x"] == (1, 6, 4, 0.75) and got["T", "ref"] == (2, 2, 2, 0.5)
     t = {(r.scenario, r.replicate): (r.transition, r.moved) for r in stats.transitions(stats.scenario_orderings(under, "ref"), thematic.BASE).collect()}
     assert t["S", 1] == ("stays_defined", 0) and t["S", 2][0] == "becomes_defined" and t["T", 1][0] == "becomes_undefined" and t["T", 2][0] == "stays_undefined"
+
+
+def test_logs_in_capitals_open_sections(spark):
+    """Capitals of a sharp s are SS, which have no way back."""
+    turns = spark.createDataFrame([("s", 0, "moderator", "Straße  frei"), ("s", 1, "participant", "ja"), ("s", 2, "moderator", "Gruß")], "session_id string, turn_index long, role string, text string")
+    log = spark.createDataFrame([("s", 1, 0, "STRASSE FREI"), ("s", 2, 2, " gruß ")], "session_id string, ord int, turn_index long, utterance string")
+    got = {r.turn_index: (r.section_no, r.missing, r.monotonic) for r in segments.by_log(turns, log, 4).collect()}
+    assert got == {0: (1, 0, True), 1: (1, 0, True), 2: (2, 0, True)}
