@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import sampling as sm
 from ..operators import stats as st
 from ..operators import thematic as th
@@ -45,12 +46,16 @@ register("sta05_paired_effects", lambda s, d: st.paired_effects(price(s, d), "MA
 DIFF = """df as (select c_nationkey unit, avg(case when o_orderpriority < '3' then o_totalprice end) - avg(case when o_orderpriority >= '3' then o_totalprice end) d from orders join customer on o_custkey = c_custkey group by 1)"""
 
 
+#: Sums of doubles depend on the order of their rows; in fixed point they don't.
+EXACT = DIFF.replace("avg(case when o_orderpriority < '3' then o_totalprice end)", "sum(case when o_orderpriority < '3' then o_totalprice::decimal(18, 4) end)::double / count(case when o_orderpriority < '3' then o_totalprice end)").replace("avg(case when o_orderpriority >= '3' then o_totalprice end)", "sum(case when o_orderpriority >= '3' then o_totalprice::decimal(18, 4) end)::double / count(case when o_orderpriority >= '3' then o_totalprice end)")
+
+
 def diffs(s, d):
-    p = F.col("o_totalprice")
-    return table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("unit")).agg((F.avg(F.when(F.col("o_orderpriority") < "3", p)) - F.avg(F.when(F.col("o_orderpriority") >= "3", p))).alias("d"))
+    mean = lambda test: tx.ratio(F.sum(F.when(test, F.col("o_totalprice").cast("decimal(18, 4)"))), F.count(F.when(test, F.col("o_totalprice"))))
+    return table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("unit")).agg((mean(F.col("o_orderpriority") < "3") - mean(F.col("o_orderpriority") >= "3")).alias("d"))
 
 
-register("sta06_effect_summary", lambda s, d: st.effect_summary(diffs(s, d)), "", f"""with {DIFF}, l as (select unit left_out from df union all select null)
+register("sta06_effect_summary", lambda s, d: st.effect_summary(diffs(s, d)), "", f"""with {EXACT}, l as (select unit left_out from df union all select null)
     select left_out, count(*) n, round(avg(d), 6) mean, round(quantile_cont(d, 0.5), 6) median, count(*) filter (d > 0) up, count(*) filter (d < 0) down, count(*) filter (d = 0) ties from df cross join l where unit is distinct from left_out group by 1""")
 register("sta07_sign_test", lambda s, d: st.sign_test(diffs(s, d).withColumn("half", F.col("unit") % 2), ["half"]), "", f"""with {DIFF}, g as (select unit % 2 half, count(*) filter (d <> 0)::int n, least(count(*) filter (d > 0), count(*) filter (d < 0))::int k from df group by 1)
     select half, n, k, round(least(1, 2 * list_sum(list_transform(range(k + 1), lambda i: factorial(n)::double / (factorial(i::int)::double * factorial((n - i)::int)::double) * power(0.5, n)))), 6) p, round(least(1, 2 * power(0.5, n)), 6) least_p from g""")

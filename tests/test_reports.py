@@ -3,11 +3,13 @@
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import with_each
 from tessera.operators import pairs, quality, segments, stats, thematic
+from tessera.plans import registry, stats as _plans  # noqa: F401  it registers queries
 from tessera.sources import transcripts
 
 
@@ -127,3 +129,17 @@ def test_logs_in_capitals_open_sections(spark):
     log = spark.createDataFrame([("s", 1, 0, "STRASSE FREI"), ("s", 2, 2, " gruß ")], "session_id string, ord int, turn_index long, utterance string")
     got = {r.turn_index: (r.section_no, r.missing, r.monotonic) for r in segments.by_log(turns, log, 4).collect()}
     assert got == {0: (1, 0, True), 1: (1, 0, True), 2: (2, 0, True)}
+
+
+def test_equal_means_tie(spark, tmp_path):
+    """Ten times 0.1 against once 0.1: in doubles the means differ by the last bit, by the order of the rows."""
+    orders = [(1, "1-URGENT", 0.1)] * 10 + [(1, "5-LOW", 0.1), (2, "1-URGENT", 3.0), (2, "5-LOW", 1.0)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7), (2, 8)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    cols = ["left_out", "n", "mean", "median", "up", "down", "ties"]
+    got = sorted((tuple(r) for r in registry.QUERIES["sta06_effect_summary"](spark, str(tmp_path)).select(*cols).collect()), key=str)
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql("select " + ", ".join(cols) + f" from ({registry.ORACLES['sta06_effect_summary']})").fetchall(), key=str)
+    assert got == want == [(7, 1, 2.0, 2.0, 1, 0, 0), (8, 1, 0.0, 0.0, 0, 0, 1), (None, 2, 1.0, 1.0, 1, 0, 1)]
