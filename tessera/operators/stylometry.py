@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,36 +35,91 @@ def eligibility(cell: DataFrame, budgets: list[int], others: int = 2) -> DataFra
     return f.groupBy("budget").agg(F.count_if(F.col("participants") >= 2).alias("folds"), F.count_distinct(F.when(F.col("participants") >= 2, F.col("doc"))).alias("docs"))
 
 
-def char_ngrams(cell: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(cell, gram, tf): character n-grams of words padded by one space at each side; a shorter word gives its padded form once for each n."""
+#: Distinct words of cells in a part, and of a document whose n-grams are counted at once; more go in slices by the hash of the n-gram.
+WORDS_A_PART, WORDS_A_SLICE = 20_000, 50_000
+
+
+def char_ngrams(w: str, lo: int, hi: int) -> list[str]:
+    """Character n-grams of a padded word; a shorter word gives itself once for each n."""
+    return [g for n in range(lo, hi + 1) for g in ([w] if len(w) <= n else [w[i : i + n] for i in range(len(w) - n + 1)])]
+
+
+def products(cell: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(cell, qb, pb, at, t): inner products of the n-gram counts (of words padded by one space at each side) of the ordered pairs of cells of a document that
+    share a gram, apart by `at`, the questions of the cells that hold the gram (once for each cell).
+
+    The distinct words are written and dealt by document; a document's n-grams are counted where its words lie and never move.
+    """
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    pad = cell.select(*CELL, F.explode(w).alias("_w")).groupBy(*CELL, "_w").agg(F.count(F.lit(1)).alias("_c")).withColumn("_w", F.concat(F.lit(" "), "_w", F.lit(" ")))
-    size = F.char_length("_w")
-    each = lambda n: F.when(size <= n, F.array("_w")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col("_w"), i, F.lit(n))))
-    g = pad.select(*CELL, "_c", F.explode(F.concat(*(each(n) for n in range(lo, hi + 1)))).alias("gram"))
-    return g.groupBy(*CELL, "gram").agg(F.sum("_c").alias("tf"))
+    pad = written(cell.select(*CELL, F.explode(w).alias("_w")).groupBy(*CELL, "_w").agg(F.count(F.lit(1)).alias("_c")), "words")
+    slices = pad.withColumn("_k", F.floor(F.count(F.lit(1)).over(W.partitionBy("doc")) / WORDS_A_SLICE) + 1).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    slices = slices.repartition(1 + pad.count() // WORDS_A_PART, "doc", "_s")
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[["question", "participant"]].drop_duplicates().reset_index(drop=True)
+        place = pdf.merge(own.assign(_i=own.index), on=["question", "participant"])
+        word, words = pd.factorize(place["_w"])
+        grams = [[g for g in char_ngrams(f" {x} ", lo, hi) if key[2] == 1 or crc32(g.encode()) % key[2] == key[1]] for x in words]
+        by_word = np.zeros((len(words), len(own)), np.int64)
+        np.add.at(by_word, (word, place["_i"].to_numpy()), place["_c"].to_numpy())
+        gram, names = pd.factorize(np.array([g for gs in grams for g in gs], object))
+        tf = np.zeros((len(names), len(own)), np.int64)
+        np.add.at(tf, gram, by_word[np.repeat(np.arange(len(words)), [len(gs) for gs in grams])])
+        asked, questions = pd.factorize(own["question"], sort=True)
+        held = np.stack([(tf[:, asked == k] > 0).sum(1) for k in range(len(questions))], 1)
+        which = np.zeros(len(names), np.int64)
+        for column in held.T:
+            which = pd.factorize(which * (len(own) + 1) + column)[0]
+        order = np.argsort(which, kind="stable")
+        out = []
+        for rows in np.split(order, np.cumsum(np.bincount(which))[:-1]) if len(order) else []:
+            at, part = held[rows[0]], tf[rows]
+            t = part.T @ part
+            a, b = np.nonzero(t)
+            out.append(pd.DataFrame({"doc": key[0], "question": own["question"].to_numpy()[a], "participant": own["participant"].to_numpy()[a], "qb": own["question"].to_numpy()[b], "pb": own["participant"].to_numpy()[b], "at": [np.repeat(questions, at)] * len(a), "t": t[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc", "question", "participant", "qb", "pb", "at", "t"])
+
+    doc, question, participant = (cell.schema[c].dataType.simpleString() for c in CELL)
+    fields = f"doc {doc}, question {question}, participant {participant}, qb {question}, pb {participant}, at array<{question}>, t long"
+    p = slices.groupBy("doc", "_s", "_k").applyInPandas(count, fields)
+    return written(p.groupBy(*CELL, "qb", "pb", "at").agg(F.sum("t").alias("t")), "products")
+
+
+def same_cell() -> Column:
+    return (F.col("question") == F.col("qb")) & (F.col("participant") == F.col("pb"))
+
+
+def cosines(cell: DataFrame, lo: int, hi: int, test: Column) -> DataFrame:
+    """(cell, qb, pb, s): cosines of the n-gram counts of pairs of cells that meet `test`."""
+    p = products(cell, lo, hi).where(test | same_cell()).groupBy(*CELL, "qb", "pb").agg(F.sum("t").alias("t"))
+    norm = p.where(same_cell()).select(*CELL, F.sqrt("t").alias("_na"))
+    p = p.where(test).join(norm.hint("merge"), CELL).join(norm.select("doc", F.col("question").alias("qb"), F.col("participant").alias("pb"), F.col("_na").alias("_nb")).hint("merge"), ["doc", "qb", "pb"])
+    return p.select(*CELL, "qb", "pb", (F.col("t") / (F.col("_na") * F.col("_nb"))).alias("s"))
 
 
 def attribute(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Leave one question out: idf and speaker centroids come from a document's other questions only; each held-out cell goes to the nearest
-    centroid (ties to the least participant). Gives one trial a cell: truth, guess, margin."""
-    g = char_ngrams(cell, lo, hi)
-    folds = cell.select("doc", F.col("question").alias("fold")).distinct()
-    train = g.join(folds.hint("merge"), "doc").where(F.col("question") != F.col("fold"))
-    n = cell.join(folds, "doc").where(F.col("question") != F.col("fold")).groupBy("doc", "fold").agg(F.count(F.lit(1)).alias("_n"))
-    idf = train.groupBy("doc", "fold", "gram").agg(F.count(F.lit(1)).alias("_df")).join(n.hint("merge"), ["doc", "fold"]).select("doc", "fold", "gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
-    w = train.join(idf.hint("merge"), ["doc", "fold", "gram"]).withColumn("x", F.col("tf") * F.col("idf"))
-    w = w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc", "fold", "question", "participant"))))
-    c = w.groupBy("doc", "fold", F.col("participant").alias("candidate"), "gram").agg(F.sum("x").alias("c"))
-    norm = c.groupBy("doc", "fold", "candidate").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    test = g.withColumn("fold", F.col("question")).join(idf.hint("merge"), ["doc", "fold", "gram"]).select("doc", "fold", "participant", "gram", (F.col("tf") * F.col("idf")).alias("x"))
-    size = test.groupBy("doc", "fold", "participant").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("tn"))
-    d = test.join(c.hint("merge"), ["doc", "fold", "gram"]).groupBy("doc", "fold", "participant", "candidate").agg(F.sum(F.col("x") * F.col("c")).alias("d"))
-    s = d.join(norm.hint("merge"), ["doc", "fold", "candidate"]).join(size.hint("merge"), ["doc", "fold", "participant"]).withColumn("sim", F.round(F.col("d") / (F.col("norm") * F.col("tn")), 9))
+    centroid (ties to the least participant). Gives one trial a cell: truth, guess, margin.
+
+    All follows from inner products of counts: in a fold a gram's idf depends on the questions of the cells that hold it, so products are summed apart
+    by these, and weights come to sums, not to grams.
+    """
+    q, p, qb, pb, fold = (F.col(c) for c in ("question", "participant", "qb", "pb", "fold"))
+    t = products(cell, lo, hi).where((q != qb) | (p == pb))
+    n = cell.groupBy("doc", "question").agg(F.count(F.lit(1)).alias("_n")).select("doc", q.alias("fold"), (F.sum("_n").over(W.partitionBy("doc")) - F.col("_n")).alias("_n"))
+    g = t.join(n.hint("merge"), "doc").where(((q == fold) | (p == pb)) & ((qb != fold) | same_cell())).withColumn("_df", F.size(F.filter("at", lambda x: x != fold))).where("_df > 0")
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1
+    g = written(g.groupBy("doc", "fold", "question", "participant", "qb", "pb").agg(F.sum(F.col("t") * idf * idf).alias("g")), "weighted")
+    size = g.where(same_cell()).select("doc", "fold", "question", "participant", F.sqrt("g").alias("_na"))
+    other = size.select("doc", "fold", q.alias("qb"), p.alias("pb"), F.col("_na").alias("_nb"))
+    near = g.where(qb != fold).join(other.hint("merge"), ["doc", "fold", "qb", "pb"])
+    norm = near.where(q != fold).join(size.hint("merge"), ["doc", "fold", "question", "participant"]).groupBy("doc", "fold", pb.alias("candidate")).agg(F.sqrt(F.sum(F.col("g") / (F.col("_na") * F.col("_nb")))).alias("norm"))
+    d = near.where(q == fold).groupBy("doc", "fold", "participant", pb.alias("candidate")).agg(F.sum(F.col("g") / F.col("_nb")).alias("d"))
+    tn = size.where(q == fold).select("doc", "fold", "participant", F.col("_na").alias("tn"))
+    s = d.join(norm.hint("merge"), ["doc", "fold", "candidate"]).join(tn.hint("merge"), ["doc", "fold", "participant"]).withColumn("sim", F.round(F.col("d") / (F.col("norm") * F.col("tn")), 9))
     rank = F.row_number().over(W.partitionBy("doc", "fold", "participant").orderBy(F.desc("sim"), "candidate"))
     s = s.withColumns({"_r": rank, "_k": F.count(F.lit(1)).over(W.partitionBy("doc", "fold", "participant"))})
-    t = s.groupBy("doc", "fold", F.col("participant").alias("truth")).agg(F.max(F.when(F.col("_r") == 1, F.col("candidate"))).alias("guess"), F.max("_k").alias("candidates"), r6(F.max(F.when(F.col("_r") == 1, F.col("sim"))) - F.max(F.when(F.col("_r") == 2, F.col("sim")))).alias("margin"))
-    return t
+    return s.groupBy("doc", "fold", F.col("participant").alias("truth")).agg(F.max(F.when(F.col("_r") == 1, F.col("candidate"))).alias("guess"), F.max("_k").alias("candidates"), r6(F.max(F.when(F.col("_r") == 1, F.col("sim"))) - F.max(F.when(F.col("_r") == 2, F.col("sim")))).alias("margin"))
 
 
 def trial_summary(trials: DataFrame) -> DataFrame:
@@ -81,12 +140,8 @@ def hierarchical(summary: DataFrame, group: str) -> DataFrame:
 
 def identity_gap(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Cosine of n-gram counts between cells of different questions: same speaker against different speakers within each question pair."""
-    g = char_ngrams(cell, lo, hi)
-    g = g.withColumn("x", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(*CELL))))
-    b = g.select("doc", F.col("question").alias("qb"), F.col("participant").alias("pb"), "gram", F.col("x").alias("y"))
-    p = g.join(b.hint("merge"), ["doc", "gram"]).where(F.col("question") < F.col("qb")).groupBy("doc", "question", "qb", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    same = F.col("participant") == F.col("pb")
-    p, by = written(p.withColumn("same", same), "cosines"), ["doc", "question", "qb"]
+    p = cosines(cell, lo, hi, F.col("question") < F.col("qb"))
+    p, by = written(p.withColumn("same", F.col("participant") == F.col("pb")), "cosines"), ["doc", "question", "qb"]
     median = lambda test, name: quantiles(p.where(test), by, "s", {name: 0.5}).drop("n")
     q = p.select(*by).distinct()
     for test, name in (("same", "own"), ("not same", "other")):
@@ -96,10 +151,7 @@ def identity_gap(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
 
 def within_question(cell: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     """Median cosine of different speakers' cells of one question, then over a document's questions."""
-    g = char_ngrams(cell, lo, hi)
-    g = g.withColumn("x", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(*CELL))))
-    b = g.select("doc", "question", F.col("participant").alias("pb"), "gram", F.col("x").alias("y"))
-    p = g.join(b.hint("merge"), ["doc", "question", "gram"]).where(F.col("participant") < F.col("pb")).groupBy("doc", "question", "participant", "pb").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    p = cosines(cell, lo, hi, (F.col("question") == F.col("qb")) & (F.col("participant") < F.col("pb")))
     return p.groupBy("doc", "question").agg(F.percentile("s", F.lit(0.5)).alias("m")).groupBy("doc").agg(F.count(F.lit(1)).alias("questions"), r6(F.percentile("m", F.lit(0.5))).alias("similarity"))
 
 
@@ -109,8 +161,9 @@ def budgeted(cell: DataFrame, budget: int) -> DataFrame:
 
 
 def sweep(cell: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
-    """The attribution summary over n-gram ranges and word budgets (lo, hi, budget), each recomputed end to end."""
-    out = None
+    """The attribution summary over n-gram ranges and word budgets (lo, hi, budget), each recomputed from cells that are cut and written once."""
+    least, most = min(b for *_, b in settings), max(b for *_, b in settings)
+    cell, out = written(cell.where(F.col("words") >= least).withColumn("text", word_slice("text", 1, most)), "cells"), None
     for lo, hi, budget in settings:
         t = attribute(budgeted(cell, budget), lo, hi).agg(F.count(F.lit(1)).alias("trials"), r6(F.avg((F.col("truth") == F.col("guess")).cast("double"))).alias("accuracy")).select(F.lit(f"{lo}-{hi}@{budget}").alias("setting"), "trials", "accuracy")
         out = t if out is None else out.unionByName(t)
