@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import r6, ratio, tokens
+from ..scratch import written
 
 
 #: Terms above a COMMON-th of all (document, term) rows are hot.
 COMMON = 1000
 
+#: Hashes whose n-grams are counted by themselves; with more of them (rare n-grams only, all as frequent) all n-grams are.
+FEW = 10_000
+
 
 def token_rows(turns: DataFrame, by: list[str], min_len: int = 1) -> DataFrame:
     """(by, pos, term): the tokens of a unit in the order of its turns."""
@@ -136,7 +140,22 @@ def speaker_collapse(vectors: DataFrame, session: str, speaker: str, doc: str) -
 
 
 def recurring_ngrams(rows: DataFrame, n: int = 4, least: int = 4, top: int = 25) -> DataFrame:
-    """The `top` most frequent n-grams of at least `least` occurrences."""
+    """The `top` most frequent n-grams of at least `least` occurrences. Hashes are counted first, so that only these move; an n-gram is at most as frequent
+    as its hash. N-grams of the most frequent hashes are then counted themselves: from the last place's hash up, and
+    further down where hashes that clash leave places free."""
     t = rows.select(tokens("text", "[a-z]+").alias("t")).where(F.size("t") >= n)
     g = t.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.array_join(F.slice("t", i + 1, n), " "))).alias("ngram"))
+    hashed = written(g.groupBy(_hash("ngram").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "hashes")
+    most = [r.n for r in hashed.orderBy(F.desc("n")).limit(top).select("n").collect()]
+    bound = most[-1] if len(most) == top else least
+    while (often := hashed.where(F.col("n") >= bound).select("h")).limit(FEW + 1).count() <= FEW:
+        part = g.withColumn("h", _hash("ngram")).join(F.broadcast(often), "h", "left_semi")
+        found = written(part.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= bound).orderBy(F.desc("n"), "ngram").limit(top), "often")
+        if bound == least or found.count() == top:
+            return found.orderBy(F.desc("n"), "ngram")
+        bound = max(least, bound // 2)
     return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "ngram").limit(top)
+
+
+def _hash(c: str) -> Column:
+    return F.xxhash64(c)
