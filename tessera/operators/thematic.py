@@ -175,20 +175,49 @@ def set_differences(presence: DataFrame, reference: str) -> DataFrame:
     return tag(ref.exceptAll(gen), "missed").unionByName(tag(gen.exceptAll(ref), "emergent")).unionByName(tag(ref.intersect(gen), "shared"))
 
 
-def greedy_matching(pairs: DataFrame) -> DataFrame:
+#: Pairs of a block that are settled in one row; larger blocks go by rounds. Pairs in a part.
+SMALL, PAIRS_A_PART = 1024, 500_000
+
+
+def greedy_matching(pairs: DataFrame, small: int = SMALL) -> DataFrame:
     """One-to-one pairs by falling similarity inside each block: (block, a, b, sim), ties by a, then b; pairs with a null take no part, repeated ones count once.
 
-    In each round every pair that comes first among the pairs of both its ends is taken, which greedy order would take too, and all pairs of taken ends leave. Rounds are written;
+    Blocks of up to `small` pairs are sorted and settled in one row each, larger ones in rounds. Parts are set by the number of pairs, as pairs are small when shuffled and large when sorted."""
+    pairs = pairs.select("block", "a", "b", "sim").where("block is not null and a is not null and b is not null and sim is not null")
+    sizes = written(pairs.groupBy("block").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    large = sizes.where(F.col("_n") > small).select("block")
+    pairs = pairs.repartition(1 + (sizes.agg(F.sum("_n")).first()[0] or 0) // PAIRS_A_PART, "block")
+    if large.isEmpty():
+        return _in_one_row(pairs)
+    many = pairs.join(large.hint("merge"), "block", "left_semi")
+    return _in_one_row(pairs.join(large.hint("merge"), "block", "left_anti")).unionByName(_in_rounds(many))
+
+
+def _in_one_row(pairs: DataFrame) -> DataFrame:
+    """Pairs of small blocks: a block's pairs in order, each taken unless one of its ends is."""
+    order = F.struct((~F.isnan("sim")).alias("_o"), (-F.col("sim")).alias("_s"), "a", "b", "sim")
+    g = pairs.groupBy("block").agg(F.sort_array(F.collect_list(order)).alias("_p"))
+    free = "array_contains(s.a, p.a) or array_contains(s.b, p.b)"
+    take = "named_struct('a', array_append(s.a, p.a), 'b', array_append(s.b, p.b), 'sim', array_append(s.sim, p.sim))"
+    g = g.select("block", F.expr(f"aggregate(_p, named_struct('a', slice(_p.a, 1, 0), 'b', slice(_p.b, 1, 0), 'sim', slice(_p.sim, 1, 0)), (s, p) -> if({free}, s, {take}))").alias("_t"))
+    return g.select("block", F.inline(F.arrays_zip(F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), F.col("_t.sim").alias("sim"))).alias("a", "b", "sim"))
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """In each round every pair that comes first among the pairs of both its ends is taken, which greedy order would take too, and all pairs of taken ends leave. Rounds are written;
     they go on until no pair is left (a few for mixed similarities; a chain of pairs that fall evenly takes one for each link)."""
-    left = written(pairs.select("block", "a", "b", "sim").where("block is not null and a is not null and b is not null and sim is not null").distinct(), "pairs")
+    left = written(pairs.distinct(), "pairs")
     taken = left.where("false")
-    while not left.isEmpty():
+    while n := left.count():
+        parts, order = 1 + n // PAIRS_A_PART, [F.desc("sim"), "a", "b"]
         a, b = W.partitionBy("block", "a"), W.partitionBy("block", "b")
-        order = [F.desc("sim"), "a", "b"]
-        seen = left.withColumns({"_a": F.row_number().over(a.orderBy(*order)), "_b": F.row_number().over(b.orderBy(*order))}).withColumn("_hit", (F.col("_a") == 1) & (F.col("_b") == 1))
-        seen = written(seen.withColumns({"_gone_a": F.max("_hit").over(a), "_gone_b": F.max("_hit").over(b)}).drop("_a", "_b"), "round")
-        taken = taken.unionByName(seen.where("_hit").select("block", "a", "b", "sim"))
-        left = seen.where("not _gone_a and not _gone_b").select("block", "a", "b", "sim")
+        seen = left.repartition(parts, "block", "a").withColumn("_a", F.row_number().over(a.orderBy(*order)))
+        seen = seen.repartition(parts, "block", "b").withColumn("_b", F.row_number().over(b.orderBy(*order))).withColumn("_hit", (F.col("_a") == 1) & (F.col("_b") == 1))
+        seen = written(seen.withColumn("_gone", F.max("_hit").over(b)).drop("_a", "_b"), "round")
+        hit = seen.where("_hit").select("block", "a", "b", "sim")
+        taken = taken.unionByName(hit)
+        left = seen.where("not _gone").select("block", "a", "b", "sim").repartition(parts, "block", "a").join(hit.select("block", "a").hint("merge"), ["block", "a"], "left_anti")
+        left = written(left, "left")
     return taken
 
 
