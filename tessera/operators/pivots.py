@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,14 +98,24 @@ def _sums(x: str, y: str, turn: str) -> Column:
     return F.expr(f"zip_with({x}, {y}, (p, q) -> {turn})")
 
 
-def _pairs(b: DataFrame, a_cols: list[str], keep: Column) -> DataFrame:
-    """The rows of both blocks of each pair that `keep` leaves, a light join of bounds first."""
-    light = b.select("unit", "block", "first", "last", "lo", "hi", "open")
+#: Blocks of a tile. A task compares two tiles at a time, and a block is copied once for each tile that it meets.
+TILE = 16
+
+
+def _pairs(b: DataFrame, a_cols: list[str], b_cols: list[str], keep: Column) -> tuple[GroupedData, GroupedData]:
+    """Both sides of the pairs of tiles with a pair of blocks that `keep` leaves, a light join of bounds first. A tile has blocks of one unit that one task wrote one after the other."""
+    tile = F.floor(F.col("block") / TILE)  # ids of a task begin at a multiple of 2^33
+    light = b.select("unit", "block", tile.alias("tile"), "first", "last", "lo", "hi", "open")
     x = light.select("unit", *(F.col(c).alias(f"a_{c}") for c in light.columns[1:]))
     y = light.select("unit", *(F.col(c).alias(f"b_{c}") for c in light.columns[1:]))
-    pairs = written(x.join(y.hint("merge"), "unit").where(keep).select("a_block", "b_block"), "pivot-pairs")
-    heavy = lambda s, cols: b.select(*(F.col(c).alias(f"{s}_{c}") for c in ["block", *cols]))
-    return pairs.join(heavy("a", ["unit", *a_cols]).hint("merge"), "a_block").join(heavy("b", ["turns", "v", "lo", "hi"]).hint("merge"), "b_block")
+    key = ["unit", "a_tile", "b_tile"]
+    pairs = written(x.join(y.hint("merge"), "unit").where(keep).groupBy(*key).agg(F.collect_set("a_block").alias("a"), F.collect_set("b_block").alias("b")), "pivot-pairs")
+
+    def side(s: str, cols: list[str]) -> GroupedData:
+        met = pairs.select(*key, F.explode(s).alias("block")).join(b.select("block", *cols).hint("merge"), "block")
+        return met.select(*(F.col(c).alias(c) for c in met.columns)).groupBy(*key)  # aliases tell the two sides apart
+
+    return side("a", a_cols), side("b", b_cols)
 
 
 def nearest_earlier(b: DataFrame) -> DataFrame:
@@ -115,20 +125,28 @@ def nearest_earlier(b: DataFrame) -> DataFrame:
     gap = F.greatest(gap, F.array_max(_sums("b_lo", "a_hi", "p - q")))
     keep = (F.col("a_block") != F.col("b_block")) & (F.col("b_first") < F.col("a_last")) & (gap <= F.col("a_open") + SLACK)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                turns, others, best = np.asarray(r.a_turns), np.asarray(r.b_turns), np.asarray(r.a_best, dtype=float)
-                v, w = np.frombuffer(r.a_v).reshape(len(turns), -1), np.frombuffer(r.b_v).reshape(len(others), -1)
-                angles = np.frombuffer(r.a_angles).reshape(len(turns), -1)
-                apart = np.maximum(angles - np.asarray(r.b_hi, dtype=float), np.asarray(r.b_lo, dtype=float) - angles).max(axis=1)
-                rows = np.flatnonzero((apart <= np.where(best < -1.5, np.pi, _angles(best)) + SLACK) & (turns > others.min()))
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        others = [(y.block, np.asarray(y.turns), np.frombuffer(y.v), np.asarray(y.lo, dtype=float), np.asarray(y.hi, dtype=float)) for y in b.itertuples()]
+        for x in a.itertuples():
+            turns, best = np.asarray(x.turns), np.array(x.best, dtype=float)
+            v, angles, compared = np.frombuffer(x.v).reshape(len(turns), -1), np.frombuffer(x.angles).reshape(len(turns), -1), np.zeros(len(turns), np.int64)
+            for block, earlier, w, lo, hi in others:
+                if block == x.block:
+                    continue
+                apart = np.maximum(angles - hi, lo - angles).max(axis=1)
+                rows = np.flatnonzero((apart <= np.where(best < -1.5, np.pi, _angles(best)) + SLACK) & (turns > earlier.min()))
                 if len(rows):
-                    cosines = np.where(others[None, :] < turns[rows][:, None], v[rows] @ w.T, -2.0)
-                    yield pd.DataFrame({"unit": r.a_unit, "turn_index": turns[rows], "m": cosines.max(axis=1), "compared": len(others)})
+                    cosines = np.where(earlier[None, :] < turns[rows][:, None], v[rows] @ w.reshape(len(earlier), -1).T, -2.0)
+                    best[rows] = np.maximum(best[rows], cosines.max(axis=1))
+                    compared[rows] += len(earlier)
+            rows = np.flatnonzero(compared)
+            out.append(pd.DataFrame({"unit": key[0], "turn_index": turns[rows], "m": best[rows], "compared": compared[rows]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["unit", "turn_index", "m", "compared"])
 
     known = b.select("unit", F.explode(F.arrays_zip("turns", "best")).alias("_r")).select("unit", F.col("_r.turns").alias("turn_index"), F.col("_r.best").alias("m"), F.lit(0).cast("long").alias("compared"))
-    found = _pairs(b, ["turns", "v", "angles", "best"], keep).mapInPandas(compare, known.schema)
+    a, other = _pairs(b, ["turns", "v", "angles", "best"], ["turns", "v", "lo", "hi"], keep)
+    found = a.cogroup(other).applyInPandas(compare, known.schema)
     g = known.unionByName(found).groupBy("unit", "turn_index").agg(F.max("m").alias("m"), F.sum("compared").alias("compared"))
     return g.where("m >= -1.5")
 
@@ -141,12 +159,18 @@ def farthest(b: DataFrame) -> DataFrame:
     far = b.drop("open").join(known.select("unit", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "least"))).alias("open")).hint("merge"), "unit")
     keep = (F.col("a_block") < F.col("b_block")) & (bound >= F.col("a_open") - SLACK)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                v, w = np.frombuffer(r.a_v).reshape(len(r.a_turns), -1), np.frombuffer(r.b_v).reshape(len(r.b_turns), -1)
-                yield pd.DataFrame({"unit": [r.a_unit], "least": [float((v @ w.T).min())], "compared": [len(v) * len(w)]})
-
-    found = _pairs(far, ["turns", "v"], keep).mapInPandas(compare, "unit string, least double, compared long")
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        least, compared = 2.0, 0
+        bounds = lambda r: (np.asarray(r.lo, dtype=float), np.asarray(r.hi, dtype=float))
+        others = [(y.block, np.frombuffer(y.v).reshape(len(y.turns), -1), *bounds(y)) for y in b.itertuples()]
+        for x in a.itertuples():
+            v, (lo, hi) = np.frombuffer(x.v).reshape(len(x.turns), -1), bounds(x)
+            for block, w, low, high in others:
+                if x.block < block and min((hi + high).min(), (2 * np.pi - lo - low).min()) >= min(x.open, _angles(np.array(least))) - SLACK:
+                    least, compared = min(least, float((v @ w.T).min())), compared + len(v) * len(w)
+        return pd.DataFrame({"unit": [key[0]], "least": [least], "compared": [compared]})
+
+    a, other = _pairs(far, ["turns", "v", "lo", "hi", "open"], ["turns", "v", "lo", "hi"], keep)
+    found = a.cogroup(other).applyInPandas(compare, "unit string, least double, compared long")
     rows = known.select("unit", "least", F.lit(0).cast("long").alias("compared"), "n").unionByName(found, allowMissingColumns=True)
     return rows.groupBy("unit").agg(F.min("least").alias("least"), F.sum("compared").alias("compared"), F.max("n").alias("_n")).where("_n > 1").drop("_n")

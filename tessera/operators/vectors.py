@@ -22,7 +22,7 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     a = F.col(a) if isinstance(a, str) else a
-    return F.transform(a, lambda x: x / norm(a))
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / n)), 0)  # the norm once a row, not once a component
 
 
 def sum_vectors(df: DataFrame, by: list[str], v: str = "v") -> DataFrame:

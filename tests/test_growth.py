@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import pivots as pv
 from tessera.operators import thematic as th
 
 
@@ -33,3 +36,19 @@ def test_matching_of_a_chain_takes_no_rounds(spark, monkeypatch):
     rows = [(1, i // 2 + i % 2, i // 2, 1 - i / 100) for i in range(40)]
     assert sorted(tuple(r) for r in th.greedy_matching(spark.createDataFrame(rows, "block long, a long, b long, sim double")).collect()) == greedy(rows)
     assert made == ["sizes"]
+
+
+def test_blocks_are_copied_by_tile(spark, monkeypatch):
+    monkeypatch.setattr(pv, "TILE", 3)
+    v = np.random.default_rng(2).normal(size=(120, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([("u", i, x.tolist()) for i, x in enumerate(v)], "unit string, turn_index long, v array<double>")
+    b = pv.blocks(df.coalesce(1), 4, 10)
+    n, tiles = b.count(), b.select("unit", F.floor(F.col("block") / 3)).distinct().count()
+    assert n >= 12
+    for side in pv._pairs(b, ["v"], ["v"], F.lit(True)):
+        assert side._df.count() == n * tiles
+    cosines = v @ v.T
+    got = {r.turn_index: r.m for r in pv.nearest_earlier(b).collect()}
+    assert got == pytest.approx({i: cosines[i, :i].max() for i in range(1, 120)}, abs=1e-12)
+    assert pv.farthest(b).first().least == pytest.approx(cosines.min(), abs=1e-12)
