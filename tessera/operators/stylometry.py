@@ -183,12 +183,12 @@ def pair_screen(turns: DataFrame, least_words: int, least_shared: int, far: floa
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     often = F.arrays_overlap(words, F.array(*map(F.lit, FREQUENCY))) | F.contains(F.lower("text"), F.lit(FREQUENT_PHRASE))
     t = turns.where(F.col("n_words") >= least_words).select("doc", "participant", "question", "ord", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("k"), F.arrays_overlap(words, F.array(*map(F.lit, NEGATION))).alias("no"), often.alias("often"))
-    who = ["doc", "participant"]
+    who, t = ["doc", "participant"], written(t, "screened")
     tf = t.select(*who, "question", "ord", F.explode("k").alias("term")).groupBy(*who, "question", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = t.groupBy(*who).agg(F.count(F.lit(1)).alias("n"))
     idf = tf.groupBy(*who, "term").agg(F.count(F.lit(1)).alias("df")).join(n.hint("merge"), who).select(*who, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf.hint("merge"), [*who, "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    w = w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*who, "ord"))))
+    w = written(w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*who, "ord")))), "weights")
     v = w.select(*who, F.col("question").alias("qb"), F.col("ord").alias("ob"), "term", F.col("x").alias("y"))
     cos = w.join(v.hint("merge"), [*who, "term"]).where(F.col("question") < F.col("qb")).groupBy(*who, "ord", "ob").agg(F.sum(F.col("x") * F.col("y")).alias("_c"))
     d = t.withColumn("k", F.array_distinct("k"))
@@ -196,6 +196,7 @@ def pair_screen(turns: DataFrame, least_words: int, least_shared: int, far: floa
     j = d.join(b.hint("merge"), who).where(F.col("question") < F.col("qb")).join(cos.hint("merge"), [*who, "ord", "ob"], "left")
     contrast = (F.col("no") != F.col("nb")) | (F.col("often") != F.col("fb"))
     j = j.select(*who, "ord", "ob", F.size(F.array_intersect("k", "kb")).alias("shared"), F.size(F.array_union("k", "kb")).alias("_u"), F.round(F.coalesce("_c", F.lit(0.0)), 4).alias("cosine"), contrast.alias("contrast"))
+    j = written(j, "screened-pairs")  # the level takes two passes
     (level,) = nth_values(j, "cosine", lambda n: [int(n * cut)])
     high = (F.col("cosine") >= F.lit(level)) & (F.col("shared") >= least_shared)
     jac = ratio("shared", "_u")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import pivots as pv
+from tessera.operators import stylometry as sty
 from tessera.operators import thematic as th
 
 
@@ -52,3 +53,17 @@ def test_blocks_are_copied_by_tile(spark, monkeypatch):
     got = {r.turn_index: r.m for r in pv.nearest_earlier(b).collect()}
     assert got == pytest.approx({i: cosines[i, :i].max() for i in range(1, 120)}, abs=1e-12)
     assert pv.farthest(b).first().least == pytest.approx(cosines.min(), abs=1e-12)
+
+
+def recorded(monkeypatch, module):
+    made, written = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or written(df, name))
+    return made
+
+
+def test_pairs_of_turns_are_screened_once(spark, monkeypatch):
+    made = recorded(monkeypatch, sty)
+    rows = [(1, "u", q, q, "alpha beta gamma alpha" if q < 2 else "delta never", 4) for q in range(3)]
+    got = sty.pair_screen(spark.createDataFrame(rows, "doc long, participant string, question int, ord long, text string, n_words int"), 2, 3)
+    assert made == ["screened", "weights", "screened-pairs"]
+    assert sorted((r.ord, r.ob, r.shared, r.cosine, r.contrast, r.stratum) for r in got.collect()) == [(0, 1, 3, 1.0, False, "high_without_contrast"), (0, 2, 0, 0.0, True, "control"), (1, 2, 0, 0.0, True, "control")]
