@@ -86,8 +86,8 @@ def direction_verdict(values: DataFrame, a: str, b: str) -> DataFrame:
 
 def tfidf(rows: DataFrame, doc: str) -> DataFrame:
     """(doc, term, weight): raw counts times smooth idf ln((1 + n) / (1 + df)) + 1, L2-normalised."""
-    tf = rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.select(doc).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    tf = written(rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    n = tf.select(doc).distinct().agg(F.count(F.lit(1)).alias("_n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     # a term with more than a COMMON-th of all rows goes to every row by broadcast, and there are fewer than COMMON of these; the rest are joined by merging
     total = tf.agg(F.count(F.lit(1)).alias("_rows"))
@@ -127,16 +127,16 @@ def mean_pairwise(vectors: DataFrame, group: str, doc: str) -> DataFrame:
 
 
 def speaker_collapse(vectors: DataFrame, session: str, speaker: str, doc: str) -> DataFrame:
-    """Mean cosine distance between speakers' centroids, and the mean distance of texts to their own centroid."""
-    n = vectors.select(session, speaker, doc).distinct().groupBy(session, speaker).agg(F.count(F.lit(1)).alias("_n"))
-    c = vectors.groupBy(session, speaker, "term").agg(F.sum("weight").alias("_s")).join(n.hint("merge"), [session, speaker]).select(session, speaker, "term", (F.col("_s") / F.col("_n")).alias("c"))
-    norm = c.groupBy(session, speaker).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    d = c.select(session, F.col(speaker).alias("_b"), "term", F.col("c").alias("_c"))
-    dot = c.join(d.hint("merge"), [session, "term"]).where(F.col(speaker) < F.col("_b")).groupBy(session, speaker, "_b").agg(F.sum(F.col("c") * F.col("_c")).alias("dot"))
-    pairs = norm.join(norm.withColumnsRenamed({speaker: "_b", "norm": "_nb"}).hint("merge"), session).where(F.col(speaker) < F.col("_b")).join(dot.hint("merge"), [session, speaker, "_b"], "left")
-    between = pairs.groupBy(session).agg(r6(F.avg(1 - F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("_nb")))).alias("between"))
-    own = vectors.join(c.hint("merge"), [session, speaker, "term"]).groupBy(session, speaker, doc).agg(F.sum(F.col("weight") * F.col("c")).alias("d")).join(norm.hint("merge"), [session, speaker])
-    return own.groupBy(session).agg(r6(F.avg(1 - F.col("d") / F.col("norm"))).alias("within")).join(between.hint("merge"), session)
+    """Mean cosine distance between speakers' centroids, and the mean distance of texts to their own centroid. Both in closed form for texts of unit length, linear in
+    them: a speaker's n texts have inner products with the centroid that sum to n times its squared norm, and the sum of centroids of unit length has a squared norm that holds all pairs."""
+    by = [session, speaker]
+    v = written(vectors.where(F.col(session).isNotNull() & F.col(speaker).isNotNull()).select(*by, doc, "term", "weight"), "weights")
+    n = v.select(*by, doc).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    c = written(v.groupBy(*by, "term").agg(F.sum("weight").alias("_s")), "centroids")
+    norm = c.groupBy(*by).agg(F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_norm"))
+    sums = c.join(norm.hint("merge"), by).groupBy(session, "term").agg(F.sum(F.col("_s") / F.col("_norm")).alias("_u")).groupBy(session).agg(F.sum(F.col("_u") * F.col("_u")).alias("_q"))
+    g = n.join(norm.hint("merge"), by).groupBy(session).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_n"), F.sum("_norm").alias("_w")).where("_k > 1").join(sums.hint("merge"), session)
+    return g.select(session, r6(1 - F.col("_w") / F.col("_n")).alias("within"), r6(1 - (F.col("_q") - F.col("_k")) / (F.col("_k") * (F.col("_k") - 1))).alias("between"))
 
 
 def recurring_ngrams(rows: DataFrame, n: int = 4, least: int = 4, top: int = 25) -> DataFrame:

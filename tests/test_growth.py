@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import lexical as lx
 from tessera.operators import pivots as pv
 from tessera.operators import stylometry as sty
 from tessera.operators import thematic as th
@@ -67,3 +68,17 @@ def test_pairs_of_turns_are_screened_once(spark, monkeypatch):
     got = sty.pair_screen(spark.createDataFrame(rows, "doc long, participant string, question int, ord long, text string, n_words int"), 2, 3)
     assert made == ["screened", "weights", "screened-pairs"]
     assert sorted((r.ord, r.ob, r.shared, r.cosine, r.contrast, r.stratum) for r in got.collect()) == [(0, 1, 3, 1.0, False, "high_without_contrast"), (0, 2, 0, 0.0, True, "control"), (1, 2, 0, 0.0, True, "control")]
+
+
+def test_collapse_in_closed_form(spark, monkeypatch):
+    made = recorded(monkeypatch, lx)
+    v = np.random.default_rng(4).random((9, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    who = [0, 0, 0, 0, 1, 1, 2, 2, 2]
+    rows = [("s", f"p{who[d]}", d, f"t{k}", float(v[d, k])) for d in range(9) for k in range(5)] + [("alone", "p", 1, "t", 1.0), ("s", None, 10, "t0", 1.0)]
+    got = lx.speaker_collapse(spark.createDataFrame(rows, "s string, p string, d long, term string, weight double"), "s", "p", "d").collect()
+    c = np.array([v[np.array(who) == k].mean(0) for k in range(3)])
+    cos = (c @ c.T) / np.outer(np.linalg.norm(c, axis=1), np.linalg.norm(c, axis=1))
+    within = np.mean([1 - v[d] @ c[who[d]] / np.linalg.norm(c[who[d]]) for d in range(9)])
+    assert [tuple(r) for r in got] == [("s", pytest.approx(within, abs=2e-6), pytest.approx(1 - np.mean([cos[0, 1], cos[0, 2], cos[1, 2]]), abs=2e-6))]
+    assert made == ["weights", "centroids"]
