@@ -23,6 +23,11 @@ def token_rows(turns: DataFrame, by: list[str], min_len: int = 1) -> DataFrame:
     return t.select(*by, "term", F.row_number().over(W.partitionBy(*by).orderBy("turn_index", "_p")).alias("pos"))
 
 
+def term_rows(turns: DataFrame, by: list[str]) -> DataFrame:
+    """(by, term): the distinct tokens of each turn."""
+    return turns.select(*by, F.explode(F.array_distinct(tokens("text", "[a-z]+"))).alias("term"))
+
+
 def diversity(rows: DataFrame, by: list[str], *windows: int) -> DataFrame:
     """TTR and, for each window, MATTR: a token is new in the windows that start after its last occurrence, so the distinct counts of all windows add
     up in one pass; NULL for units shorter than the window."""
@@ -41,10 +46,11 @@ def diversity(rows: DataFrame, by: list[str], *windows: int) -> DataFrame:
 
 def vocabulary_overlap(rows: DataFrame) -> DataFrame:
     """Mean pairwise Jaccard of the speakers' vocabularies in a session, from counts of shared terms."""
-    v = rows.select("session_id", "speaker_id", "term").distinct()
+    v = written(rows.select("session_id", "speaker_id", "term").distinct(), "vocabularies")
     n = v.groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("n"))
-    b = v.withColumnRenamed("speaker_id", "sb")
-    shared = v.join(b.hint("merge"), ["session_id", "term"]).where("speaker_id < sb").groupBy("session_id", "speaker_id", "sb").agg(F.count(F.lit(1)).alias("k"))
+    who = v.where("speaker_id is not null").groupBy("session_id", "term").agg(F.collect_list("speaker_id").alias("_s")).where(F.size("_s") > 1)
+    two = F.flatten(F.transform("_s", lambda a: F.transform(F.filter("_s", lambda b: a < b), lambda b: F.struct(a.alias("speaker_id"), b.alias("sb")))))
+    shared = who.select("session_id", F.inline(two)).groupBy("session_id", "speaker_id", "sb").agg(F.count(F.lit(1)).alias("k"))
     pairs = n.join(n.withColumnsRenamed({"speaker_id": "sb", "n": "nb"}).hint("merge"), "session_id").where("speaker_id < sb").join(shared.hint("merge"), ["session_id", "speaker_id", "sb"], "left")
     k = F.coalesce("k", F.lit(0))
     return pairs.withColumn("j", k / (F.col("n") + F.col("nb") - k)).groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("j")).alias("jaccard"))

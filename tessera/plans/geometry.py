@@ -17,7 +17,7 @@ TOK = """tok0 as (select {by}, turn_index, unnest(regexp_extract_all(lower(text)
 register("lex01_diversity", lambda s, d: lx.diversity(lx.token_rows(turns(s, d), ["session_id", "speaker_id"]), ["session_id", "speaker_id"], 50, 100, 200), "turns", TOK.format(by="session_id, speaker_id", t="turns") + """,
     l as (select session_id, speaker_id, list(term order by pos) x from tok group by 1, 2)
     select session_id, speaker_id, len(x) tokens, len(list_distinct(x)) types, round(len(list_distinct(x)) / len(x)::double, 6) ttr, """ + ", ".join(f"case when len(x) >= {w} then round(list_avg(list_transform(range(1, len(x) - {w - 2}), lambda i: len(list_distinct(x[i:i + {w - 1}])))) / {w}, 6) end mattr_{w}" for w in (50, 100, 200)) + " from l")
-register("lex02_vocabulary_overlap", lambda s, d: lx.vocabulary_overlap(lx.token_rows(panel(s, d), ["session_id", "speaker_id"])), "panel", """
+register("lex02_vocabulary_overlap", lambda s, d: lx.vocabulary_overlap(lx.term_rows(panel(s, d), ["session_id", "speaker_id"])), "panel", """
     v as (select session_id, speaker_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')))) x from panel group by 1, 2)
     select a.session_id, count(*) pairs, round(avg(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::double), 6) jaccard from v a join v b on a.session_id = b.session_id and a.speaker_id < b.speaker_id where len(a.x) > 0 and len(b.x) > 0 group by 1""")
 register("lex03_budgeted_overlap", lambda s, d: lx.budgeted_overlap(lx.token_rows(turns(s, d).where("role is not null"), ["session_id", "speaker_id"]), 100), "turns", TOK.format(by="session_id, speaker_id", t="""(select * from turns where "role" is not null)""") + """,

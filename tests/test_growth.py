@@ -82,3 +82,12 @@ def test_collapse_in_closed_form(spark, monkeypatch):
     within = np.mean([1 - v[d] @ c[who[d]] / np.linalg.norm(c[who[d]]) for d in range(9)])
     assert [tuple(r) for r in got] == [("s", pytest.approx(within, abs=2e-6), pytest.approx(1 - np.mean([cos[0, 1], cos[0, 2], cos[1, 2]]), abs=2e-6))]
     assert made == ["weights", "centroids"]
+
+
+def test_vocabularies_are_formed_once(spark, monkeypatch):
+    made = recorded(monkeypatch, lx)
+    rows = [("s", "a", "x y x"), ("s", "b", "Y z"), ("s", "b", "z"), ("s", "c", "q"), ("s", None, "x"), ("t", "a", "x"), (None, "a", "x"), (None, "b", "x"), ("s", "d", None)]
+    turns = spark.createDataFrame(rows, "session_id string, speaker_id string, text string")
+    got = lx.vocabulary_overlap(lx.term_rows(turns, ["session_id", "speaker_id"])).collect()
+    assert [tuple(r) for r in got] == [("s", 3, pytest.approx(1 / 9, abs=1e-6))]
+    assert made == ["vocabularies"]
