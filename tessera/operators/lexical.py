@@ -56,33 +56,64 @@ def vocabulary_overlap(rows: DataFrame) -> DataFrame:
     return pairs.withColumn("j", k / (F.col("n") + F.col("nb") - k)).groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("j")).alias("jaccard"))
 
 
-def budgeted_overlap(rows: DataFrame, budget: int, windows: int = 10) -> DataFrame:
+def budgeted_overlap(turns: DataFrame, budget: int, windows: int = 10) -> DataFrame:
     """Speakers' windows of `budget` tokens, evenly spread and all different: pairwise Jaccard, Jensen-Shannon distance (base 2) and cosine of term
     counts, averaged over the pairs of each window and over windows. The speaker with the fewest places for a window sets their number. A session in
-    which a speaker has fewer than `budget` tokens, or with one speaker only, stays undefined."""
-    size = rows.groupBy("session_id", "speaker_id").agg(F.count(F.lit(1)).alias("_n"))
+    which a speaker has fewer than `budget` tokens, or with one speaker only, stays undefined. No token becomes a row: turns do, then speakers with the
+    tokens inside their windows (windows * budget at most), then pairs of windows, so tasks hold about as much as the texts."""
+    by = ["session_id", "speaker_id"]
+    t = turns.select(*by, "turn_index", tokens("text", "[a-z]+").alias("_t")).where(F.size("_t") > 0)
+    t = written(t.select(*by, "turn_index", F.array_join("_t", " ").alias("_words"), F.size("_t").alias("_k")), "tokens")
+    size = t.groupBy(*by).agg(F.sum("_k").alias("_n"))
     least = size.groupBy("session_id").agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("speakers"))
     k = F.least(F.lit(windows), F.col("_least") - budget + 1).cast("int")
     least = least.withColumn("windows", F.when((F.col("_least") >= budget) & (F.col("speakers") > 1), k))
     at = F.when(F.col("windows") == 1, F.array(F.floor((F.col("_n") - budget) / 2))).otherwise(F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.bround(i * (F.col("_n") - budget) / (F.col("windows") - 1)).cast("long")))
-    place = size.join(least.where("windows is not null").hint("merge"), "session_id").select("session_id", "speaker_id", at.alias("_at"))
-    w = rows.join(place.hint("merge"), ["session_id", "speaker_id"])
-    w = w.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: (F.col("pos") > F.get("_at", i)) & (F.col("pos") <= F.get("_at", i) + budget))))
-    c = w.groupBy("session_id", "i", "speaker_id", "term").agg((F.count(F.lit(1)) / budget).alias("p"))
-    who = place.select("session_id", "speaker_id")
-    pairs = who.join(who.withColumnRenamed("speaker_id", "sb").hint("merge"), "session_id").where("speaker_id < sb")
-    key = ["session_id", "i", "speaker_id", "sb", "term"]
-    a = pairs.join(c.hint("merge"), ["session_id", "speaker_id"]).select(*key, F.col("p").alias("x"))
-    b = pairs.join(c.withColumnsRenamed({"speaker_id": "sb", "p": "y"}).hint("merge"), ["session_id", "sb"]).select(*key, "y")
-    j = a.join(b.hint("merge"), key, "full").na.fill(0.0, ["x", "y"])
-    m = (F.col("x") + F.col("y")) / 2
-    kl = lambda v: F.when(F.col(v) > 0, F.col(v) * F.log2(F.col(v) / m)).otherwise(0.0)
-    both, any_ = F.count_if((F.col("x") > 0) & (F.col("y") > 0)), F.count(F.lit(1))
-    g = j.groupBy(*key[:-1]).agg((both / any_).alias("jac"), F.sqrt(F.greatest(F.sum(kl("x") + kl("y")) / 2, F.lit(0.0))).alias("js"), (F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("cos"))
+    place = size.join(least.where("windows is not null").hint("merge"), "session_id").select(*by, at.alias("_at"))
+    a = written(_covered(_placed(t, by), place, by, budget), "covered")
+    b = a.withColumnsRenamed({"speaker_id": "sb", "_words": "_other", "_from": "_ofrom"})
+    pairs = a.join(b.hint("merge"), "session_id").where("speaker_id < sb").select("session_id", F.split("_words", " ").alias("_a"), F.split("_other", " ").alias("_b"), F.arrays_zip("_from", "_ofrom").alias("_i"))
+    w = pairs.select("session_id", "_a", "_b", F.inline("_i")).select("session_id", _counts(F.slice("_a", F.col("_from") + 1, budget)).alias("a"), _counts(F.slice("_b", F.col("_ofrom") + 1, budget)).alias("b"))
+    shared = F.transform(F.array_intersect(F.map_keys("a"), F.map_keys("b")), lambda t: F.struct(F.element_at("a", t).alias("x"), F.element_at("b", t).alias("y")))
+    w = w.select("session_id", "a", "b", shared.alias("_s"))
+    # in counts; a term of one side only adds its count to the sum of the Jensen-Shannon terms, as log2(x / (x / 2)) is 1
+    kl = lambda v, x, y: v * F.log2(2 * v / (x + y)) - v
+    js = 2 * budget + F.aggregate("_s", F.lit(0.0), lambda s, p: s + kl(p["x"], p["x"], p["y"]) + kl(p["y"], p["x"], p["y"]))
+    dot = F.aggregate("_s", F.lit(0).cast("long"), lambda s, p: s + p["x"] * p["y"])
+    square = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda s, x: s + x * x)
+    g = w.select("session_id", (F.size("_s") / (F.size("a") + F.size("b") - F.size("_s"))).alias("jac"), F.sqrt(F.greatest(js / (2 * budget), F.lit(0.0))).alias("js"), (dot / F.sqrt(square("a") * square("b"))).alias("cos"))
     g = g.groupBy("session_id").agg(r6(F.avg("jac")).alias("jaccard"), r6(F.avg("js")).alias("js"), r6(F.avg("cos")).alias("cosine"))
     return least.join(g.hint("merge"), "session_id", "left").select("session_id", "speakers", "windows", "jaccard", "js", "cosine")
 
 
+def _placed(t: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _words, _k, _before): the turns of a unit with the number of its tokens before each. Turns of the same turn_index go token by token, the first
+    tokens of all before the second ones (as ordered by themselves), so these are cut into tokens."""
+    t = t.repartition(*by).withColumn("_same", F.count(F.lit(1)).over(W.partitionBy(*by, "turn_index")))
+    whole = F.array(F.struct(F.lit(0).alias("_p"), F.col("_words"), F.col("_k")))
+    each = F.transform(F.split("_words", " "), lambda x, i: F.struct(i.alias("_p"), x.alias("_words"), F.lit(1).alias("_k")))
+    t = t.select(*by, "turn_index", F.inline(F.when(F.col("_same") > 1, each).otherwise(whole)))
+    return t.withColumn("_before", F.sum("_k").over(W.partitionBy(*by).orderBy("turn_index", "_p", "_words").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_k"))
+
+
+def _covered(placed: DataFrame, place: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """(by, _words, _from): a unit's tokens that lie in windows, in their order, and how many of them come before each window."""
+    inside = F.filter(F.split("_words", " "), lambda _, p: F.exists("_at", lambda a: (F.col("_before") + p >= a) & (F.col("_before") + p < a + budget)))
+    t = placed.join(place.hint("merge"), by).where(F.exists("_at", lambda a: (a < F.col("_before") + F.col("_k")) & (a + budget > F.col("_before"))))
+    g = t.select(*by, "_at", F.struct("_before", F.array_join(inside, " ").alias("_words")).alias("_part")).groupBy(*by).agg(F.first("_at").alias("_at"), F.sort_array(F.collect_list("_part")).alias("_parts"))
+    new = lambda i: F.transform(F.slice("_at", 2, i), lambda a, j: F.least(a - F.get("_at", j), F.lit(budget)))
+    start = F.transform("_at", lambda _, i: F.aggregate(new(i), F.lit(0).cast("long"), lambda s, x: s + x).cast("int"))
+    return g.select(*by, F.array_join("_parts._words", " ").alias("_words"), start.alias("_from"))
+
+
+def _counts(terms: Column) -> Column:
+    """The occurrences of each term of an array, as a map: in sorted order a term ends where the next one starts. Arrays of one element bind what is used more than once."""
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j) != F.get(s, j - 1)))
+    counts = lambda s, at: F.map_from_arrays(F.transform(at, lambda j: F.get(s, j)), F.zip_with(at, F.slice(at, 2, F.size(s)), lambda x, y: (F.coalesce(y, F.size(s)) - x).cast("long")))
+    return bind(F.sort_array(terms), lambda s: bind(starts(s), lambda at: counts(s, at)))
+
+
 def direction_verdict(values: DataFrame, a: str, b: str) -> DataFrame:
     """(spec, condition, group_id, value): group means, then condition means by spec; whether specs with all groups agree on the sign."""
     m = values.groupBy("spec", "condition", "group_id").agg(F.avg("value").alias("v")).groupBy("spec", "condition").agg(F.avg("v").alias("v"), F.count("v").alias("n"))

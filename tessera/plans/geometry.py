@@ -20,7 +20,7 @@ register("lex01_diversity", lambda s, d: lx.diversity(lx.token_rows(turns(s, d),
 register("lex02_vocabulary_overlap", lambda s, d: lx.vocabulary_overlap(lx.term_rows(panel(s, d), ["session_id", "speaker_id"])), "panel", """
     v as (select session_id, speaker_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')))) x from panel group by 1, 2)
     select a.session_id, count(*) pairs, round(avg(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::double), 6) jaccard from v a join v b on a.session_id = b.session_id and a.speaker_id < b.speaker_id where len(a.x) > 0 and len(b.x) > 0 group by 1""")
-register("lex03_budgeted_overlap", lambda s, d: lx.budgeted_overlap(lx.token_rows(turns(s, d).where("role is not null"), ["session_id", "speaker_id"]), 100), "turns", TOK.format(by="session_id, speaker_id", t="""(select * from turns where "role" is not null)""") + """,
+register("lex03_budgeted_overlap", lambda s, d: lx.budgeted_overlap(turns(s, d).where("role is not null"), 100), "turns", TOK.format(by="session_id, speaker_id", t="""(select * from turns where "role" is not null)""") + """,
     n as (select session_id, speaker_id, count(*) n from tok group by 1, 2), l as (select session_id, count(*) speakers, case when min(n) >= 100 and count(*) > 1 then least(10, min(n) - 99) end windows from n group by 1),
     o as (select n.session_id, speaker_id, i, case when windows = 1 then (n - 100) // 2 else round_even(i * (n - 100) / (windows - 1)::double, 0)::bigint end o from n join l using (session_id), unnest(range(windows)) t(i)),
     c as (select o.session_id, o.i, o.speaker_id, term, count(*) / 100.0::double p from o join tok on tok.session_id = o.session_id and tok.speaker_id = o.speaker_id and pos > o and pos <= o + 100 group by 1, 2, 3, 4),

@@ -1,6 +1,10 @@
 """Queries whose cost grew faster than their input: results of the mended steps, and what they write or hold."""
 
+import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -91,3 +95,53 @@ def test_vocabularies_are_formed_once(spark, monkeypatch):
     got = lx.vocabulary_overlap(lx.term_rows(turns, ["session_id", "speaker_id"])).collect()
     assert [tuple(r) for r in got] == [("s", 3, pytest.approx(1 / 9, abs=1e-6))]
     assert made == ["vocabularies"]
+
+
+def windowed(turns, budget, windows):
+    """Budgeted overlap in plain Python: {session: (speakers, windows, jaccard, js, cosine)}."""
+    units, out = {}, {}
+    for session, speaker, turn, text in turns:
+        units.setdefault((session, speaker), []).extend((turn is not None, turn or 0, p, w) for p, w in enumerate(re.findall("[a-z]+", (text or "").lower())))
+    units = {k: [w for *_, w in sorted(v)] for k, v in units.items() if v}
+    for session in {s for s, _ in units}:
+        mine = [v for k, v in units.items() if k[0] == session]
+        least = min(map(len, mine))
+        if least < budget or len(mine) < 2:
+            out[session] = (len(mine), None, None, None, None)
+            continue
+        n, got = min(windows, least - budget + 1), []
+        at = lambda v: [(len(v) - budget) // 2] if n == 1 else [round(i * (len(v) - budget) / (n - 1)) for i in range(n)]  # noqa: E731, B023
+        named = [v for k, v in units.items() if k[0] == session and None not in k]
+        for a, b in itertools.combinations(named, 2):
+            for x, y in zip(at(a), at(b), strict=True):
+                x, y = Counter(a[x : x + budget]), Counter(b[y : y + budget])
+                kl = sum(u[t] / budget * math.log2(2 * u[t] / (x[t] + y[t])) for u in (x, y) for t in u)
+                got.append((len(x & y) / len(x | y), math.sqrt(max(kl / 2, 0)), sum(x[t] * y[t] for t in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))))
+        out[session] = (len(mine), n, *([sum(c) / len(got) for c in zip(*got, strict=True)] if got else [None] * 3))
+    return out
+
+
+@pytest.mark.parametrize(("budget", "windows"), [(1, 10), (2, 10), (7, 10), (7, 1), (20, 3)])
+def test_windows_of_a_budget_against_plain_python(spark, budget, windows):
+    rng = random.Random(budget)
+    words = lambda n: " ".join(rng.choice(["The", "a", "cat", "sat", "Mat", "7", "on"]) for _ in range(n))
+    rows = [(f"s{k}", p, i, words(rng.randrange(9))) for k in range(12) for p in ("a", "b", "c")[: k % 4] for i in range(rng.randrange(1, 9))]
+    rows += [("long", p, i, words(60)) for p in ("a", "b") for i in range(5)]
+    rows += [("nulls", p, i, words(40)) for p in ("a", "b", None) for i in (0, None)] + [(None, p, 1, words(40)) for p in ("a", "b")] + [("blank", "a", 1, None), ("blank", "b", 1, " ")]
+    got = {r.session_id: tuple(r)[1:] for r in lx.budgeted_overlap(spark.createDataFrame(rows, "session_id string, speaker_id string, turn_index long, text string"), budget, windows).collect()}
+    want = windowed(rows, budget, windows)
+    want |= {s: (*want[s][:2], None, None, None) for s in (None,) if s in want}
+    assert set(got) == set(want)
+    for s in want:
+        assert got[s] == pytest.approx(want[s], abs=2e-6), s
+
+
+def test_tokens_of_windows_stay_in_rows_of_speakers(spark, monkeypatch):
+    made, written = {}, lx.written
+    monkeypatch.setattr(lx, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    # two turns of the same place take turns: x x y y z z, so the middle is y y
+    rows = [("s", "a", 1, "x y z"), ("s", "a", 1, "x y z"), ("s", "b", 1, "y y"), ("t", "a", 1, "w " * 500), ("t", "a", 2, "x " * 500), ("t", "b", 1, "w w"), ("t", "b", 2, "x")]
+    got = lx.budgeted_overlap(spark.createDataFrame(rows, "session_id string, speaker_id string, turn_index long, text string"), 2).collect()
+    assert sorted(tuple(r) for r in got) == [("s", 2, 1, 1.0, 0.0, 1.0), ("t", 2, 2, 0.75, pytest.approx(math.sqrt((math.log2(4 / 3) + math.log2(2 / 3) / 2 + 0.5) / 2) / 2, abs=1e-6), pytest.approx((1 + 0.5**0.5) / 2, abs=1e-6))]
+    assert made["tokens"].count() == len(rows)
+    assert sorted((r.session_id, r.speaker_id, r._words, r._from) for r in made["covered"].collect()) == [("s", "a", "y y", [0]), ("s", "b", "y y", [0]), ("t", "a", "w w x x", [0, 2]), ("t", "b", "w w x", [0, 1])]
