@@ -17,10 +17,21 @@ COMMON = 1000
 FEW = 10_000
 
 
+def _worded(turns: DataFrame, by: list[str], min_len: int = 1) -> DataFrame:
+    """(by, turn_index, _words, _k): the tokens of each turn that has any, parted by a space, and their number."""
+    t = turns.where(F.lower("text").rlike(f"[a-z]{{{min_len}}}")).select(*by, "turn_index", tokens("text", "[a-z]+", min_len).alias("_t"))
+    return t.select(*by, "turn_index", F.array_join("_t", " ").alias("_words"), F.size("_t").alias("_k"))
+
+
 def token_rows(turns: DataFrame, by: list[str], min_len: int = 1) -> DataFrame:
-    """(by, pos, term): the tokens of a unit in the order of its turns."""
-    t = turns.select(*by, "turn_index", F.posexplode(tokens("text", "[a-z]+", min_len)).alias("_p", "term"))
-    return t.select(*by, "term", F.row_number().over(W.partitionBy(*by).orderBy("turn_index", "_p")).alias("pos"))
+    """(by, pos, term): the tokens of a unit in the order of its turns. Turns are put in order, not tokens."""
+    t = _placed(_worded(turns, by, min_len), by).select(*by, "_before", F.posexplode(F.split("_words", " ")).alias("_i", "term"))
+    return t.select(*by, "term", (F.col("_before") + F.col("_i") + 1).cast("int").alias("pos"))
+
+
+def terms(turns: DataFrame, by: list[str]) -> DataFrame:
+    """(by, term): the tokens of a unit, as often as they occur, without an order."""
+    return turns.select(*by, F.explode(tokens("text", "[a-z]+")).alias("term"))
 
 
 def term_rows(turns: DataFrame, by: list[str]) -> DataFrame:
@@ -31,9 +42,9 @@ def term_rows(turns: DataFrame, by: list[str]) -> DataFrame:
 def diversity(rows: DataFrame, by: list[str], *windows: int) -> DataFrame:
     """TTR and, for each window, MATTR: a token is new in the windows that start after its last occurrence, so the distinct counts of all windows add
     up in one pass; NULL for units shorter than the window."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
     prev = F.coalesce(F.lag("pos").over(W.partitionBy(*by, "term").orderBy("pos")), F.lit(0))
-    d = rows.withColumns({"_n": n, "_prev": prev})
+    # reads _prev (of all rows), so that it comes after that window and needs no sort of its own
+    d = rows.withColumn("_prev", prev).withColumn("_n", F.count_if(F.col("_prev") >= 0).over(W.partitionBy(*by)))
 
     def new(window: int) -> Column:
         lo, hi = F.greatest(F.col("_prev") + 1, F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.col("_n") - window + 1)
@@ -62,8 +73,7 @@ def budgeted_overlap(turns: DataFrame, budget: int, windows: int = 10) -> DataFr
     which a speaker has fewer than `budget` tokens, or with one speaker only, stays undefined. No token becomes a row: turns do, then speakers with the
     tokens inside their windows (windows * budget at most), then pairs of windows, so tasks hold about as much as the texts."""
     by = ["session_id", "speaker_id"]
-    t = turns.select(*by, "turn_index", tokens("text", "[a-z]+").alias("_t")).where(F.size("_t") > 0)
-    t = written(t.select(*by, "turn_index", F.array_join("_t", " ").alias("_words"), F.size("_t").alias("_k")), "tokens")
+    t = written(_worded(turns, by), "tokens")
     size = t.groupBy(*by).agg(F.sum("_k").alias("_n"))
     least = size.groupBy("session_id").agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("speakers"))
     k = F.least(F.lit(windows), F.col("_least") - budget + 1).cast("int")

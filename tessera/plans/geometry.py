@@ -36,8 +36,8 @@ register("lex04_direction", lambda s, d: lx.direction_verdict(spec(s, d), "a", "
 
 
 def tfidf(s, d):
-    t = turns(s, d).select(F.concat_ws(":", "session_id", "turn_index").alias("doc"), "turn_index", "text")
-    return lx.tfidf(lx.token_rows(t, ["doc"]), "doc").join(turns(s, d).select(F.concat_ws(":", "session_id", "turn_index").alias("doc"), "session_id", "speaker_id", "group_id"), "doc")
+    t = turns(s, d).select(F.concat_ws(":", "session_id", "turn_index").alias("doc"), "text")
+    return lx.tfidf(lx.terms(t, ["doc"]), "doc").join(turns(s, d).select(F.concat_ws(":", "session_id", "turn_index").alias("doc"), "session_id", "speaker_id", "group_id"), "doc")
 
 
 TF = """tk as (select session_id, turn_index, speaker_id, group_id, session_id || ':' || turn_index doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from turns), tc as (select doc, term, count(*) tf from tk group by 1, 2), dn as (select count(distinct doc) n from tk), dfq as (select term, count(*) df from tc group by 1),

@@ -145,3 +145,13 @@ def test_tokens_of_windows_stay_in_rows_of_speakers(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == [("s", 2, 1, 1.0, 0.0, 1.0), ("t", 2, 2, 0.75, pytest.approx(math.sqrt((math.log2(4 / 3) + math.log2(2 / 3) / 2 + 0.5) / 2) / 2, abs=1e-6), pytest.approx((1 + 0.5**0.5) / 2, abs=1e-6))]
     assert made["tokens"].count() == len(rows)
     assert sorted((r.session_id, r.speaker_id, r._words, r._from) for r in made["covered"].collect()) == [("s", "a", "y y", [0]), ("s", "b", "y y", [0]), ("t", "a", "w w x x", [0, 2]), ("t", "b", "w w x", [0, 1])]
+
+
+def test_tokens_are_sorted_once(spark):
+    rows = [("u", 2, "b a"), ("u", 1, "x y z"), ("u", 1, "x Y z"), ("u", 3, None), ("u", 4, "7"), (None, None, "a a")]
+    t = lx.token_rows(spark.createDataFrame(rows, "u string, turn_index long, text string"), ["u"])
+    assert sorted((r.u or "", r.pos, r.term) for r in t.collect()) == [("", 1, "a"), ("", 2, "a"), *(("u", i + 1, w) for i, w in enumerate("xxyyzzba"))]
+    d = lx.diversity(t, ["u"], 2)
+    assert sorted((r.u or "", r.tokens, r.types, r.mattr_2) for r in d.collect()) == [("", 2, 1, 0.5), ("u", 8, 5, pytest.approx(11 / 14, abs=1e-6))]
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.split("posexplode")[0].count("Sort [") == 1
